@@ -41,7 +41,7 @@ class HashingEncoder:
     a text without words becomes the zero vector.
     """
 
-    MEMO_LIMIT = 1_000_000
+    MEMO_LIMIT = 1 << 18
 
     def __init__(self, dim: int = DEFAULT_DIM):
         self.dim = dim

@@ -23,16 +23,21 @@ def with_sentence_groups(pages: DataFrame, size: int = SENTENCES_PER_CHUNK) -> D
     return grouped.withColumn("num_chunks", F.size("sentence_chunks").cast("bigint"))
 
 
+def chunk_texts(joiner: str = "") -> Column:
+    return F.transform("sentence_chunks", lambda parts: tx.join_sentences(parts, joiner))
+
+
 def explode_chunks(pages: DataFrame, joiner: str = "") -> DataFrame:
     """One row per sentence group with its text. Pages without sentences vanish.
 
     Keeps the key columns, not the page text, so a chunk row stays small.
     """
     keys = [c for c in ("doc_id", "document_name", "filename", "page_number") if c in pages.columns]
-    groups = pages.select(*keys, F.posexplode("sentence_chunks").alias("chunk_idx", "parts"))
-    return groups.select(
-        *keys, "chunk_idx", tx.join_sentences(F.col("parts"), joiner).alias("sentence_chunk")
-    )
+    # Joining inside the array, and dropping empty pages after the explode, keeps
+    # later filters from being pushed below it and splitting or joining again.
+    joined = pages.select(*keys, chunk_texts(joiner).alias("texts"))
+    exploded = joined.select(*keys, F.posexplode_outer("texts").alias("chunk_idx", "sentence_chunk"))
+    return exploded.where(F.col("chunk_idx").isNotNull())
 
 
 def with_chunk_stats(chunks: DataFrame) -> DataFrame:
@@ -65,15 +70,14 @@ def long_enough(min_tokens: float = MIN_TOKENS) -> Column:
 def ingest_metrics(pages: DataFrame, size: int = SENTENCES_PER_CHUNK, min_tokens: float = MIN_TOKENS) -> DataFrame:
     """Pages, sentences, chunks and kept chunks of every document."""
     grouped = with_sentence_groups(with_sentences(pages), size)
-    parts = grouped.select(
+    exploded = grouped.select(
         "doc_id",
         "page_sentence_count",
-        F.posexplode_outer("sentence_chunks").alias("chunk_idx", "parts"),
+        F.posexplode_outer(chunk_texts()).alias("chunk_idx", "sentence_chunk"),
     )
-    text = tx.join_sentences(F.col("parts"))
     first_of_page = F.coalesce(F.col("chunk_idx"), F.lit(0)) == 0
     return (
-        parts.withColumn("chunk_token_count", tx.token_estimate(text))
+        exploded.withColumn("chunk_token_count", tx.token_estimate(F.col("sentence_chunk")))
         .groupBy("doc_id")
         .agg(
             F.count_if(first_of_page).alias("pages"),

@@ -28,7 +28,9 @@ DEFAULT_RESULTS = 5
 MAX_QUERY_BYTES = 64 << 20
 MAX_BROADCAST_WINNERS = 100_000
 MAX_PRUNE_NAMES = 1_000
+MAX_PRUNE_FILES = 10_000
 TILE_SCORES = 1 << 21
+RESCORE_PAIRS = 1 << 12
 
 
 @dataclass
@@ -46,13 +48,13 @@ class QueryBlock:
 
 
 def dense_rows(vectors: pa.Array, dim: int) -> np.ndarray:
-    """``[n, dim]`` float64 of an Arrow list column: cut or zero-padded, NULL is zero."""
+    """``[n, dim]`` float32 of an Arrow list column: cut or zero-padded, NULL is zero."""
     count = len(vectors)
     lengths = np.asarray(pc.fill_null(pc.list_value_length(vectors), 0))
-    flat = np.asarray(pc.fill_null(vectors.flatten(), 0.0), dtype=np.float64)
+    flat = np.asarray(pc.fill_null(vectors.flatten(), 0.0), dtype=np.float32)
     if (lengths == dim).all():
         return flat.reshape(count, dim)
-    out = np.zeros((count, dim))
+    out = np.zeros((count, dim), dtype=np.float32)
     starts = np.cumsum(lengths) - lengths
     row = np.repeat(np.arange(count), lengths)
     position = np.arange(len(flat)) - np.repeat(starts, lengths)
@@ -61,31 +63,55 @@ def dense_rows(vectors: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
+def exact_scores(rows: np.ndarray, row: np.ndarray, queries: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Dot products of the given pairs in double precision. NaN, which has no rank, becomes the lowest."""
+    out = np.empty(len(row))
+    for start in range(0, len(row), RESCORE_PAIRS):
+        part = slice(start, start + RESCORE_PAIRS)
+        left, right = rows[row[part]].astype(np.float64), queries[query[part]].astype(np.float64)
+        out[part] = np.einsum("ij,ij->i", left, right)
+    out[np.isnan(out)] = -np.inf
+    return out
+
+
 class BestRows:
-    """The best rows so far of every query: highest score, then lowest keys."""
+    """The best rows so far of every query: highest score, then lowest keys.
+
+    A float32 matrix product finds the rows that can be among the best; only
+    those are scored again in double precision. A float32 dot product of
+    ``dim`` terms is off by at most ``dim * 2**-23 * |row| * |query|``, and the
+    bar is lowered by that much, so no row is missed.
+    """
 
-    def __init__(self, limits: np.ndarray, keys: list[str], digits: int | None):
+    def __init__(self, vectors: np.ndarray, limits: np.ndarray, keys: list[str], digits: int | None):
+        self.vectors = vectors
         self.limits = limits
         self.keys = keys
         self.digits = digits
-        self.margin = 0.0 if digits is None else 10.0**-digits
+        self.rounding = 0.0 if digits is None else 10.0**-digits
+        self.noise = vectors.shape[1] * 2.0**-23 * np.linalg.norm(vectors.astype(np.float64), axis=1)
         self.floor = np.full(len(limits), -np.inf)
         self.table: pa.Table | None = None
 
-    def add(self, scores: np.ndarray, queries: np.ndarray, rows: pa.Table) -> None:
-        """``scores[i, j]`` is row ``i`` against query number ``queries[j]``."""
-        if not scores.size:
+    def add(self, vectors: np.ndarray, rows: pa.Table, queries: np.ndarray) -> None:
+        """Offer ``rows`` with their ``vectors`` to the queries of the given numbers."""
+        if not len(vectors):
             return
-        scores[np.isnan(scores)] = -np.inf
-        keep = min(int(self.limits[queries].max()), len(scores))
-        kth = np.partition(scores, len(scores) - keep, axis=0)[len(scores) - keep]
-        bar = np.maximum(kth, self.floor[queries]) - self.margin
-        at, column = np.nonzero(scores >= bar)
-        values = scores[at, column]
+        rough = vectors @ self.vectors[queries].T
+        keep = min(int(self.limits[queries].max()), len(rough))
+        floor = self.floor[queries]
+        if np.isneginf(floor).any():
+            kth = np.partition(rough, len(rough) - keep, axis=0)[len(rough) - keep]
+            floor = np.fmax(floor, kth)
+        longest = np.sqrt(np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64).max())
+        bar = floor - self.rounding - 2 * longest * self.noise[queries]
+        at, column = np.nonzero(~(rough < bar))
+        number = queries[column]
+        values = exact_scores(vectors, at, self.vectors, number)
         if self.digits is not None:
             values = np.round(values, self.digits) + 0.0
         found = rows.take(pa.array(at))
-        found = found.append_column("query", pa.array(queries[column]))
+        found = found.append_column("query", pa.array(number))
         found = found.append_column("score", pa.array(values))
         self.table = self._best(found if self.table is None else pa.concat_tables([self.table, found]))
 
@@ -109,22 +135,22 @@ def _partial_top_k(
     digits: int | None,
     scored: Observation | None,
 ) -> DataFrame:
-    shared = corpus.sparkSession.sparkContext.broadcast(block)
+    # plain arrays, as broadcast values are unpickled without this package's code
+    shared = corpus.sparkSession.sparkContext.broadcast((block.ids, block.vectors, block.limits, block.names))
     columns = list(dict.fromkeys([*keys, *([name_col] if name_col else [])]))
     fields = {f.name: f.dataType.simpleString() for f in corpus.schema.fields}
     schema = ", ".join(["qid bigint, n_results int", *(f"`{k}` {fields[k]}" for k in keys), "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = shared.value
-        count, dim = queries.vectors.shape
+        ids, query_vectors, limits, names = shared.value
+        count, dim = query_vectors.shape
         if not count:
             return
-        matrix = queries.vectors.astype(np.float64).T
-        wanted: dict[str, np.ndarray] = {}
-        for number, name in enumerate(queries.names or []):
+        wanted: dict[str, list[int]] = {}
+        for number, name in enumerate(names or []):
             wanted.setdefault(name, []).append(number)
         everything = np.arange(count)
-        best = BestRows(queries.limits, keys, digits)
+        best = BestRows(query_vectors, limits, keys, digits)
         step = max(1, TILE_SCORES // count)
         for batch in batches:
             whole = pa.Table.from_batches([batch])
@@ -132,17 +158,17 @@ def _partial_top_k(
                 tile = whole.slice(start, step)
                 vectors = dense_rows(tile[vector_col].combine_chunks(), dim)
                 rows = tile.select(keys)
-                if queries.names is None:
-                    best.add(vectors @ matrix, everything, rows)
+                if names is None:
+                    best.add(vectors, rows, everything)
                     continue
                 for name in pc.unique(tile[name_col]).to_pylist():
                     asked = np.array(wanted.get(name, []), dtype=np.int64)
                     if len(asked):
                         mine = np.flatnonzero(np.asarray(pc.fill_null(pc.equal(tile[name_col], name), False)))
-                        best.add(vectors[mine] @ matrix[:, asked], asked, rows.take(pa.array(mine)))
+                        best.add(vectors[mine], rows.take(pa.array(mine)), asked)
         if best.table is not None and len(best.table):
             query = np.asarray(best.table["query"])
-            out = [pa.array(queries.ids[query]), pa.array(queries.limits[query].astype(np.int32))]
+            out = [pa.array(ids[query]), pa.array(limits[query].astype(np.int32))]
             out += [best.table[k].combine_chunks() for k in keys]
             out.append(best.table["score"].combine_chunks())
             yield pa.RecordBatch.from_arrays(out, names=["qid", "n_results", *keys, "score"])
@@ -246,11 +272,21 @@ def best_per_query(candidates: DataFrame, keys: list[str], deepest: int) -> Data
 def attach_payload(hits: DataFrame, bound: int, corpus: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
     """Look the hits up in the corpus again, for the columns search left behind.
 
-    ``on`` must identify a corpus row. At most ``bound`` hits exist, so they
-    are broadcast if that is few; else Spark chooses the join.
+    ``on`` must identify a corpus row. At most ``bound`` hits exist. If that is
+    few, the search runs now and its hits are broadcast; rows of a stored table
+    are then read from the files that hold a hit, not from the whole corpus.
+    Otherwise Spark chooses the join.
     """
-    small = F.broadcast(hits) if bound <= MAX_BROADCAST_WINNERS else hits
-    return corpus.select(*on, *columns).join(small, on)
+    source = corpus.select(*on, *columns)
+    if bound > MAX_BROADCAST_WINNERS:
+        return source.join(hits, on)
+    found = hits.toArrow()
+    if "file_path" in on:
+        paths = pc.unique(found["file_path"]).to_pylist()
+        if len(paths) <= MAX_PRUNE_FILES:
+            source = source.where(F.col("file_path").isin(paths))
+    winners = hits.sparkSession.createDataFrame(found, hits.schema)
+    return source.join(F.broadcast(winners), on)
 
 
 def score_against(vector_col: str, query_vector: list[float]) -> Column:
@@ -259,7 +295,7 @@ def score_against(vector_col: str, query_vector: list[float]) -> Column:
 
     @F.arrow_udf("double")
     def score(vectors: pa.Array) -> pa.Array:
-        return pa.array(dense_rows(vectors, len(weights)) @ weights)
+        return pa.array(dense_rows(vectors, len(weights)).astype(np.float64) @ weights)
 
     return score(F.col(vector_col))
 

@@ -8,22 +8,23 @@ from pyspark.sql import functions as F
 KEYS = ["doc_id", "page_number", "chunk_idx"]
 
 # where a row is stored: tells rows apart that were appended twice
-POSITION = ["file_id", "row_index"]
+POSITION = ["file_path", "row_index"]
 
 CORPUS_SCHEMA = (
     "doc_id bigint, page_number int, chunk_idx int, sentence_chunk string, "
     "chunk_char_count bigint, chunk_word_count bigint, chunk_token_count double, "
     "embedding array<float>, document_name string"
 )
+CORPUS_COLUMNS = [c.split()[0] for c in CORPUS_SCHEMA.split(", ")]
 
 
 class CorpusNotFound(LookupError):
     pass
 
 
-def _columns(chunks: DataFrame) -> DataFrame:
-    names = [c.split()[0] for c in CORPUS_SCHEMA.split(", ")]
-    return chunks.select(*names)
+def _path_exists(spark: SparkSession, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def gather_by_name(chunks: DataFrame) -> DataFrame:
@@ -37,8 +38,11 @@ def gather_by_name(chunks: DataFrame) -> DataFrame:
 
 
 def _write(chunks: DataFrame, root: str) -> None:
+    if _path_exists(chunks.sparkSession, f"{root}/_spark_metadata"):
+        # readers of such a folder trust the stream's own file list
+        raise ValueError(f"{root} is written by a stream; rows appended beside it would not be seen")
     # rows of one document lie together, which keeps the key statistics of a file narrow
-    ordered = _columns(chunks).sortWithinPartitions("document_name", *KEYS)
+    ordered = chunks.select(*CORPUS_COLUMNS).sortWithinPartitions("document_name", *KEYS)
     ordered.write.mode("append").partitionBy("document_name").parquet(root)
 
 
@@ -49,12 +53,11 @@ def append(chunks: DataFrame, root: str) -> None:
 
 def stored(spark: SparkSession, root: str) -> DataFrame | None:
     """The table of all corpora with row positions, or None if nothing was written yet."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    if not _path_exists(spark, root):
         return None
     return spark.read.schema(CORPUS_SCHEMA).parquet(root).select(
         "*",
-        F.xxhash64("_metadata.file_path").alias("file_id"),
+        F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.row_index").alias("row_index"),
     )
 

@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from passagework.functions.encoders import EncoderFactory, HashingEncoder, encode
+from passagework.operators import chunks as ch
+from passagework.operators import pages as pg
+from passagework.sources.corpus import CORPUS_COLUMNS
 from passagework.sources.documents import DOCUMENT_SCHEMA
 
 
@@ -46,3 +51,25 @@ def ingest_stream(
     if partition_by:
         writer = writer.partitionBy(partition_by)
     return writer.start()
+
+
+def corpus_stream(
+    documents: DataFrame,
+    root: str,
+    checkpoint: str,
+    page_sep: str = pg.FORM_FEED,
+    size: int = ch.SENTENCES_PER_CHUNK,
+    min_tokens: float = ch.MIN_TOKENS,
+    factory: EncoderFactory = HashingEncoder,
+) -> StreamingQuery:
+    """Embed arriving ``doc_id, document_name, text`` documents into a corpus table.
+
+    The folder belongs to the stream; ``corpus.append`` refuses it.
+    """
+
+    def transform(docs: DataFrame) -> DataFrame:
+        chunks = ch.create_chunks(pg.split_pages(docs, page_sep=page_sep), size)
+        kept = chunks.where(ch.long_enough(min_tokens))
+        return kept.withColumn("embedding", encode(F.col("sentence_chunk"), factory)).select(*CORPUS_COLUMNS)
+
+    return ingest_stream(documents, transform, root, checkpoint, partition_by="document_name")

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from passagework.functions.vectors import DEFAULT_DIM
+from passagework.operators.ranking import BestRows, dense_rows, distinct, ranges, row_bytes
 from passagework.session import scratch_path
 
 # Fixed value: results per query when a request does not say.
@@ -30,100 +31,39 @@ MAX_BROADCAST_WINNERS = 100_000
 MAX_PRUNE_NAMES = 1_000
 MAX_PRUNE_FILES = 10_000
 TILE_SCORES = 1 << 21
-RESCORE_PAIRS = 1 << 12
 
 
 @dataclass
 class QueryBlock:
-    """Queries one pass works on; its size is bounded by ``MAX_QUERY_BYTES``."""
+    """Queries of one pass; the size is bounded by ``MAX_QUERY_BYTES``.
 
-    ids: np.ndarray
-    vectors: np.ndarray
-    limits: np.ndarray
-    names: list[str] | None
-
-    @property
-    def winners(self) -> int:
-        return int(self.limits.sum())
-
-
-def dense_rows(vectors: pa.Array, dim: int) -> np.ndarray:
-    """``[n, dim]`` float32 of an Arrow list column: cut or zero-padded, NULL is zero."""
-    count = len(vectors)
-    lengths = np.asarray(pc.fill_null(pc.list_value_length(vectors), 0))
-    flat = np.asarray(pc.fill_null(vectors.flatten(), 0.0), dtype=np.float32)
-    if (lengths == dim).all():
-        return flat.reshape(count, dim)
-    out = np.zeros((count, dim), dtype=np.float32)
-    starts = np.cumsum(lengths) - lengths
-    row = np.repeat(np.arange(count), lengths)
-    position = np.arange(len(flat)) - np.repeat(starts, lengths)
-    fits = position < dim
-    out[row[fits], position[fits]] = flat[fits]
-    return out
-
-
-def exact_scores(rows: np.ndarray, row: np.ndarray, queries: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Dot products of the given pairs in double precision. NaN, which has no rank, becomes the lowest."""
-    out = np.empty(len(row))
-    for start in range(0, len(row), RESCORE_PAIRS):
-        part = slice(start, start + RESCORE_PAIRS)
-        left, right = rows[row[part]].astype(np.float64), queries[query[part]].astype(np.float64)
-        out[part] = np.einsum("ij,ij->i", left, right)
-    out[np.isnan(out)] = -np.inf
-    return out
-
-
-class BestRows:
-    """The best rows so far of every query: highest score, then lowest keys.
-
-    A float32 matrix product finds the rows that can be among the best; only
-    those are scored again in double precision. A float32 dot product of
-    ``dim`` terms is off by at most ``dim * 2**-23 * |row| * |query|``, and the
-    bar is lowered by that much, so no row is missed.
+    Queries that are the same for the corpus share a slot and are scored once.
     """
 
-    def __init__(self, vectors: np.ndarray, limits: np.ndarray, keys: list[str], digits: int | None):
-        self.vectors = vectors
-        self.limits = limits
-        self.keys = keys
-        self.digits = digits
-        self.rounding = 0.0 if digits is None else 10.0**-digits
-        self.noise = vectors.shape[1] * 2.0**-23 * np.linalg.norm(vectors.astype(np.float64), axis=1)
-        self.floor = np.full(len(limits), -np.inf)
-        self.table: pa.Table | None = None
-
-    def add(self, vectors: np.ndarray, rows: pa.Table, queries: np.ndarray) -> None:
-        """Offer ``rows`` with their ``vectors`` to the queries of the given numbers."""
-        if not len(vectors):
-            return
-        rough = vectors @ self.vectors[queries].T
-        keep = min(int(self.limits[queries].max()), len(rough))
-        floor = self.floor[queries]
-        if np.isneginf(floor).any():
-            kth = np.partition(rough, len(rough) - keep, axis=0)[len(rough) - keep]
-            floor = np.fmax(floor, kth)
-        longest = np.sqrt(np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64).max())
-        bar = floor - self.rounding - 2 * longest * self.noise[queries]
-        at, column = np.nonzero(~(rough < bar))
-        number = queries[column]
-        values = exact_scores(vectors, at, self.vectors, number)
-        if self.digits is not None:
-            values = np.round(values, self.digits) + 0.0
-        found = rows.take(pa.array(at))
-        found = found.append_column("query", pa.array(number))
-        found = found.append_column("score", pa.array(values))
-        self.table = self._best(found if self.table is None else pa.concat_tables([self.table, found]))
-
-    def _best(self, table: pa.Table) -> pa.Table:
-        order = [("query", "ascending"), ("score", "descending"), *((k, "ascending") for k in self.keys)]
-        table = table.take(pc.sort_indices(table, sort_keys=order))
-        query = np.asarray(table["query"])
-        first = np.searchsorted(query, query, side="left")
-        rank = np.arange(len(query)) - first
-        last = rank == self.limits[query] - 1
-        self.floor[query[last]] = np.asarray(table["score"])[last]
-        return table.filter(pa.array(rank < self.limits[query]))
+    ids: np.ndarray
+    limits: np.ndarray
+    slots: np.ndarray
+    slot_vectors: np.ndarray
+    slot_limits: np.ndarray
+    slot_names: list[str | None] | None
+
+    @staticmethod
+    def of(queries: pa.Table, dim: int) -> QueryBlock:
+        vectors = dense_rows(queries["query_vector"].combine_chunks(), dim)
+        limits = np.asarray(queries["n_results"], dtype=np.int64)
+        routed = "document_name" in queries.column_names
+        names = queries["document_name"].to_pylist() if routed else [None] * len(limits)
+        firsts, slots = distinct(names, row_bytes(vectors))
+        slot_limits = np.zeros(len(firsts), dtype=np.int64)
+        np.maximum.at(slot_limits, slots, limits)
+        return QueryBlock(
+            ids=np.asarray(queries["qid"], dtype=np.int64),
+            limits=limits,
+            slots=slots,
+            slot_vectors=vectors[firsts],
+            slot_limits=slot_limits,
+            slot_names=[names[i] for i in firsts] if routed else None,
+        )
 
 
 def _partial_top_k(
@@ -131,26 +71,23 @@ def _partial_top_k(
     block: QueryBlock,
     keys: list[str],
     vector_col: str,
-    name_col: str | None,
     digits: int | None,
     scored: Observation | None,
 ) -> DataFrame:
     # plain arrays, as broadcast values are unpickled without this package's code
-    shared = corpus.sparkSession.sparkContext.broadcast((block.ids, block.vectors, block.limits, block.names))
-    columns = list(dict.fromkeys([*keys, *([name_col] if name_col else [])]))
+    shared = corpus.sparkSession.sparkContext.broadcast(vars(block))
     fields = {f.name: f.dataType.simpleString() for f in corpus.schema.fields}
     schema = ", ".join(["qid bigint, n_results int", *(f"`{k}` {fields[k]}" for k in keys), "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, query_vectors, limits, names = shared.value
-        count, dim = query_vectors.shape
+        queries = QueryBlock(**shared.value)
+        count, dim = queries.slot_vectors.shape
         if not count:
             return
-        wanted: dict[str, list[int]] = {}
-        for number, name in enumerate(names or []):
-            wanted.setdefault(name, []).append(number)
-        everything = np.arange(count)
-        best = BestRows(query_vectors, limits, keys, digits)
+        wanted: dict[str | None, list[int]] = {}
+        for slot, name in enumerate(queries.slot_names or []):
+            wanted.setdefault(name, []).append(slot)
+        best = BestRows(queries.slot_vectors, queries.slot_limits, keys, digits)
         step = max(1, TILE_SCORES // count)
         for batch in batches:
             whole = pa.Table.from_batches([batch])
@@ -158,39 +95,40 @@ def _partial_top_k(
                 tile = whole.slice(start, step)
                 vectors = dense_rows(tile[vector_col].combine_chunks(), dim)
                 rows = tile.select(keys)
-                if names is None:
-                    best.add(vectors, rows, everything)
+                if queries.slot_names is None:
+                    best.add(vectors, rows, np.arange(count))
                     continue
-                for name in pc.unique(tile[name_col]).to_pylist():
-                    asked = np.array(wanted.get(name, []), dtype=np.int64)
-                    if len(asked):
-                        mine = np.flatnonzero(np.asarray(pc.fill_null(pc.equal(tile[name_col], name), False)))
-                        best.add(vectors[mine], rows.take(pa.array(mine)), asked)
-        if best.table is not None and len(best.table):
-            query = np.asarray(best.table["query"])
-            out = [pa.array(ids[query]), pa.array(limits[query].astype(np.int32))]
-            out += [best.table[k].combine_chunks() for k in keys]
-            out.append(best.table["score"].combine_chunks())
-            yield pa.RecordBatch.from_arrays(out, names=["qid", "n_results", *keys, "score"])
-
-    scan = corpus.select(*columns, vector_col)
-    if block.names is not None and len(set(block.names)) <= MAX_PRUNE_NAMES:
-        scan = scan.where(F.col(name_col).isin(sorted(set(block.names) - {None})))
+                for name in pc.unique(tile["document_name"]).to_pylist():
+                    if name is not None and name in wanted:
+                        mine = np.flatnonzero(np.asarray(pc.fill_null(pc.equal(tile["document_name"], name), False)))
+                        best.add(vectors[mine], rows.take(pa.array(mine)), np.array(wanted[name]))
+        if best.table is None:
+            return
+        # hand every query the rows of its slot
+        slot = np.asarray(best.table["query"])
+        first = np.searchsorted(slot, np.arange(count), side="left")
+        found = np.searchsorted(slot, np.arange(count), side="right") - first
+        mine = np.minimum(found[queries.slots], queries.limits)
+        table = best.table.take(pa.array(ranges(first[queries.slots], mine)))
+        made = [pa.array(np.repeat(queries.ids, mine)), pa.array(np.repeat(queries.limits, mine).astype(np.int32))]
+        made += [table[name].combine_chunks() for name in (*keys, "score")]
+        yield pa.RecordBatch.from_arrays(made, names=["qid", "n_results", *keys, "score"])
+
+    scan = corpus
+    if block.slot_names is not None:
+        keys_read = list(dict.fromkeys([*keys, "document_name"]))
+        asked = sorted(set(block.slot_names) - {None})
+        if len(asked) <= MAX_PRUNE_NAMES:
+            scan = scan.where(F.col("document_name").isin(asked))
+    else:
+        keys_read = keys
+    scan = scan.select(*keys_read, vector_col)
     if scored is not None:
         scan = scan.observe(scored, F.count(F.lit(1)).alias("rows_scored"))
     return scan.mapInArrow(run, schema)
 
 
-def _as_block(encoded: pa.Table, dim: int, routed: bool) -> QueryBlock:
-    return QueryBlock(
-        ids=np.asarray(encoded["qid"], dtype=np.int64),
-        vectors=dense_rows(encoded["query_vector"].combine_chunks(), dim).astype(np.float32),
-        limits=np.asarray(encoded["n_results"], dtype=np.int64),
-        names=encoded["document_name"].to_pylist() if routed else None,
-    )
-
-
-def _query_blocks(queries: DataFrame, dim: int, routed: bool, max_bytes: int) -> Iterator[QueryBlock]:
+def _query_blocks(queries: DataFrame, dim: int, max_bytes: int) -> Iterator[QueryBlock]:
     """Blocks of at most ``max_bytes`` of vectors; one block in the usual case.
 
     A larger batch is encoded once into a shared table of hash buckets, and
@@ -199,7 +137,7 @@ def _query_blocks(queries: DataFrame, dim: int, routed: bool, max_bytes: int) ->
     rows = max(1, max_bytes // (4 * dim))
     head = queries.limit(rows + 1).toArrow()
     if len(head) <= rows:
-        yield _as_block(head, dim, routed)
+        yield QueryBlock.of(head, dim)
         return
     spark = queries.sparkSession
     path = scratch_path(spark, "queries")
@@ -212,7 +150,7 @@ def _query_blocks(queries: DataFrame, dim: int, routed: bool, max_bytes: int) ->
         if len(part) > rows:
             raise ValueError("qid is not unique: one bucket of queries exceeds the broadcast bound")
         if len(part):
-            yield _as_block(part, dim, routed)
+            yield QueryBlock.of(part, dim)
 
 
 def with_request_defaults(requests: DataFrame, n_results: int = DEFAULT_RESULTS) -> DataFrame:
@@ -242,19 +180,18 @@ def search(
 
     Also returns an upper bound of the number of rows.
     """
-    routed = "document_name" in queries.columns
-    name_col = "document_name" if routed else None
+    name = ["document_name"] if "document_name" in queries.columns else []
     wanted = with_request_defaults(queries, n_results).select(
         F.col("qid").cast("bigint"),
         F.col("query_vector").cast("array<float>"),
         "n_results",
-        *([name_col] if routed else []),
+        *name,
     ).where(F.col("n_results") > 0)
     passes, bound, deepest = [], 0, 1
-    for block in _query_blocks(wanted, dim, routed, max_query_bytes):
+    for block in _query_blocks(wanted, dim, max_query_bytes):
         observed = None if passes else scored
-        passes.append(_partial_top_k(corpus, block, keys, vector_col, name_col, digits, observed))
-        bound += block.winners
+        passes.append(_partial_top_k(corpus, block, keys, vector_col, digits, observed))
+        bound += int(block.limits.sum())
         deepest = max(deepest, int(block.limits.max(initial=1)))
     partial = reduce(DataFrame.unionByName, passes)
     return best_per_query(partial, keys, deepest), bound
@@ -282,6 +219,7 @@ def attach_payload(hits: DataFrame, bound: int, corpus: DataFrame, on: list[str]
         return source.join(hits, on)
     found = hits.toArrow()
     if "file_path" in on:
+        # a constant metadata column: the filter removes files before they are opened
         paths = pc.unique(found["file_path"]).to_pylist()
         if len(paths) <= MAX_PRUNE_FILES:
             source = source.where(F.col("file_path").isin(paths))

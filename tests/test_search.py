@@ -1,8 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from passagework.operators import ranking
 from passagework.operators import search as se
 
 SCHEMA = "id bigint, document_name string, embedding array<float>"
@@ -21,7 +23,7 @@ def brute(rows, queries, k=5, digits=None):
                 continue
             fitted = (list(embedding or []) + [0.0] * dim)[:dim]
             score = float(np.dot(np.array(fitted, np.float32).astype(float), np.array(vector, np.float32).astype(float)))
-            scored.append((-(round(score, digits) if digits else score), key))
+            scored.append((-(score if digits is None else round(score, digits)), key))
         out += [(qid, rank, key) for rank, (_, key) in enumerate(sorted(scored)[:limit], 1)]
     return sorted(out)
 
@@ -54,7 +56,6 @@ def test_against_brute_force(spark, numbers, digits):
 def test_small_tiles_and_batches(spark, numbers, monkeypatch):
     rows, asked = numbers
     monkeypatch.setattr(se, "TILE_SCORES", 200)
-    monkeypatch.setattr(se, "RESCORE_PAIRS", 7)
     result, _ = run(spark, rows, asked, parts=2, digits=2)
     assert ranked(result) == brute(rows, asked, digits=2)
 
@@ -110,6 +111,36 @@ def test_hot_tie_on_a_third_of_the_rows(spark, numbers):
     assert ranked(result) == brute(hot, asked)
 
 
+@pytest.mark.parametrize("digits", [None, 5, 0])
+def test_crowded_candidates(numbers, monkeypatch, digits):
+    """Few distinct vectors, so whole crowds of rows tie; in one task, with small limits."""
+    monkeypatch.setattr(ranking, "CROWDED", 10)
+    monkeypatch.setattr(ranking, "RESCORE_PAIRS", 7)
+    rows, asked = numbers
+    copies = [(i, n, rows[i % 4][2]) for i, n, _ in rows]
+    vectors = np.array([v for _, v in asked], np.float32)
+    limits = np.array([1 + i % 9 for i in range(len(asked))])
+    best = ranking.BestRows(vectors, limits, ["id"], digits)
+    for start in range(0, len(copies), 150):
+        part = copies[start : start + 150][::-1]
+        keys = pa.table({"id": [i for i, _, _ in part]})
+        best.add(np.array([v for _, _, v in part], np.float32), keys, np.arange(len(asked)))
+    got = {}
+    for query, key in zip(best.table["query"].to_pylist(), best.table["id"].to_pylist()):
+        got.setdefault(query, []).append(key)
+    want = brute(copies, [(q, v, int(n)) for (q, v), n in zip(asked, limits)], digits=digits)
+    assert sorted((q, r, k) for q, keys in got.items() for r, k in enumerate(keys, 1)) == want
+
+
+def test_repeated_queries_are_scored_once(spark, numbers):
+    rows, asked = numbers
+    same = [(q, asked[q % 2][1], 1 + q) for q in range(20)]
+    result, bound = run(spark, rows, same, "qid bigint, query_vector array<float>, n_results int")
+    assert ranked(result) == brute(rows, same) and bound == sum(range(1, 21))
+    block = se.QueryBlock.of(pa.table({"qid": [1, 2], "query_vector": [[1.0], [1.0]], "n_results": [3, 9]}), 1)
+    assert block.slot_vectors.shape == (1, 1) and block.slot_limits.tolist() == [9]
+
+
 def test_missing_short_and_long_vectors(spark, numbers):
     rows, asked = numbers
     odd = [(1000, "n", None), (1001, "n", []), (1002, "n", [9.0] * 3), (1003, "n", [0.1] * 20)]

@@ -236,6 +236,11 @@ def dot_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings(spark, sf_dir).select("vec_id", F.round(score, DIGITS).alias("score"))
 
 
+@registered
+def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return se.top_k(dot_scores(spark, sf_dir), ["vec_id"])
+
+
 # search
 
 

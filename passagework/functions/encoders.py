@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import sys
 from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import Protocol
 
 import numpy as np
@@ -34,6 +35,22 @@ class Encoder(Protocol):
 EncoderFactory = Callable[[], Encoder]
 
 
+class _Buckets(dict):
+    """Bucket of every word seen so far; forgets all when it grows too large."""
+
+    LIMIT = 1 << 19
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self[word] = bucket = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim
+        return bucket
+
+
 class HashingEncoder:
     """Deterministic bag of words: md5 bucket counts, scaled to unit length.
 
@@ -41,29 +58,19 @@ class HashingEncoder:
     a text without words becomes the zero vector.
     """
 
-    MEMO_LIMIT = 1 << 18
-
     def __init__(self, dim: int = DEFAULT_DIM):
         self.dim = dim
-        self._buckets: dict[str, int] = {}
-
-    def _bucket(self, word: str) -> int:
-        found = self._buckets.get(word)
-        if found is None:
-            if len(self._buckets) >= self.MEMO_LIMIT:
-                self._buckets.clear()
-            found = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim
-            self._buckets[word] = found
-        return found
+        self.buckets = _Buckets(dim)
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
-        for row, text in zip(out, texts):
-            buckets = [self._bucket(w) for w in text.lower().split(" ") if w]
-            if buckets:
-                row += np.bincount(buckets, minlength=self.dim)
-        norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
-        return (out / np.where(norms == 0, 1, norms)).astype(np.float32)
+        buckets = self.buckets
+        found = [[buckets[word] for word in text.lower().split(" ") if word] for text in texts]
+        row = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+        cell = row * self.dim + np.fromiter(chain.from_iterable(found), np.int64, len(row))
+        counts = np.bincount(cell, minlength=len(texts) * self.dim).reshape(len(texts), self.dim)
+        norms = np.sqrt(np.einsum("ij,ij->i", counts, counts))
+        norms[norms == 0] = 1
+        return (counts / norms[:, None]).astype(np.float32)
 
 
 class AsciiHashingEncoder(HashingEncoder):

@@ -160,6 +160,9 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings)""",
         "dot_scores": f"""WITH {ASKED["one"]}, {question}, {cells}
             SELECT vec_id, round({dot64}, 5) AS score FROM cells e LEFT JOIN qw USING (b) GROUP BY vec_id""",
+        "top_k": f"""WITH {ASKED["one"]}, {question}, {cells}
+            SELECT vec_id, round({dot64}, 5) AS score FROM cells e LEFT JOIN qw USING (b) GROUP BY vec_id
+            ORDER BY score DESC, vec_id LIMIT 5""",
         "vector_search": f"""WITH {ASKED["benchmark"]}, {question}, {cells},
             scored AS (SELECT qid, vec_id, round({dot64}, 5) AS score
                 FROM cells e JOIN qw USING (b) GROUP BY qid, vec_id)

@@ -29,27 +29,44 @@ def local_session(app_name: str = "passagework", cores: str = "*", shuffle_parti
     return spark
 
 
+_own_root: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path for an intermediate table, in the folder all executors share.
 
     The cluster names that folder in ``spark.checkpoint.dir``. Only a local
     master, where driver and executors are one machine, may go without it.
+    What is written there goes away when the application ends.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="passagework-")
-        spark.conf.set(CHECKPOINT_CONF, root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        if not _own_root:
+            _own_root.append(tempfile.mkdtemp(prefix="passagework-"))
+        root = _own_root[0]
+    folder = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{folder}/data"
+
+
+def is_small(scan: DataFrame) -> bool:
+    """Whether a table scan has fewer splits than there are cores.
+
+    Spark cuts files so that every core gets a split, down to a few megabytes,
+    so such a scan is at most that much per core.
+    """
+    return scan.rdd.getNumPartitions() < scan.sparkSession.sparkContext.defaultParallelism
 
 
 def fan_out(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a small scan over all cores before row-heavy work.
 
-    A scan that already has at least one split per core is returned as it is,
-    so a large table is never shuffled here. Hashing on the row keys keeps the
+    A large table is never shuffled here. Hashing on the row keys keeps the
     placement the same when a lost task is run again.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys) if is_small(df) else df

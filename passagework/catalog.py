@@ -50,7 +50,7 @@ def documents(spark: SparkSession, sf_dir: str, name_col: str = "source") -> Dat
 
 def line_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return pg.split_pages(fan_out(docs, "doc_id"), page_sep=LINE)
+    return pg.split_pages(fan_out(docs), page_sep=LINE)
 
 
 def line_chunks(spark: SparkSession, sf_dir: str, size: int = ch.SENTENCES_PER_CHUNK) -> DataFrame:
@@ -112,7 +112,7 @@ def page_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def page_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = documents(spark, sf_dir).select("doc_id", F.encode("text", "UTF-8").alias("content"))
-    extracted = pg.extract_pages(fan_out(raw, "doc_id"), pg.ascii_pages)
+    extracted = pg.extract_pages(fan_out(raw), pg.ascii_pages)
     return extracted.select("doc_id", "page_number", "text", "error")
 
 

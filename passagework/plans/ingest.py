@@ -36,7 +36,7 @@ def document_chunks(
     joiner: str = "",
 ) -> DataFrame:
     """Text documents to chunks with statistics. No shuffle on a large input."""
-    return ch.create_chunks(pg.split_pages(fan_out(docs, "doc_id"), page_sep=page_sep), size, splitter, joiner)
+    return ch.create_chunks(pg.split_pages(fan_out(docs), page_sep=page_sep), size, splitter, joiner)
 
 
 def embed_chunks(
@@ -66,7 +66,7 @@ def ingest(
     them; otherwise rows are appended. The counts come from the same pass.
     """
     small = is_small(docs)
-    docs = fan_out(docs, "doc_id")
+    docs = fan_out(docs)
     if only_new_names:
         docs = corpus.only_absent(docs, root)
     seen, made, kept = Observation(), Observation(), Observation()

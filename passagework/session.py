@@ -63,10 +63,11 @@ def is_small(scan: DataFrame) -> bool:
     return scan.rdd.getNumPartitions() < scan.sparkSession.sparkContext.defaultParallelism
 
 
-def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+def fan_out(df: DataFrame) -> DataFrame:
     """Spread a small scan over all cores before row-heavy work.
 
-    A large table is never shuffled here. Hashing on the row keys keeps the
-    placement the same when a lost task is run again.
+    A large table is never shuffled here. Rows are dealt out evenly, whatever
+    their keys; Spark sorts them first, so a task that is run again gets the
+    same rows.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys) if is_small(df) else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df) else df

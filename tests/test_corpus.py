@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from passagework.functions.encoders import AsciiHashingEncoder, HashingEncoder
 from passagework.operators import search as se
-from passagework.plans.ingest import document_chunks, embed_chunks
+from passagework.plans.ingest import document_chunks, embed_chunks, ingest
 from passagework.plans.retrieve import answer, retrieve
 from passagework.plans.store import DocumentStore
-from passagework.session import scratch_path
+from passagework.session import is_small, scratch_path
 from passagework.sources import corpus as cp
 from passagework.sources import csv_corpus
 
@@ -58,6 +58,28 @@ def test_nothing_survives_the_filter(spark, documents, root):
     assert names(spark, root) == {}
 
 
+def test_no_documents_and_nothing_new(spark, documents, root):
+    store = DocumentStore(spark, root)
+    none = documents([LONG]).where("doc_id < 0")
+    assert store.extend(none).kept == 0
+    stored = scratch_path(spark, "docs")
+    documents([("a", LONG), ("b", LONG)]).write.parquet(stored)
+    docs = spark.read.parquet(stored)
+    assert [store.create(docs).kept for _ in range(2)] == [2, 0]
+    assert names(spark, root) == {"a": 1, "b": 1}
+
+
+def test_wide_input_takes_the_rebalanced_path(spark, documents, root):
+    rows = [("hot" if i % 3 else f"n{i % 7}", LONG + f"Number {i}.") for i in range(300)]
+    narrow, wide = documents(rows).coalesce(1), documents(rows).repartition(32, "doc_id")
+    assert is_small(narrow) and not is_small(wide)
+    tables = []
+    for part, docs in enumerate((narrow, wide)):
+        ingest(docs, f"{root}/{part}")
+        tables.append(cp.read(spark, f"{root}/{part}").drop(*cp.POSITION).orderBy("doc_id").collect())
+    assert tables[0] == tables[1] and len(tables[0]) == 300
+
+
 def test_missing_corpora(spark, documents, root):
     store = DocumentStore(spark, root)
     with pytest.raises(cp.CorpusNotFound):

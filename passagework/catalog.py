@@ -263,7 +263,7 @@ def semantic_search_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def semantic_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = user_turns(spark, sf_dir).withColumn("qid", F.col("conv_id") * 1000 + F.col("turn"))
+    turns = user_turns(spark, sf_dir).withColumn("qid", F.col("conv_id") * 1_000_000 + F.col("turn"))
     return retrieve(stored_corpus(spark, sf_dir), turns.select("qid", "text"), digits=DIGITS, payload=[])
 
 

@@ -72,7 +72,7 @@ ASKED = {
     "one": f"asked AS (SELECT * FROM (VALUES (1, {_quote(QUESTION)}, 5)) AS v(qid, text, n_results))",
     "literal": f"asked AS (SELECT * FROM (VALUES {_LITERAL_ROWS}) AS v(qid, text, n_results))",
     "benchmark": "asked AS (SELECT item_id AS qid, text, 5 AS n_results FROM benchmark)",
-    "turns": "asked AS (SELECT conv_id * 1000 + turn AS qid, text, 5 AS n_results "
+    "turns": "asked AS (SELECT conv_id * 1000000 + turn AS qid, text, 5 AS n_results "
     "FROM conversations WHERE role = 'user')",
     "routed": "asked AS (SELECT DISTINCT regexp_extract(source, '(\\d+)', 1)::BIGINT AS qid, "
     f"{_quote(ROUTED_QUESTION)} AS text, 3 AS n_results, source AS document_name FROM documents)",

@@ -11,7 +11,7 @@ from passagework.functions import text as tx
 from passagework.functions.encoders import DEFAULT_BATCH_SIZE, EncoderFactory, HashingEncoder, encode
 from passagework.operators import chunks as ch
 from passagework.operators import pages as pg
-from passagework.session import fan_out, is_small
+from passagework.session import fan_out, scan_tasks, tasks_sized_for
 from passagework.sources import corpus
 
 
@@ -65,7 +65,7 @@ def ingest(
     ``only_new_names`` leaves existing corpora alone and does no work for
     them; otherwise rows are appended. The counts come from the same pass.
     """
-    small = is_small(docs)
+    source, tasks = docs, scan_tasks(docs)
     docs = fan_out(docs)
     if only_new_names:
         docs = corpus.only_absent(docs, root)
@@ -74,6 +74,7 @@ def ingest(
     pages = pg.split_pages(docs, page_sep=page_sep).observe(seen, count)
     chunks = ch.create_chunks(pages, size, splitter).observe(made, count)
     long = chunks.where(ch.long_enough(min_tokens)).observe(kept, count)
-    embedded = corpus.gather_by_name(long, small).withColumn("embedding", encode(F.col("sentence_chunk"), factory))
-    corpus.append(embedded, root)
+    gathered = corpus.gather_by_name(long, tasks)
+    with tasks_sized_for(source):
+        corpus.append(gathered.withColumn("embedding", encode(F.col("sentence_chunk"), factory)), root)
     return IngestReport(seen.get["rows"], made.get["rows"], kept.get["rows"])

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+TASK_BYTES_CONF = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+
+TASKS_PER_CORE = 4
+MIN_TASK_BYTES = 1 << 20
 
 
 def local_session(app_name: str = "passagework", cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -71,3 +77,28 @@ def fan_out(df: DataFrame) -> DataFrame:
     same rows.
     """
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df) else df
+
+
+def scan_tasks(scan: DataFrame) -> int:
+    """How many tasks work on this scan: its splits, or all cores if it has fewer."""
+    return max(scan.rdd.getNumPartitions(), scan.sparkSession.sparkContext.defaultParallelism)
+
+
+@contextmanager
+def tasks_sized_for(source: DataFrame) -> Iterator[None]:
+    """Let a rebalance make tasks small enough that every core gets several.
+
+    A rebalance sizes tasks by bytes alone, 64 MB unless configured otherwise.
+    That suits a large input, but leaves most cores idle on a medium one when
+    the work per byte is heavy. The setting is put back afterwards.
+    """
+    spark = source.sparkSession
+    configured = spark.conf.get(TASK_BYTES_CONF)
+    ceiling = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(configured)
+    size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    wanted = max(MIN_TASK_BYTES, size // (TASKS_PER_CORE * spark.sparkContext.defaultParallelism))
+    spark.conf.set(TASK_BYTES_CONF, str(min(wanted, ceiling)))
+    try:
+        yield
+    finally:
+        spark.conf.set(TASK_BYTES_CONF, configured)

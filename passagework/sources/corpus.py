@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 KEYS = ["doc_id", "page_number", "chunk_idx"]
 
-# tasks that share one name of a small input
-SMALL_SPREAD = 2
-
 # where a row is stored: tells rows apart that were appended twice
 POSITION = ["file_path", "row_index"]
 
@@ -30,19 +27,15 @@ def _path_exists(spark: SparkSession, name: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
-def gather_by_name(chunks: DataFrame, small: bool = False) -> DataFrame:
+def gather_by_name(chunks: DataFrame, tasks: int) -> DataFrame:
     """Bring the rows of one corpus together, so each task writes few files.
 
     Done on chunk text, before the encoder: no vectors are shuffled, and the
-    encoder's work is even. A rebalance, not a plain repartition, so a name
-    that holds a large share of all rows is split over many tasks at run time.
-    As it sizes tasks by bytes, it would put a small input into one task; a
-    ``small`` one is spread over all cores instead, each name over a few.
+    encoder's work is even. A rebalance, not a plain repartition: at run time a
+    name that holds a large share of all rows is split over many tasks, and
+    small names share one. ``tasks`` is about how many tasks the input fills.
     """
-    if not small:
-        return chunks.hint("rebalance", F.col("document_name"))
-    cores = chunks.sparkSession.sparkContext.defaultParallelism
-    return chunks.repartition(cores, "document_name", F.pmod(F.xxhash64(*KEYS), F.lit(SMALL_SPREAD)))
+    return chunks.hint("rebalance", tasks, F.col("document_name"))
 
 
 def _write(chunks: DataFrame, root: str) -> None:

@@ -230,7 +230,7 @@ def test_hot_name_is_split_over_tasks(spark, documents):
     before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
     try:
-        gathered = cp.gather_by_name(rows.repartition(16, "doc_id"))
+        gathered = cp.gather_by_name(rows.repartition(16, "doc_id"), 16)
         tasks = gathered.select("document_name", "sentence_chunk", F.spark_partition_id().alias("task")).toPandas()
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)

@@ -82,7 +82,7 @@ def test_preview_and_top_k_do_not_sort_everything(spark, sf_dir):
 
 def test_corpus_is_gathered_before_it_is_encoded(spark, sf_dir):
     chunks = ing.document_chunks(ca.documents(spark, sf_dir)).where(ch.long_enough())
-    text = simple(ing.embed_chunks(cp.gather_by_name(chunks)))
+    text = simple(ing.embed_chunks(cp.gather_by_name(chunks, 8)))
     assert text.index("ArrowEvalPython") < text.index("REBALANCE_PARTITIONS_BY_COL")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import packing, simhash, token_count
+from passagework.llm import fertility, licenses, packing, secrets, simhash, token_count, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,19 +20,44 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.with_licenses(documents(spark, sf_dir)).drop("text")
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.with_secrets(documents(spark, sf_dir)).drop("text")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = simhash.near_duplicates(documents(spark, sf_dir))
     return classes.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    return fertility.with_quality(table).drop("text", "lang")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")).drop("url")
+
+
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_count.with_token_counts(documents(spark, sf_dir))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pack, op5_simhash, op10_token_count)}
+    return {f.__name__: f for f in (
+        op1_pack,
+        op2_licenses,
+        op4_secrets,
+        op5_simhash,
+        op6_fertility,
+        op7_url_filter,
+        op10_token_count,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_licenses": licenses.oracle(), "op7_url_filter": url_filter.oracle()}

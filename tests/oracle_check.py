@@ -11,7 +11,7 @@ import pandas as pd
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-TABLES = "documents embeddings benchmark conversations".split()
+TABLES = "documents embeddings benchmark conversations pages labels".split()
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:

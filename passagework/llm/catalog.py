@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import fertility, licenses, packing, secrets, simhash, token_count, url_filter
+from passagework.llm import (
+    decontaminate,
+    fertility,
+    licenses,
+    lm_score,
+    packing,
+    quality,
+    secrets,
+    simhash,
+    token_count,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +35,11 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.with_licenses(documents(spark, sf_dir)).drop("text")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.with_quality(docs, quality.fit(docs)).drop("text")
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.with_secrets(documents(spark, sf_dir)).drop("text")
 
@@ -42,6 +58,17 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")).drop("url")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return decontaminate.leaks(documents(spark, sf_dir), items)
+
+
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against the conversations as target."""
+    target = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("text")
+    return lm_score.with_scores(documents(spark, sf_dir), target).drop("text")
+
+
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_count.with_token_counts(documents(spark, sf_dir))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -51,10 +78,13 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_pack,
         op2_licenses,
+        op3_quality,
         op4_secrets,
         op5_simhash,
         op6_fertility,
         op7_url_filter,
+        op8_decontaminate,
+        op9_lm_score,
         op10_token_count,
     )}
 

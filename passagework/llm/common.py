@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -77,6 +78,11 @@ def quoted(*names: str) -> list[Column]:
     return [F.col("`" + name.replace("`", "``") + "`") for name in names]
 
 
+def field_names(fields: str) -> list[str]:
+    """The outermost names of a list of ``name: type``."""
+    return [f.split(":")[0].strip() for f in re.split(r",(?![^<]*>)", fields)]
+
+
 def computed(fields: str, setup: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> Callable[[Column], Column]:
     """A struct column of ``fields``, made batch by batch from one column.
 
@@ -84,7 +90,7 @@ def computed(fields: str, setup: Callable[[], Callable[[pa.Array], list[pa.Array
     column counts as nondeterministic, so a later filter or a second use does
     not make Spark evaluate it twice.
     """
-    names = [f.split(":")[0].strip() for f in fields.split(",")]
+    names = field_names(fields)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         work = setup()
@@ -98,7 +104,7 @@ def computed(fields: str, setup: Callable[[], Callable[[pa.Array], list[pa.Array
 def with_fields(docs: DataFrame, source: Column, fields: str, setup: Callable) -> DataFrame:
     """``docs`` and the made fields. A made field takes the place of a column of its name."""
     (holder,) = fresh(docs, "made")
-    names = [f.split(":")[0].strip() for f in fields.split(",")]
+    names = field_names(fields)
     kept = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
     made = docs.withColumn(holder, computed(fields, setup)(source))
     return made.select(*quoted(*kept), *[F.col(f"{holder}.{n}").alias(n) for n in names])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.common import computed, fresh, per_worker, runs_of, texts, with_fields
+from passagework.llm.common import computed, fresh, per_worker, quoted, runs_of, texts, with_fields
 
 # Parameters of the scorer: hashed features, and how many documents it is trained on at most.
 FEATURES = 2048
@@ -141,7 +141,7 @@ _WEIGHTS = 3 ** np.arange(LABELLERS)
 
 # The first guess: a labeller that finds fault is seldom wrong, and each finds only some of the faults.
 FAULT_IF_BAD, FAULT_IF_GOOD, GOOD_SHARE = 0.4, 0.02, 0.8
-PRIOR_SHARE = 0.05  # weight of the first guess, in documents per document
+PRIOR_SHARE = 0.01  # weight of the first guess, in documents per document
 
 
 @dataclass
@@ -293,3 +293,11 @@ def with_quality(docs: DataFrame, classifier: Classifier, text_col: str = "text"
         return work
 
     return with_fields(docs, F.col(text_col), "weak_label: double, quality: double, kept: boolean", setup)
+
+
+def only_kept(docs: DataFrame, classifier: Classifier, text_col: str = "text") -> DataFrame:
+    """The documents the scorer keeps, with all their columns as they are."""
+    (text, row) = fresh(docs, "own_text", "row")
+    whole = docs.select(F.struct(*quoted(*docs.columns)).alias(row), F.col(text_col).alias(text))
+    judged = with_quality(whole, classifier, text).where("kept")
+    return judged.select(*[F.col(f"{row}.`{c}`").alias(c) for c in docs.columns])

@@ -40,7 +40,7 @@ NAME_WORDS = {
     "public": -0.6, "count": -1.0, "limit": -1.0, "length": -1.0, "size": -1.0, "max": -1.0, "min": -1.0, "type": -0.8,
     "name": -0.6, "url": -0.5, "path": -0.5, "file": -0.5, "expiry": -0.8, "ttl": -0.8, "primary": -0.6, "foreign": -0.6,
 }
-TRIGGERS = ("passw", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "credential", "private_key", "access_key")
+TRIGGERS = ("passw", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "credential", "private_key", "privatekey", "access_key", "accesskey")
 PLACEHOLDER = re.compile(r"example|change.?me|your|placeholder|dummy|redacted|<.*>|^(.)\1*$|^(none|null|true|false|undefined)$", re.I)
 
 NAME = r"[A-Za-z_$][\w.\-]*+"

@@ -23,22 +23,27 @@ def per_worker(key: object, make: Callable[[], object]) -> object:
 
 
 class Memo(dict):
-    """Remembers what ``make`` returned; starts anew when it holds too many entries.
+    """Remembers what ``make`` returned, in two generations of bounded size.
 
-    ``given`` is there from the start and after every new start. Long keys are
-    never kept, so memory is bounded whatever the texts are.
+    When the young one is full it becomes the old one, and what is asked for
+    again moves back; what is not is forgotten. ``given`` is always there. Long
+    keys are never kept, so memory is bounded whatever the texts are.
     """
 
     def __init__(self, make: Callable, given: dict | None = None, entries: int = MEMO_ENTRIES):
         super().__init__(given or {})
         self.make = make
         self.given = given or {}
+        self.old: dict = {}
         self.entries = entries + len(self.given)
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
         if len(key) <= MEMO_KEY_CHARS:
             if len(self) >= self.entries:
+                self.old = self.copy()
                 self.clear()
                 self.update(self.given)
             self[key] = value

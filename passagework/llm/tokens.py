@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
+from array import array
 
-import numpy as np
 import regex
 from tokenizers import Tokenizer
 
@@ -18,11 +18,13 @@ BYTE_CHARS = {**{b: chr(b) for b in _KEPT}, **{b: chr(256 + i) for i, b in enume
 # Fixed value: the pre-tokens of byte_bpe_50k.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-# a word of Latin letters, all composed and of one simple lower case, and plain marks behind it
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+# a word of Latin letters, all composed and of one simple lower case, and ASCII marks but the apostrophe behind it
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]*)").fullmatch
 
 
 def byte_chars(text: str) -> str:
+    if text.isascii() and text.isalpha():
+        return text
     return text.encode().decode("latin-1").translate(BYTE_CHARS)
 
 
@@ -41,16 +43,17 @@ class WordIds:
         self.parts = Memo(self._part)
 
     def _word(self, word: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(byte_chars(word))], "<u4").tobytes()
+        return array("I", [t.id for t in self.model.tokenize(byte_chars(word))]).tobytes()
 
     def _part(self, part: str) -> bytes:
-        if plain := PLAIN.fullmatch(part):
+        if plain := PLAIN(part):
             word, marks = plain.groups()
-            return self.words[word.lower()] + (self.words[marks] if marks else b"")
-        return np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = self.words[word.lower()]
+            return ids + self.words[marks] if marks else ids
+        return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids, one after the other."""
+        """Unsigned 32-bit ids, one after the other (little-endian, as the machines are)."""
         return b"".join(map(self.parts.__getitem__, text.replace("\n", " ").split(" ")))
 
 
@@ -66,7 +69,7 @@ def frequent_lengths(path: str) -> dict[str, int]:
     for item in tokenizer.get_vocab():
         if item[0] == BYTE_CHARS[0x20] and all(c in back for c in item):
             word = bytes(back[c] for c in item[1:]).decode(errors="replace")
-            if PLAIN.fullmatch(word):
+            if PLAIN(word):
                 found[word] = len(tokenizer.encode(" " + word, add_special_tokens=False).ids)
     return found
 
@@ -89,7 +92,7 @@ class TokenLengths:
         self.split = regex.compile(BYTE_PATTERN)
 
     def _part(self, part: str) -> int:
-        if plain := PLAIN.fullmatch(part):
+        if plain := PLAIN(part):
             word, marks = plain.groups()
             return self.pieces[" " + word] + (self.pieces[marks] if marks else 0)
         return self._whole(" " + part)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.functions import text as tx
@@ -17,11 +17,11 @@ from passagework.operators import prompt as pr
 from passagework.operators import search as se
 from passagework.plans import ingest as ing
 from passagework.plans.retrieve import answer, retrieve, with_query_vectors
-from passagework.session import fan_out, scratch_path
+from passagework.session import scratch_path
 from passagework.sources import corpus as cp
 from passagework.sources import csv_corpus
-from passagework.sources.documents import DOCUMENT_SCHEMA, text_table
-from passagework.streaming.ingest import document_stream, ingest_stream
+from passagework.sources.documents import DOCUMENT_SCHEMA, files, spread, text_table
+from passagework.streaming.ingest import corpus_stream, document_stream
 
 QUESTION = "the worthless hand of that"
 QUESTIONS = [(1, QUESTION, 3), (2, "le la des", 7), (3, "zzz", None), (4, "", 2)]
@@ -29,6 +29,8 @@ ROUTED_QUESTION = "le la des"
 DIGITS = 5
 LINE = "\n"
 
+NOT_ASCII = r"[^\x00-\x7F]"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _REGISTRY: dict[str, Query] = {}
@@ -48,9 +50,19 @@ def documents(spark: SparkSession, sf_dir: str, name_col: str = "source") -> Dat
     return text_table(spark, f"{sf_dir}/documents.parquet", name_col)
 
 
+def ascii_document(content: bytes) -> list[Callable[[], str]]:
+    """A document is refused as a whole if it is not ASCII."""
+    content.decode("ascii")
+    return list(pg.ascii_pages(content))
+
+
+def utf8_document(content: bytes) -> list[Callable[[], str]]:
+    """One page: the text without the line end that the file was written with."""
+    return [lambda: content.decode().removesuffix("\f")]
+
+
 def line_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    return pg.split_pages(fan_out(docs), page_sep=LINE)
+    return pg.split_pages(documents(spark, sf_dir).select("doc_id", "text"), page_sep=LINE)
 
 
 def line_chunks(spark: SparkSession, sf_dir: str, size: int = ch.SENTENCES_PER_CHUNK) -> DataFrame:
@@ -82,6 +94,7 @@ def benchmark_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users ask in the conversations: their turns, and not the answers."""
     schema = "conv_id bigint, turn bigint, role string, text string"
     table = spark.read.schema(schema).parquet(f"{sf_dir}/conversations.parquet")
     return table.where("role = 'user'").select("conv_id", "turn", "text")
@@ -111,9 +124,18 @@ def page_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def page_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with a character outside ASCII are set aside."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pg.checked_pages(docs, NOT_ASCII, "outside ASCII", page_sep=LINE)
+
+
+@registered
+def document_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document through a codec that opens ASCII documents only."""
     raw = documents(spark, sf_dir).select("doc_id", F.encode("text", "UTF-8").alias("content"))
-    extracted = pg.extract_pages(fan_out(raw), pg.ascii_pages)
-    return extracted.select("doc_id", "page_number", "text", "error")
+    extracted = pg.extract_pages(raw, ascii_document, on_document_error="quarantine")
+    page = F.coalesce("page_number", F.lit(0)).alias("page_number")
+    return extracted.select("doc_id", page, "text", F.split("error", ":")[0].alias("error"))
 
 
 # pages to sentences to chunks
@@ -171,12 +193,12 @@ def chunk_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def ingest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ch.ingest_metrics(line_pages(spark, sf_dir))
+    return ch.ingest_metrics(documents(spark, sf_dir), page_sep=LINE)
 
 
 @registered
 def ingest_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.schema(DOCUMENT_SCHEMA).parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.schema(DOCUMENT_SCHEMA).parquet(f"{sf_dir}/documents.parquet"))
     english = docs.where("lang = 'en'").select("doc_id", "text")
     others = docs.where("lang <> 'en'").select("doc_id", "text")
     uploads = [ing.document_chunks(upload, page_sep=LINE) for upload in (english, others)]
@@ -271,8 +293,16 @@ def semantic_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = benchmark_questions(spark, sf_dir)
     vectors = with_query_vectors(asked, partial(HashingEncoder, 64))
-    hits, _ = se.search(embeddings(spark, sf_dir), vectors, ["vec_id"], dim=64, digits=DIGITS)
-    return hits
+    return se.search(embeddings(spark, sf_dir), vectors, ["vec_id"], dim=64, digits=DIGITS)
+
+
+@registered
+def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of the corpus a search scored."""
+    scored = Observation()
+    asked = spark.createDataFrame([(1, QUESTION)], "qid bigint, text string")
+    retrieve(stored_corpus(spark, sf_dir), asked, payload=[], scored=scored)
+    return spark.createDataFrame([(scored.get["rows_scored"],)], "rows_scored bigint")
 
 
 @registered
@@ -353,25 +383,55 @@ def sink_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell of a corpus that was written as CSV and read again, vectors number by number."""
     path = scratch_path(spark, "csv")
     csv_corpus.write(stored_corpus(spark, sf_dir), path)
-    table = csv_corpus.read(spark, path)
-    cells = F.filter("embedding", lambda x: x != 0)
-    return table.select(
-        *[c for c in table.columns if c != "embedding"],
-        F.size(cells).cast("bigint").alias("nonzero"),
-        F.round(F.array_max("embedding").cast("double"), DIGITS).alias("largest"),
-    )
+    table = csv_corpus.read(spark, path).withColumn("dim", F.size("embedding"))
+    columns = [c for c in table.columns if c != "embedding"]
+    cells = table.select(*columns, F.posexplode("embedding").alias("bucket", "weight")).where("weight <> 0")
+    return cells.withColumn("weight", F.round(F.col("weight").cast("double"), DIGITS))
 
 
 @registered
-def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "stream-checkpoint")
+def ingest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files, one for each: found, decoded, chunked and stored with the name of their file."""
+    root, inbox = scratch_path(spark, "file-corpus"), scratch_path(spark, "inbox")
+    named = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    documents(spark, sf_dir).select("text", named.alias("file")).write.partitionBy("file").text(inbox, lineSep="\f")
+    found = files(spark, inbox, "uploads").withColumn("filename", F.regexp_extract("path", "file=([^/]+)/", 1))
+    ing.ingest(found, root, extractor=utf8_document)
+    return cp.read(spark, root).select("document_name", "filename", "page_number", "chunk_idx", "sentence_chunk")
 
-    def transform(docs: DataFrame) -> DataFrame:
-        pages = pg.split_pages(docs.select("doc_id", "text"), page_sep=LINE)
-        return ch.create_chunks(pages).where(ch.long_enough())
 
+@registered
+def ingest_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without text (shorter than 200 here), without a name (French here), and all others."""
+    root = scratch_path(spark, "set-aside")
+    docs = spread(spark.read.schema(DOCUMENT_SCHEMA).parquet(f"{sf_dir}/documents.parquet"))
+    text, name = F.when(F.col("n_chars") >= 200, F.col("text")), F.when(F.col("lang") != "fr", F.col("source"))
+    ing.ingest(docs.select("doc_id", name.alias("document_name"), text.alias("text")), root)
+    stored = cp.read(spark, root).select("doc_id", "document_name", F.lit(None).cast("string").alias("reason"))
+    return stored.union(cp.quarantine(spark, root).select("doc_id", "document_name", "reason"))
+
+
+@registered
+def embed_failure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of an ingest whose model refuses text outside ASCII."""
+    root = scratch_path(spark, "failures")
+    report = ing.ingest(documents(spark, sf_dir), root, factory=AsciiHashingEncoder)
+    counts = [(report.pages, report.chunks, report.kept, report.failed_embeddings, report.saved, report.reason is not None)]
+    names = "pages bigint, chunks bigint, kept bigint, failed_embeddings bigint, saved bigint, has_reason boolean"
+    return spark.createDataFrame(counts, names)
+
+
+@registered
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that extends a corpus: English in a batch, the rest by a stream, started twice."""
+    root, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "stream-checkpoint")
+    docs = documents(spark, sf_dir, name_col="lang")
+    ing.ingest(docs.where("document_name = 'en'"), root, page_sep=LINE)
     arriving = document_stream(spark, sf_dir, glob="documents.parquet")
-    ingest_stream(arriving, transform, root, checkpoint).awaitTermination()
-    return spark.read.schema(transform(arriving).schema).parquet(root)
+    arriving = arriving.where("lang <> 'en'").select("doc_id", F.col("lang").alias("document_name"), "text")
+    for _ in range(2):
+        corpus_stream(arriving, root, checkpoint, page_sep=LINE).awaitTermination()
+    return cp.read(spark, root).drop("embedding", "filename", "document_name", *cp.POSITION)

@@ -25,6 +25,8 @@ from passagework.functions.vectors import DEFAULT_DIM
 # Fixed value: texts handed to the model in one call.
 DEFAULT_BATCH_SIZE = 32
 
+REASON_CHARS = 200
+
 
 class Encoder(Protocol):
     dim: int
@@ -91,14 +93,14 @@ def _worker_encoder(key: str, factory: EncoderFactory) -> Encoder:
     return loaded[key]
 
 
-def _encode_rows(encoder: Encoder, texts: list[str]) -> list[np.ndarray | None]:
-    """Encode a batch; if it fails, row by row, so only the bad rows are lost."""
+def _encode_rows(encoder: Encoder, texts: list[str]) -> list[tuple[np.ndarray | None, str | None]]:
+    """Encode a batch; if it fails, row by row, so only the bad rows are lost. A lost row keeps its reason."""
     try:
-        return list(encoder.encode(texts))
-    except Exception:
+        return [(vector, None) for vector in encoder.encode(texts)]
+    except Exception as failure:
         if len(texts) == 1:
-            return [None]
-        return [vector for text in texts for vector in _encode_rows(encoder, [text])]
+            return [(None, f"{type(failure).__name__}: {failure}"[:REASON_CHARS])]
+        return [outcome for text in texts for outcome in _encode_rows(encoder, [text])]
 
 
 def _to_arrow(vectors: list[np.ndarray | None], dim: int) -> pa.ListArray:
@@ -112,21 +114,31 @@ def _to_arrow(vectors: list[np.ndarray | None], dim: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), values, mask=mask)
 
 
-def encode(text: Column, factory: EncoderFactory = HashingEncoder, batch_size: int = DEFAULT_BATCH_SIZE) -> Column:
-    """``array<float>`` column of embeddings; NULL where the encoder failed."""
+def encode_outcome(text: Column, factory: EncoderFactory = HashingEncoder, batch_size: int = DEFAULT_BATCH_SIZE) -> Column:
+    """``embedding`` and ``error`` in a struct; the vector is NULL where the encoder failed, and the error says why.
+
+    A NULL text has neither.
+    """
     key = hashlib.md5(cloudpickle.dumps(factory)).hexdigest()
 
-    @F.arrow_udf("array<float>")
+    @F.arrow_udf("struct<embedding: array<float>, error: string>")
     def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _worker_encoder(key, factory)
         for batch in batches:
             texts = batch.to_pylist()
-            vectors: list[np.ndarray | None] = [None] * len(texts)
+            outcomes: list[tuple[np.ndarray | None, str | None]] = [(None, None)] * len(texts)
             rows = [i for i, t in enumerate(texts) if t is not None]
             for start in range(0, len(rows), batch_size):
                 part = rows[start : start + batch_size]
-                for i, vector in zip(part, _encode_rows(encoder, [texts[i] for i in part])):
-                    vectors[i] = vector
-            yield _to_arrow(vectors, encoder.dim)
+                for i, outcome in zip(part, _encode_rows(encoder, [texts[i] for i in part])):
+                    outcomes[i] = outcome
+            vectors = _to_arrow([vector for vector, _ in outcomes], encoder.dim)
+            errors = pa.array([error for _, error in outcomes], pa.string())
+            yield pa.StructArray.from_arrays([vectors, errors], names=["embedding", "error"])
 
     return embed(text)
+
+
+def encode(text: Column, factory: EncoderFactory = HashingEncoder, batch_size: int = DEFAULT_BATCH_SIZE) -> Column:
+    """``array<float>`` column of embeddings; NULL where the encoder failed."""
+    return encode_outcome(text, factory, batch_size)["embedding"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.functions import text as tx
+from passagework.operators.pages import FORM_FEED, page_texts
 
 # Sentences in one chunk, and the token count a chunk must exceed.
 SENTENCES_PER_CHUNK = 10
@@ -67,22 +68,26 @@ def long_enough(min_tokens: float = MIN_TOKENS) -> Column:
     return F.col("chunk_token_count") > min_tokens
 
 
-def ingest_metrics(pages: DataFrame, size: int = SENTENCES_PER_CHUNK, min_tokens: float = MIN_TOKENS) -> DataFrame:
-    """Pages, sentences, chunks and kept chunks of every document."""
-    grouped = with_sentence_groups(with_sentences(pages), size)
-    exploded = grouped.select(
+def ingest_metrics(
+    docs: DataFrame,
+    page_sep: str = FORM_FEED,
+    size: int = SENTENCES_PER_CHUNK,
+    min_tokens: float = MIN_TOKENS,
+    splitter: tx.Splitter = tx.sentences,
+) -> DataFrame:
+    """Pages, sentences, chunks and kept chunks of every document; a missing text has none.
+
+    A document is one row, so its pages stay an array and nothing is shuffled.
+    """
+    pages = F.transform(page_texts(F.col("text"), page_sep), lambda page: splitter(tx.normalize(page)))
+    counted = docs.select("doc_id", F.coalesce(pages, F.array().cast("array<array<string>>")).alias("pages"))
+    groups = F.flatten(F.transform("pages", lambda page: tx.slices(page, size)))
+    tokens = F.transform(groups, lambda parts: tx.token_estimate(tx.join_sentences(parts)))
+    total = F.aggregate("pages", F.lit(0).cast("bigint"), lambda n, page: n + F.size(page))
+    return counted.select("doc_id", F.size("pages").cast("bigint").alias("pages"), total.alias("sentences"), tokens.alias("tokens")).select(
         "doc_id",
-        "page_sentence_count",
-        F.posexplode_outer(chunk_texts()).alias("chunk_idx", "sentence_chunk"),
-    )
-    first_of_page = F.coalesce(F.col("chunk_idx"), F.lit(0)) == 0
-    return (
-        exploded.withColumn("chunk_token_count", tx.token_estimate(F.col("sentence_chunk")))
-        .groupBy("doc_id")
-        .agg(
-            F.count_if(first_of_page).alias("pages"),
-            F.sum(F.when(first_of_page, F.col("page_sentence_count")).otherwise(0)).alias("sentences"),
-            F.count("chunk_idx").alias("chunks"),
-            F.count_if(long_enough(min_tokens)).alias("kept_chunks"),
-        )
+        "pages",
+        "sentences",
+        F.size("tokens").cast("bigint").alias("chunks"),
+        F.size(F.filter("tokens", lambda n: n > min_tokens)).cast("bigint").alias("kept_chunks"),
     )

@@ -6,29 +6,44 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.functions import text as tx
 
 FORM_FEED = "\f"
+REASON_CHARS = 200
 REGEX_SPECIAL = r".$|()[]{}^?*+\\"
 
 PageReader = Callable[[], str]
 Extractor = Callable[[bytes], Iterable[PageReader]]
 
 
+def page_texts(text: Column, page_sep: str = FORM_FEED) -> Column:
+    # a lone ordinary character splits without the regex engine
+    plain = not set(page_sep) & set(REGEX_SPECIAL)
+    return F.split(text, page_sep if plain else re.escape(page_sep), -1)
+
+
 def split_pages(docs: DataFrame, text_col: str = "text", page_sep: str = FORM_FEED) -> DataFrame:
     """One row per page, numbered from 1, text normalised. Other columns stay."""
     kept = [c for c in docs.columns if c != text_col]
-    # a lone ordinary character splits without the regex engine
-    plain = not set(page_sep) & set(REGEX_SPECIAL)
-    parts = F.split(F.col(text_col), page_sep if plain else re.escape(page_sep), -1)
+    parts = page_texts(F.col(text_col), page_sep)
     return docs.select(*kept, F.posexplode(parts).alias("pos", "page")).select(
         *kept, (F.col("pos") + 1).alias("page_number"), tx.normalize(F.col("page")).alias("text")
     )
 
 
+def checked_pages(docs: DataFrame, unreadable: str, reason: str, text_col: str = "text", page_sep: str = FORM_FEED) -> DataFrame:
+    """Like ``split_pages``; a page with a match of ``unreadable`` has no text but an ``error``.
+
+    For text that is there already; ``extract_pages`` runs a byte codec.
+    """
+    bad = F.col("text").rlike(unreadable)
+    pages = split_pages(docs, text_col, page_sep).withColumn("error", F.when(bad, F.lit(reason)))
+    return pages.withColumn("text", F.when(F.col("error").isNull(), F.col("text")))
+
+
 def with_page_stats(pages: DataFrame) -> DataFrame:
     text = F.col("text")
     return pages.withColumns(
@@ -47,6 +62,10 @@ def ascii_pages(content: bytes) -> Iterator[PageReader]:
         yield lambda page=page: page.decode("ascii")
 
 
+def reason_of(failure: Exception) -> str:
+    return f"{type(failure).__name__}: {failure}"[:REASON_CHARS]
+
+
 def extract_pages(
     docs: DataFrame,
     extractor: Extractor,
@@ -74,11 +93,11 @@ def extract_pages(
                 try:
                     yield number, reader(), None
                 except Exception as failure:
-                    yield number, None, type(failure).__name__
+                    yield number, None, reason_of(failure)
         except Exception as failure:
             if on_document_error == "raise":
                 raise
-            yield None, None, type(failure).__name__
+            yield None, None, reason_of(failure)
 
     def as_batch(source: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
         origin, numbers, texts, errors = zip(*rows)

@@ -6,8 +6,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+# Memory and speed only, no effect on results.
 RESCORE_PAIRS = 1 << 12
 CROWDED = 1 << 14
+WAITING_ROWS = 1 << 14
 
 
 def dense_rows(vectors: pa.Array, dim: int) -> np.ndarray:
@@ -66,7 +68,9 @@ class BestRows:
 
     Many rows can reach the bar together, as copies of one text do. They are
     then scored once per distinct vector, and of equal scores only the lowest
-    keys are kept before anything is sorted.
+    keys are kept before anything is sorted. What was found waits until there
+    is as much of it as of the best rows, so sorting costs no more per row for
+    a large batch of queries than for a small one.
     """
 
     def __init__(self, vectors: np.ndarray, limits: np.ndarray, keys: list[str], digits: int | None):
@@ -78,12 +82,15 @@ class BestRows:
         self.noise = vectors.shape[1] * 2.0**-23 * np.linalg.norm(vectors.astype(np.float64), axis=1)
         self.floor = np.full(len(limits), -np.inf)
         self.table: pa.Table | None = None
+        self.waiting: list[pa.Table] = []
 
     def add(self, vectors: np.ndarray, rows: pa.Table, queries: np.ndarray) -> None:
         """Offer ``rows`` with their ``vectors`` to the queries of the given numbers."""
         if not len(vectors):
             return
         at, column = np.nonzero(self._candidates(vectors, queries))
+        if not len(at):
+            return
         number = queries[column]
         if len(at) <= CROWDED:
             values = self._rounded(exact_scores(vectors, at, self.vectors, number))
@@ -94,7 +101,15 @@ class BestRows:
         found = rows.take(pa.array(at))
         found = found.append_column("query", pa.array(number))
         found = found.append_column("score", pa.array(values))
-        self.table = self._best(found if self.table is None else pa.concat_tables([self.table, found]))
+        self.waiting.append(found)
+        if sum(map(len, self.waiting)) >= max(WAITING_ROWS, 0 if self.table is None else len(self.table)):
+            self.settle()
+
+    def settle(self) -> None:
+        """Bring ``table`` up to date."""
+        if self.waiting:
+            self.table = self._best(pa.concat_tables([*([] if self.table is None else [self.table]), *self.waiting]))
+            self.waiting = []
 
     def _candidates(self, vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
         rough = vectors @ self.vectors[queries].T

@@ -1,21 +1,25 @@
 """Exact dot-product search: score, top-k per query, payload lookup.
 
-A batch of queries is a matrix that every task holds; the corpus is scanned
-once and never shuffled. Each task multiplies its rows with the matrix and
-keeps only the best k rows per query, so what is shuffled is k rows per query
-and task, not one row per query and chunk. No pair of query and chunk ever
-becomes a row.
+A block of queries is a matrix that every task holds; the corpus is scanned
+once for each block and never shuffled. Each task multiplies its rows with the
+matrix and keeps only the best k rows per query, so what is shuffled is k rows
+per query and task, not one row per query and chunk. No pair of query and
+chunk ever becomes a row.
+
+A search runs when it is called: the batch of queries is stored, scored block
+by block, and the hits are stored. Blocks have a bounded size and one of them
+is in memory at a time, whatever the size of the batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -26,16 +30,19 @@ from passagework.session import scratch_path
 # Fixed value: results per query when a request does not say.
 DEFAULT_RESULTS = 5
 
+# Memory only, no effect on results: bytes of a block of queries with room for
+# their results, and scores of a tile.
 MAX_QUERY_BYTES = 64 << 20
-MAX_BROADCAST_WINNERS = 100_000
-MAX_PRUNE_NAMES = 1_000
-MAX_PRUNE_FILES = 10_000
+RESULT_BYTES = 128
 TILE_SCORES = 1 << 21
 
+# the rows of a query meet in so many tasks first, and then in one
+FINAL_SHARES = 64
+
 
 @dataclass
 class QueryBlock:
-    """Queries of one pass; the size is bounded by ``MAX_QUERY_BYTES``.
+    """Queries of one pass, about ``MAX_QUERY_BYTES`` with their results.
 
     Queries that are the same for the corpus share a slot and are scored once.
     """
@@ -66,16 +73,16 @@ class QueryBlock:
         )
 
 
-def _partial_top_k(
+def partial_top_k(
     corpus: DataFrame,
     block: QueryBlock,
+    shared: Broadcast,
     keys: list[str],
     vector_col: str,
-    digits: int | None,
-    scored: Observation | None,
+    digits: int | None = None,
+    scored: Observation | None = None,
 ) -> DataFrame:
-    # plain arrays, as broadcast values are unpickled without this package's code
-    shared = corpus.sparkSession.sparkContext.broadcast(vars(block))
+    """The best rows of every task for every query. ``shared`` holds the arrays of the block."""
     fields = {f.name: f.dataType.simpleString() for f in corpus.schema.fields}
     schema = ", ".join(["qid bigint, n_results int", *(f"`{k}` {fields[k]}" for k in keys), "score double"])
 
@@ -102,6 +109,7 @@ def _partial_top_k(
                     if name is not None and name in wanted:
                         mine = np.flatnonzero(np.asarray(pc.fill_null(pc.equal(tile["document_name"], name), False)))
                         best.add(vectors[mine], rows.take(pa.array(mine)), np.array(wanted[name]))
+        best.settle()
         if best.table is None:
             return
         # hand every query the rows of its slot
@@ -117,9 +125,8 @@ def _partial_top_k(
     scan = corpus
     if block.slot_names is not None:
         keys_read = list(dict.fromkeys([*keys, "document_name"]))
-        asked = sorted(set(block.slot_names) - {None})
-        if len(asked) <= MAX_PRUNE_NAMES:
-            scan = scan.where(F.col("document_name").isin(asked))
+        asked = sorted(set(block.slot_names) - {None})  # a block bounds them
+        scan = scan.where(F.col("document_name").isin(asked))
     else:
         keys_read = keys
     scan = scan.select(*keys_read, vector_col)
@@ -128,27 +135,19 @@ def _partial_top_k(
     return scan.mapInArrow(run, schema)
 
 
-def _query_blocks(queries: DataFrame, dim: int, max_bytes: int) -> Iterator[QueryBlock]:
-    """Blocks of at most ``max_bytes`` of vectors; one block in the usual case.
-
-    A larger batch is encoded once into a shared table of hash buckets, and
-    every bucket becomes a block, checked against the same bound.
-    """
-    rows = max(1, max_bytes // (4 * dim))
-    head = queries.limit(rows + 1).toArrow()
-    if len(head) <= rows:
-        yield QueryBlock.of(head, dim)
-        return
+def query_blocks(queries: DataFrame, dim: int, max_bytes: int) -> Iterator[QueryBlock]:
+    """The queries in blocks of about ``max_bytes``, by a hash of ``qid``, read one after the other."""
     spark = queries.sparkSession
     path = scratch_path(spark, "queries")
     queries.write.parquet(path)
     stored = spark.read.schema(queries.schema).parquet(path)
-    buckets = -(-2 * stored.count() // rows)
-    bucket = F.pmod(F.xxhash64("qid"), F.lit(buckets))
-    for number in range(buckets):
-        part = stored.where(bucket == number).limit(rows + 1).toArrow()
-        if len(part) > rows:
-            raise ValueError("qid is not unique: one bucket of queries exceeds the broadcast bound")
+    rows, known, results = stored.agg(F.count("*"), F.count_distinct("qid"), F.sum("n_results")).first()
+    if rows != known:
+        raise ValueError("qid must be given and unique")
+    size = rows * 4 * dim + (results or 0) * RESULT_BYTES
+    blocks = -(-size // max_bytes)
+    for number in range(blocks):
+        part = stored.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == number).toArrow()
         if len(part):
             yield QueryBlock.of(part, dim)
 
@@ -169,62 +168,65 @@ def search(
     digits: int | None = None,
     scored: Observation | None = None,
     max_query_bytes: int = MAX_QUERY_BYTES,
-) -> tuple[DataFrame, int]:
+) -> DataFrame:
     """The best chunks of every query: ``qid, rank, <keys>, score``.
 
-    ``queries`` has ``qid`` (unique), ``query_vector``, and optionally
-    ``n_results`` and ``document_name``; with the latter a query sees its own
-    corpus only. Ties go to the lowest keys. ``digits`` rounds scores before
-    ranking. ``scored`` observes how many rows were scored. A batch of queries
-    beyond ``max_query_bytes`` takes one pass over the corpus per block.
-
-    Also returns an upper bound of the number of rows.
+    ``queries`` has ``qid``, ``query_vector``, and optionally ``n_results`` and
+    ``document_name``; with the latter a query sees its own corpus only. A
+    ``qid`` that is missing or repeated is an error. Ties go to the lowest
+    keys. ``digits`` rounds scores before ranking. ``scored`` observes how many
+    rows the first block was scored against.
     """
+    spark = corpus.sparkSession
     name = ["document_name"] if "document_name" in queries.columns else []
     wanted = with_request_defaults(queries, n_results).select(
         F.col("qid").cast("bigint"),
         F.col("query_vector").cast("array<float>"),
         "n_results",
         *name,
-    ).where(F.col("n_results") > 0)
-    passes, bound, deepest = [], 0, 1
-    for block in _query_blocks(wanted, dim, max_query_bytes):
-        observed = None if passes else scored
-        passes.append(_partial_top_k(corpus, block, keys, vector_col, digits, observed))
-        bound += int(block.limits.sum())
-        deepest = max(deepest, int(block.limits.max(initial=1)))
-    partial = reduce(DataFrame.unionByName, passes)
-    return best_per_query(partial, keys, deepest), bound
+    )
+    path = scratch_path(spark, "hits")
+    fields = {f.name: f.dataType.simpleString() for f in corpus.schema.fields}
+    schema = ", ".join(["qid bigint, rank int", *(f"`{k}` {fields[k]}" for k in keys), "score double"])
+    spark.createDataFrame([], schema).write.parquet(path)
+    for block in query_blocks(wanted.where(F.col("n_results") > 0), dim, max_query_bytes):
+        # plain arrays, as broadcast values are unpickled without this package's code
+        shared = spark.sparkContext.broadcast(vars(block))
+        partial = partial_top_k(corpus, block, shared, keys, vector_col, digits, scored)
+        best_per_query(partial, keys, int(block.limits.max())).write.mode("append").parquet(path)
+        shared.destroy()
+        scored = None
+    return spark.read.schema(schema).parquet(path)
 
 
 def best_per_query(candidates: DataFrame, keys: list[str], deepest: int) -> DataFrame:
-    """Final ranking. ``deepest`` is the largest ``n_results`` of the batch."""
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), *keys)
-    ranked = candidates.withColumn("rank", F.row_number().over(order))
-    # the constant limit lets Spark drop rows before the shuffle already
-    chosen = ranked.where((F.col("rank") <= deepest) & (F.col("rank") <= F.col("n_results")))
-    return chosen.select("qid", "rank", *keys, "score")
+    """Final ranking, in two steps, as every task has sent rows for every query.
+
+    ``deepest`` is the largest ``n_results`` of the batch.
+    """
+
+    def best(rows: DataFrame, *by: str) -> DataFrame:
+        order = Window.partitionBy("qid", *by).orderBy(F.desc("score"), *keys)
+        ranked = rows.withColumn("rank", F.row_number().over(order))
+        # the constant limit lets Spark drop rows before the shuffle already
+        return ranked.where((F.col("rank") <= deepest) & (F.col("rank") <= F.col("n_results")))
+
+    shared_out = candidates.withColumn("share", F.pmod(F.spark_partition_id(), F.lit(FINAL_SHARES)))
+    return best(best(shared_out, "share").drop("rank")).select("qid", "rank", *keys, "score")
 
 
-def attach_payload(hits: DataFrame, bound: int, corpus: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
-    """Look the hits up in the corpus again, for the columns search left behind.
+def attach_payload(hits: DataFrame, corpus: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
+    """Look stored hits up in the corpus again, for the columns search left behind.
 
-    ``on`` must identify a corpus row. At most ``bound`` hits exist. If that is
-    few, the search runs now and its hits are broadcast; rows of a stored table
-    are then read from the files that hold a hit, not from the whole corpus.
-    Otherwise Spark chooses the join.
+    ``on`` must identify a corpus row. Rows of a stored table are read from the
+    files that hold a hit, not from the whole corpus. Spark chooses the join.
     """
     source = corpus.select(*on, *columns)
-    if bound > MAX_BROADCAST_WINNERS:
-        return source.join(hits, on)
-    found = hits.toArrow()
     if "file_path" in on:
         # a constant metadata column: the filter removes files before they are opened
-        paths = pc.unique(found["file_path"]).to_pylist()
-        if len(paths) <= MAX_PRUNE_FILES:
-            source = source.where(F.col("file_path").isin(paths))
-    winners = hits.sparkSession.createDataFrame(found, hits.schema)
-    return source.join(F.broadcast(winners), on)
+        paths = hits.select("file_path").distinct().toArrow()["file_path"].to_pylist()
+        source = source.where(F.col("file_path").isin(paths))
+    return source.join(hits, on)
 
 
 def score_against(vector_col: str, query_vector: list[float]) -> Column:

@@ -123,7 +123,11 @@ def oracle_sql() -> dict[str, str]:
             length(text) / 4 AS page_token_count FROM pages""",
         "page_quarantine": f"""{lines} SELECT doc_id, page_number,
             CASE WHEN regexp_matches(raw, '[^\\x00-\\x7F]') THEN NULL ELSE trim(raw) END AS text,
-            CASE WHEN regexp_matches(raw, '[^\\x00-\\x7F]') THEN 'UnicodeDecodeError' END AS error FROM p""",
+            CASE WHEN regexp_matches(raw, '[^\\x00-\\x7F]') THEN 'outside ASCII' END AS error FROM p""",
+        "document_quarantine": f"""{lines},
+            refused AS (SELECT doc_id FROM documents WHERE regexp_matches(text, '[^\\x00-\\x7F]'))
+            SELECT doc_id, page_number, text, CAST(NULL AS VARCHAR) AS error FROM pages ANTI JOIN refused USING (doc_id)
+            UNION ALL SELECT doc_id, CAST(0 AS INTEGER), NULL, 'UnicodeDecodeError' FROM refused""",
         "sentences": f"""{with_sentences} SELECT doc_id, page_number, unnest(sentences) AS sentence,
             CAST(generate_subscripts(sentences, 1) - 1 AS INTEGER) AS pos FROM s""",
         "sentence_count": f"""{with_sentences}
@@ -184,8 +188,21 @@ def oracle_sql() -> dict[str, str]:
         "sink_create_if_absent": f"{whole} {by_lang} WHERE lang = 'en' "
         f"UNION ALL SELECT * FROM ({small_by_lang} WHERE lang <> 'en')",
         "sink_append": f"{whole} {by_lang} UNION ALL {by_lang} WHERE lang = 'en'",
-        "csv_roundtrip": f"""{whole}, {CHUNK_WEIGHTS},
-            peaks AS (SELECT {KEYS}, count(*) AS nonzero, round(max(x), 5) AS largest FROM cw GROUP BY ALL)
-            SELECT {CHUNK_COLUMNS}, nonzero, largest FROM kept JOIN peaks USING ({KEYS})""",
+        "csv_roundtrip": f"""{whole}, {CHUNK_WEIGHTS}
+            SELECT document_name, {CHUNK_COLUMNS}, CAST(768 AS INTEGER) AS dim, CAST(b AS INTEGER) AS bucket,
+                round(x, 5) AS weight FROM kept JOIN cw USING ({KEYS})""",
+        "ingest_files": f"""{whole} SELECT 'uploads' AS document_name, doc_id || '.txt' AS filename, page_number,
+            chunk_idx, sentence_chunk FROM kept""",
+        "ingest_quarantine": f"""{whole}, n AS (SELECT doc_id, n_chars FROM documents)
+            SELECT doc_id, document_name, CAST(NULL AS VARCHAR) AS reason FROM kept JOIN n USING (doc_id)
+            WHERE lang <> 'fr' AND n_chars >= 200
+            UNION ALL SELECT doc_id, CASE WHEN lang <> 'fr' THEN source END,
+                CASE WHEN lang = 'fr' THEN 'document name is missing' ELSE 'text is missing' END
+            FROM documents WHERE lang = 'fr' OR n_chars < 200""",
+        "embed_failure_counts": f"""{whole}, f AS (
+            SELECT count(*) AS kept, count(*) FILTER (regexp_matches(sentence_chunk, '[^\\x00-\\x7F]')) AS failed FROM kept)
+            SELECT (SELECT count(*) FROM pages) AS pages, (SELECT count(*) FROM chunks) AS chunks, kept,
+                failed AS failed_embeddings, kept - failed AS saved, failed > 0 AS has_reason FROM f""",
+        "scored_rows": f"{whole} SELECT count(*) AS rows_scored FROM kept",
         "stream_ingest": f"{chunks} SELECT * FROM chunks WHERE chunk_token_count > 30",
     }

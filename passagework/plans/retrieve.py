@@ -1,4 +1,4 @@
-"""Questions to ranked chunks and prompts, in one plan."""
+"""Questions to ranked chunks and prompts. The search itself runs when it is called."""
 
 from __future__ import annotations
 
@@ -37,13 +37,11 @@ def retrieve(
     position = [c for c in cp.POSITION if c in corpus.columns]
     shown = [*cp.KEYS, *name]
     vectors = with_query_vectors(requests, factory)
-    hits, bound = se.search(
-        corpus, vectors, [*shown, *position], dim=dim, n_results=n_results, digits=digits, scored=scored
-    )
+    hits = se.search(corpus, vectors, [*shown, *position], dim=dim, n_results=n_results, digits=digits, scored=scored)
     columns = PAYLOAD if payload is None else payload
     if columns:
         row = [*name, *position] if position else shown
-        hits = se.attach_payload(hits, bound, corpus, row, columns)
+        hits = se.attach_payload(hits, corpus, row, columns)
     return hits.select("qid", "rank", *shown, *columns, "score")
 
 

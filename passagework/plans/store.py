@@ -15,7 +15,7 @@ from passagework.sources import corpus
 
 
 class DocumentStore:
-    """Corpora under ``root``; documents come as ``doc_id, document_name, text``."""
+    """Corpora under ``root``; documents come as ``doc_id, document_name, text``, or as files with an extractor."""
 
     def __init__(self, spark: SparkSession, root: str, factory: EncoderFactory = HashingEncoder, dim: int = DEFAULT_DIM):
         self.spark = spark
@@ -24,7 +24,7 @@ class DocumentStore:
         self.dim = dim
 
     def create(self, docs: DataFrame, **options) -> ing.IngestReport:
-        """Store corpora that do not exist yet; existing ones are left as they are."""
+        """Store corpora that do not exist yet; existing ones are left as they are. Options are those of ``ingest``."""
         return ing.ingest(docs, self.root, only_new_names=True, factory=self.factory, **options)
 
     def extend(self, docs: DataFrame, **options) -> ing.IngestReport:
@@ -47,9 +47,15 @@ class DocumentStore:
         return rows.select("query", "results")
 
     def ask_many(self, requests: DataFrame, template: str = DEFAULT_TEMPLATE) -> DataFrame:
-        """``qid, query, results`` for ``qid, text, document_name[, n_results]`` rows, in one scan."""
-        unnamed = requests.where(F.coalesce(F.col("document_name"), F.lit("")) == "")
-        if not unnamed.isEmpty():
-            raise ValueError("a document name is required")
+        """``qid, query, results`` for ``qid, text, document_name[, n_results]`` rows, in one search.
+
+        A missing name, or one without a corpus, is an error.
+        """
+        names = requests.select(F.coalesce("document_name", F.lit("")).alias("document_name"))
+        unknown = corpus.only_absent(names, self.root).sort("document_name").first()
+        if unknown is not None:
+            if not unknown.document_name:
+                raise ValueError("a document name is required")
+            raise corpus.CorpusNotFound(f"no corpus named {unknown.document_name!r} at {self.root}")
         table = corpus.read(self.spark, self.root)
         return ret.answer(table, requests, template, factory=self.factory, dim=self.dim)

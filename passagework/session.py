@@ -1,19 +1,13 @@
-"""Session helpers: defaults, shared scratch space, initial parallelism."""
+"""Session helpers: defaults for tests and benches, shared scratch space."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-TASK_BYTES_CONF = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-
-TASKS_PER_CORE = 4
-MIN_TASK_BYTES = 1 << 20
 
 
 def local_session(app_name: str = "passagework", cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -27,6 +21,9 @@ def local_session(app_name: str = "passagework", cores: str = "*", shuffle_parti
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "12g")
+        # an encoder has much work per byte: more tasks than bytes alone would give
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+        .config(CHECKPOINT_CONF, tempfile.mkdtemp(prefix=f"{app_name}-"))
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -35,70 +32,27 @@ def local_session(app_name: str = "passagework", cores: str = "*", shuffle_parti
     return spark
 
 
-_own_root: list[str] = []
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path for an intermediate table, in the folder all executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only a local
-    master, where driver and executors are one machine, may go without it.
-    What is written there goes away when the application ends.
+    The session names that folder in ``spark.checkpoint.dir``. Only on a local
+    master, where driver and executors are one machine, is one made where none
+    is named. What is written there goes away when the application ends.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
-        if not _own_root:
-            _own_root.append(tempfile.mkdtemp(prefix="passagework-"))
-        root = _own_root[0]
+        root = tempfile.mkdtemp(prefix="passagework-")
+        spark.conf.set(CHECKPOINT_CONF, root)
+        _removed_at_exit(spark, root)
     folder = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _removed_at_exit(spark, folder)
+    return f"{folder}/data"
+
+
+def _removed_at_exit(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
     files.mkdirs(path)
     files.deleteOnExit(path)
-    return f"{folder}/data"
-
-
-def is_small(scan: DataFrame) -> bool:
-    """Whether a table scan has fewer splits than there are cores.
-
-    Spark cuts files so that every core gets a split, down to a few megabytes,
-    so such a scan is at most that much per core.
-    """
-    return scan.rdd.getNumPartitions() < scan.sparkSession.sparkContext.defaultParallelism
-
-
-def fan_out(df: DataFrame) -> DataFrame:
-    """Spread a small scan over all cores before row-heavy work.
-
-    A large table is never shuffled here. Rows are dealt out evenly, whatever
-    their keys; Spark sorts them first, so a task that is run again gets the
-    same rows.
-    """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df) else df
-
-
-def scan_tasks(scan: DataFrame) -> int:
-    """How many tasks work on this scan: its splits, or all cores if it has fewer."""
-    return max(scan.rdd.getNumPartitions(), scan.sparkSession.sparkContext.defaultParallelism)
-
-
-@contextmanager
-def tasks_sized_for(source: DataFrame) -> Iterator[None]:
-    """Let a rebalance make tasks small enough that every core gets several.
-
-    A rebalance sizes tasks by bytes alone, 64 MB unless configured otherwise.
-    That suits a large input, but leaves most cores idle on a medium one when
-    the work per byte is heavy. The setting is put back afterwards.
-    """
-    spark = source.sparkSession
-    configured = spark.conf.get(TASK_BYTES_CONF)
-    ceiling = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(configured)
-    size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    wanted = max(MIN_TASK_BYTES, size // (TASKS_PER_CORE * spark.sparkContext.defaultParallelism))
-    spark.conf.set(TASK_BYTES_CONF, str(min(wanted, ceiling)))
-    try:
-        yield
-    finally:
-        spark.conf.set(TASK_BYTES_CONF, configured)

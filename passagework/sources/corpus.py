@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,50 +15,96 @@ POSITION = ["file_path", "row_index"]
 CORPUS_SCHEMA = (
     "doc_id bigint, page_number int, chunk_idx int, sentence_chunk string, "
     "chunk_char_count bigint, chunk_word_count bigint, chunk_token_count double, "
-    "embedding array<float>, document_name string"
+    "embedding array<float>, filename string, document_name string"
 )
 CORPUS_COLUMNS = [c.split()[0] for c in CORPUS_SCHEMA.split(", ")]
 
 
+QUARANTINE_SCHEMA = "doc_id bigint, document_name string, filename string, page_number int, reason string"
+
+# Characters that a partition folder writes as % and two hexadecimal digits.
+ESCAPED = {*map(chr, range(1, 32)), *"\"#%'*/:=?\\\x7f{[]^"}
+UNNAMED_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+
+
 class CorpusNotFound(LookupError):
     pass
 
 
-def _path_exists(spark: SparkSession, name: str) -> bool:
+def files_of(spark: SparkSession, name: str):
+    """A path and the file system it is in."""
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _path_exists(spark: SparkSession, name: str) -> bool:
+    path, files = files_of(spark, name)
+    return files.exists(path)
+
 
+def folder_of(document_name: str) -> str:
+    return "document_name=" + "".join(f"%{ord(c):02X}" if c in ESCAPED else c for c in document_name)
 
-def gather_by_name(chunks: DataFrame, tasks: int) -> DataFrame:
+
+def names(spark: SparkSession, root: str) -> list[str]:
+    """The names that have a corpus: a listing of folders, no file is opened."""
+    path, files = files_of(spark, root)
+    if not files.exists(path):
+        return []
+    folders = [status.getPath().getName() for status in files.listStatus(path)]
+    escaped = [f.partition("=")[2] for f in folders if f.startswith("document_name=")]
+    return [unquote(name) for name in escaped if name != UNNAMED_FOLDER]
+
+
+def gather_by_name(chunks: DataFrame) -> DataFrame:
     """Bring the rows of one corpus together, so each task writes few files.
 
     Done on chunk text, before the encoder: no vectors are shuffled, and the
     encoder's work is even. A rebalance, not a plain repartition: at run time a
     name that holds a large share of all rows is split over many tasks, and
-    small names share one. ``tasks`` is about how many tasks the input fills.
+    small names share one. A task gets about as many bytes as
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` says; set it lower for
+    a slow encoder.
     """
-    return chunks.hint("rebalance", tasks, F.col("document_name"))
+    return chunks.hint("rebalance", F.col("document_name"))
 
 
-def _write(chunks: DataFrame, root: str) -> None:
-    if _path_exists(chunks.sparkSession, f"{root}/_spark_metadata"):
-        # readers of such a folder trust the stream's own file list
-        raise ValueError(f"{root} is written by a stream; rows appended beside it would not be seen")
+def write(chunks: DataFrame, path: str, mode: str = "append") -> None:
+    if "filename" not in chunks.columns:
+        chunks = chunks.withColumn("filename", F.lit(None).cast("string"))
     # rows of one document lie together, which keeps the key statistics of a file narrow
     ordered = chunks.select(*CORPUS_COLUMNS).sortWithinPartitions("document_name", *KEYS)
-    ordered.write.mode("append").partitionBy("document_name").parquet(root)
+    ordered.write.mode(mode).partitionBy("document_name").parquet(path)
 
 
 def append(chunks: DataFrame, root: str) -> None:
     """Append, or create. Appending the same rows twice stores them twice."""
-    _write(chunks, root)
+    write(chunks, root)
+
+
+def set_aside(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """Keep what could not be stored, with the reason."""
+    columns = [c.split() for c in QUARANTINE_SCHEMA.split(", ")]
+    cells = [(F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in columns]
+    rows.select(*cells).write.mode(mode).parquet(path)
 
 
-def stored(spark: SparkSession, root: str) -> DataFrame | None:
-    """The table of all corpora with row positions, or None if nothing was written yet."""
-    if not _path_exists(spark, root):
+def quarantine(spark: SparkSession, root: str) -> DataFrame:
+    """What ingests into ``root`` set aside so far."""
+    path = f"{root}/_quarantine"
+    if not _path_exists(spark, path):
+        return spark.createDataFrame([], QUARANTINE_SCHEMA)
+    return spark.read.schema(QUARANTINE_SCHEMA).parquet(path)
+
+
+def stored(spark: SparkSession, root: str, folder: str | None = None) -> DataFrame | None:
+    """The table of all corpora, or of one folder, with row positions; None if nothing was written yet."""
+    path = root if folder is None else f"{root}/{folder}"
+    if not _path_exists(spark, path):
         return None
-    return spark.read.schema(CORPUS_SCHEMA).parquet(root).select(
+    # a folder's name stands for its characters; a path pattern would read some of them otherwise
+    reader = spark.read.schema(CORPUS_SCHEMA).option("basePath", root)
+    return reader.parquet(path).select(
         "*",
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.row_index").alias("row_index"),
@@ -67,22 +115,20 @@ def only_absent(rows: DataFrame, root: str) -> DataFrame:
     """Rows whose ``document_name`` has no corpus yet.
 
     Apply it to documents, before any chunk or vector is made for them. The
-    existing names come from partition values alone.
+    existing names come from the folder listing alone.
     """
-    table = stored(rows.sparkSession, root)
-    if table is None:
-        return rows
-    return rows.join(table.select("document_name").distinct(), "document_name", "left_anti")
+    spark = rows.sparkSession
+    existing = spark.createDataFrame([(name,) for name in names(spark, root)], "document_name string")
+    return rows.join(existing, "document_name", "left_anti")
 
 
 def create_if_absent(chunks: DataFrame, root: str) -> None:
     """Write only the corpora that do not exist yet; leave the others as they are."""
-    _write(only_absent(chunks, root), root)
+    write(only_absent(chunks, root), root)
 
 
 def exists(spark: SparkSession, root: str, document_name: str) -> bool:
-    table = stored(spark, root)
-    return table is not None and not table.where(F.col("document_name") == document_name).isEmpty()
+    return _path_exists(spark, f"{root}/{folder_of(document_name)}")
 
 
 def read(spark: SparkSession, root: str, document_name: str | None = None) -> DataFrame:
@@ -94,12 +140,13 @@ def read(spark: SparkSession, root: str, document_name: str | None = None) -> Da
 
 
 def open_corpus(spark: SparkSession, root: str, document_name: str) -> DataFrame:
-    """Like ``read``, but a missing or empty name is an error."""
+    """One corpus; a missing or empty name is an error. Lists the folder of that name only, and runs no job."""
     if not document_name:
         raise ValueError("a document name is required")
     if not exists(spark, root, document_name):
         raise CorpusNotFound(f"no corpus named {document_name!r} at {root}")
-    return read(spark, root, document_name)
+    table = stored(spark, root, folder_of(document_name))
+    return table.where(F.col("document_name") == document_name)
 
 
 def preview(table: DataFrame, rows: int = 5) -> DataFrame:

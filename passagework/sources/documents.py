@@ -8,14 +8,36 @@ from pyspark.sql import functions as F
 DOCUMENT_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
+# at most so many bytes for each core are dealt out anew, so that every core has work
+SPREAD_BYTES = 8 << 20
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal a small table in few files out over all cores, before row-heavy work.
+
+    For a plain scan of files, judged by the number and the sizes of the files
+    alone; no job runs. A larger table, or one in as many files as there are
+    cores, is left as it is. Rows are dealt out evenly, whatever their keys.
+    """
+    spark = scan.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    names = scan.inputFiles()
+    if len(names) >= cores:
+        return scan
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(name) for name in names]
+    conf = spark._jsc.hadoopConfiguration()
+    size = sum(path.getFileSystem(conf).getFileStatus(path).getLen() for path in paths)
+    return scan.repartition(cores) if size <= cores * SPREAD_BYTES else scan
+
+
 def text_table(spark: SparkSession, path: str, name_col: str = "source") -> DataFrame:
     """``doc_id, document_name, text`` of a parquet table of extracted text."""
     table = spark.read.schema(DOCUMENT_SCHEMA).parquet(path)
-    return table.select("doc_id", F.col(name_col).alias("document_name"), "text")
+    return spread(table.select("doc_id", F.col(name_col).alias("document_name"), "text"))
 
 
 def files(spark: SparkSession, path: str, document_name: str, glob: str | None = None) -> DataFrame:
-    """One row per file: ``doc_id, document_name, filename, content``.
+    """One row per file: ``doc_id, document_name, filename, path, content``.
 
     ``doc_id`` is a hash of the path, so a file keeps its id between runs.
     """
@@ -26,6 +48,7 @@ def files(spark: SparkSession, path: str, document_name: str, glob: str | None =
         F.xxhash64("path").alias("doc_id"),
         F.lit(document_name).alias("document_name"),
         F.element_at(F.split("path", "/"), -1).alias("filename"),
+        "path",
         "content",
     )
 
@@ -34,7 +57,14 @@ def decode_text(docs: DataFrame, charset: str = "UTF-8") -> DataFrame:
     return docs.withColumn("text", F.decode("content", charset)).drop("content")
 
 
-def quarantine_missing(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split into rows with text and rows without, the latter with a reason."""
-    bad = docs.where(F.col("text").isNull()).drop("text")
-    return docs.where(F.col("text").isNotNull()), bad.withColumn("reason", F.lit("text is missing"))
+def quarantine_missing(docs: DataFrame, body: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Split into documents that can be stored, and those without name or body, with a reason.
+
+    A corpus is found by its name, so a document without one could be stored
+    but never asked for.
+    """
+    reason = F.when(F.col(body).isNull(), F.lit(f"{body} is missing"))
+    if "document_name" in docs.columns:
+        unnamed = F.coalesce(F.col("document_name"), F.lit("")) == ""
+        reason = F.when(unnamed, F.lit("document name is missing")).otherwise(reason)
+    return docs.where(reason.isNull()), docs.where(reason.isNotNull()).withColumn("reason", reason).drop(body)

@@ -5,13 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from passagework.functions.encoders import EncoderFactory, HashingEncoder, encode
-from passagework.operators import chunks as ch
-from passagework.operators import pages as pg
-from passagework.sources.corpus import CORPUS_COLUMNS
+from passagework.plans.ingest import IngestOptions, store_documents
+from passagework.sources.corpus import files_of
 from passagework.sources.documents import DOCUMENT_SCHEMA
 
 
@@ -53,23 +50,60 @@ def ingest_stream(
     return writer.start()
 
 
-def corpus_stream(
-    documents: DataFrame,
-    root: str,
-    checkpoint: str,
-    page_sep: str = pg.FORM_FEED,
-    size: int = ch.SENTENCES_PER_CHUNK,
-    min_tokens: float = ch.MIN_TOKENS,
-    factory: EncoderFactory = HashingEncoder,
-) -> StreamingQuery:
-    """Embed arriving ``doc_id, document_name, text`` documents into a corpus table.
+def publish(spark: SparkSession, staged: str, target: str) -> None:
+    """Move the files below ``staged`` to the same places below ``target``.
+
+    Every move is atomic, and what is moved is gone here, so a publish that
+    was cut short is simply run again.
+    """
+    source, files = files_of(spark, staged)
+    if not files.exists(source):
+        return
+    base = source.toUri().getPath().rstrip("/")
+    listed = files.listFiles(source, True)
+    while listed.hasNext():
+        path = listed.next().getPath()
+        if path.getName().startswith(("_", ".")):
+            continue
+        place = path.toUri().getPath()
+        relative = place[len(base) + 1 :]
+        goal, _ = files_of(spark, f"{target}/{relative}")
+        files.mkdirs(goal.getParent())
+        if not files.rename(path, goal):
+            raise OSError(f"cannot move {path} to {goal}")
+
+
+def store_batch(batch: DataFrame, number: int, root: str, checkpoint: str, options: IngestOptions) -> None:
+    """Add one micro-batch to a corpus, once, however often it is tried.
+
+    The rows are written beside the checkpoint first. When they are complete
+    they are moved into the corpus file by file, and then the batch is marked.
+    A batch that is tried again goes on where it was.
+    """
+    spark = batch.sparkSession
+    folder = f"{checkpoint}/corpus-batches/{number}"
+    (written, files), (done, _) = files_of(spark, f"{folder}/written"), files_of(spark, f"{folder}/done")
+    if files.exists(done):
+        return
+    if not files.exists(written):
+        store_documents(batch, f"{folder}/rows", f"{folder}/aside", options, mode="overwrite")
+        files.mkdirs(written)
+    publish(spark, f"{folder}/aside", f"{root}/_quarantine")
+    publish(spark, f"{folder}/rows", root)
+    files.mkdirs(done)
+
+
+def corpus_stream(documents: DataFrame, root: str, checkpoint: str, **options) -> StreamingQuery:
+    """Embed arriving ``doc_id, document_name[, filename], text`` documents into a corpus table, then stop.
 
-    The folder belongs to the stream; ``corpus.append`` refuses it.
+    The corpus may be one that batches made, and batches may append to it
+    afterwards; every document is added once. Options are those of
+    ``IngestOptions``.
     """
+    chosen = IngestOptions(**options)
 
-    def transform(docs: DataFrame) -> DataFrame:
-        chunks = ch.create_chunks(pg.split_pages(docs, page_sep=page_sep), size)
-        kept = chunks.where(ch.long_enough(min_tokens))
-        return kept.withColumn("embedding", encode(F.col("sentence_chunk"), factory)).select(*CORPUS_COLUMNS)
+    def add(batch: DataFrame, number: int) -> None:
+        store_batch(batch, number, root, checkpoint, chosen)
 
-    return ingest_stream(documents, transform, root, checkpoint, partition_by="document_name")
+    writer = documents.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()

@@ -4,13 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from passagework.functions.encoders import AsciiHashingEncoder, HashingEncoder
-from passagework.operators import search as se
-from passagework.plans.ingest import document_chunks, embed_chunks, ingest
+from passagework.plans.ingest import EmbeddingsFailed, document_chunks, embed_chunks, ingest
 from passagework.plans.retrieve import answer, retrieve
 from passagework.plans.store import DocumentStore
-from passagework.session import is_small, scratch_path
+from passagework.session import scratch_path
 from passagework.sources import corpus as cp
 from passagework.sources import csv_corpus
+from passagework.sources import documents as src
 
 LONG = "The quick brown fox jumps over the lazy dog near the river bank. " * 3
 
@@ -72,7 +72,6 @@ def test_no_documents_and_nothing_new(spark, documents, root):
 def test_wide_input_takes_the_rebalanced_path(spark, documents, root):
     rows = [("hot" if i % 3 else f"n{i % 7}", LONG + f"Number {i}.") for i in range(300)]
     narrow, wide = documents(rows).coalesce(1), documents(rows).repartition(32, "doc_id")
-    assert is_small(narrow) and not is_small(wide)
     tables = []
     for part, docs in enumerate((narrow, wide)):
         ingest(docs, f"{root}/{part}")
@@ -114,12 +113,13 @@ def test_one_chunk_corpus_and_more_results_than_chunks(spark, documents, root):
 def test_ask_many_answers_from_the_named_corpus(spark, documents, root):
     store = DocumentStore(spark, root)
     store.extend(documents([("a", LONG), ("b", LONG.replace("fox", "cat"))]))
-    asked = [(1, "dog", "a"), (2, "dog", "b"), (3, "dog", "nowhere")]
-    requests = spark.createDataFrame(asked, "qid bigint, text string, document_name string")
+    schema = "qid bigint, text string, document_name string"
+    requests = spark.createDataFrame([(1, "dog", "a"), (2, "dog", "b")], schema)
     got = {r.qid: r.results for r in store.ask_many(requests, template="{context}").collect()}
     assert "fox" in got[1] and "cat" not in got[1]
     assert "cat" in got[2] and "fox" not in got[2]
-    assert got[3] == "- "
+    with pytest.raises(cp.CorpusNotFound, match="nowhere"):
+        store.ask_many(spark.createDataFrame([(1, "dog", "a"), (3, "dog", "nowhere")], schema))
 
 
 def test_failed_embeddings_stay_with_score_zero(spark, documents, root):
@@ -141,15 +141,6 @@ def test_same_answers_without_a_stored_table(spark, documents, root):
     assert got[0] == got[1] and len(got[0]) == 10
 
 
-def test_many_winners_use_an_ordinary_join(spark, documents, root, monkeypatch):
-    store = DocumentStore(spark, root)
-    store.extend(documents([("a", LONG + f"Word{i} appears here.") for i in range(12)]))
-    asked = spark.createDataFrame([(1, "word7"), (2, "word3")], "qid bigint, text string")
-    want = answer(store.corpus("a"), asked).orderBy("qid").collect()
-    monkeypatch.setattr(se, "MAX_BROADCAST_WINNERS", 1)
-    assert answer(store.corpus("a"), asked).orderBy("qid").collect() == want
-
-
 def test_winners_are_read_from_their_own_files(spark, documents, root):
     store = DocumentStore(spark, root)
     for i in range(6):
@@ -164,13 +155,95 @@ def test_winners_are_read_from_their_own_files(spark, documents, root):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     scans = [leaves.apply(i) for i in range(leaves.size()) if "Scan" in leaves.apply(i).nodeName()]
     read = [s.metrics().apply("numFiles").value() for s in scans if s.metrics().contains("numFiles")]
-    assert read == [1]
+    assert len(read) == 2 and 1 in read and 6 not in read  # of the corpus one of its six files, and the hits
+
+
+def test_missing_text_and_names_are_set_aside(spark, documents, root):
+    docs = documents([("a", LONG), ("a", None), ("", LONG), (None, LONG), ("a", LONG)])
+    store = DocumentStore(spark, root)
+    for _ in range(2):
+        report = store.create(docs)
+    assert (report.pages, report.kept, report.set_aside) == (0, 0, 2)
+    assert "2 documents or pages set aside" in report.message
+    assert names(spark, root) == {"a": 2}
+    found = sorted((r.doc_id, r.reason) for r in cp.quarantine(spark, root).collect())
+    assert found == [(2, "text is missing"), *[(3, "document name is missing")] * 2, *[(4, "document name is missing")] * 2]
+
+
+def test_nothing_is_set_aside(spark, documents, root):
+    DocumentStore(spark, root).extend(documents([("a", LONG)]))
+    assert cp.quarantine(spark, root).count() == 0
+
+
+class Broken:
+    dim = 768
+
+    def encode(self, texts):
+        raise OSError("no model here")
 
 
-def test_rows_beside_a_stream_are_refused(spark, documents, root):
-    spark.range(1).write.parquet(f"{root}/_spark_metadata")
-    with pytest.raises(ValueError, match="written by a stream"):
-        DocumentStore(spark, root).extend(documents([LONG]))
+def test_a_broken_model_is_reported(spark, documents, root):
+    report = DocumentStore(spark, root, factory=Broken).extend(documents([("a", LONG), ("a", LONG)]))
+    assert (report.kept, report.saved, report.failed_embeddings) == (2, 0, 2)
+    assert report.message == "2 pages processed, 0 embeddings saved, 2 embeddings failed, for one: OSError: no model here"
+    with pytest.raises(EmbeddingsFailed, match="no model here"):
+        DocumentStore(spark, root, factory=Broken).extend(documents([("a", LONG)]), tolerated=0.5)
+
+
+def picky_pages(content):
+    if content.startswith(b"!"):
+        raise OSError("cannot open")
+    for page in content.split(b"\f"):
+        yield lambda page=page: page.decode("ascii")
+
+
+def test_files_through_an_extractor(spark, root, tmp_path):
+    (tmp_path / "a.txt").write_bytes(LONG.encode() + b"\f\xff\f" + LONG.encode())
+    (tmp_path / "b.txt").write_bytes(b"!" + LONG.encode())
+    report = DocumentStore(spark, root).extend(src.files(spark, str(tmp_path), "uploads"), extractor=picky_pages)
+    assert (report.pages, report.kept, report.set_aside) == (2, 2, 2)
+    rows = cp.open_corpus(spark, root, "uploads").collect()
+    assert sorted((r.filename, r.page_number) for r in rows) == [("a.txt", 1), ("a.txt", 3)]
+    aside = sorted((r.filename, r.page_number or 0, r.reason.split(":")[0]) for r in cp.quarantine(spark, root).collect())
+    assert aside == [("a.txt", 2, "UnicodeDecodeError"), ("b.txt", 0, "OSError")]
+
+
+def test_options_reach_the_chunks(spark, documents, root):
+    DocumentStore(spark, root).extend(documents([("a", LONG)]), joiner=" | ", batch_size=1)
+    assert " | " in cp.open_corpus(spark, root, "a").first().sentence_chunk
+
+
+def test_upstream_work_runs_once_and_settings_stay(spark, documents, root):
+    counted = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def touched(text):
+        counted.add(1)
+        return text
+
+    grouped = documents([(f"n{i % 3}", LONG) for i in range(40)]).groupBy("doc_id", "document_name").agg(F.max("text").alias("text"))
+    stored = scratch_path(spark, "docs")
+    grouped.write.parquet(stored)
+    upstream = spark.read.parquet(stored).groupBy("doc_id", "document_name").agg(F.max("text").alias("text"))
+    before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    ingest(upstream.withColumn("text", touched.asNondeterministic()("text")), root)
+    after = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert counted.value <= 2 * 40 and before == after  # once for the rows, once for the look at missing ones
+
+
+def test_only_small_tables_are_dealt_out(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "table")
+    spark.range(1000).coalesce(2).write.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    assert src.spread(spark.read.parquet(path)).rdd.getNumPartitions() == cores
+    monkeypatch.setattr(src, "SPREAD_BYTES", 10)
+    scan = spark.read.parquet(path)
+    assert src.spread(scan) is scan
+    monkeypatch.undo()
+    many = str(tmp_path / "many")
+    spark.range(1000).repartition(cores).write.parquet(many)
+    scan = spark.read.parquet(many)
+    assert src.spread(scan) is scan
 
 
 CELLS = ['say "hi", twice', "a,b", " lead and trail ", "back\\slash \\\"", "'", "line\nbreak", "tab\t", "é😀", "#no", '"']
@@ -179,13 +252,13 @@ CELLS = ['say "hi", twice', "a,b", " lead and trail ", "back\\slash \\\"", "'",
 @pytest.mark.parametrize("multi_line", [True, False])
 def test_csv_keeps_texts(spark, multi_line):
     texts = [t for t in CELLS if multi_line or "\n" not in t] + ["carriage\rreturn"]
-    rows = [(i, 1, 0, t, len(t), 1, len(t) / 4, [0.5, -1e-7, 0.1]) for i, t in enumerate(texts)]
-    rows.append((99, 1, 0, "no vector", 9, 2, 2.25, None))
+    rows = [("n,m", i, 1, 0, t, len(t), 1, len(t) / 4, [0.5, -1e-7, 0.1]) for i, t in enumerate(texts)]
+    rows.append(("o", 99, 1, 0, "no vector", 9, 2, 2.25, None))
     schema = csv_corpus.CSV_SCHEMA.replace("embedding string", "embedding array<float>")
     path = scratch_path(spark, "csv")
     csv_corpus.write(spark.createDataFrame(rows, schema), path)
     back = csv_corpus.read(spark, path, dim=3, multi_line=multi_line).orderBy("doc_id").collect()
-    assert [r.sentence_chunk for r in back] == [r[3] for r in rows]
+    assert [(r.document_name, r.sentence_chunk) for r in back] == [(r[0], r[4]) for r in rows]
     vector = np.array([0.5, -1e-7, 0.1], np.float32).tolist()
     assert [r.embedding for r in back] == [vector] * len(texts) + [[0.0] * 3]
 
@@ -230,7 +303,7 @@ def test_hot_name_is_split_over_tasks(spark, documents):
     before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
     try:
-        gathered = cp.gather_by_name(rows.repartition(16, "doc_id"), 16)
+        gathered = cp.gather_by_name(rows.repartition(16, "doc_id"))
         tasks = gathered.select("document_name", "sentence_chunk", F.spark_partition_id().alias("task")).toPandas()
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)

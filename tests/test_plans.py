@@ -26,11 +26,11 @@ def simple(df):
     return out.getvalue()
 
 
-def test_chunking_has_no_shuffle_on_a_wide_scan(spark, sf_dir):
-    docs = ca.documents(spark, sf_dir)
-    wide = docs.sparkSession.createDataFrame([(i, "a", "x") for i in range(64)], docs.schema)
-    assert "Exchange" not in simple(ing.document_chunks(wide))
-    assert simple(ing.document_chunks(docs)).count("Exchange") == 1
+def test_chunking_has_no_shuffle(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumnRenamed("source", "document_name")
+    assert "Exchange" not in simple(ing.document_chunks(docs))
+    assert "Exchange" not in simple(ch.ingest_metrics(docs))
+    assert simple(ing.document_chunks(ca.documents(spark, sf_dir))).count("Exchange") == 1  # the small table is dealt out
 
 
 def test_only_needed_columns_are_scanned(spark, sf_dir):
@@ -45,19 +45,29 @@ def test_length_filter_runs_before_the_encoder_and_text_is_made_once(spark, sf_d
     assert text.count("(?<=[.!?])") == 1
 
 
+def one_block(spark, corpus, names=("src1",), keys=cp.KEYS):
+    schema = "qid bigint, query_vector array<float>, n_results int, document_name string"
+    asked = spark.createDataFrame([(i, [0.0] * 768, 5, n) for i, n in enumerate(names)], schema)
+    (block,) = se.query_blocks(asked, 768, se.MAX_QUERY_BYTES)
+    shared = spark.sparkContext.broadcast(vars(block))
+    return se.partial_top_k(corpus, block, shared, keys, "embedding")
+
+
 def test_search_scans_vectors_not_text(spark, sf_dir):
     corpus = ca.stored_corpus(spark, sf_dir)
-    text = plan(ca.semantic_search_multi(spark, sf_dir))
+    text = plan(one_block(spark, corpus))
     assert "sentence_chunk" not in text and "embedding:array<float>" in text
     assert "CartesianProduct" not in text and "NestedLoop" not in text
     assert corpus.columns[-2:] == cp.POSITION
 
 
 def test_search_shuffles_only_the_best_rows(spark, sf_dir):
-    text = simple(ca.semantic_search_multi(spark, sf_dir))
-    assert text.count("Exchange") == 1
-    order = [text.index(s) for s in (", Final", "Exchange", ", Partial", "MapInArrow")]
-    assert order == sorted(order)
+    partial = one_block(spark, ca.stored_corpus(spark, sf_dir))
+    assert "Exchange" not in simple(partial)
+    text = simple(se.best_per_query(partial, cp.KEYS, 5))
+    assert text.count("Exchange") == 2
+    order = [text.index(s) for s in (", Final", "Exchange", ", Partial", ", Final", "Exchange", ", Partial", "MapInArrow")[:3]]
+    assert order == sorted(order) and text.rindex("Exchange") < text.index("MapInArrow")
 
 
 def test_named_corpus_prunes_partitions(spark, sf_dir):
@@ -65,14 +75,36 @@ def test_named_corpus_prunes_partitions(spark, sf_dir):
     assert "PartitionFilters: [isnotnull(document_name" in text and "= src3)]" in text
 
 
-def test_routed_search_prunes_partitions(spark, sf_dir):
+@pytest.mark.parametrize("more", [0, 1500])
+def test_routed_search_prunes_partitions(spark, sf_dir, more):
     corpus = ca.stored_corpus(spark, sf_dir)
-    zeros = [0.0] * 768
-    asked = spark.createDataFrame(
-        [(1, zeros, "src1"), (2, zeros, "src2")], "qid bigint, query_vector array<float>, document_name string"
-    )
-    text = plan(se.search(corpus, asked, cp.KEYS)[0])
-    assert "PartitionFilters: [document_name" in text and "src1,src2" in text.replace(" ", "")
+    text = plan(one_block(spark, corpus, ["src1", "src2", *(f"other{i}" for i in range(more))]))
+    assert "PartitionFilters: [document_name" in text and "src1" in text
+
+
+def test_opening_a_corpus_runs_no_job(spark, sf_dir):
+    ca.stored_corpus(spark, sf_dir)
+    root = ca._corpora[(spark.sparkContext.applicationId, sf_dir)]
+    jobs = jobs_of(spark, lambda: (cp.open_corpus(spark, root, "src3"), cp.names(spark, root), cp.exists(spark, root, "x")))
+    assert jobs == 0
+
+
+def test_existing_names_are_not_read_from_rows(spark, sf_dir):
+    ca.stored_corpus(spark, sf_dir)
+    root = ca._corpora[(spark.sparkContext.applicationId, sf_dir)]
+    text = plan(cp.only_absent(ca.documents(spark, sf_dir), root))
+    assert "documents.parquet" in text and root not in text
+
+
+def jobs_of(spark, work):
+    """How many jobs ``work`` runs."""
+    spark.sparkContext.setJobGroup("counted", "counted")
+    try:
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+        work()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted")) - before
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_preview_and_top_k_do_not_sort_everything(spark, sf_dir):
@@ -82,7 +114,7 @@ def test_preview_and_top_k_do_not_sort_everything(spark, sf_dir):
 
 def test_corpus_is_gathered_before_it_is_encoded(spark, sf_dir):
     chunks = ing.document_chunks(ca.documents(spark, sf_dir)).where(ch.long_enough())
-    text = simple(ing.embed_chunks(cp.gather_by_name(chunks, 8)))
+    text = simple(ing.embed_chunks(cp.gather_by_name(chunks)))
     assert text.index("ArrowEvalPython") < text.index("REBALANCE_PARTITIONS_BY_COL")
 
 

@@ -48,34 +48,75 @@ def run(spark, rows, asked, schema="qid bigint, query_vector array<float>", part
 @pytest.mark.parametrize("digits", [None, 5, 1])
 def test_against_brute_force(spark, numbers, digits):
     rows, asked = numbers
-    result, bound = run(spark, rows, asked, digits=digits)
+    result = run(spark, rows, asked, digits=digits)
     assert ranked(result) == brute(rows, asked, digits=digits)
-    assert bound == 40 * 5
 
 
 def test_small_tiles_and_batches(spark, numbers, monkeypatch):
     rows, asked = numbers
     monkeypatch.setattr(se, "TILE_SCORES", 200)
-    result, _ = run(spark, rows, asked, parts=2, digits=2)
+    result = run(spark, rows, asked, parts=2, digits=2)
     assert ranked(result) == brute(rows, asked, digits=2)
 
 
 def test_batch_beyond_the_broadcast_bound(spark, numbers):
     rows, asked = numbers
-    result, bound = run(spark, rows, asked, max_query_bytes=4 * 12 * 15)
+    result = run(spark, rows, asked, max_query_bytes=4 * 12 * 15)
     assert ranked(result) == brute(rows, asked)
-    assert bound == 40 * 5
 
 
-def test_repeated_qid_beyond_the_bound_is_an_error(spark, numbers):
+@pytest.mark.parametrize("max_bytes", [4 * 12 * 5, se.MAX_QUERY_BYTES])
+@pytest.mark.parametrize("qids", [[1] * 40, [None, *range(39)], [*range(39), 38]])
+def test_repeated_or_missing_qid_is_an_error(spark, numbers, qids, max_bytes):
     rows, asked = numbers
-    with pytest.raises(ValueError, match="not unique"):
-        run(spark, rows, [(1, v) for _, v in asked], max_query_bytes=4 * 12 * 5)
+    with pytest.raises(ValueError, match="unique"):
+        run(spark, rows, [(q, v) for q, (_, v) in zip(qids, asked)], max_query_bytes=max_bytes)
+
+
+def test_blocks_are_bounded(spark, numbers):
+    _, asked = numbers
+    queries = spark.createDataFrame([(q, v, 5) for q, v in asked], "qid bigint, query_vector array<float>, n_results int")
+    each = 4 * 12 + 5 * se.RESULT_BYTES
+    blocks = list(se.query_blocks(queries, 12, 4 * each))
+    assert sorted(q for b in blocks for q in b.ids.tolist()) == sorted(q for q, _ in asked)
+    assert len(blocks) >= 8 and max(len(b.ids) for b in blocks) <= 12
+    deep = list(se.query_blocks(queries.withColumn("n_results", F.lit(500)), 12, 40 * each))
+    assert len(deep) > 8
+
+
+def test_one_broadcast_at_a_time(spark, numbers, monkeypatch):
+    """A block's arrays are released before the next block is read."""
+    from pyspark import Broadcast
+
+    alive, most, destroy, blocks = [0], [0], Broadcast.destroy, se.query_blocks
+
+    def counted(*args):
+        for block in blocks(*args):
+            assert alive[0] == 0
+            alive[0] += 1
+            most[0] += 1
+            yield block
+
+    def destroyed(self, *args):
+        alive[0] -= 1
+        return destroy(self, *args)
+
+    monkeypatch.setattr(se, "query_blocks", counted)
+    monkeypatch.setattr(Broadcast, "destroy", destroyed)
+    rows, asked = numbers
+    assert ranked(run(spark, rows, asked, max_query_bytes=4 * 12 * 150)) == brute(rows, asked) and most[0] > 3
+
+
+def test_more_than_a_thousand_corpora(spark):
+    rows = [(i, f"n{i}", [float(i % 7), 1.0] + [0.0] * 10) for i in range(1500)]
+    asked = [(i, [1.0] * 12, 2, f"n{i}") for i in range(1200)]
+    schema = "qid bigint, query_vector array<float>, n_results int, document_name string"
+    assert ranked(run(spark, rows, asked, schema)) == [(i, 1, i) for i in range(1200)]
 
 
 def test_scores_do_not_increase(spark, numbers):
     rows, asked = numbers
-    result, _ = run(spark, rows, asked)
+    result = run(spark, rows, asked)
     scores = {}
     for r in result.orderBy("qid", "rank").collect():
         assert r.score <= scores.get(r.qid, np.inf)
@@ -85,7 +126,7 @@ def test_scores_do_not_increase(spark, numbers):
 def test_own_number_of_results(spark, numbers):
     rows, asked = numbers
     requests = [(q, v, n) for (q, v), n in zip(asked, [1, 7, None, 0, 2000])]
-    result, _ = run(spark, rows, requests, "qid bigint, query_vector array<float>, n_results int")
+    result = run(spark, rows, requests, "qid bigint, query_vector array<float>, n_results int")
     assert ranked(result) == brute(rows, requests)
 
 
@@ -94,20 +135,20 @@ def test_queries_see_their_own_corpus(spark, numbers):
     names = ["n0", "n1", "n2", "nowhere"]
     requests = [(q, v, 3, names[i % 4]) for i, (q, v) in enumerate(asked)]
     schema = "qid bigint, query_vector array<float>, n_results int, document_name string"
-    result, _ = run(spark, rows, requests, schema)
+    result = run(spark, rows, requests, schema)
     assert ranked(result) == brute(rows, requests)
 
 
 def test_ties_go_to_the_lowest_key(spark):
     rows = [(i, "n", [1.0] * 12) for i in range(300)]
-    result, _ = run(spark, rows, [(1, [0.0] * 12), (2, [1.0] * 12)], parts=5)
+    result = run(spark, rows, [(1, [0.0] * 12), (2, [1.0] * 12)], parts=5)
     assert ranked(result) == [(q, k + 1, k) for q in (1, 2) for k in range(5)]
 
 
 def test_hot_tie_on_a_third_of_the_rows(spark, numbers):
     rows, asked = numbers
     hot = [(i, n, rows[0][2] if i % 3 == 0 else v) for i, n, v in rows]
-    result, _ = run(spark, hot, asked)
+    result = run(spark, hot, asked)
     assert ranked(result) == brute(hot, asked)
 
 
@@ -125,6 +166,7 @@ def test_crowded_candidates(numbers, monkeypatch, digits):
         part = copies[start : start + 150][::-1]
         keys = pa.table({"id": [i for i, _, _ in part]})
         best.add(np.array([v for _, _, v in part], np.float32), keys, np.arange(len(asked)))
+    best.settle()
     got = {}
     for query, key in zip(best.table["query"].to_pylist(), best.table["id"].to_pylist()):
         got.setdefault(query, []).append(key)
@@ -135,8 +177,8 @@ def test_crowded_candidates(numbers, monkeypatch, digits):
 def test_repeated_queries_are_scored_once(spark, numbers):
     rows, asked = numbers
     same = [(q, asked[q % 2][1], 1 + q) for q in range(20)]
-    result, bound = run(spark, rows, same, "qid bigint, query_vector array<float>, n_results int")
-    assert ranked(result) == brute(rows, same) and bound == sum(range(1, 21))
+    result = run(spark, rows, same, "qid bigint, query_vector array<float>, n_results int")
+    assert ranked(result) == brute(rows, same)
     block = se.QueryBlock.of(pa.table({"qid": [1, 2], "query_vector": [[1.0], [1.0]], "n_results": [3, 9]}), 1)
     assert block.slot_vectors.shape == (1, 1) and block.slot_limits.tolist() == [9]
 
@@ -144,19 +186,19 @@ def test_repeated_queries_are_scored_once(spark, numbers):
 def test_missing_short_and_long_vectors(spark, numbers):
     rows, asked = numbers
     odd = [(1000, "n", None), (1001, "n", []), (1002, "n", [9.0] * 3), (1003, "n", [0.1] * 20)]
-    result, _ = run(spark, rows[:20] + odd, asked, n_results=24)
+    result = run(spark, rows[:20] + odd, asked, n_results=24)
     assert ranked(result) == brute(rows[:20] + odd, asked, k=24)
 
 
 def test_zero_vector_outranks_negative_scores(spark):
     rows = [(1, "n", [-1.0] * 12), (2, "n", None)]
-    result, _ = run(spark, rows, [(1, [1.0] * 12)])
+    result = run(spark, rows, [(1, [1.0] * 12)])
     assert [(r.id, r.score) for r in result.orderBy("rank").collect()] == [(2, 0.0), (1, -12.0)]
 
 
 def test_not_a_number_ranks_last(spark):
     rows = [(1, "n", [float("nan")] * 12), (2, "n", [-5.0] * 12), (3, "n", [1.0] * 12)]
-    result, _ = run(spark, rows, [(1, [1.0] * 12)], n_results=2)
+    result = run(spark, rows, [(1, [1.0] * 12)], n_results=2)
     assert ranked(result) == [(1, 1, 3), (1, 2, 2)]
 
 
@@ -166,26 +208,26 @@ def test_close_scores_are_told_apart(spark):
     tiny = np.nextafter(np.float32(1e-4), np.float32(1))
     rows = [(i, "n", [float(base)] * 11 + [float(np.float32(1e-4) if i % 2 else tiny)]) for i in range(100)]
     asked = [(1, [1000.0] * 11 + [1e-3])]
-    result, _ = run(spark, rows, asked, n_results=60)
+    result = run(spark, rows, asked, n_results=60)
     assert ranked(result) == brute(rows, asked, k=60)
 
 
 def test_one_row_and_empty_corpus(spark):
-    result, _ = run(spark, [(1, "n", [1.0] * 12)], [(1, [1.0] * 12)])
+    result = run(spark, [(1, "n", [1.0] * 12)], [(1, [1.0] * 12)])
     assert ranked(result) == [(1, 1, 1)]
-    result, _ = run(spark, [], [(1, [1.0] * 12)])
+    result = run(spark, [], [(1, [1.0] * 12)])
     assert ranked(result) == []
 
 
 def test_no_queries(spark, numbers):
-    result, bound = run(spark, numbers[0], [])
-    assert ranked(result) == [] and bound == 0
+    result = run(spark, numbers[0], [])
+    assert ranked(result) == []
 
 
 def test_unit_vector_finds_itself(spark, sf_dir):
     corpus = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     asked = corpus.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query_vector"))
-    result, _ = se.search(corpus, asked, ["vec_id"], dim=64, n_results=1, digits=5)
+    result = se.search(corpus, asked, ["vec_id"], dim=64, n_results=1, digits=5)
     assert result.count() == corpus.count()
     assert result.where((F.col("score") != 1.0) | (F.col("qid") != F.col("vec_id"))).count() == 0
 
@@ -193,8 +235,7 @@ def test_unit_vector_finds_itself(spark, sf_dir):
 def test_scored_rows_are_counted(spark, numbers):
     rows, asked = numbers
     scored = Observation()
-    result, _ = run(spark, rows, asked, scored=scored)
-    result.collect()
+    run(spark, rows, asked, scored=scored)
     assert scored.get["rows_scored"] == 700
 
 

@@ -1,13 +1,16 @@
+import pytest
 from pyspark.sql import functions as F
 
 from passagework.operators import chunks as ch
 from passagework.operators import pages as pg
-from passagework.plans.ingest import document_chunks, embed_chunks
+from passagework.plans.ingest import IngestOptions, document_chunks, embed_chunks, ingest
 from passagework.plans.retrieve import retrieve
 from passagework.session import scratch_path
 from passagework.sources import corpus as cp
+from passagework.streaming import ingest as streaming
 from passagework.streaming.ingest import corpus_stream, document_stream, ingest_stream
 
+LONG = "The quick brown fox jumps over the lazy dog near the river bank. " * 3
 SCHEMA = "doc_id bigint, document_name string, text string"
 
 
@@ -51,3 +54,48 @@ def test_streamed_corpus_can_be_searched(spark, sf_dir):
         for c in (cp.read(spark, root), batch)
     )
     assert got == want and len(got) == 10
+
+
+def test_batch_stream_and_batch_share_a_corpus(spark, sf_dir):
+    inbox, root, checkpoint = (scratch_path(spark, x) for x in ("inbox", "corpus", "state"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("lang").alias("document_name"), "text")
+    parts = [docs.where("doc_id % 3 = 0"), docs.where("doc_id % 3 = 1"), docs.where("doc_id % 3 = 2")]
+    kept = [embed_chunks(document_chunks(p)).count() for p in parts]
+
+    def run():
+        corpus_stream(document_stream(spark, inbox, schema=SCHEMA), root, checkpoint).awaitTermination()
+        return cp.read(spark, root).count()
+
+    ingest(parts[0], root)
+    parts[1].coalesce(1).write.parquet(inbox)
+    assert run() == kept[0] + kept[1]
+    ingest(parts[2], root)
+    assert run() == sum(kept)  # a stream that starts again adds nothing
+    missing = spark.createDataFrame([(-1, "en", None), (-2, None, "x")], SCHEMA)
+    missing.coalesce(1).write.mode("append").parquet(inbox)
+    assert run() == sum(kept) and cp.quarantine(spark, root).count() == 2
+
+
+@pytest.mark.parametrize("stop_after", ["store_documents", "publish", "none"])
+def test_a_batch_that_is_tried_again_adds_nothing(spark, documents, monkeypatch, stop_after):
+    root, checkpoint = (scratch_path(spark, x) for x in ("corpus", "state"))
+    docs = documents([("a", LONG), ("b", LONG), ("c", None)])
+
+    def cut_short(work):
+        def run(*args, **options):
+            work(*args, **options)
+            raise OSError("lost")
+
+        return run
+
+    if stop_after != "none":
+        with monkeypatch.context() as patched:
+            patched.setattr(streaming, stop_after, cut_short(getattr(streaming, stop_after)))
+            with pytest.raises(OSError, match="lost"):
+                streaming.store_batch(docs, 7, root, checkpoint, IngestOptions())
+    for _ in range(2):
+        streaming.store_batch(docs, 7, root, checkpoint, IngestOptions())
+    assert sorted(r.document_name for r in cp.read(spark, root).collect()) == ["a", "b"]
+    assert cp.quarantine(spark, root).count() == 1
+    streaming.store_batch(docs, 8, root, checkpoint, IngestOptions())
+    assert cp.read(spark, root).count() == 4

@@ -9,10 +9,8 @@ linear scorer is trained on it, which then judges every document.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
-from itertools import chain, groupby
-from zlib import crc32
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,60 +24,94 @@ FEATURES = 2048
 SAMPLE_ROWS = 4096
 KEPT_FROM = 0.5
 RUN_CHARS = 1 << 21
-LEXICON_WORDS = 1 << 18
+LEXICON_WORDS = 1 << 19
 FEW_WORDS = 8  # added to the length of a document: so many words say little
 
 GOOD, BAD, NONE = 2, 0, 1
 
-_SYMBOLS = re.compile(r"[#*$%&|<>]")
-_SHOUTS = re.compile(r"[!?]{2,}$")
 
+class CharTable:
+    """What the labellers and features ask of a character, by code point of the basic plane."""
 
-def word_facts(word: str) -> tuple[int, ...]:
-    """What the labellers ask of a word: symbol, shout, bar, stop, short, letters, capitals, odd end, length."""
-    letters = [c for c in word if c.isalpha()]
-    return (
-        bool(_SYMBOLS.search(word)),
-        bool(_SHOUTS.search(word)),
-        word == "|",
-        word[-1] in ".,;:",
-        len(letters) <= 3,
-        len(letters),
-        sum(c.isupper() for c in letters),
-        not word[-1].isalnum() and word[-1] not in ".,;:?!)\"'",
-        len(word),
-    )
-
-
-def shape(word: str) -> str:
-    """Kinds of characters in turn: ``Word,`` is ``Aa,``."""
-    kinds = ("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:32])
-    return "".join(k for k, _ in groupby(kinds))
-
-
-def word_features(word: str) -> tuple[int, int, int]:
-    """Places of the shape, the ending and the word itself among the features. Place 0 is for repeats."""
-    keys = ("s" + shape(word), "e" + word[-3:].lower(), "w" + word.lower())
-    return tuple(1 + crc32(k.encode(errors="replace")) % (FEATURES - 1) for k in keys)
+    def __init__(self):
+        chars = [chr(i) for i in range(1 << 16)]
+        self.alpha = np.array([c.isalpha() for c in chars])
+        self.upper = np.array([c.isupper() for c in chars])
+        self.alnum = np.array([c.isalnum() for c in chars])
+        self.symbol = np.isin(np.arange(1 << 16), [ord(c) for c in "#*$%&|<>"])
+        self.shout = np.isin(np.arange(1 << 16), [ord(c) for c in "!?"])
+        self.stop = np.isin(np.arange(1 << 16), [ord(c) for c in ".,;:"])
+        self.close = self.stop | np.isin(np.arange(1 << 16), [ord(c) for c in "?!)\"'"])
+        self.lower = np.array([ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in chars], np.uint64)
+        kind = np.where(self.alpha, ord("a"), np.where(self.alnum, ord("0"), np.arange(1 << 16)))
+        self.kind = np.where(self.upper, ord("A"), kind).astype(np.uint64)  # ``Word,`` is ``Aa,``
+
+
+def _hashed(values: np.ndarray, place: np.ndarray, used: np.ndarray, starts: np.ndarray, salt: int) -> np.ndarray:
+    """A feature for each word, from numbers and places of those of its characters that are used."""
+    mixed = (values + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    total = np.add.reduceat(np.where(used, mixed ^ (mixed >> np.uint64(27)), np.uint64(0)), starts)
+    return 1 + ((total ^ (total >> np.uint64(31))) % np.uint64(FEATURES - 1)).astype(np.int32)
 
 
 class Lexicon:
-    """Facts and features of every word seen; emptied when it has grown too large."""
+    """Facts and features of every word seen; emptied when it has grown too large.
+
+    Facts: symbol, shout, bar, stop, short, letters, capitals, odd end, length.
+    Features: the places of the shape, the ending and the word itself; place 0
+    is for repeats.
+    """
 
     def __init__(self):
+        self.chars = CharTable()
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.facts, self.places = np.zeros((0, 9), np.int32), np.zeros((0, 3), np.int32)
 
+    def describe(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Facts and features of words, none of them empty."""
+        table = self.chars
+        length = np.array([len(w) for w in words], np.int64)
+        starts = np.cumsum(length) - length
+        ends = starts + length - 1
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.where(points > 0xFFFF, 0xFFFF, points)
+        last, before = points[ends], points[np.maximum(ends - 1, 0)]
+        letters = np.add.reduceat(table.alpha[points], starts, dtype=np.int64)
+        facts = [
+            np.add.reduceat(table.symbol[points], starts, dtype=np.int64) > 0,
+            (length > 1) & table.shout[last] & table.shout[before],
+            (length == 1) & (last == ord("|")),
+            table.stop[last],
+            letters <= 3,
+            letters,
+            np.add.reduceat(table.upper[points] & table.alpha[points], starts, dtype=np.int64),
+            ~table.alnum[last] & ~table.close[last],
+            length,
+        ]
+        place = np.arange(len(points)) - np.repeat(starts, length)
+        from_end = np.repeat(ends, length) - np.arange(len(points))
+        kind, low = table.kind[points], table.lower[points]
+        turns = np.r_[True, kind[1:] != kind[:-1]] | (place == 0)  # a run of one kind counts once
+        turn = np.cumsum(turns)
+        turn -= np.repeat(turn[starts], length)
+        places = [
+            _hashed(kind, turn, turns, starts, 1),
+            _hashed(low, from_end, from_end < 3, starts, 2),
+            _hashed(low, place, place >= 0, starts, 3),
+        ]
+        return np.stack(facts, axis=1).astype(np.int32), np.stack(places, axis=1)
+
     def numbers(self, words: list[str]) -> np.ndarray:
         if len(self.number) > LEXICON_WORDS:
             self.clear()
         new = list(set(words) - self.number.keys())
         if new:
-            self.facts = np.concatenate([self.facts, np.array([word_facts(w) for w in new], np.int32)])
-            self.places = np.concatenate([self.places, np.array([word_features(w) for w in new], np.int32)])
+            facts, places = self.describe(new)
+            self.facts, self.places = np.concatenate([self.facts, facts]), np.concatenate([self.places, places])
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
         return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
@@ -88,10 +120,10 @@ class Lexicon:
 class Run:
     """The words of a run of texts, as numbers of a lexicon."""
 
+    split: list[list[str]]
     number: np.ndarray
     counts: np.ndarray
     same: np.ndarray  # by text: words equal to the one before
-    kinds: np.ndarray  # by text: different words
 
     @staticmethod
     def of(run: list[str], lexicon: Lexicon) -> Run:
@@ -100,14 +132,19 @@ class Run:
         number = lexicon.numbers(list(chain.from_iterable(split)))
         doc = np.repeat(np.arange(len(run)), counts)
         same = (number[1:] == number[:-1]) & (doc[1:] == doc[:-1])
-        kinds = np.array([len(set(w)) for w in split], np.int64)
-        return Run(number, counts, np.bincount(doc[1:][same], minlength=len(run)), kinds)
+        return Run(split, number, counts, np.bincount(doc[1:][same], minlength=len(run)))
+
+    def kinds(self) -> np.ndarray:
+        """Different words of each text."""
+        return np.array([len(set(w)) for w in self.split], np.int64)
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Sums over the words of each text."""
-        total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
-        ends = np.cumsum(self.counts)
-        return total[ends] - total[ends - self.counts]
+        total = np.zeros((len(self.counts), *values.shape[1:]))
+        some = self.counts > 0
+        if some.any():
+            total[some] = np.add.reduceat(values, (np.cumsum(self.counts) - self.counts)[some], axis=0)
+        return total
 
 
 def _band(value: np.ndarray, bad_above: float, good_below: float) -> np.ndarray:
@@ -126,7 +163,7 @@ def patterns_of(run: Run, lexicon: Lexicon) -> np.ndarray:
         _band(bar, 0.08, 0.01),
         _band(run.same / n, 0.15, 0.03),
         np.where(n < 20, NONE, _band(-short, -0.15, -0.25)),
-        np.where((n < 20) | (n > 2000), NONE, _band(-run.kinds / n, -0.25, -0.45)),
+        np.where((n < 20) | (n > 2000), NONE, _band(-run.kinds() / n, -0.25, -0.45)),
         np.where(n < 30, NONE, _band(-stop, -0.005, -0.02)),
         _band(odd, 0.20, 0.05),
         _band(-letters / np.maximum(length, 1e-9), -0.80, -0.88),
@@ -266,33 +303,31 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_
 
 
 def with_quality(docs: DataFrame, classifier: Classifier, text_col: str = "text") -> DataFrame:
-    """Adds ``weak_label`` (posterior of the votes), ``quality`` (the scorer's probability of good) and ``kept``.
+    """Adds ``quality`` (the scorer's probability of good) and ``kept``.
 
     Columns of these names are replaced. A null, empty or blank text has no
     words: quality 0, not kept. Every row is judged whole and by itself.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vars(classifier) | {"labels": vars(classifier.labels)})
+    shared = docs.sparkSession.sparkContext.broadcast((classifier.weights, classifier.bias))
 
     def setup():
-        model = LabelModel(**shared.value["labels"])
-        weights, bias = shared.value["weights"], shared.value["bias"]
+        weights, bias = shared.value
         lexicon = per_worker("lexicon", Lexicon)
 
         def work(batch: pa.Array) -> list[pa.Array]:
-            labels, qualities = [np.zeros(0)], [np.zeros(0)]
+            qualities = [np.zeros(0)]
             for part in runs_of(texts(batch), len, RUN_CHARS):
                 run = Run.of(part, lexicon)
-                labels.append(model.posterior(patterns_of(run, lexicon)))
                 each = weights[lexicon.places].sum(axis=1)
                 total = run.sums(each[run.number]) + weights[0] * run.same
                 quality = 1 / (1 + np.exp(-np.clip(total / (run.counts + FEW_WORDS) + bias, -50, 50)))
                 qualities.append(np.where(run.counts > 0, quality, 0.0))
             quality = np.concatenate(qualities)
-            return [pa.array(np.concatenate(labels)), pa.array(quality), pa.array(quality >= KEPT_FROM)]
+            return [pa.array(quality), pa.array(quality >= KEPT_FROM)]
 
         return work
 
-    return with_fields(docs, F.col(text_col), "weak_label: double, quality: double, kept: boolean", setup)
+    return with_fields(docs, F.col(text_col), "quality: double, kept: boolean", setup)
 
 
 def only_kept(docs: DataFrame, classifier: Classifier, text_col: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ def spread(scan: DataFrame) -> DataFrame:
     names = scan.inputFiles()
     if len(names) >= cores:
         return scan
-    paths = [spark._jvm.org.apache.hadoop.fs.Path(name) for name in names]
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name)) for name in names]
     conf = spark._jsc.hadoopConfiguration()
     size = sum(path.getFileSystem(conf).getFileStatus(path).getLen() for path in paths)
     return scan.repartition(cores) if size <= cores * SPREAD_BYTES else scan

@@ -232,7 +232,7 @@ def test_upstream_work_runs_once_and_settings_stay(spark, documents, root):
 
 
 def test_only_small_tables_are_dealt_out(spark, tmp_path, monkeypatch):
-    path = str(tmp_path / "table")
+    path = str(tmp_path / "a table, 100%")
     spark.range(1000).coalesce(2).write.parquet(path)
     cores = spark.sparkContext.defaultParallelism
     assert src.spread(spark.read.parquet(path)).rdd.getNumPartitions() == cores

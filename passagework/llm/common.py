@@ -16,12 +16,22 @@ _loaded: dict = {}
 
 
 def per_worker(key: object, make: Callable[[], object]) -> object:
-    """One object per Python worker, made by the first task that needs it."""
+    """An object that a Python worker keeps between tasks, made by the first that needs it.
+
+    A worker keeps one at a time, so what an earlier stage remembered does not
+    add to the memory of the next.
+    """
     if key not in _loaded:
+        _loaded.clear()
         _loaded[key] = make()
     return _loaded[key]
 
 
+def forget() -> None:
+    """For work that keeps nothing between tasks: let go of what an earlier stage kept."""
+    _loaded.clear()
+
+
 class Memo(dict):
     """Remembers what ``make`` returned, in two generations of bounded size.
 

@@ -13,6 +13,7 @@ tasks in blocks of bounded size, and each block takes one scan of the documents.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.common import computed, fresh, quoted, runs_of, texts
+from passagework.llm.common import computed, fresh, per_worker, runs_of, texts
 from passagework.operators.ranking import ranges
 
 Q = 8
@@ -30,8 +31,8 @@ STRIDE = 50
 SHORTEST = 32  # shorter items are too common to be a leak
 ERRORS = 0.1  # edits per character
 BLOCK_WINDOWS = 1 << 16
-RUN_CHARS = 1 << 21
-RUN_PAIRS = 1 << 21
+RUN_CHARS = 1 << 20
+RUN_PAIRS = 1 << 19
 TABLE_BITS = 22
 ALIGNED_AT_ONCE = 1 << 12
 
@@ -220,9 +221,10 @@ def window_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "te
 def with_leaks(docs: DataFrame, name: str, block: tuple[list[int], list[str]], text_col: str = "text") -> DataFrame:
     """Adds the array of leaks found with the windows of one block."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
+    key = uuid.uuid4().hex
 
     def setup():
-        index = WindowIndex(*shared.value)
+        index = per_worker(key, lambda: WindowIndex(*shared.value))
 
         def work(batch: pa.Array) -> list[pa.Array]:
             rows = [row for run in runs_of(texts(batch), len, RUN_CHARS) for row in index.leaks(run)]

@@ -23,8 +23,8 @@ from passagework.llm.common import computed, fresh, per_worker, quoted, runs_of,
 FEATURES = 2048
 SAMPLE_ROWS = 4096
 KEPT_FROM = 0.5
-RUN_CHARS = 1 << 21
-LEXICON_WORDS = 1 << 19
+RUN_CHARS = 1 << 20
+LEXICON_WORDS = 1 << 18
 FEW_WORDS = 8  # added to the length of a document: so many words say little
 
 GOOD, BAD, NONE = 2, 0, 1

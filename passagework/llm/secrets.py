@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.common import computed, fresh, texts, with_fields
+from passagework.llm.common import computed, forget, fresh, texts, with_fields
 
 # The base patterns and the least length of what they must catch.
 ASSIGN = re.compile(
@@ -170,6 +170,8 @@ def with_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
 
     def setup():
+        forget()
+
         def work(batch: pa.Array) -> list[pa.Array]:
             rows = []
             for text in texts(batch):
@@ -191,6 +193,7 @@ def without_secrets(docs: DataFrame, text_col: str = "text", length_col: str | N
     """
 
     def setup():
+        forget()
         return lambda batch: [pa.array([t if t is None else masked(t) for t in batch.to_pylist()], pa.string())]
 
     (holder,) = fresh(docs, "made")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.common import computed, fresh, quoted
+from passagework.llm.common import computed, forget, fresh, quoted
 from passagework.llm.components import components
 from passagework.session import scratch_path
 
@@ -31,7 +31,9 @@ MAX_BITS = 4
 PREFIX_BITS = 16
 SPLIT_BITS = 12
 SPLIT_ROWS = 1 << 18
-TASK_VARIANTS = 1 << 21
+MADE_ROWS = 1 << 22  # rows a task makes, and rows a task reads, about
+READ_ROWS = 1 << 20
+TASK_VARIANTS = 1 << 20
 BLOCK_WORDS = 1 << 16
 
 
@@ -62,6 +64,8 @@ def with_fingerprint(docs: DataFrame, name: str, text_col: str = "text", shingle
     """Adds the fingerprint as a signed long. A null text is an empty one."""
 
     def setup():
+        forget()
+
         def work(batch: pa.Array) -> list[pa.Array]:
             raw = batch.cast(pa.large_binary()).to_pylist()
             made = np.array([fingerprint(t or b"", shingle_words) for t in raw], np.uint64)
@@ -198,14 +202,16 @@ def links(fingerprints: DataFrame, max_bits: int = MAX_BITS, split_rows: int = S
     flips = [int(m) for m in masks(PREFIX_BITS, half)]
     # rows of a region: the fingerprints whose prefix is near; a table of 65,536 numbers at most
     counts = np.zeros(1 << PREFIX_BITS, np.int64)
-    for row in fingerprints.groupBy(prefix.alias("prefix")).count().toLocalIterator():
+    for row in fingerprints.groupBy(prefix.alias("prefix")).count().collect():
         counts[row["prefix"]] = row["count"]
     every = np.arange(len(counts))
     rows = sum(counts[every ^ m] for m in flips)
     large = [(int(k),) for k in np.flatnonzero(rows > split_rows)]
 
     spark = fingerprints.sparkSession
-    keyed = fingerprints.select("fp", F.explode(F.array(*[F.lit(m) for m in flips])).alias("flip"))
+    total = int(counts.sum()) * len(flips)  # the rows that travel
+    dealt = fingerprints.repartition(-(-total // MADE_ROWS) or 1, "fp")
+    keyed = dealt.select("fp", F.explode(F.array(*[F.lit(m) for m in flips])).alias("flip"))
     keyed = keyed.select("fp", prefix.bitwiseXOR(F.col("flip")).alias("prefix"))
     first = F.shiftleft(F.col("prefix").cast("bigint"), 64 - PREFIX_BITS)
     small = keyed.select("fp", first.alias("region"), F.lit(PREFIX_BITS).alias("fixed"))
@@ -220,9 +226,10 @@ def links(fingerprints: DataFrame, max_bits: int = MAX_BITS, split_rows: int = S
         spent = F.bit_count(F.shiftrightunsigned(F.col("fp").bitwiseXOR(region), low))
         split = split.where(spent <= half).select("fp", region.alias("region"), F.lit(PREFIX_BITS + SPLIT_BITS).alias("fixed"))
         small = small.unionByName(split)
-    placed = small.repartition("region").sortWithinPartitions("fixed", "region")
+    placed = small.repartition(-(-total // READ_ROWS) or 1, "region").sortWithinPartitions("fixed", "region")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         forest = _Forest()
 
         def work(held: list[np.ndarray]) -> None:

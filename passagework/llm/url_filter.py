@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.common import computed, fresh, quoted
+from passagework.llm.common import computed, forget, fresh, quoted
 
 # The base rules, as verdict, host and path.
 BASE_RULES = [
@@ -138,6 +138,7 @@ def judged(
     globs = [rule_glob(host, path) for _, host, path in rules] + (BLOCK_GLOBS if block_globs is None else block_globs)
 
     def setup():
+        forget()
         automaton = GlobAutomaton(globs)
         by_length = sorted(range(len(rules)), key=lambda i: (-len(rules[i][1]) - len(rules[i][2]), i))
 

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.common import Memo, runs_of, texts, with_fields
+from passagework.llm.common import Memo, forget, runs_of, texts, with_fields
+from passagework.session import scratch_path
 
 # Parameters of the models.
 VOCABULARY = 1 << 16
@@ -24,8 +25,10 @@ BUCKETS = 1 << 20
 PRIOR_WORDS = 16.0  # weight of the word model beside the words seen after a word
 MARKS = ".,;:!?\"'()[]"
 START, UNKNOWN, FIRST_WORD = 0, 1, 2
-HELD_WORDS = 1 << 18
-RUN_CHARS = 1 << 22
+HELD_WORDS = 1 << 17
+RUN_CHARS = 1 << 21
+MEMO_ENTRIES = 1 << 17
+LEVELS_PER_DOUBLING = 16
 
 
 def plain(word: str) -> str:
@@ -37,6 +40,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """``word, background, target`` over all ``text, target`` rows, added up in the tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: tuple[Counter, Counter] = (Counter(), Counter())
 
         def flush() -> pa.RecordBatch:
@@ -61,9 +65,21 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 def vocabulary(rows: DataFrame, size: int = VOCABULARY) -> list[str]:
-    """The most frequent words of both tables together; ties go to the lower word."""
-    total = F.col("background") + F.col("target")
-    best = word_counts(rows).select("word", total.alias("n")).orderBy(F.desc("n"), "word").limit(size)
+    """The most frequent words of both tables together; ties go to the lower word.
+
+    How many words there are of about each frequency, a thousand numbers at
+    most, says which are too rare; only the others are sorted.
+    """
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "words")
+    word_counts(rows).select("word", (F.col("background") + F.col("target")).alias("n")).write.parquet(path)
+    stored = spark.read.schema("word string, n bigint").parquet(path)
+    level = F.floor(F.log2("n") * LEVELS_PER_DOUBLING)
+    words, least = 0, 0
+    for row in sorted(stored.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        words, least = words + row["count"], row["level"]
+        if words >= size:
+            break
+    best = stored.where(level >= least).orderBy(F.desc("n"), "word").limit(size)
     return best.select("word").toArrow()["word"].to_pylist()
 
 
@@ -72,7 +88,7 @@ class Numbering:
 
     def __init__(self, words: list[str]):
         known = {word: i for i, word in enumerate(words, FIRST_WORD)}
-        self.memo = Memo(lambda word: known.get(plain(word), UNKNOWN))
+        self.memo = Memo(lambda word: known.get(plain(word), UNKNOWN), entries=MEMO_ENTRIES)
 
     def pairs(self, run: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``before, word`` of every word, and how many words each text has."""
@@ -123,6 +139,7 @@ def gather(rows: DataFrame, words: list[str], buckets: int = BUCKETS) -> np.ndar
     cells = buckets + 2 * size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         numbering = Numbering(shared.value)
         held = np.zeros((2, cells), np.int64)
         for batch in batches:
@@ -166,6 +183,7 @@ def with_scores(
     shared = docs.sparkSession.sparkContext.broadcast((known, counts))
 
     def setup():
+        forget()
         listed, table = shared.value
         numbering, model = Numbering(listed), Model(len(listed), buckets, table)
 

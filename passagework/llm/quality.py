@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from passagework.llm.common import computed, fresh, per_worker, quoted, runs_of, texts, with_fields
 
 # Parameters of the scorer: hashed features, and how many documents it is trained on at most.
-FEATURES = 2048
+FEATURES = 1024
 SAMPLE_ROWS = 4096
 KEPT_FROM = 0.5
 RUN_CHARS = 1 << 20
-LEXICON_WORDS = 1 << 18
-FEW_WORDS = 8  # added to the length of a document: so many words say little
+LEXICON_WORDS = 1 << 17
+FEW_WORDS = 12  # added to the length of a document: so many words say little
 
 GOOD, BAD, NONE = 2, 0, 1
 
@@ -229,16 +229,18 @@ def features(run: Run, lexicon: Lexicon) -> np.ndarray:
 
 
 def train(rows: np.ndarray, labels: np.ndarray, good_share: float, rounds: int = 400, rate: float = 8.0, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels, each class weighted with its share of all documents."""
+    """Logistic regression on soft labels, each class weighted with its share of all documents.
+
+    The bias stays at the share of good documents, which decides where words say little.
+    """
     weights, bias = np.zeros(FEATURES), float(np.log(good_share / (1 - good_share)))
     good = labels >= 0.5
     if not good.any() or good.all():
         return weights, bias  # one class only: nothing to tell apart
     weight = np.where(good, good_share / good.sum(), (1 - good_share) / (~good).sum())
     for _ in range(rounds):
-        error = (1 / (1 + np.exp(-np.clip(rows @ weights + bias, -50, 50))) - labels) * weight
-        weights -= rate * (rows.T @ error + ridge * weights)
-        bias -= rate * 0.1 * error.sum()
+        error = (1 / (1 + np.exp(-np.clip(rows @ weights.astype(rows.dtype) + bias, -50, 50))) - labels) * weight
+        weights -= rate * (rows.T @ error.astype(rows.dtype) + ridge * weights)
     return weights, bias
 
 
@@ -296,7 +298,7 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_
     chosen = told.where(F.pmod(F.xxhash64("text", "id"), F.lit(1 << 20)) < rate)
     sample = chosen.select("made.label", "made.features").limit(2 * sample_rows).toArrow()
     rows = [np.frombuffer(r, np.float32) for r in sample["features"].to_pylist()]
-    matrix = np.stack(rows).astype(np.float64) if rows else np.zeros((0, FEATURES))
+    matrix = np.stack(rows) if rows else np.zeros((0, FEATURES), np.float32)
     share = float(np.clip(of_class[1] / sum(of_class), 0.05, 0.95))
     weights, bias = train(matrix, np.asarray(sample["label"], np.float64), share)
     return Classifier(model, weights, bias)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MEMO_ENTRIES = 1 << 18
+MEMO_ENTRIES = 1 << 17
 MEMO_KEY_CHARS = 64
 
 _loaded: dict = {}
@@ -22,14 +23,23 @@ def per_worker(key: object, make: Callable[[], object]) -> object:
     add to the memory of the next.
     """
     if key not in _loaded:
-        _loaded.clear()
+        forget()
         _loaded[key] = make()
     return _loaded[key]
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system; allocators keep it for themselves otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def forget() -> None:
     """For work that keeps nothing between tasks: let go of what an earlier stage kept."""
     _loaded.clear()
+    give_back()
 
 
 class Memo(dict):
@@ -111,6 +121,7 @@ def computed(fields: str, setup: Callable[[], Callable[[pa.Array], list[pa.Array
         work = setup()
         for batch in batches:
             yield pa.StructArray.from_arrays(work(batch), names=names)
+        give_back()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, f"struct<{fields}>").asNondeterministic()

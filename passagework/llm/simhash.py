@@ -32,7 +32,7 @@ PREFIX_BITS = 16
 SPLIT_BITS = 12
 SPLIT_ROWS = 1 << 18
 MADE_ROWS = 1 << 22  # rows a task makes, and rows a task reads, about
-READ_ROWS = 1 << 20
+READ_ROWS = 1 << 19
 TASK_VARIANTS = 1 << 20
 BLOCK_WORDS = 1 << 16
 
@@ -202,8 +202,8 @@ def links(fingerprints: DataFrame, max_bits: int = MAX_BITS, split_rows: int = S
     flips = [int(m) for m in masks(PREFIX_BITS, half)]
     # rows of a region: the fingerprints whose prefix is near; a table of 65,536 numbers at most
     counts = np.zeros(1 << PREFIX_BITS, np.int64)
-    for row in fingerprints.groupBy(prefix.alias("prefix")).count().collect():
-        counts[row["prefix"]] = row["count"]
+    found = fingerprints.groupBy(prefix.alias("prefix")).count().toArrow()
+    counts[np.asarray(found["prefix"])] = np.asarray(found["count"])
     every = np.arange(len(counts))
     rows = sum(counts[every ^ m] for m in flips)
     large = [(int(k),) for k in np.flatnonzero(rows > split_rows)]

@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and literals that reach a sensitive name.
 
-A text that mentions a sensitive word is lexed as source or configuration:
-names, assignment signs, literals, references and their concatenations. A name
+A text that mentions a word that can make a name sensitive is lexed as source
+or configuration: names, assignment signs, literals, references and their
+concatenations. A name
 that stands for a literal hands it on to whatever refers to it. A literal is
 reported if the score of the name it ends up under, times that of the literal
 itself, is high enough.
@@ -40,7 +41,9 @@ NAME_WORDS = {
     "public": -0.6, "count": -1.0, "limit": -1.0, "length": -1.0, "size": -1.0, "max": -1.0, "min": -1.0, "type": -0.8,
     "name": -0.6, "url": -0.5, "path": -0.5, "file": -0.5, "expiry": -0.8, "ttl": -0.8, "primary": -0.6, "foreign": -0.6,
 }
-TRIGGERS = ("passw", "passphrase", "pwd", "secret", "token", "apikey", "api_key", "api-key", "credential", "private_key", "privatekey", "access_key", "accesskey")
+# A name scores above 0 only with one of these in it, so no other text has a literal to report.
+RAISING = [w for w, score in NAME_WORDS.items() if score > 0]
+TRIGGERS = tuple(w for w in RAISING if not any(other != w and other in w for other in RAISING))
 PLACEHOLDER = re.compile(r"example|change.?me|your|placeholder|dummy|redacted|<.*>|^(.)\1*$|^(none|null|true|false|undefined)$", re.I)
 
 NAME = r"[A-Za-z_$][\w.\-]*+"
@@ -95,6 +98,8 @@ def literal_spans(text: str) -> list[Span]:
     known: dict[str, Constant] = {}
     found = set()
     pairs = [m for p in (PAIR, FLAG, TAG) for m in p.finditer(text)]
+    if not any(name_score(pair["name"]) >= REPORTED for pair in pairs):  # a literal scores 1 at most
+        return []
     for pair in sorted(pairs, key=lambda m: m.end()):
         name, at = pair["name"], pair.end()
         parts: Constant = []

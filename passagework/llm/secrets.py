@@ -14,6 +14,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,7 +45,10 @@ NAME_WORDS = {
 # A name scores above 0 only with one of these in it, so no other text has a literal to report.
 RAISING = [w for w, score in NAME_WORDS.items() if score > 0]
 TRIGGERS = tuple(w for w in RAISING if not any(other != w and other in w for other in RAISING))
-PLACEHOLDER = re.compile(r"example|change.?me|your|placeholder|dummy|redacted|<.*>|^(.)\1*$|^(none|null|true|false|undefined)$", re.I)
+INSIDE = r"example|change.?me|your|placeholder|dummy|redacted|<.*>"
+PLACEHOLDER = re.compile(rf"{INSIDE}|^(.)\1*$|^(none|null|true|false|undefined)$", re.I)
+INSIDE = re.compile(INSIDE, re.I)
+EDGE = 10  # one character less than the longest of these words
 
 NAME = r"[A-Za-z_$][\w.\-]*+"
 PAIR = re.compile(rf"""(?<![\w.\-$])(?P<name>{NAME})["']?\]?[ \t]*(?P<op>:=|=>|=(?!=)|:(?!:))[ \t]*""", re.ASCII)
@@ -78,57 +82,124 @@ def name_score(name: str) -> float:
     return min(1.0, max(0.0, sum(NAME_WORDS.get(w, 0.0) for w in words)))
 
 
+class Said:
+    """What the parts of a literal say when joined, as running counts, so that no joined text is ever made.
+
+    Counts are floats times ``2 ** scale``: names that refer to each other may double a literal without end.
+    """
+
+    __slots__ = ("size", "counts", "scale", "head", "tail", "inside")
+
+    def __init__(self, value: str = ""):
+        self.size = len(value)
+        self.counts: dict[str, float] = dict(Counter(value))
+        self.scale = 0
+        self.head, self.tail = value[:EDGE], value[-EDGE:]
+        self.inside = bool(INSIDE.search(value))
+
+    def add(self, other: Said) -> None:
+        self.inside = (
+            self.inside
+            or other.inside
+            or ("<" in self.counts and ">" in other.counts)
+            or bool(INSIDE.search(self.tail + other.head))
+        )
+        self.size = min(self.size + other.size, 1 << 60)  # only compared with small numbers
+        self.head, self.tail = (self.head + other.head)[:EDGE], (self.tail + other.tail)[-EDGE:]
+        added = other.counts
+        if self.scale != other.scale:
+            top = max(self.scale, other.scale)
+            added = {c: math.ldexp(n, other.scale - top) for c, n in added.items()}
+            self.counts = {c: math.ldexp(n, self.scale - top) for c, n in self.counts.items()}
+            self.scale = top
+        for c, n in added.items():
+            self.counts[c] = self.counts.get(c, 0) + n
+        if sum(self.counts.values()) > 2.0**500:
+            self.counts = {c: math.ldexp(n, -500) for c, n in self.counts.items()}
+            self.scale += 500
+
+    def score(self) -> float:
+        """How much a literal looks like a secret, 0 to 1."""
+        if self.size < 8 or self.inside or (self.size <= EDGE and PLACEHOLDER.search(self.head)):
+            return 0.0
+        if any(c.isspace() for c in self.counts) or len({c.lower() for c in self.counts}) == 1:
+            return 0.0
+        total = sum(self.counts.values())
+        bits = -sum(n / total * math.log2(n / total) for n in self.counts.values() if n)
+        kinds = {next((k for k in ("a-z", "A-Z", "0-9") if k[0] <= c <= k[2]), "other") for c in self.counts}
+        plain = 0.4 if len(kinds) == 1 and "0-9" not in kinds else 1.0  # a lone word
+        return plain * min(1.0, bits / 2.5)
+
+
 def literal_score(value: str) -> float:
-    """How much a literal looks like a secret, 0 to 1."""
-    if len(value) < 8 or PLACEHOLDER.search(value) or any(c.isspace() for c in value):
-        return 0.0
-    counts = Counter(value[:256])
-    total = sum(counts.values())
-    bits = -sum(n / total * math.log2(n / total) for n in counts.values())
-    classes = sum(bool(re.search(p, value[:256])) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
-    plain = 0.4 if classes == 1 and not re.search("[0-9]", value) else 1.0  # a lone word
-    return plain * min(1.0, bits / 2.5)
+    return Said(value).score()
+
+
+class Parts:
+    """Where the parts of a constant stand: its own, and those of the constants it refers to."""
 
+    __slots__ = ("own", "others", "reported")
 
-Constant = list[tuple[int, int, str]]  # where its parts stand, and what they say
+    def __init__(self):
+        self.own: list[tuple[int, int]] = []
+        self.others: list[Parts] = []
+        self.reported = False
+
+    def report(self) -> Iterator[tuple[int, int]]:
+        """Every part that was not reported before."""
+        left = [self]
+        while left:
+            parts = left.pop()
+            if not parts.reported:
+                parts.reported = True
+                yield from parts.own
+                left += parts.others
 
 
 def literal_spans(text: str) -> list[Span]:
-    """Literals that reach a sensitive name, directly or through other names."""
-    known: dict[str, Constant] = {}
+    """Literals that reach a sensitive name, directly or through other names.
+
+    All parts of a literal are scored together and reported together, however many and short they are.
+    """
+    known: dict[str, tuple[Parts, Said]] = {}
     found = set()
     pairs = [m for p in (PAIR, FLAG, TAG) for m in p.finditer(text)]
     if not any(name_score(pair["name"]) >= REPORTED for pair in pairs):  # a literal scores 1 at most
         return []
     for pair in sorted(pairs, key=lambda m: m.end()):
         name, at = pair["name"], pair.end()
-        parts: Constant = []
+        parts, said = Parts(), Said()
+
+        def literal(start: int, end: int, value: str) -> None:
+            if value:
+                parts.own.append((start, end))
+                said.add(Said(value))
+
+        def constant(ref: str) -> None:
+            if ref in known:
+                parts.others.append(known[ref][0])
+                said.add(known[ref][1])
+
         while term := TERM.match(text, at):
             if term["text"] is not None:
                 inner = term["text"]
-                parts.append((term.start("text"), term.end("text"), REFERENCE.sub("", inner)))
+                literal(term.start("text"), term.end("text"), REFERENCE.sub("", inner))
                 for ref in REFERENCE.finditer(inner):
-                    parts += known.get(ref[1] or ref[2], [])
+                    constant(ref[1] or ref[2])
             else:
                 word = term["ref"] or term["bare"].lstrip("$")
                 if word in known:
-                    parts += known[word]
-                elif term["bare"] and not re.fullmatch(NAME, word):
-                    parts.append((term.start("bare"), term.end("bare"), word))
-                elif term["bare"] and re.search("[0-9]", word):
-                    parts.append((term.start("bare"), term.end("bare"), word))
+                    constant(word)
+                elif term["bare"] and (not re.fullmatch(NAME, word) or re.search("[0-9]", word)):
+                    literal(term.start("bare"), term.end("bare"), word)
             more = PLUS.match(text, term.end())
             if not more:
                 break
             at = more.end()
-        if not parts or len(parts) > 64:
-            parts = parts[:64]
-        key = re.split(r"[.\-]", name)[-1]
-        if parts:
-            known[key] = parts
-        score = name_score(name) * literal_score("".join(value for _, _, value in parts))
-        if score >= REPORTED:
-            found |= {(a, z, "literal") for a, z, value in parts if z - a >= 4}
+        if parts.own or parts.others:
+            known[re.split(r"[.\-]", name)[-1]] = parts, said
+            if name_score(name) * said.score() >= REPORTED:
+                found |= {(a, z, "literal") for a, z in parts.report()}
     return list(found)
 
 

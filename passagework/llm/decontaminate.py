@@ -6,9 +6,16 @@ q-grams of a document and a passage are counted in overlapping bands of
 diagonals; bands that reach the bound are aligned, and what needs no more than
 k edits is a leak.
 
-Benchmark items are cut into overlapping windows, so part of an item is found
-as well. The windows are a query set that is stated beforehand: they go to the
-tasks in blocks of bounded size, and each block takes one scan of the documents.
+Benchmark items are cut into overlapping windows of two lengths, so part of an
+item is found as well. The next window is never further than the edits of one, so
+a verbatim excerpt is found wherever it begins: from 60 characters on it is no more
+than 5 edits from a window. The windows are a query set that is stated beforehand: they go
+to the tasks in blocks of bounded size, and each block takes one scan of the
+documents.
+
+Windows of an item share most q-grams. So each q-gram of an item is looked up
+once, in bands of diagonals of the item, and only what may reach the bound of a
+window there is counted for every window that holds it.
 """
 
 from __future__ import annotations
@@ -26,11 +33,13 @@ from passagework.llm.common import computed, fresh, per_worker, runs_of, texts
 from passagework.operators.ranking import ranges
 
 Q = 8
-WINDOW = 100  # characters of a passage that is looked for as a whole
-STRIDE = 50
+SHORT_Q = 4  # of the second count, before the alignment
+WINDOWS = (60, 100)  # characters of a passage that is looked for as a whole
 SHORTEST = 32  # shorter items are too common to be a leak
 ERRORS = 0.1  # edits per character
+WORD = 64  # characters of a window that is aligned in one machine word
 BLOCK_WINDOWS = 1 << 16
+NEIGHBOURS = 1 << 10  # windows of an item that begin in so many characters go in one block
 RUN_CHARS = 1 << 20
 RUN_PAIRS = 1 << 19
 TABLE_BITS = 22
@@ -42,12 +51,20 @@ def normal(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def windows(text: str) -> list[str]:
+def cuts(text: str) -> list[tuple[int, str]]:
+    """The windows of a text and where they begin: of each length, or the whole text if it is shorter."""
     text = normal(text)
     if len(text) < SHORTEST:
         return []
-    starts = [*range(0, max(len(text) - WINDOW, 0), STRIDE), max(len(text) - WINDOW, 0)]
-    return [text[s : s + WINDOW] for s in starts]
+    found = set()
+    for length in WINDOWS:
+        last = max(len(text) - length, 0)
+        found |= {(start, length) for start in (*range(0, last, int(length * ERRORS)), last)}
+    return [(start, text[start : start + length]) for start, length in sorted(found) if length <= len(text) or length == WINDOWS[0]]
+
+
+def windows(text: str) -> list[str]:
+    return [passage for _, passage in cuts(text)]
 
 
 def codes(chars: np.ndarray) -> np.ndarray:
@@ -71,23 +88,51 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def tally(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys, how often each is there, and how often the key that follows it is."""
+    if len(keys) == 1:
+        key, total = keys[0], counts[0]
+    else:
+        key, back = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_inverse=True)
+        total = np.bincount(back, np.concatenate([np.zeros(0), *counts])).astype(np.int64)
+    after = np.zeros_like(total)
+    after[:-1] = np.where(key[1:] == key[:-1] + 1, total[1:], 0)
+    return key, total, after
+
+
 class WindowIndex:
-    """The q-grams of the windows of one block."""
+    """The q-grams of the windows of one block. ``starts`` says where a window begins in its item."""
 
-    def __init__(self, items: list[int], passages: list[str]):
+    def __init__(self, items: list[int], passages: list[str], starts: list[int] | None = None):
         self.items = np.array(items, np.int64)
         self.chars = [code_points(p) for p in passages]
         self.length = np.array([len(c) for c in self.chars], np.int64)
         self.edits = (self.length * ERRORS).astype(np.int64)
         self.bound = self.length + 1 - Q * (self.edits + 1)
-        self.reach = 2 * int(self.edits.max(initial=0)) + 1  # diagonals of one occurrence
+        self.reach = 2 * self.edits + 1  # diagonals of one occurrence
+        self.widest = int(self.reach.max(initial=1))
+        # windows of an item are a group; if it is not known where they begin, each is one of its own
+        group = np.arange(len(items)) if starts is None else np.unique(self.items, return_inverse=True)[1]
+        self.start = np.zeros(len(items), np.int64) if starts is None else np.array(starts, np.int64)
+        self.least = np.full(len(items), 1 << 30)
+        np.minimum.at(self.least, group, self.bound)
         found = [codes(c) for c in self.chars]
         window = np.repeat(np.arange(len(found)), [len(f) for f in found])
         place = np.concatenate([np.arange(len(f)) for f in found]) if found else np.zeros(0, np.int64)
         every = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        order = np.argsort(every, kind="stable")
-        self.window, self.place = window[order], place[order]
-        self.codes, self.first, self.times = np.unique(every[order], return_index=True, return_counts=True)
+        # entries: a q-gram at a place of a group; each has its windows
+        entry_place = place + self.start[window]
+        order = np.lexsort((entry_place, group[window], every))
+        window, place, every, entry_place = window[order], place[order], every[order], entry_place[order]
+        own = group[window]
+        new = np.ones(len(every), bool)
+        new[1:] = (every[1:] != every[:-1]) | (own[1:] != own[:-1]) | (entry_place[1:] != entry_place[:-1])
+        at = np.flatnonzero(new)
+        self.window, self.place = window, place
+        self.window_first, self.window_times = at, np.diff(np.r_[at, len(every)])
+        self.group, self.group_place = own[at], entry_place[at]
+        self.room = int(self.group_place.max(initial=0)) + 1
+        self.codes, self.first, self.times = np.unique(every[at], return_index=True, return_counts=True)
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[self._slot(self.codes)] = True
 
@@ -102,70 +147,154 @@ class WindowIndex:
         true = self.codes[number] == code[at] if len(self.codes) else np.zeros(0, bool)
         return at[true], number[true]
 
+    def near(self, chars: np.ndarray, doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Text positions and entries in bands of a group that hold as many as a window of it must."""
+        at, number = self.hits(codes(chars))
+        times = self.times[number]
+        ends = np.cumsum(times)
+        bands = (len(chars) + self.room) // self.widest + 4
+        keys, counts = [], []
+
+        def part_of(begin: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+            done = ends[begin - 1] if begin else 0
+            upto = max(int(np.searchsorted(ends, done + RUN_PAIRS, "right")), begin + 1)
+            part = slice(begin, upto)
+            entry = ranges(self.first[number[part]], times[part])
+            text_at = np.repeat(at[part], times[part])
+            own = doc[text_at]
+            band = (text_at - first[own] - self.group_place[entry] + self.room) // self.widest
+            return upto, text_at, entry, (own * len(self.length) + self.group[entry]) * bands + band
+
+        begin = 0
+        while begin < len(at):
+            begin, _, _, key = part_of(begin)
+            key, n = np.unique(key, return_counts=True)
+            keys.append(key)
+            counts.append(n)
+        key, total, after = tally(keys, counts)
+        # an occurrence lies in one band or in two that follow each other
+        enough = total + after >= self.least[key // bands % len(self.length)]
+        enough[1:] |= enough[:-1] & (after[:-1] > 0)
+        passed = key[enough]
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        begin = 0
+        while begin < len(at) and len(passed):
+            begin, text_at, entry, key = part_of(begin)
+            found = passed[np.minimum(np.searchsorted(passed, key), len(passed) - 1)] == key
+            kept.append((text_at[found], entry[found]))
+        if not kept:
+            return (np.zeros(0, np.int64),) * 2
+        return np.concatenate([t for t, _ in kept]), np.concatenate([e for _, e in kept])
+
     def candidates(self, chars: np.ndarray, doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
         """``doc, window, band`` that reach the bound, of texts laid end to end.
 
         ``doc`` numbers the text of each character, ``first`` is where a text begins.
         """
-        at, number = self.hits(codes(chars))
-        times = self.times[number]
+        at, held = self.near(chars, doc, first)
+        times = self.window_times[held]
         ends = np.cumsum(times)
         keys, counts = [], []
         begin = 0
-        bands = 2 * (len(chars) // self.reach + 4)
+        bands = 2 * (len(chars) + WINDOWS[-1]) // int(self.reach.min(initial=1)) + 8
         while begin < len(at):
             done = ends[begin - 1] if begin else 0
             upto = max(int(np.searchsorted(ends, done + RUN_PAIRS, "right")), begin + 1)
             part = slice(begin, upto)
-            entry = ranges(self.first[number[part]], times[part])
+            entry = ranges(self.window_first[held[part]], times[part])
             text_at = np.repeat(at[part], times[part])
             window, place = self.window[entry], self.place[entry]
             own = doc[text_at]
-            diagonal = text_at - first[own] - place + WINDOW  # not negative
-            band = diagonal // self.reach
-            for b in (band, band + 1):  # band b holds the diagonals from (b - 1) * reach to (b + 1) * reach
-                key, n = np.unique((own * len(self.length) + window) * bands + b, return_counts=True)
-                keys.append(key)
-                counts.append(n)
+            diagonal = text_at - first[own] - place + WINDOWS[-1]  # not negative
+            key, n = np.unique((own * len(self.length) + window) * bands + diagonal // self.reach[window], return_counts=True)
+            keys.append(key)
+            counts.append(n)
             begin = upto
-        if not keys:
-            return (np.zeros(0, np.int64),) * 3
-        key, back = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(back, np.concatenate(counts))
+        key, total, after = tally(keys, counts)
         rest, band = np.divmod(key, bands)
         own, window = np.divmod(rest, len(self.length))
-        enough = total >= self.bound[window]
-        return own[enough], window[enough], band[enough]
+        enough = total + after >= self.bound[window]
+        return own[enough], window[enough], band[enough] + 1  # band b holds the diagonals from (b - 1) * reach to (b + 1) * reach
 
     def align(self, chars: np.ndarray, size: np.ndarray, first: np.ndarray, own: np.ndarray, window: np.ndarray, band: np.ndarray) -> np.ndarray:
-        """Least edits of each window against its band, by alignment along the diagonals."""
+        """Least edits of each window against its band."""
         least = np.empty(len(own), np.int64)
         order = np.argsort(self.length[window], kind="stable")
-        slack = (self.reach - 1) // 2
-        width = 2 * self.reach + 2 * slack
-        across = np.arange(width)
-        for begin in range(0, len(own), ALIGNED_AT_ONCE):
-            part = order[begin : begin + ALIGNED_AT_ONCE]
-            longest = int(self.length[window[part]].max())
-            pattern = np.zeros((len(part), longest), np.uint32)
-            for row, w in enumerate(window[part]):
-                pattern[row, : self.length[w]] = self.chars[w]
-            from_text = (band[part] - 1) * self.reach - WINDOW - slack  # the first diagonal
-            cost = np.zeros((len(part), width), np.int64)
-            found = np.full(len(part), 1 << 30)
-            for row in range(longest):
-                place = from_text[:, None] + row + across
-                inside = (place >= 0) & (place < size[own[part]][:, None])
-                text = chars[np.where(inside, first[own[part]][:, None] + place, 0)]
-                other = ~inside | (text != pattern[:, row : row + 1])
-                skipped = np.c_[cost[:, 1:], np.full(len(part), 1 << 20)] + 1
-                cost = np.minimum(cost + other, skipped)
-                cost = np.minimum.accumulate(cost - across, axis=1) + across
-                ended = self.length[window[part]] == row + 1
-                found[ended] = cost[ended].min(axis=1)
-            least[part] = found
+        lengths, begins = np.unique(self.length[window[order]], return_index=True)
+        for length, same in zip(lengths, np.split(order, begins[1:])):
+            by = self._by_word if length <= WORD else self._by_diagonals
+            for begin in range(0, len(same), ALIGNED_AT_ONCE):
+                part = same[begin : begin + ALIGNED_AT_ONCE]
+                pattern = np.stack([self.chars[w] for w in window[part]])
+                reach = int(self.reach[window[part[0]]])
+                from_text = (band[part] - 1) * reach - WINDOWS[-1]  # the first diagonal
+                where = size[own[part]], first[own[part]]
+                may = self._shares(pattern, reach, from_text, chars, *where)
+                least[part] = length
+                least[part[may]] = by(pattern[may], reach, from_text[may], chars, *(w[may] for w in where))
         return least
 
+    @staticmethod
+    def _shares(pattern: np.ndarray, reach: int, from_text: np.ndarray, chars: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Which windows keep as many shorter q-grams in their band as the lemma asks for."""
+        n, length = pattern.shape
+        grams = length + 1 - SHORT_Q
+        place = from_text + np.arange(length + 2 * reach)[:, None]
+        inside = (place >= 0) & (place < size)
+        text = np.where(inside, chars[np.where(inside, first + place, 0)], 0)
+
+        def short(c: np.ndarray) -> np.ndarray:
+            byte = (c ^ (c >> 8)).astype(np.uint8).astype(np.uint32)
+            return sum(byte[i : len(byte) + 1 - SHORT_Q + i] << np.uint32(8 * i) for i in range(SHORT_Q))
+
+        own, other = short(np.ascontiguousarray(pattern.T)), short(text)
+        kept = np.zeros(n, np.int64)
+        for row in range(grams):
+            kept += (other[row : row + 2 * reach] == own[row]).any(axis=0)
+        return kept >= grams - SHORT_Q * ((reach - 1) // 2)
+
+    @staticmethod
+    def _by_word(pattern: np.ndarray, reach: int, from_text: np.ndarray, chars: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Alignment column by column, the differences down a column as bits (Myers 1999)."""
+        n, length = pattern.shape
+        slack = (reach - 1) // 2
+        one, top = np.uint64(1), np.uint64(length - 1)
+        plus, minus = np.full(n, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(n, np.uint64)
+        cost = np.full(n, length)
+        least = cost.copy()
+        same = np.zeros((n, WORD), bool)
+        for column in range(length + 2 * reach + 2 * slack):
+            place = from_text - slack + column
+            inside = (place >= 0) & (place < size)
+            text = chars[np.where(inside, first + place, 0)]
+            same[:, :length] = inside[:, None] & (pattern == text[:, None])
+            equal = np.packbits(same, axis=1, bitorder="little").view("<u8")[:, 0]
+            vertical = equal | minus
+            across = (((equal & plus) + plus) ^ plus) | equal
+            up, down = minus | ~(across | plus), plus & across
+            cost = cost + ((up >> top) & one).astype(np.int64) - ((down >> top) & one).astype(np.int64)
+            up, down = up << one, down << one
+            plus, minus = down | ~(vertical | up), up & vertical
+            least = np.minimum(least, cost)
+        return least
+
+    @staticmethod
+    def _by_diagonals(pattern: np.ndarray, reach: int, from_text: np.ndarray, chars: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Alignment row by row along the diagonals of the band."""
+        slack = (reach - 1) // 2
+        width = 2 * reach + 2 * slack
+        across = np.arange(width)
+        cost = np.zeros((len(pattern), width), np.int64)
+        for row in range(pattern.shape[1]):
+            place = (from_text - slack)[:, None] + row + across
+            inside = (place >= 0) & (place < size[:, None])
+            text = chars[np.where(inside, first[:, None] + place, 0)]
+            other = ~inside | (text != pattern[:, row : row + 1])
+            skipped = np.c_[cost[:, 1:], np.full(len(pattern), 1 << 20)] + 1
+            cost = np.minimum(cost + other, skipped)
+            cost = np.minimum.accumulate(cost - across, axis=1) + across
+        return cost.min(axis=1)
+
     def leaks(self, run: list[str]) -> list[list[tuple[int, int, int]]]:
         """``item, windows found, least edits`` for every text."""
         found: list[list[tuple[int, int, int]]] = [[] for _ in run]
@@ -193,32 +322,35 @@ class WindowIndex:
 
 
 FIELDS = "leaks: array<struct<item_id: bigint, n_windows: bigint, edits: bigint>>"
+Block = tuple[list[int], list[str], list[int]]  # items, windows, where they begin
 LEAKS = pa.list_(pa.struct([("item_id", pa.int64()), ("n_windows", pa.int64()), ("edits", pa.int64())]))
 
 
-def window_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[tuple[list[int], list[str]]]:
+def window_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Block]:
     """The windows of all items, in blocks of about ``BLOCK_WINDOWS`` rows. Items without id or text have none."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
-                (item, number, passage)
+                (item, start, passage)
                 for item, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)))
-                for number, passage in enumerate(windows(text))
+                for start, passage in cuts(text)
             ]
             columns = zip(*rows) if rows else [[]] * 3
             kinds = (pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["item", "number", "passage"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["item", "start", "passage"])
 
     named = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint"), F.col(text_col))
-    every = named.mapInArrow(cut, "item bigint, number bigint, passage string").distinct()
-    blocks = max(1, -(-every.count() // BLOCK_WINDOWS))
+    every = named.mapInArrow(cut, "item bigint, start bigint, passage string").distinct()
+    piece = F.floor(F.col("start") / NEIGHBOURS)
+    size = every.agg(F.count(F.lit(1)).alias("windows"), F.count_distinct("item", piece).alias("pieces")).first()
+    blocks = max(1, min(-(-size["windows"] // BLOCK_WINDOWS), size["pieces"]))
     for block in range(blocks):
-        mine = every.where(F.pmod(F.xxhash64("item", "number"), F.lit(blocks)) == block).toArrow()
-        yield mine["item"].to_pylist(), mine["passage"].to_pylist()
+        mine = every.where(F.pmod(F.xxhash64("item", piece), F.lit(blocks)) == block).toArrow()
+        yield mine["item"].to_pylist(), mine["passage"].to_pylist(), mine["start"].to_pylist()
 
 
-def with_leaks(docs: DataFrame, name: str, block: tuple[list[int], list[str]], text_col: str = "text") -> DataFrame:
+def with_leaks(docs: DataFrame, name: str, block: Block, text_col: str = "text") -> DataFrame:
     """Adds the array of leaks found with the windows of one block."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
     key = uuid.uuid4().hex

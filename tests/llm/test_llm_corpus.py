@@ -93,6 +93,32 @@ def test_every_planted_passage_is_found(spark, sf_dir):
     assert want and got == want
 
 
+def test_verbatim_excerpts_are_found_at_every_offset():
+    """Without windows(): an excerpt of the item stands in a text or it does not."""
+    item = prose(300, 40)
+    index = decontaminate.WindowIndex(*zip(*[(7, w, s) for s, w in decontaminate.cuts(item)]))
+    for length in (60, 80, 100):
+        texts = [f"{prose(301, 30)} | {item[at : at + length].strip()} | {prose(302, 30)}" for at in range(len(item) - length + 1)]
+        texts += [prose(303, 90), prose(304, 90)]
+        got = [bool(found) for found in index.leaks(texts)]
+        assert got == [True] * (len(texts) - 2) + [False] * 2
+
+
+def test_alignments_equal_plain_alignment():
+    items = [prose(400 + i, 30) for i in range(4)] + [prose(410, 7)]
+    rows = [(i, w, s) for i, t in enumerate(items) for s, w in decontaminate.cuts(t)]
+    index = decontaminate.WindowIndex(*zip(*rows))
+    for d in range(12):
+        piece = edited(items[d % 5], (2, 5, 9, 14)[d % 4], d)
+        text = decontaminate.normal(f"{prose(420 + d, 20)} {piece} {prose(440 + d, 20)}")
+        want = {}
+        for i, w, _ in rows:
+            if (least := least_edits(w, text)) <= int(len(w) * decontaminate.ERRORS):
+                n, best = want.get(i, (0, 1000))
+                want[i] = n + 1, min(best, least)
+        assert {i: (n, e) for i, n, e in index.leaks([text])[0]} == want
+
+
 def test_leaks_of_odd_rows(spark, odd_docs, no_docs, odd_rows):
     items = spark.createDataFrame([(1, odd_rows[3][1]), (2, None), (None, odd_rows[3][1]), (3, "")], "item_id bigint, text string")
     rows = decontaminate.leaks(odd_docs, items).collect()

@@ -46,6 +46,13 @@ SENTENCES = {
     "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "cc0-ref",
 }
 
+# The same sentences as the official notices have them: joined, or with another address.
+NOTICES = {
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": "apache2-ref,apache2-use",
+    "you may obtain a copy of the license at": "apache2-copy",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache2-copy",
+}
+
 # The rules in their order; the earlier and longer go first.
 RULES = [
     ("GPL-3.0-or-later", ["gpl3-later", "gpl-warranty", "gpl-see"]),
@@ -75,10 +82,31 @@ KEYWORDS = [
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MARK = "\x01"  # stands between sentences
-# a sentence ends at a full stop and a blank, at an empty line, and where a new line starts with a capital
+# for the SQL: a sentence ends at a full stop and a blank, at an empty line, and where a new line starts with a capital
 ENDS = [(r"([.!?])[ \t\r\n]+", 1), (r"\n[ \t\r]*\n", 0), (r"\n([ \t/*#;-]*[A-Z])", 2)]
 
 
+def _wrapped() -> str:
+    """A line end within a known sentence: the words around it follow each other there."""
+    before: dict[str, set[str]] = {}
+    for sentence in (*SENTENCES, *NOTICES):
+        words = sentence.split()
+        for first, second in zip(words, words[1:]):
+            before.setdefault(second, set()).add(first)
+    pairs = [rf"(?=[ \t/*#;-]*{second}\b)(?<=\b(?:{'|'.join(sorted(firsts))})[^a-zA-Z0-9\n]{{0,8}}\n)" for second, firsts in sorted(before.items())]
+    return rf"(?i)\n(?:{'|'.join(pairs)})"
+
+
+# The ends as they are in real notices, in their order: "v. 2.0" goes on, an address belongs to what stands
+# above it, and a line that is wrapped within a known sentence goes on even before a capital.
+CUTS = [
+    (r"((?<!\b[vV])[.!?])[ \t\r\n]+", "$1" + MARK),
+    (r"\n[ \t\r]*\n(?![ \t\r\n]*https?://)", MARK),
+    (_wrapped(), " "),
+    (r"\n([ \t/*#;-]*[A-Z])", MARK + "$1"),
+]
+
+
 def _mentions(text: Column) -> Column:
     found = F.lit(False)
     for word in KEYWORDS:
@@ -91,8 +119,8 @@ def _key(ids: list[str]) -> str:
 
 
 def sentences(text: Column) -> Column:
-    for pattern, group in ENDS:
-        text = F.regexp_replace(text, pattern, {0: MARK, 1: "$1" + MARK, 2: MARK + "$1"}[group])
+    for pattern, to in CUTS:
+        text = F.regexp_replace(text, pattern, to)
     return F.split(text, MARK, -1)
 
 
@@ -103,7 +131,7 @@ def with_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     known counts as unknown and stands between those around it. A null or empty
     text has empty strings and 0. Repeated rows are judged alike, each on its own.
     """
-    known = F.create_map(*[F.lit(x) for x in chain.from_iterable(SENTENCES.items())])
+    known = F.create_map(*[F.lit(x) for x in chain.from_iterable({**SENTENCES, **NOTICES}.items())])
     rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_key(ids)).alias("ids")) for name, ids in RULES])
     empty = F.array().cast("array<string>")
 
@@ -135,7 +163,7 @@ def with_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in DuckDB: one step per rule."""
+    """The same in DuckDB for notices whose sentences are not wrapped before capitals: one step per rule."""
     mark = "chr(1)"
     text = "coalesce(text, '')"
     for pattern, group in ENDS:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -48,6 +49,52 @@ def test_licenses(texts_table, text, found, unknown):
     assert (row.licenses, row.n_unknown) == (found, unknown)
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+GPL = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+NOTICES = [
+    (APACHE, "Apache-2.0", "apache2-ref,apache2-use,apache2-copy,apache2-asis,apache2-see"),
+    (MPL, "MPL-2.0", "mpl2-ref"),
+    (GPL, "GPL-2.0-or-later", "gpl2-later,gpl-warranty,gpl-see"),
+    (GPL.replace("version 2", "version 3"), "GPL-3.0-or-later", "gpl3-later,gpl-warranty,gpl-see"),
+    (MIT, "MIT", "mit-grant,mit-notice"),
+]
+
+
+def test_official_notices(texts_table):
+    """As they are, in comments, and wrapped at other widths."""
+    cases = []
+    for notice, name, ids in NOTICES:
+        cases.append((notice, name, ids))
+        for lead in ("# ", "// ", " * "):
+            cases.append(("\n".join((lead + line).rstrip() for line in notice.split("\n")), name, ids))
+        for width in (30, 41, 53, 64, 72, 100):
+            cases.append(("\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in notice.split("\n\n")), name, ids))
+    rows = licenses.with_licenses(texts_table([c[0] for c in cases])).orderBy("doc_id").collect()
+    for row, (text, name, ids) in zip(rows, cases):
+        assert (row.licenses, row.sentence_ids) == (name, ids), text
+
+
 def test_license_rules_are_ordered(texts_table):
     sentences = {i: s for s, i in licenses.SENTENCES.items()}
     for name, ids in licenses.RULES:

@@ -389,8 +389,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that hold no passage of an item, with all their columns."""
+    """The documents that hold no passage of an item, with all their columns. Items need no id here."""
     (name,) = fresh(docs, "leaks")
-    for block in window_blocks(items):
+    for block in window_blocks(items.select(F.xxhash64("text").alias("item_id"), "text")):
         docs = with_leaks(docs, name, block, text_col).where(F.size(name) == 0).drop(name)
     return docs

@@ -130,6 +130,12 @@ def test_leaks_of_odd_rows(spark, odd_docs, no_docs, odd_rows):
     assert decontaminate.without_leaks(odd_docs, items.limit(0)).count() == len(odd_rows)
 
 
+def test_items_without_id_take_their_documents_out(spark, texts_table):
+    items = spark.createDataFrame([(None, prose(1, 30)), (None, prose(2, 30)), (3, None)], "item_id bigint, text string")
+    docs = texts_table([prose(1, 30) + " end", prose(9, 40), "start " + prose(2, 30)])
+    assert [r.doc_id for r in decontaminate.without_leaks(docs, items).collect()] == [1]
+
+
 # language models
 
 

@@ -12,6 +12,8 @@ from passagework.llm import (
     fertility,
     licenses,
     lm_score,
+    merkle,
+    negatives,
     packing,
     quality,
     secrets,
@@ -74,6 +76,22 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth row is an anchor; every seventh has another label than the table says."""
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    label = F.col("label").cast("bigint")
+    rows = table.where(negatives.usable(F.col("embedding"))).select(
+        F.col("vec_id").alias("id"),
+        F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"),
+        negatives.whole_numbers(F.col("embedding")).alias("vector"),
+    )
+    return negatives.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_pack,
@@ -86,8 +104,15 @@ def queries() -> dict[str, Query]:
         op8_decontaminate,
         op9_lm_score,
         op10_token_count,
+        op11_hard_negatives,
+        op12_merkle,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licenses": licenses.oracle(), "op7_url_filter": url_filter.oracle()}
+    return {
+        "op2_licenses": licenses.oracle(),
+        "op7_url_filter": url_filter.oracle(),
+        "op11_hard_negatives": negatives.oracle(),
+        "op12_merkle": merkle.oracle(),
+    }

@@ -16,6 +16,7 @@ from passagework.llm import (
     negatives,
     packing,
     quality,
+    repeats,
     secrets,
     simhash,
     token_count,
@@ -92,6 +93,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_pack,
@@ -106,6 +111,7 @@ def queries() -> dict[str, Query]:
         op10_token_count,
         op11_hard_negatives,
         op12_merkle,
+        op13_repeats,
     )}
 
 

@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from passagework.functions import sentence_model as sm
 from passagework.functions import text as tx
 from passagework.functions import vectors as vx
 from passagework.functions.encoders import AsciiHashingEncoder, HashingEncoder
@@ -147,6 +148,20 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("doc_id", "page_number", F.posexplode("sentences").alias("pos", "sentence"))
 
 
+@registered
+def sentence_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The abbreviations and sentence starters that the documents themselves show."""
+    table = sm.train(line_pages(spark, sf_dir)).table
+    return table.withColumn("score", F.round("score", DIGITS))
+
+
+@registered
+def sentences_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = line_pages(spark, sf_dir)
+    split = sm.with_trained_sentences(pages, sm.train(pages))
+    return split.select("doc_id", "page_number", F.posexplode("sentences").alias("pos", "sentence"))
+
+
 @registered
 def sentence_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ch.with_sentences(line_pages(spark, sf_dir)).select("doc_id", "page_number", "page_sentence_count")

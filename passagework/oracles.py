@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from passagework.catalog import QUESTION, QUESTIONS, ROUTED_QUESTION
+from passagework.functions.sentence_model import EDGE
 from passagework.operators.prompt import DEFAULT_TEMPLATE
 
 
@@ -28,6 +29,53 @@ s AS (SELECT * EXCLUDE (text), list_filter(string_split(
       FROM pages)"""
 
 
+def _log_share(hits: str, tries: str, share: str) -> str:
+    some = f"CASE WHEN {hits} > 0 THEN {hits} * ln({share}) ELSE 0 END"
+    return f"({some} + CASE WHEN {tries} - {hits} > 0 THEN ({tries} - {hits}) * ln(1 - {share}) ELSE 0 END)"
+
+
+def _type(word: str) -> str:
+    return f"lower(trim({word}, {_quote(EDGE)}))"
+
+
+# words of a page, their types with and without a full stop, and what follows sentence ends
+SENTENCE_MODEL = rf"""
+w AS (SELECT doc_id, page_number, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS words FROM pages),
+t AS (SELECT {_type("word")} AS type, count(*) FILTER (suffix(word, '.')) AS stopped, count(*) AS total
+      FROM (SELECT unnest(words) AS word FROM w) WHERE regexp_matches({_type("word")}, '\p{{L}}') GROUP BY 1),
+n AS (SELECT sum(total)::DOUBLE AS words, sum(stopped) / sum(total) AS share FROM t),
+a AS (SELECT type, stopped AS seen, total,
+             2 * (stopped * ln(0.99 / share) + (total - stopped) * ln((1 - 0.99) / (1 - share)))
+             * exp(-length(replace(type, '.', ''))) * (length(type) - length(replace(type, '.', '')) + 1)
+             * pow(length(replace(type, '.', '')), stopped - total) AS score
+      FROM t, n WHERE stopped >= 3 AND share > 0 AND share < 1 AND score >= 0.3),
+f AS (SELECT {_type("p.word")} AS type, count(*) AS seen
+      FROM (SELECT unnest(list_zip(words[1:len(words) - 1], words[2:])) AS z, {{'before': z[1], 'word': z[2]}} AS p
+            FROM w WHERE len(words) > 1)
+      WHERE regexp_matches(p.before, '[.!?]$') AND regexp_matches({_type("p.word")}, '\p{{L}}')
+        AND NOT (suffix(p.before, '.') AND {_type("p.before")} IN (SELECT type FROM a)) GROUP BY 1),
+m AS (SELECT sum(seen)::DOUBLE AS ends FROM f),
+b AS (SELECT type, seen, total,
+             2 * ({_log_share("seen", "ends", "(seen / ends)")}
+                  + {_log_share("(total - seen)", "(words - ends)", "((total - seen) / (words - ends))")}
+                  - {_log_share("seen", "ends", "(total / words)")}
+                  - {_log_share("(total - seen)", "(words - ends)", "(total / words)")}) AS score
+      FROM f JOIN t USING (type), n, m WHERE seen >= 3 AND seen / ends > total / words AND score >= 30),
+model AS (SELECT 'abbreviation' AS kind, * FROM a UNION ALL SELECT 'starter', * FROM b)"""
+
+# pieces up to every possible end, numbered anew at every end that is one
+TRAINED_SENTENCES = rf"""
+c AS (SELECT doc_id, page_number, list_filter(string_split(
+             regexp_replace(text, '([.!?]\s+)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM pages),
+e AS (SELECT doc_id, page_number, unnest(parts) AS part, generate_subscripts(parts, 1) AS i,
+             unnest(parts[2:] || ['']) AS following FROM c),
+g AS (SELECT *, suffix(rtrim(part), '.') AND {_type("regexp_extract(part, '(\S+)\s*$', 1)")} IN (SELECT type FROM a)
+             AND NOT (regexp_matches(following, '^\p{{Lu}}')
+                      AND {_type("regexp_extract(following, '^\S+')")} IN (SELECT type FROM b)) AS goes_on FROM e),
+k AS (SELECT *, coalesce(sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (
+             PARTITION BY doc_id, page_number ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM g)"""
+
+
 def _chunks(size: int = 10, pages: str = LINE_PAGES) -> str:
     return (
         pages
@@ -130,6 +178,10 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT doc_id, CAST(0 AS INTEGER), NULL, 'UnicodeDecodeError' FROM refused""",
         "sentences": f"""{with_sentences} SELECT doc_id, page_number, unnest(sentences) AS sentence,
             CAST(generate_subscripts(sentences, 1) - 1 AS INTEGER) AS pos FROM s""",
+        "sentence_model": f"{lines}, {SENTENCE_MODEL} SELECT kind, type, seen, total, round(score, 5) AS score FROM model",
+        "sentences_trained": f"""{lines}, {SENTENCE_MODEL}, {TRAINED_SENTENCES}
+            SELECT doc_id, page_number, CAST(pos AS INTEGER) AS pos, rtrim(string_agg(part, '' ORDER BY i)) AS sentence
+            FROM k GROUP BY doc_id, page_number, pos""",
         "sentence_count": f"""{with_sentences}
             SELECT doc_id, page_number, CAST(len(sentences) AS BIGINT) AS page_sentence_count FROM s""",
         "chunk_groups": f"""{chunks} SELECT {KEYS}, unnest(parts) AS sentence,

@@ -214,7 +214,7 @@ def trained_splitter(model: SentenceModel, most: int = PLAN_TYPES) -> Splitter:
         def merged(parts: Column) -> Column:
             return _merged(parts, lambda i: _together(F.get(parts, i), F.get(parts, i + 1), among(short), among(first)))
 
-        return _bound(fragments(text), merged)
+        return F.when(text.isNotNull(), _bound(fragments(text), merged))
 
     return split
 

@@ -16,15 +16,17 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagework.llm.common import per_worker, texts
+from passagework.llm.common import per_worker, runs_of
 from passagework.llm.tokens import WordIds
 from passagework.session import scratch_path
 
@@ -34,6 +36,7 @@ WINDOW = 2048
 UNIT = 8  # pieces may be cut at multiples of this many ids, where a running checksum is kept
 SHORTEST = 128  # shorter pieces fill the rest, where rounding up costs nothing
 DEPTH = 3
+RUN_BYTES = 1 << 23  # of text that is encoded at once
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
@@ -72,14 +75,23 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, end_id: int =
     """One row per whole window and per rest, with its rank among equally long ones of its task."""
     end = np.array([end_id], "<u4").tobytes()
 
+    def runs(batch: pa.RecordBatch) -> Iterator[tuple[list, pa.Array]]:
+        """Rows whose texts are about ``RUN_BYTES`` together, so that a batch of long texts is not encoded at once."""
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0))
+        for rows in runs_of(list(range(len(sizes))), lambda i: int(sizes[i]), RUN_BYTES):
+            part = batch.slice(rows[0], len(rows))
+            yield part.column(0).to_pylist(), part.column(1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = per_worker(("word ids", path), lambda: WordIds(path))
         task = TaskContext.get().partitionId()
         seen = [0] * (window + 1)
-        for batch in batches:
+        for named, batch in chain.from_iterable(map(runs, batches)):
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-                ids = words.ids(text) + end
+            found, bounds = words.of_batch(batch)
+            raw = memoryview(found).cast("B")
+            for doc, a, z in zip(named, bounds[:-1].tolist(), bounds[1:].tolist()):
+                ids = bytes(raw[4 * a : 4 * z]) + end
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     part = ids[4 * start : 4 * (start + window)]

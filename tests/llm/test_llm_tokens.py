@@ -5,10 +5,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from passagework.llm import packing
+from passagework.llm import packing, tokens
 from passagework.llm.catalog import documents, op1_pack, op10_token_count
 from passagework.llm.common import Memo
 from passagework.llm.token_count import with_token_counts
@@ -31,8 +32,22 @@ def library_ids(text, path):
 
 def test_word_ids_equal_the_library():
     words, library = WordIds(WORD_PATH), Tokenizer.from_file(WORD_PATH)
-    for text in strange_texts():
-        assert np.frombuffer(words.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    texts = [None, *strange_texts(), " ", "", "\n\n"]
+    ids, bounds = words.of_batch(pa.array(texts, pa.string()))
+    assert (bounds[0], bounds[-1], len(bounds)) == (0, len(ids), len(texts) + 1)
+    for text, a, z in zip(texts, bounds, bounds[1:]):
+        assert ids[a:z].tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+    assert words._encoded(list(words.given)) == list(words.given.values())
+
+
+def test_word_ids_are_forgotten_but_stay_right(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_ENTRIES", 5)
+    words, library = WordIds(WORD_PATH), Tokenizer.from_file(WORD_PATH)
+    texts = ["qqa, qqb qqc", "qqd qqe. qqf qqg qqh qqi", "qqa qqb; " + "zx" * 60, "Qqe QQF! " + "zx" * 60]
+    for text in texts * 2:
+        ids, _ = words.of_batch(pa.array([text]))
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(words.young) <= 5 and len(words.old) <= 5 and "zx" * 60 not in words.young
 
 
 def test_counts_equal_the_library():

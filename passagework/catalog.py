@@ -12,6 +12,7 @@ from passagework.functions import sentence_model as sm
 from passagework.functions import text as tx
 from passagework.functions import vectors as vx
 from passagework.functions.encoders import AsciiHashingEncoder, HashingEncoder
+from passagework.operators import cells as ce
 from passagework.operators import chunks as ch
 from passagework.operators import pages as pg
 from passagework.operators import prompt as pr
@@ -311,6 +312,15 @@ def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.search(embeddings(spark, sf_dir), vectors, ["vec_id"], dim=64, digits=DIGITS)
 
 
+@registered
+def clustered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions of ``semantic_search_multi`` to the corpus by cells, which visits only those that can matter."""
+    shown = [*cp.KEYS, "document_name"]
+    index = ce.build(stored_corpus(spark, sf_dir), scratch_path(spark, "cells"), shown)
+    asked = with_query_vectors(benchmark_questions(spark, sf_dir))
+    return ce.search_cells(index, asked, digits=DIGITS)[0]
+
+
 @registered
 def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows of the corpus a search scored."""

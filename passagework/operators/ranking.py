@@ -73,14 +73,17 @@ class BestRows:
     a large batch of queries than for a small one.
     """
 
-    def __init__(self, vectors: np.ndarray, limits: np.ndarray, keys: list[str], digits: int | None):
+    def __init__(
+        self, vectors: np.ndarray, limits: np.ndarray, keys: list[str], digits: int | None, floor: np.ndarray | None = None
+    ):
         self.vectors = vectors
         self.limits = limits
         self.keys = keys
         self.digits = digits
         self.rounding = 0.0 if digits is None else 10.0**-digits
         self.noise = vectors.shape[1] * 2.0**-23 * np.linalg.norm(vectors.astype(np.float64), axis=1)
-        self.floor = np.full(len(limits), -np.inf)
+        # a score that is reached elsewhere: rows below it are of no use
+        self.floor = np.full(len(limits), -np.inf) if floor is None else np.array(floor, np.float64)
         self.table: pa.Table | None = None
         self.waiting: list[pa.Table] = []
 
@@ -159,5 +162,5 @@ class BestRows:
         query = np.asarray(table["query"])
         rank = np.arange(len(query)) - np.searchsorted(query, query, side="left")
         last = rank == self.limits[query] - 1
-        self.floor[query[last]] = np.asarray(table["score"])[last]
+        self.floor[query[last]] = np.maximum(self.floor[query[last]], np.asarray(table["score"])[last])
         return table.filter(pa.array(rank < self.limits[query]))

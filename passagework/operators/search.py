@@ -6,9 +6,9 @@ matrix and keeps only the best k rows per query, so what is shuffled is k rows
 per query and task, not one row per query and chunk. No pair of query and
 chunk ever becomes a row.
 
-A search runs when it is called: the batch of queries is stored, scored block
-by block, and the hits are stored. Blocks have a bounded size and one of them
-is in memory at a time, whatever the size of the batch.
+A search runs when it is called: the batch of queries is stored by blocks,
+scored block by block, and the hits are stored. Blocks have a bounded size and
+one of them is in memory at a time, whatever the size of the batch.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from passagework.functions.vectors import DEFAULT_DIM
 from passagework.operators.ranking import BestRows, dense_rows, distinct, ranges, row_bytes
@@ -36,8 +37,8 @@ MAX_QUERY_BYTES = 64 << 20
 RESULT_BYTES = 128
 TILE_SCORES = 1 << 21
 
-# the rows of a query meet in so many tasks first, and then in one
-FINAL_SHARES = 64
+# files that a lookup of winners is narrowed to in the plan; with more, the join alone finds them
+LISTED_FILES = 1024
 
 
 @dataclass
@@ -72,29 +73,40 @@ class QueryBlock:
             slot_names=[names[i] for i in firsts] if routed else None,
         )
 
+    def by_name(self) -> dict[str | None, list[int]] | None:
+        """The slots of every corpus name; None if all see all rows."""
+        if self.slot_names is None:
+            return None
+        slots: dict[str | None, list[int]] = {}
+        for slot, name in enumerate(self.slot_names):
+            slots.setdefault(name, []).append(slot)
+        return slots
+
 
 def partial_top_k(
-    corpus: DataFrame,
-    block: QueryBlock,
+    scan: DataFrame,
     shared: Broadcast,
     keys: list[str],
     vector_col: str,
     digits: int | None = None,
-    scored: Observation | None = None,
+    by: str | None = None,
 ) -> DataFrame:
-    """The best rows of every task for every query. ``shared`` holds the arrays of the block."""
-    fields = {f.name: f.dataType.simpleString() for f in corpus.schema.fields}
+    """The best rows of every task for every query.
+
+    ``shared`` holds the arrays of a block, for each value of the column ``by``
+    the slots that its rows are scored for (all rows for all slots without
+    one), and for each slot a score that is of no use any more, if there is one.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in scan.schema.fields}
     schema = ", ".join(["qid bigint, n_results int", *(f"`{k}` {fields[k]}" for k in keys), "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = QueryBlock(**shared.value)
+        arrays, wanted, floor = shared.value
+        queries = QueryBlock(**arrays)
         count, dim = queries.slot_vectors.shape
         if not count:
             return
-        wanted: dict[str | None, list[int]] = {}
-        for slot, name in enumerate(queries.slot_names or []):
-            wanted.setdefault(name, []).append(slot)
-        best = BestRows(queries.slot_vectors, queries.slot_limits, keys, digits)
+        best = BestRows(queries.slot_vectors, queries.slot_limits, keys, digits, floor)
         step = max(1, TILE_SCORES // count)
         for batch in batches:
             whole = pa.Table.from_batches([batch])
@@ -102,13 +114,13 @@ def partial_top_k(
                 tile = whole.slice(start, step)
                 vectors = dense_rows(tile[vector_col].combine_chunks(), dim)
                 rows = tile.select(keys)
-                if queries.slot_names is None:
+                if by is None:
                     best.add(vectors, rows, np.arange(count))
                     continue
-                for name in pc.unique(tile["document_name"]).to_pylist():
+                for name in pc.unique(tile[by]).to_pylist():
                     if name is not None and name in wanted:
-                        mine = np.flatnonzero(np.asarray(pc.fill_null(pc.equal(tile["document_name"], name), False)))
-                        best.add(vectors[mine], rows.take(pa.array(mine)), np.array(wanted[name]))
+                        mine = np.flatnonzero(np.asarray(pc.fill_null(pc.equal(tile[by], name), False)))
+                        best.add(vectors[mine], rows.take(pa.array(mine)), np.asarray(wanted[name]))
         best.settle()
         if best.table is None:
             return
@@ -122,32 +134,26 @@ def partial_top_k(
         made += [table[name].combine_chunks() for name in (*keys, "score")]
         yield pa.RecordBatch.from_arrays(made, names=["qid", "n_results", *keys, "score"])
 
-    scan = corpus
-    if block.slot_names is not None:
-        keys_read = list(dict.fromkeys([*keys, "document_name"]))
-        asked = sorted(set(block.slot_names) - {None})  # a block bounds them
-        scan = scan.where(F.col("document_name").isin(asked))
-    else:
-        keys_read = keys
-    scan = scan.select(*keys_read, vector_col)
-    if scored is not None:
-        scan = scan.observe(scored, F.count(F.lit(1)).alias("rows_scored"))
-    return scan.mapInArrow(run, schema)
+    read = dict.fromkeys([*keys, *([by] if by else []), vector_col])
+    return scan.select(*read).mapInArrow(run, schema)
 
 
 def query_blocks(queries: DataFrame, dim: int, max_bytes: int) -> Iterator[QueryBlock]:
-    """The queries in blocks of about ``max_bytes``, by a hash of ``qid``, read one after the other."""
+    """The queries in blocks of about ``max_bytes``, by a hash of ``qid``. Each is a folder, read when its turn comes."""
     spark = queries.sparkSession
     path = scratch_path(spark, "queries")
-    queries.write.parquet(path)
-    stored = spark.read.schema(queries.schema).parquet(path)
-    rows, known, results = stored.agg(F.count("*"), F.count_distinct("qid"), F.sum("n_results")).first()
-    if rows != known:
-        raise ValueError("qid must be given and unique")
-    size = rows * 4 * dim + (results or 0) * RESULT_BYTES
-    blocks = -(-size // max_bytes)
+    rows, results = queries.agg(F.count("*"), F.sum("n_results")).first()
+    blocks = -(-(rows * 4 * dim + (results or 0) * RESULT_BYTES) // max_bytes)
+    if not blocks:
+        return
+    block = F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")
+    queries.withColumn("block", block).repartition(blocks, "block").write.partitionBy("block").parquet(path)
+    stored = spark.read.schema(StructType([*queries.schema.fields, StructField("block", IntegerType())])).parquet(path)
     for number in range(blocks):
-        part = stored.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == number).toArrow()
+        part = stored.where(F.col("block") == number).drop("block").toArrow()
+        ids = part["qid"]
+        if ids.null_count or len(pc.unique(ids)) != len(ids):
+            raise ValueError("qid must be given and unique")
         if len(part):
             yield QueryBlock.of(part, dim)
 
@@ -185,47 +191,67 @@ def search(
         "n_results",
         *name,
     )
-    path = scratch_path(spark, "hits")
     fields = {f.name: f.dataType.simpleString() for f in corpus.schema.fields}
-    schema = ", ".join(["qid bigint, rank int", *(f"`{k}` {fields[k]}" for k in keys), "score double"])
-    spark.createDataFrame([], schema).write.parquet(path)
+    hits = Hits(spark, ", ".join(["qid bigint, rank int", *(f"`{k}` {fields[k]}" for k in keys), "score double"]))
     for block in query_blocks(wanted.where(F.col("n_results") > 0), dim, max_query_bytes):
+        scan, by, slots = corpus, None, block.by_name()
+        if slots is not None:
+            by = "document_name"
+            scan = corpus.where(F.col(by).isin(sorted(set(slots) - {None})))  # a block bounds them
+        if scored is not None:
+            scan = scan.observe(scored, F.count(F.lit(1)).alias("rows_scored"))
+            scored = None
         # plain arrays, as broadcast values are unpickled without this package's code
-        shared = spark.sparkContext.broadcast(vars(block))
-        partial = partial_top_k(corpus, block, shared, keys, vector_col, digits, scored)
-        best_per_query(partial, keys, int(block.limits.max())).write.mode("append").parquet(path)
+        shared = spark.sparkContext.broadcast((vars(block), slots, None))
+        partial = partial_top_k(scan, shared, keys, vector_col, digits, by)
+        hits.add(best_per_query(partial, keys, int(block.limits.max())))
         shared.destroy()
-        scored = None
-    return spark.read.schema(schema).parquet(path)
+    return hits.read()
 
 
-def best_per_query(candidates: DataFrame, keys: list[str], deepest: int) -> DataFrame:
-    """Final ranking, in two steps, as every task has sent rows for every query.
+class Hits:
+    """The results of one search, stored block by block."""
 
-    ``deepest`` is the largest ``n_results`` of the batch.
-    """
+    def __init__(self, spark: SparkSession, schema: str):
+        self.spark, self.schema, self.path = spark, schema, None
+
+    def add(self, rows: DataFrame) -> None:
+        self.path = self.path or scratch_path(self.spark, "hits")
+        rows.write.mode("append").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        if self.path is None:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self.path)
 
-    def best(rows: DataFrame, *by: str) -> DataFrame:
-        order = Window.partitionBy("qid", *by).orderBy(F.desc("score"), *keys)
-        ranked = rows.withColumn("rank", F.row_number().over(order))
-        # the constant limit lets Spark drop rows before the shuffle already
-        return ranked.where((F.col("rank") <= deepest) & (F.col("rank") <= F.col("n_results")))
 
-    shared_out = candidates.withColumn("share", F.pmod(F.spark_partition_id(), F.lit(FINAL_SHARES)))
-    return best(best(shared_out, "share").drop("rank")).select("qid", "rank", *keys, "score")
+def best_per_query(candidates: DataFrame, keys: list[str], deepest: int) -> DataFrame:
+    """Final ranking. ``deepest`` is the largest ``n_results`` of the batch.
+
+    The constant limit lets Spark drop rows before the shuffle already, so a
+    query has no more rows there than it has results from every task.
+    """
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), *keys)
+    ranked = candidates.withColumn("rank", F.row_number().over(order))
+    kept = ranked.where((F.col("rank") <= deepest) & (F.col("rank") <= F.col("n_results")))
+    return kept.select("qid", "rank", *keys, "score")
 
 
 def attach_payload(hits: DataFrame, corpus: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
     """Look stored hits up in the corpus again, for the columns search left behind.
 
-    ``on`` must identify a corpus row. Rows of a stored table are read from the
-    files that hold a hit, not from the whole corpus. Spark chooses the join.
+    ``on`` must identify a corpus row. Where the winners lie in few files, the
+    plan names these, and no other is opened; else the join finds them, within
+    the partitions of their names where ``on`` has the partition column. No
+    more than ``LISTED_FILES`` paths ever come to the driver. Spark chooses the
+    join.
     """
     source = corpus.select(*on, *columns)
     if "file_path" in on:
         # a constant metadata column: the filter removes files before they are opened
-        paths = hits.select("file_path").distinct().toArrow()["file_path"].to_pylist()
-        source = source.where(F.col("file_path").isin(paths))
+        paths = hits.select("file_path").distinct().limit(LISTED_FILES + 1).toArrow()["file_path"].to_pylist()
+        if len(paths) <= LISTED_FILES:
+            source = source.where(F.col("file_path").isin(paths))
     return source.join(hits, on)
 
 

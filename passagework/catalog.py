@@ -412,11 +412,24 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "csv")
     csv_corpus.write(stored_corpus(spark, sf_dir), path)
     table = csv_corpus.read(spark, path).withColumn("dim", F.size("embedding"))
-    columns = [c for c in table.columns if c != "embedding"]
+    columns = [c for c in table.columns if c not in ("embedding", "filename")]
     cells = table.select(*columns, F.posexplode("embedding").alias("bucket", "weight")).where("weight <> 0")
     return cells.withColumn("weight", F.round(F.col("weight").cast("double"), DIGITS))
 
 
+@registered
+def csv_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as CSV with line feeds and quotes in its texts, file names, and vectors that are missing."""
+    path = scratch_path(spark, "csv-lines")
+    text = F.regexp_replace("sentence_chunk", "([a-z])\\. ", '$1."\n')
+    vector = F.when(F.col("doc_id") % 7 != 0, F.array(F.lit(0.5), F.lit(-2.0)).cast("array<float>"))
+    name = F.concat(F.col("document_name"), F.lit('\n",'), F.col("doc_id").cast("string"))
+    rows = stored_corpus(spark, sf_dir).withColumns({"sentence_chunk": text, "embedding": vector, "filename": name})
+    csv_corpus.write(rows, path)
+    table = csv_corpus.read(spark, path, dim=3, missing_as_zeros=False)
+    return table.withColumn("embedding", F.array_join(table.embedding.cast("array<int>"), " "))
+
+
 @registered
 def ingest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files, one for each: found, decoded, chunked and stored with the name of their file."""

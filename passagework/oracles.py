@@ -244,6 +244,12 @@ def oracle_sql() -> dict[str, str]:
         "csv_roundtrip": f"""{whole}, {CHUNK_WEIGHTS}
             SELECT document_name, {CHUNK_COLUMNS}, CAST(768 AS INTEGER) AS dim, CAST(b AS INTEGER) AS bucket,
                 round(x, 5) AS weight FROM kept JOIN cw USING ({KEYS})""",
+        "csv_multiline": f"""{whole}
+            SELECT document_name, doc_id, page_number, chunk_idx,
+                regexp_replace(sentence_chunk, '([a-z])\\. ', '\\1."' || chr(10), 'g') AS sentence_chunk,
+                chunk_char_count, chunk_word_count, chunk_token_count,
+                CASE WHEN doc_id % 7 <> 0 THEN '0 -2 0' END AS embedding,
+                document_name || chr(10) || '",' || doc_id AS filename FROM kept""",
         "ingest_files": f"""{whole} SELECT 'uploads' AS document_name, doc_id || '.txt' AS filename, page_number,
             chunk_idx, sentence_chunk FROM kept""",
         "ingest_quarantine": f"""{whole}, n AS (SELECT doc_id, n_chars FROM documents)

@@ -249,18 +249,19 @@ def test_only_small_tables_are_dealt_out(spark, tmp_path, monkeypatch):
 CELLS = ['say "hi", twice', "a,b", " lead and trail ", "back\\slash \\\"", "'", "line\nbreak", "tab\t", "é😀", "#no", '"']
 
 
-@pytest.mark.parametrize("multi_line", [True, False])
-def test_csv_keeps_texts(spark, multi_line):
-    texts = [t for t in CELLS if multi_line or "\n" not in t] + ["carriage\rreturn"]
-    rows = [("n,m", i, 1, 0, t, len(t), 1, len(t) / 4, [0.5, -1e-7, 0.1]) for i, t in enumerate(texts)]
-    rows.append(("o", 99, 1, 0, "no vector", 9, 2, 2.25, None))
+@pytest.mark.parametrize("zeros", [True, False])
+def test_csv_keeps_texts(spark, zeros):
+    texts = [*CELLS, "carriage\rreturn", 'ends with a quote"', '"', '"\n"', "\n", "\r\n", "a\r\nb", "tail\r"]
+    rows = [("n,m", i, 1, 0, t, len(t), 1, len(t) / 4, [0.5, -1e-7, 0.1], f"f{i}\n.txt") for i, t in enumerate(texts)]
+    rows.append(("o", 99, 1, 0, "no vector", 9, 2, 2.25, None, None))
     schema = csv_corpus.CSV_SCHEMA.replace("embedding string", "embedding array<float>")
     path = scratch_path(spark, "csv")
     csv_corpus.write(spark.createDataFrame(rows, schema), path)
-    back = csv_corpus.read(spark, path, dim=3, multi_line=multi_line).orderBy("doc_id").collect()
-    assert [(r.document_name, r.sentence_chunk) for r in back] == [(r[0], r[4]) for r in rows]
+    back = csv_corpus.read(spark, path, dim=3, missing_as_zeros=zeros).orderBy("doc_id").collect()
+    assert [(r.document_name, r.sentence_chunk, r.filename) for r in back] == [(r[0], r[4], r[9]) for r in rows]
     vector = np.array([0.5, -1e-7, 0.1], np.float32).tolist()
-    assert [r.embedding for r in back] == [vector] * len(texts) + [[0.0] * 3]
+    assert [r.embedding for r in back] == [vector] * len(texts) + [[0.0] * 3 if zeros else None]
+    assert csv_corpus.read(spark, path, dim=3).select("doc_id").count() == len(rows)
 
 
 def test_csv_from_pandas(spark, tmp_path):

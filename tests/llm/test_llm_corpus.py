@@ -139,14 +139,21 @@ def test_items_without_id_take_their_documents_out(spark, texts_table):
 # language models
 
 
-def test_scores_equal_plain_models(texts_table):
+@pytest.mark.parametrize("part_bytes", [600, lm_score.PART_BYTES])
+@pytest.mark.parametrize("many", [False, True])
+def test_scores_equal_plain_models(texts_table, part_bytes, many):
     docs = [prose(i, 40) + " The end." for i in range(20)] + ["", None, "unseen"] + [prose(3, 40)] * 3
     target = [prose(i, 25) for i in range(15, 30)]
-    rows = lm_score.with_scores(texts_table(docs), texts_table(target), words=50, buckets=1 << 20).orderBy("doc_id").collect()
+    if many:  # far more words and bigrams than any table of fixed size here would hold
+        dice = random.Random(3)
+        docs += [" ".join(f"w{dice.randrange(60_000)}" for _ in range(4000)) for _ in range(40)]
+        target += [" ".join(f"w{dice.randrange(60_000)}" for _ in range(2000)) for _ in range(10)]
+        part_bytes *= 100
+    rows = lm_score.with_scores(texts_table(docs), texts_table(target), part_bytes=part_bytes).orderBy("doc_id").collect()
     sides = [[t or "" for t in docs], target]
-    counts = Counter(lm_score.plain(w) for side in sides for t in side for w in t.split())
-    vocabulary = {w for w, _ in sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:50]}
-    lists = [[["<s>", *(p if (p := lm_score.plain(w)) in vocabulary else "<?>" for w in t.split())] for t in side] for side in sides]
+    lists = [[["<s>", *(lm_score.plain(w) for w in t.split())] for t in side] for side in sides]
+    types = len({w for side in lists for t in side for w in t[1:]})
+    assert not many or types > 50_000
     total = [sum(len(t) - 1 for t in side) for side in lists]
     models = []
     for side, n in zip(lists, total):
@@ -154,7 +161,7 @@ def test_scores_equal_plain_models(texts_table):
         uni = Counter({w: c * scale for w, c in Counter(w for t in side for w in t[1:]).items()})
         context = Counter({w: c * scale for w, c in Counter(w for t in side for w in t[:-1]).items()})
         pair = Counter({w: c * scale for w, c in Counter(p for t in side for p in zip(t, t[1:])).items()})
-        models.append((uni, context, pair, sum(uni.values()) + 52))
+        models.append((uni, context, pair, sum(uni.values()) + types))
 
     def loss(model, text):
         uni, context, pair, mass = model

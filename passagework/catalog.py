@@ -52,6 +52,11 @@ def documents(spark: SparkSession, sf_dir: str, name_col: str = "source") -> Dat
     return text_table(spark, f"{sf_dir}/documents.parquet", name_col)
 
 
+def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/documents.parquet"
+    return spread(spark.read.schema(DOCUMENT_SCHEMA).parquet(path), path)
+
+
 def ascii_document(content: bytes) -> list[Callable[[], str]]:
     """A document is refused as a whole if it is not ASCII."""
     content.decode("ascii")
@@ -214,7 +219,7 @@ def ingest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def ingest_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(spark.read.schema(DOCUMENT_SCHEMA).parquet(f"{sf_dir}/documents.parquet"))
+    docs = whole_documents(spark, sf_dir)
     english = docs.where("lang = 'en'").select("doc_id", "text")
     others = docs.where("lang <> 'en'").select("doc_id", "text")
     uploads = [ing.document_chunks(upload, page_sep=LINE) for upload in (english, others)]
@@ -445,7 +450,7 @@ def ingest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ingest_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without text (shorter than 200 here), without a name (French here), and all others."""
     root = scratch_path(spark, "set-aside")
-    docs = spread(spark.read.schema(DOCUMENT_SCHEMA).parquet(f"{sf_dir}/documents.parquet"))
+    docs = whole_documents(spark, sf_dir)
     text, name = F.when(F.col("n_chars") >= 200, F.col("text")), F.when(F.col("lang") != "fr", F.col("source"))
     ing.ingest(docs.select("doc_id", name.alias("document_name"), text.alias("text")), root)
     stored = cp.read(spark, root).select("doc_id", "document_name", F.lit(None).cast("string").alias("reason"))

@@ -13,7 +13,7 @@ from passagework.operators import chunks as ch
 from passagework.operators import pages as pg
 from passagework.session import scratch_path
 from passagework.sources import corpus
-from passagework.sources.documents import quarantine_missing
+from passagework.sources.documents import missing_reason, quarantine_missing
 
 
 @dataclass(frozen=True)
@@ -90,35 +90,33 @@ def embed_chunks(
     return kept.withColumn("embedding", encode(F.col("sentence_chunk"), factory, batch_size))
 
 
-def _extracted(docs: DataFrame, extractor: pg.Extractor) -> tuple[DataFrame, DataFrame]:
-    """Readable pages and failed ones. Written once, as both are read from it."""
-    path = scratch_path(docs.sparkSession, "extracted")
+def _extracted(docs: DataFrame, extractor: pg.Extractor) -> tuple[DataFrame, DataFrame, int]:
+    """Readable pages and failed ones, with the number of these. Written once, as both are read from it."""
+    path, failed = scratch_path(docs.sparkSession, "extracted"), Observation()
     pages = pg.extract_pages(docs, extractor, on_document_error="quarantine")
-    pages.write.parquet(path)
+    pages.observe(failed, F.count("error").alias("rows")).write.parquet(path)
     stored = docs.sparkSession.read.schema(pages.schema).parquet(path)
-    return pg.readable(stored), pg.quarantined(stored).withColumnRenamed("error", "reason")
+    return pg.readable(stored), pg.quarantined(stored).withColumnRenamed("error", "reason"), failed.get["rows"]
 
 
 def store_documents(docs: DataFrame, root: str, aside: str, options: IngestOptions, mode: str = "append") -> IngestReport:
-    """Store documents under ``root``, what cannot be stored under ``aside``."""
+    """Store documents under ``root``, what cannot be stored under ``aside``.
+
+    Documents are read once. What is to be set aside is counted on the way,
+    and only if there is some is it looked for.
+    """
     body = "content" if options.extractor else "text"
     carried = ["doc_id", "document_name", *(["filename"] if "filename" in docs.columns else []), body]
-    good, bad = quarantine_missing(docs.select(*carried), body)
-    refused = [bad]
+    count = F.count(F.lit(1)).alias("rows")
+    asked, lacking = docs.select(*carried), Observation()
+    reason = missing_reason(asked, body)
+    good = asked.observe(lacking, F.count(reason).alias("rows")).where(reason.isNull())
+    failed, failures = None, 0
     if options.extractor:
-        pages, failed = _extracted(good, options.extractor)
-        refused.append(failed)
+        pages, failed, failures = _extracted(good, options.extractor)
     else:
         pages = pg.split_pages(good, page_sep=options.page_sep)
 
-    count = F.count(F.lit(1)).alias("rows")
-    set_aside = 0
-    for part, rows in enumerate(refused):
-        if not rows.isEmpty():
-            seen = Observation()
-            corpus.set_aside(rows.observe(seen, count), aside, mode if not part else "append")
-            set_aside += seen.get["rows"]
-
     seen, made, kept, ended = Observation(), Observation(), Observation(), Observation()
     chunks = ch.create_chunks(pages.observe(seen, count), options.size, options.splitter, options.joiner).observe(made, count)
     gathered = corpus.gather_by_name(chunks.where(ch.long_enough(options.min_tokens)).observe(kept, count))
@@ -126,6 +124,13 @@ def store_documents(docs: DataFrame, root: str, aside: str, options: IngestOptio
     error = F.col("outcome.error")
     encoded = gathered.withColumn("outcome", outcome).observe(ended, F.count(error).alias("failed"), F.min(error).alias("reason"))
     corpus.write(encoded.withColumn("embedding", F.col("outcome.embedding")), root, mode)
+
+    refused = [(lacking.get["rows"], quarantine_missing(asked, body)[1]), (failures, failed)]
+    for number, rows in refused:
+        if number:
+            corpus.set_aside(rows, aside, mode)
+            mode = "append"
+    set_aside = sum(number for number, _ in refused)
     return IngestReport(
         seen.get["rows"], made.get["rows"], kept.get["rows"], set_aside, ended.get["failed"], ended.get["reason"]
     )

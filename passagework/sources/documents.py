@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DOCUMENT_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -12,28 +12,25 @@ DOCUMENT_SCHEMA = "doc_id bigint, text string, lang string, source string, n_cha
 SPREAD_BYTES = 8 << 20
 
 
-def spread(scan: DataFrame) -> DataFrame:
+def spread(scan: DataFrame, path: str) -> DataFrame:
     """Deal a small table in few files out over all cores, before row-heavy work.
 
-    For a plain scan of files, judged by the number and the sizes of the files
-    alone; no job runs. A larger table, or one in as many files as there are
-    cores, is left as it is. Rows are dealt out evenly, whatever their keys.
+    ``scan`` reads the files at ``path``; their number and total size decide,
+    as the file system adds them up. No job runs and no file name comes to the
+    driver. A larger table, or one in as many files as there are cores, is left
+    as it is. Rows are dealt out evenly, whatever their keys.
     """
     spark = scan.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    names = scan.inputFiles()
-    if len(names) >= cores:
-        return scan
-    paths = [spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name)) for name in names]
-    conf = spark._jsc.hadoopConfiguration()
-    size = sum(path.getFileSystem(conf).getFileStatus(path).getLen() for path in paths)
-    return scan.repartition(cores) if size <= cores * SPREAD_BYTES else scan
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place)
+    return scan.repartition(cores) if held.getFileCount() < cores and held.getLength() <= cores * SPREAD_BYTES else scan
 
 
 def text_table(spark: SparkSession, path: str, name_col: str = "source") -> DataFrame:
     """``doc_id, document_name, text`` of a parquet table of extracted text."""
     table = spark.read.schema(DOCUMENT_SCHEMA).parquet(path)
-    return spread(table.select("doc_id", F.col(name_col).alias("document_name"), "text"))
+    return spread(table.select("doc_id", F.col(name_col).alias("document_name"), "text"), path)
 
 
 def files(spark: SparkSession, path: str, document_name: str, glob: str | None = None) -> DataFrame:
@@ -57,8 +54,8 @@ def decode_text(docs: DataFrame, charset: str = "UTF-8") -> DataFrame:
     return docs.withColumn("text", F.decode("content", charset)).drop("content")
 
 
-def quarantine_missing(docs: DataFrame, body: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Split into documents that can be stored, and those without name or body, with a reason.
+def missing_reason(docs: DataFrame, body: str = "text") -> Column:
+    """Why a document cannot be stored; null if it can.
 
     A corpus is found by its name, so a document without one could be stored
     but never asked for.
@@ -67,4 +64,10 @@ def quarantine_missing(docs: DataFrame, body: str = "text") -> tuple[DataFrame,
     if "document_name" in docs.columns:
         unnamed = F.coalesce(F.col("document_name"), F.lit("")) == ""
         reason = F.when(unnamed, F.lit("document name is missing")).otherwise(reason)
+    return reason
+
+
+def quarantine_missing(docs: DataFrame, body: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Split into documents that can be stored, and those without name or body, with a reason."""
+    reason = missing_reason(docs, body)
     return docs.where(reason.isNull()), docs.where(reason.isNotNull()).withColumn("reason", reason).drop(body)

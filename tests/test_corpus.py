@@ -228,22 +228,22 @@ def test_upstream_work_runs_once_and_settings_stay(spark, documents, root):
     before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     ingest(upstream.withColumn("text", touched.asNondeterministic()("text")), root)
     after = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
-    assert counted.value <= 2 * 40 and before == after  # once for the rows, once for the look at missing ones
+    assert counted.value == 40 and before == after
 
 
 def test_only_small_tables_are_dealt_out(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "a table, 100%")
     spark.range(1000).coalesce(2).write.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    assert src.spread(spark.read.parquet(path)).rdd.getNumPartitions() == cores
+    assert src.spread(spark.read.parquet(path), path).rdd.getNumPartitions() == cores
     monkeypatch.setattr(src, "SPREAD_BYTES", 10)
     scan = spark.read.parquet(path)
-    assert src.spread(scan) is scan
+    assert src.spread(scan, path) is scan
     monkeypatch.undo()
     many = str(tmp_path / "many")
     spark.range(1000).repartition(cores).write.parquet(many)
     scan = spark.read.parquet(many)
-    assert src.spread(scan) is scan
+    assert src.spread(scan, many) is scan
 
 
 CELLS = ['say "hi", twice', "a,b", " lead and trail ", "back\\slash \\\"", "'", "line\nbreak", "tab\t", "é😀", "#no", '"']
@@ -288,6 +288,26 @@ def test_csv_from_pandas(spark, tmp_path):
     assert got.where("page_number = 3").first().embedding == [0.0] * 8
 
 
+@pytest.mark.parametrize("bad", [0, 7])
+def test_ingest_reads_documents_once(spark, root, bad):
+    """Clean documents pass the steps before once; only to set some aside are they read again."""
+    passed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, "a" if i >= bad else None, LONG) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, document_name string, text string").mapInArrow(
+        counted, "doc_id bigint, document_name string, text string"
+    )
+    report = ingest(docs, root)
+    assert (report.pages, report.kept, report.set_aside) == (100 - bad, 100 - bad, bad)
+    assert passed.value == (200 if bad else 100)
+    assert cp.quarantine(spark, root).count() == bad
+
+
 def test_preview_is_in_key_order(spark, documents):
     made = document_chunks(documents(["b. c", "a", "d"]), size=1)
     got = cp.preview(made, 3).collect()

@@ -22,7 +22,6 @@ bytes of every place travel as suffixes of their own, dealt by all their bytes.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm.common import forget, give_back
+from passagework.llm.parts import groups, in_parts, numbered, spread, squeezed, table_of
 from passagework.session import scratch_path
 
 LEAST = 50
@@ -40,16 +40,16 @@ BEFORE = LEAST - GRAM  # bytes that are kept of what stands before a suffix
 WIDTH = LEAST + BEFORE + 2  # a suffix, what is before it, and which places it stands for
 
 
-
 @dataclass(frozen=True)
 class Sizes:
     """How the work is cut; results do not depend on it. All but the last two are bytes of text."""
 
     part: int = 8 << 20
-    bucket: int = 32 << 20
+    bucket: int = 16 << 20
     span: int = 16 << 20  # whose suffixes are merged in one range
-    slot: int = 256 << 20  # whose hashes are compared in one task
-    block: int = 1 << 22  # at most 2^24 less 64
+    slot: int = 64 << 20  # whose hashes are compared in one task
+    pack: int = 32 << 20  # of what a task reads, that is compressed together
+    block: int = 1 << 20  # at most 2^24 less 64
     hot: int = 1 << 15  # suffixes with one beginning, from which on they are dealt by all their bytes
 
 
@@ -105,17 +105,47 @@ def anchors(text: np.ndarray, ends: np.ndarray, size: int = SIZES.block) -> Iter
         yield place + begin, hashes[place], place - at[last], place - at[new]
 
 
+PACKS = "part int, numbers array<bigint>, ids array<bigint>, lengths array<bigint>, texts binary"
+PACKS_ARROW = pa.schema(
+    [("part", pa.int32()), *((c, pa.list_(pa.int64())) for c in ("numbers", "ids", "lengths")), ("texts", pa.binary())]
+)
+
+
+def packs(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The texts that a task has for each part, compressed together, about ``size`` bytes of text at a time."""
+    forget()
+    held: dict[int, list[tuple]] = {}
+    waiting = 0
+
+    def given() -> list[pa.RecordBatch]:
+        rows = []
+        for part, texts in held.items():
+            numbers, ids, raw = zip(*texts)
+            joined = np.frombuffer(b"".join(raw), np.uint8)
+            rows.append((part, list(numbers), list(ids), [len(t) for t in raw], squeezed(joined)))
+        held.clear()
+        return table_of(PACKS_ARROW, rows).combine_chunks().to_batches()
+
+    for batch in batches:
+        for part, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "number", "doc_id", "text"))):
+            held.setdefault(part, []).append(row)
+            waiting += len(row[-1])
+            if waiting >= size:
+                yield from given()
+                waiting = 0
+    yield from given()
+
+
 class Part:
     """The texts of one part, one after the other in the order of their numbers."""
 
     def __init__(self, table: pa.Table):
-        table = table.sort_by("number")
-        self.ids = table.column("doc_id").to_pylist()
-        texts = table.column("text").to_pylist()
-        self.lengths = np.array([len(t) for t in texts], np.int64)
+        packs = sorted(table.select(["numbers", "ids", "lengths", "texts"]).to_pylist(), key=lambda p: p["numbers"][0])
+        self.ids = [i for p in packs for i in p["ids"]]
+        self.lengths = np.array([n for p in packs for n in p["lengths"]], np.int64)
         self.ends = np.cumsum(self.lengths)
         self.starts = self.ends - self.lengths
-        self.raw = b"".join(texts)
+        self.raw = b"".join(spread(p["texts"], sum(p["lengths"]), "u1").tobytes() for p in packs)
         self.text = np.frombuffer(self.raw, np.uint8)
         self.known = np.array([i is not None for i in self.ids], bool)
         self.keys = np.array([i if i is not None else 0 for i in self.ids], np.int64)
@@ -131,18 +161,12 @@ class Part:
 # small columns
 
 
-def squeezed(values: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(values).tobytes(), codec="zstd", asbytes=True) if values.size else b""
-
-
-def spread(raw: bytes, count: int, kind: str) -> np.ndarray:
-    size = count * np.dtype(kind).itemsize
-    return np.frombuffer(pa.decompress(raw, size, codec="zstd", asbytes=True) if size else b"", kind)
-
-
 def short(hashes: np.ndarray) -> np.ndarray:
-    """The upper 48 bits, which travel. Equal ones of different bytes cost some work and change nothing."""
-    return hashes >> np.uint64(16)
+    """48 bits, which travel. Equal ones of different bytes cost some work and change nothing.
+
+    Mixed anew, as the least of many hashes is a small number.
+    """
+    return (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(16)
 
 
 def six_bytes(values: np.ndarray) -> bytes:
@@ -160,16 +184,6 @@ def dealt(values: np.ndarray, count: int) -> np.ndarray:
     return ((values >> np.uint64(16)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
 
 
-def groups(ordered: np.ndarray) -> np.ndarray:
-    """Where a new value begins."""
-    return np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
-
-
-def table_of(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
-    columns = zip(*rows) if rows else [[]] * len(schema)
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-
-
 # what can match at all
 
 
@@ -564,8 +578,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id neither lose anything nor take anything from others. An empty table
     gives no rows. Other columns are not looked at.
 
-    The texts are shuffled once, into a bucketed table of the session's
-    catalog, which is dropped at the end.
+    The texts are shuffled once, compressed, into a table bucketed by part.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -573,14 +586,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts, buckets, slots, spans = (total // size + 1 for size in (sizes.part, sizes.bucket, sizes.slot, sizes.span))
-    number = F.monotonically_increasing_id()
-    rows = rows.withColumn("number", number).withColumn("part", F.pmod(F.xxhash64("number"), F.lit(parts)).cast("int"))
-    held = f"repeats_{uuid.uuid4().hex}"
-    path = scratch_path(spark, "texts")
-    writer = rows.repartition(buckets, "part").write.bucketBy(buckets, "part").option("path", path)
-    writer.option("compression", "zstd").saveAsTable(held)
-    try:
-        texts = spark.table(held).groupBy("part")
+    packed = numbered(rows, parts).mapInArrow(lambda batches: packs(batches, sizes.pack), PACKS)
+    with in_parts(packed, buckets) as (table, _):
+        texts = table.groupBy("part")
         hashes = texts.applyInArrow(lambda table: hashes_of(table, slots, sizes), HASHES)
         survivors = hashes.groupBy("slot").applyInArrow(lambda table: survivors_of(table, sizes), SURVIVORS)
         runs = texts.cogroup(survivors.groupBy("part")).applyInArrow(lambda a, b: runs_of_part(a, b, spans, sizes), RUNS)
@@ -594,6 +602,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         kept = texts.cogroup(small.groupBy("part")).applyInArrow(kept_of, RESULT)
         path = scratch_path(spark, "kept")
         kept.write.parquet(path)
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {held}")
     return spark.read.schema(RESULT).parquet(path)

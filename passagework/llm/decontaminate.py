@@ -22,8 +22,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,11 +32,12 @@ from pyspark.sql import functions as F
 
 from passagework.llm.common import computed, fresh, per_worker, runs_of, texts
 from passagework.operators.ranking import ranges
+from passagework.session import scratch_path
 
 Q = 8
 SHORT_Q = 4  # of the second count, before the alignment
 WINDOWS = (60, 100)  # characters of a passage that is looked for as a whole
-SHORTEST = 32  # shorter items are too common to be a leak
+SHORTEST = 32  # a shorter item is looked for as it is, between word borders; one without a q-gram is none
 ERRORS = 0.1  # edits per character
 WORD = 64  # characters of a window that is aligned in one machine word
 BLOCK_WINDOWS = 1 << 16
@@ -55,7 +57,7 @@ def cuts(text: str) -> list[tuple[int, str]]:
     """The windows of a text and where they begin: of each length, or the whole text if it is shorter."""
     text = normal(text)
     if len(text) < SHORTEST:
-        return []
+        return [(0, text)] if len(text) >= Q else []
     found = set()
     for length in WINDOWS:
         last = max(len(text) - length, 0)
@@ -104,6 +106,17 @@ class WindowIndex:
     """The q-grams of the windows of one block. ``starts`` says where a window begins in its item."""
 
     def __init__(self, items: list[int], passages: list[str], starts: list[int] | None = None):
+        self.whole = ahocorasick.Automaton()
+        for item, passage in zip(items, passages):
+            if len(passage) < SHORTEST:
+                held = self.whole.get(passage, (passage, set()))
+                held[1].add(item)
+                self.whole.add_word(passage, held)
+        if len(self.whole):
+            self.whole.make_automaton()
+            long = [i for i, passage in enumerate(passages) if len(passage) >= SHORTEST]
+            items, passages = [items[i] for i in long], [passages[i] for i in long]
+            starts = None if starts is None else [starts[i] for i in long]
         self.items = np.array(items, np.int64)
         self.chars = [code_points(p) for p in passages]
         self.length = np.array([len(c) for c in self.chars], np.int64)
@@ -295,12 +308,23 @@ class WindowIndex:
             cost = np.minimum.accumulate(cost - across, axis=1) + across
         return cost.min(axis=1)
 
+    def whole_items(self, text: str) -> list[tuple[int, int, int]]:
+        """The short items that stand in a text as they are, not inside of longer words."""
+        if not len(self.whole):
+            return []
+        found = set()
+        for last, (passage, items) in self.whole.iter(text):
+            before, after = text[last - len(passage) : last - len(passage) + 1] if last >= len(passage) else "", text[last + 1 : last + 2]
+            if not (before.isalnum() and passage[0].isalnum()) and not (after.isalnum() and passage[-1].isalnum()):
+                found |= items
+        return [(int(i), 1, 0) for i in sorted(found)]
+
     def leaks(self, run: list[str]) -> list[list[tuple[int, int, int]]]:
         """``item, windows found, least edits`` for every text."""
-        found: list[list[tuple[int, int, int]]] = [[] for _ in run]
+        plain = [normal(t) for t in run]
+        found = [self.whole_items(t) for t in plain]
         if not len(self.codes):
             return found
-        plain = [normal(t) for t in run]
         size = np.array([len(t) for t in plain], np.int64)
         # texts are kept apart by more characters than a q-gram has
         chars = code_points(("\0" * Q).join(plain))
@@ -326,8 +350,19 @@ Block = tuple[list[int], list[str], list[int]]  # items, windows, where they beg
 LEAKS = pa.list_(pa.struct([("item_id", pa.int64()), ("n_windows", pa.int64()), ("edits", pa.int64())]))
 
 
-def window_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Block]:
-    """The windows of all items, in blocks of about ``BLOCK_WINDOWS`` rows. Items without id or text have none."""
+@dataclass
+class StoredBlock:
+    """One block of windows, in memory only when it is its turn."""
+
+    rows: DataFrame
+
+    def read(self) -> Block:
+        mine = self.rows.toArrow()
+        return mine["item"].to_pylist(), mine["passage"].to_pylist(), mine["start"].to_pylist()
+
+
+def list_of_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[StoredBlock]:
+    """The windows of all items, cut once, in blocks of about ``BLOCK_WINDOWS`` rows. Items without id or text have none."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,13 +376,14 @@ def window_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["item", "start", "passage"])
 
     named = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint"), F.col(text_col))
-    every = named.mapInArrow(cut, "item bigint, start bigint, passage string").distinct()
+    spark, path, schema = items.sparkSession, scratch_path(items.sparkSession, "windows"), "item bigint, start bigint, passage string"
+    named.mapInArrow(cut, schema).distinct().write.parquet(path)
+    every = spark.read.schema(schema).parquet(path)
     piece = F.floor(F.col("start") / NEIGHBOURS)
     size = every.agg(F.count(F.lit(1)).alias("windows"), F.count_distinct("item", piece).alias("pieces")).first()
     blocks = max(1, min(-(-size["windows"] // BLOCK_WINDOWS), size["pieces"]))
-    for block in range(blocks):
-        mine = every.where(F.pmod(F.xxhash64("item", piece), F.lit(blocks)) == block).toArrow()
-        yield mine["item"].to_pylist(), mine["passage"].to_pylist(), mine["start"].to_pylist()
+    number = F.pmod(F.xxhash64("item", piece), F.lit(blocks))
+    return [StoredBlock(every.where(number == block)) for block in range(blocks)]
 
 
 def with_leaks(docs: DataFrame, name: str, block: Block, text_col: str = "text") -> DataFrame:
@@ -373,24 +409,37 @@ def with_leaks(docs: DataFrame, name: str, block: Block, text_col: str = "text")
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, n_windows, edits``: every document that holds a passage of an item.
 
-    A null text is empty and leaks nothing, as do items that are null or
-    shorter than 32 characters. Rows with the same or no id are documents of
-    their own and each has its rows. Without items or documents there are none.
+    A null text is empty and leaks nothing, as do items that are null or have
+    fewer than 8 characters; one of fewer than 32 must stand in the text as it
+    is. Rows with the same or no id are documents of their own and each has its
+    rows. Without items or documents there are none. Each block of windows is a
+    job of its own, whose result is stored.
     """
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "leaks")
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = []
-    for block in window_blocks(items):
-        made = with_leaks(own, "leaks", block).select("doc_id", F.monotonically_increasing_id().alias("row"), "leaks")
-        found.append(made.select("doc_id", "row", F.inline("leaks")))
-    if len(found) == 1:
-        return found[0].drop("row")
-    merged = reduce(DataFrame.unionByName, found).groupBy("doc_id", "row", "item_id")
+    blocks = list_of_blocks(items)
+    if len(blocks) == 1:
+        return with_leaks(own, "leaks", blocks[0].read()).select("doc_id", F.inline("leaks"))
+    # numbered once, so that a row is the same one in every block
+    numbered = own.withColumn("row", F.monotonically_increasing_id())
+    numbered.write.parquet(path)
+    numbered = spark.read.schema(numbered.schema).parquet(path)
+    found = scratch_path(spark, "found")
+    for block in blocks:
+        with_leaks(numbered, "leaks", block.read()).select("doc_id", "row", F.inline("leaks")).write.mode("append").parquet(found)
+    merged = spark.read.parquet(found).groupBy("doc_id", "row", "item_id")
     return merged.agg(F.sum("n_windows").alias("n_windows"), F.min("edits").alias("edits")).drop("row")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that hold no passage of an item, with all their columns. Items need no id here."""
     (name,) = fresh(docs, "leaks")
-    for block in window_blocks(items.select(F.xxhash64("text").alias("item_id"), "text")):
-        docs = with_leaks(docs, name, block, text_col).where(F.size(name) == 0).drop(name)
+    spark = docs.sparkSession
+    blocks = list_of_blocks(items.select(F.xxhash64("text").alias("item_id"), "text"))
+    for number, block in enumerate(blocks, 1):
+        docs = with_leaks(docs, name, block.read(), text_col).where(F.size(name) == 0).drop(name)
+        if number < len(blocks):  # one index at a time in a worker
+            path = scratch_path(spark, "without-leaks")
+            docs.write.parquet(path)
+            docs = spark.read.schema(docs.schema).parquet(path)
     return docs

@@ -28,7 +28,7 @@ BYTES = "byte_bpe_multi_50k.tiktoken"
 WINDOW_WORDS = 8
 RUN_BYTES = 4 << 20
 TABLE_WORDS = 1 << 18
-LEAST_TOKENS = 64  # a shorter text says too little; only the base rules judge it
+SLACK_TOKENS = 1.0  # a text of n tokens has so many nths of room beyond its bands: a short one says less
 
 # Parameters: least and most characters per piece token and per byte token, most
 # byte-fallback share, least entropy as a share of what so many tokens can have.
@@ -37,7 +37,7 @@ BANDS = {
     "cyrillic": (1.0, 9.0, 0.25, 0.42),
     "greek": (0.7, 9.0, 0.50, 0.38),
     "cjk": (0.3, 4.0, 0.75, 0.35),
-    "other": (0.2, 9.0, 0.95, 0.30),
+    "other": (0.2, 9.0, 0.85, 0.30),
 }
 LANGUAGES = {"en": "latin", "fr": "latin", "de": "latin", "es": "latin", "it": "latin", "pt": "latin", "nl": "latin"}
 LANGUAGES |= {"ru": "cyrillic", "uk": "cyrillic", "bg": "cyrillic", "el": "greek", "zh": "cjk", "ja": "cjk", "ko": "cjk"}
@@ -171,10 +171,11 @@ def judge(found: dict[str, np.ndarray], bands: np.ndarray, vocabulary: int) -> t
     least, most, fallback, entropy = bands.T
     tokens = found["n_tokens"]
     possible = np.log2(np.clip(tokens, 2, vocabulary))
-    fits = (found["fallback_share"] <= fallback) & (found["token_entropy"] >= entropy * possible)
+    room = SLACK_TOKENS / np.maximum(tokens, SLACK_TOKENS)
+    fits = (found["fallback_share"] <= fallback * (1 + room)) & (found["token_entropy"] >= entropy * (1 - room) * possible)
     for name in ("chars_per_token", "chars_per_byte_token"):
-        fits &= (found[name] >= least) & (found[name] <= most)
-    return failed, ~failed & (fits | (tokens < LEAST_TOKENS))
+        fits &= (found[name] >= least * (1 - room)) & (found[name] <= most * (1 + room))
+    return failed, ~failed & fits
 
 
 def with_quality(

@@ -82,6 +82,7 @@ KEYWORDS = [
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MARK = "\x01"  # stands between sentences
+BARRIER = ",|,"  # takes the place of what a rule used up, and keeps apart what stood on its sides
 # for the SQL: a sentence ends at a full stop and a blank, at an empty line, and where a new line starts with a capital
 ENDS = [(r"([.!?])[ \t\r\n]+", 1), (r"\n[ \t\r]*\n", 0), (r"\n([ \t/*#;-]*[A-Z])", 2)]
 
@@ -141,7 +142,7 @@ def with_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def apply(state: Column, rule: Column) -> Column:
         fits = F.contains(state["left"], rule["ids"])
-        left = F.when(fits, F.replace(state["left"], rule["ids"], F.lit(","))).otherwise(state["left"])
+        left = F.when(fits, F.replace(state["left"], rule["ids"], F.lit(BARRIER))).otherwise(state["left"])
         found = F.when(fits & ~F.array_contains(state["found"], rule["name"]), F.array_append(state["found"], rule["name"]))
         return F.struct(left.alias("left"), F.coalesce(found, state["found"]).alias("found"))
 
@@ -180,7 +181,7 @@ def oracle() -> str:
     for number, (name, ids) in enumerate(RULES):
         fits = f"contains(rest, '{_key(ids)}')"
         steps.append(
-            f"s{number} AS (SELECT doc_id, ids, CASE WHEN {fits} THEN replace(rest, '{_key(ids)}', ',') ELSE rest END AS rest, "
+            f"s{number} AS (SELECT doc_id, ids, CASE WHEN {fits} THEN replace(rest, '{_key(ids)}', '{BARRIER}') ELSE rest END AS rest, "
             f"CASE WHEN {fits} AND NOT list_contains(found, '{name}') THEN list_append(found, '{name}') ELSE found END AS found "
             f"FROM {last})"
         )

@@ -14,13 +14,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm.common import computed, fresh, per_worker, quoted, runs_of, texts, with_fields
 
 # Parameters of the scorer: hashed features, and how many documents it is trained on at most.
-FEATURES = 1024
+FEATURES = 2048
 SAMPLE_ROWS = 4096
 KEPT_FROM = 0.5
 RUN_CHARS = 1 << 20
@@ -251,11 +251,6 @@ class Classifier:
     bias: float
 
 
-def _sampled(docs: DataFrame, text_col: str, rate: float, salt: list[str]) -> Column:
-    spread = F.pmod(F.xxhash64(F.col(text_col), *[F.col(c) for c in salt]), F.lit(1 << 20))
-    return spread < int(rate * (1 << 20)) + 1
-
-
 def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Classifier:
     """Label model over all documents; scorer on at most ``sample_rows`` of them, half from either class."""
 
@@ -292,11 +287,14 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_
 
         return work
 
-    few = own.where(_sampled(own, "text", max(rates), ["id"]))
-    told = few.select("text", "id", computed("label: double, features: binary", describe)(F.col("text")).alias("made"))
+    # the place of a row is hashed as well, so that equal rows are not drawn together
+    drawn = F.pmod(F.xxhash64("text", "id", F.monotonically_increasing_id()), F.lit(1 << 20)).alias("drawn")
+    few = own.select("text", drawn).where(F.col("drawn") < int(max(rates) * (1 << 20)) + 1)
+    told = few.select("drawn", computed("label: double, features: binary", describe)(F.col("text")).alias("made"))
     rate = F.when(F.col("made.label") >= 0.5, F.lit(int(rates[1] * (1 << 20)) + 1)).otherwise(int(rates[0] * (1 << 20)) + 1)
-    chosen = told.where(F.pmod(F.xxhash64("text", "id"), F.lit(1 << 20)) < rate)
-    sample = chosen.select("made.label", "made.features").limit(2 * sample_rows).toArrow()
+    chosen = told.where(F.col("drawn") < rate).select("drawn", "made.label", "made.features")
+    # about as many as the bound; what chance has drawn beyond it goes by the highest draws
+    sample = chosen.orderBy("drawn", "label", "features").limit(sample_rows).toArrow()
     rows = [np.frombuffer(r, np.float32) for r in sample["features"].to_pylist()]
     matrix = np.stack(rows) if rows else np.zeros((0, FEATURES), np.float32)
     share = float(np.clip(of_class[1] / sum(of_class), 0.05, 0.95))

@@ -290,8 +290,13 @@ def test_fertility_rejects_other_bands(texts_table):
     good = " ".join(rng.choice(words) for _ in range(120))
     noise = " ".join(chr(0x13000 + i % 900) * 3 for i in range(120))  # no vocabulary knows the script
     flat = " ".join(rng.choice("ab") * 2 for _ in range(400))
-    rows = fertility.with_quality(texts_table([good, flat, noise]), lang_col=None).orderBy("doc_id").collect()
-    assert [r.kept for r in rows][:2] == [True, False]
+    short = " ".join(good.split()[:24])
+    words_of_two = [" ".join(rng.choice(["ab", "cd", "xq"]) for _ in range(n)) for n in (24, 120)]
+    table = texts_table([good, flat, noise, short, *words_of_two, " ".join(noise.split()[:24])])
+    rows = fertility.with_quality(table, lang_col=None).orderBy("doc_id").collect()
+    # the bands hold at every length: a few words without content are no better than many
+    assert [r.kept for r in rows] == [True, False, False, True, False, False, False]
+    assert not any(r.base_failed and r.n_repeat_words == 0 for r in rows)
     assert fertility.script("Привет мир") == "cyrillic" and fertility.script("漢字です") == "cjk" and fertility.script("12 34") == "other"
     assert rows[2].fallback_share > 0.9
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm.common import computed, forget, fresh, texts, with_fields
+from passagework.llm.lexing import DEFINING, NAME, Literal, Term, assignments, values
 
 # The base patterns and the least length of what they must catch.
 ASSIGN = re.compile(
@@ -50,19 +51,10 @@ PLACEHOLDER = re.compile(rf"{INSIDE}|^(.)\1*$|^(none|null|true|false|undefined)$
 INSIDE = re.compile(INSIDE, re.I)
 EDGE = 10  # one character less than the longest of these words
 
-NAME = r"[A-Za-z_$][\w.\-]*+"
-PAIR = re.compile(rf"""(?<![\w.\-$])(?P<name>{NAME})["']?\]?[ \t]*(?P<op>:=|=>|=(?!=)|:(?!:))[ \t]*""", re.ASCII)
-FLAG = re.compile(rf"(?<![\w\-])--(?P<name>{NAME})[ \t]+(?=[^\s\-])", re.ASCII)
-TAG = re.compile(rf"<(?P<name>{NAME})>(?=[^<\s])", re.ASCII)
-TERM = re.compile(
-    r"""[fFrRbBuU]{0,2}(?P<q>["'`])(?P<text>(?:(?!(?P=q))[^\\\n]|\\.)*+)(?P=q)"""
-    r"""|\$?\{(?P<ref>[A-Za-z_]\w*+)\}|(?P<bare>[^\s"'`,;(){}\[\]<>|&]++)""",
-    re.ASCII,
-)
-PLUS = re.compile(r"[ \t]*(?:\+|\.\.)[ \t]*|[ \t]+(?=[\"'])")
-REFERENCE = re.compile(r"\$\{?([A-Za-z_]\w*)\}?|\{([A-Za-z_]\w*)\}", re.ASCII)
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
+ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*+://[^\s:/@\"'<>]*+:(?P<word>[^\s/@\"'<>]++)@")
+
 Span = tuple[int, int, str]
 
 
@@ -79,7 +71,7 @@ def base_spans(text: str, lowered: str) -> list[Span]:
 def name_score(name: str) -> float:
     """How much a name promises a secret, 0 to 1; its last two parts count."""
     words = [w.lower() for part in re.split(r"[._\-$]+", name)[-4:] for w in WORDS.findall(part)]
-    return min(1.0, max(0.0, sum(NAME_WORDS.get(w, 0.0) for w in words)))
+    return min(1.0, max(0.0, sum(NAME_WORDS.get(w, NAME_WORDS.get(w.removesuffix("s"), 0.0)) for w in words)))
 
 
 class Said:
@@ -156,50 +148,83 @@ class Parts:
                 left += parts.others
 
 
+def is_name(value: str) -> bool:
+    """A literal that says which secret is wanted, and is none."""
+    return bool(re.fullmatch(NAME, value)) and not re.search("[0-9]", value) and name_score(value) >= REPORTED
+
+
+class Constants:
+    """What names stand for, by the functions they were given a value in."""
+
+    def __init__(self, elsewhere: Constants | None = None):
+        self.now: dict[tuple[int, str], tuple[Parts, Said]] = {}
+        self.first: dict[tuple[int, str], tuple[Parts, Said]] = {}
+        self.elsewhere = elsewhere  # for names that get their value further down
+
+    def set(self, path: tuple[int, ...], name: str, value: tuple[Parts, Said]) -> None:
+        self.now[path[-1], name] = value
+        self.first.setdefault((path[-1], name), value)
+
+    def get(self, path: tuple[int, ...], name: str) -> tuple[Parts, Said] | None:
+        for scope in reversed(path):
+            if (scope, name) in self.now:
+                return self.now[scope, name]
+        for scope in reversed(path) if self.elsewhere else ():
+            if (scope, name) in self.elsewhere.first:
+                return self.elsewhere.first[scope, name]
+        return None
+
+
+def _evaluated(terms: list[Term], path: tuple[int, ...], known: Constants) -> tuple[Parts, Said]:
+    parts, said = Parts(), Said()
+    for term in terms:
+        name = term if isinstance(term, str) else term.value if not term.certain else None
+        value = known.get(path, name) if name else None
+        if value:
+            parts.others.append(value[0])
+            said.add(value[1])
+        elif isinstance(term, Literal):
+            word = term.value
+            surely = term.certain or not re.fullmatch(NAME, word) or re.search("[0-9]", word)
+            if word and surely and not is_name(word):
+                parts.own.append((term.start, term.end))
+                said.add(Said(word))
+    return parts, said
+
+
 def literal_spans(text: str) -> list[Span]:
-    """Literals that reach a sensitive name, directly or through other names.
+    """Literals that reach a sensitive name, directly or through other names, which may get their values later.
 
     All parts of a literal are scored together and reported together, however many and short they are.
     """
-    known: dict[str, tuple[Parts, Said]] = {}
-    found = set()
-    pairs = [m for p in (PAIR, FLAG, TAG) for m in p.finditer(text)]
-    if not any(name_score(pair["name"]) >= REPORTED for pair in pairs):  # a literal scores 1 at most
-        return []
-    for pair in sorted(pairs, key=lambda m: m.end()):
-        name, at = pair["name"], pair.end()
-        parts, said = Parts(), Said()
-
-        def literal(start: int, end: int, value: str) -> None:
-            if value:
-                parts.own.append((start, end))
-                said.add(Said(value))
-
-        def constant(ref: str) -> None:
-            if ref in known:
-                parts.others.append(known[ref][0])
-                said.add(known[ref][1])
-
-        while term := TERM.match(text, at):
-            if term["text"] is not None:
-                inner = term["text"]
-                literal(term.start("text"), term.end("text"), REFERENCE.sub("", inner))
-                for ref in REFERENCE.finditer(inner):
-                    constant(ref[1] or ref[2])
-            else:
-                word = term["ref"] or term["bare"].lstrip("$")
-                if word in known:
-                    constant(word)
-                elif term["bare"] and (not re.fullmatch(NAME, word) or re.search("[0-9]", word)):
-                    literal(term.start("bare"), term.end("bare"), word)
-            more = PLUS.match(text, term.end())
-            if not more:
-                break
-            at = more.end()
-        if parts.own or parts.others:
-            known[re.split(r"[.\-]", name)[-1]] = parts, said
-            if name_score(name) * said.score() >= REPORTED:
-                found |= {(a, z, "literal") for a, z in parts.report()}
+    found = {
+        (*m.span("word"), "literal") for m in ADDRESS.finditer(text) if literal_score(m["word"]) >= REPORTED
+    }
+    every = list(assignments(text))
+    scores = [[name_score(name) for name in given.names] for given in every]
+    if not any(score >= REPORTED for own in scores for score in own):  # a literal scores 1 at most
+        return list(found)
+    read = []
+    for given, own in zip(every, scores):
+        sensitive = max(own) >= REPORTED
+        if sensitive or given.kind in DEFINING:
+            read.append((given, own, values(text, given.at, given.kind == "many", sensitive)))
+    known = None
+    for last in (False, True):
+        known = Constants(known)
+        for given, own, elements in read:
+            by_name: list[list[tuple[Parts, Said]]] = [[] for _ in given.names]
+            for place, terms in elements:
+                value = _evaluated(terms, given.path, known)
+                if place < len(by_name) and (value[0].own or value[0].others):
+                    by_name[place].append(value)
+            for name, score, made in zip(given.names, own, by_name):
+                if last and score >= REPORTED:
+                    for parts, said in made:
+                        if score * said.score() >= REPORTED:
+                            found |= {(a, z, "literal") for a, z in parts.report()}
+                if made and given.kind in DEFINING:
+                    known.set(given.path, re.split(r"[.\-]", name)[-1], made[0])
     return list(found)
 
 
@@ -207,7 +232,7 @@ def scan(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans and all spans, by start and then kind. Ends are exclusive."""
     lowered = text.lower()
     base = base_spans(text, lowered)
-    added = literal_spans(text) if any(w in lowered for w in TRIGGERS) else []
+    added = literal_spans(text) if "://" in lowered or any(w in lowered for w in TRIGGERS) else []
     order = lambda s: (s[0], KINDS.index(s[2]), s[1])
     return sorted(base, key=order), sorted(base + added, key=order)
 

@@ -165,6 +165,96 @@ def test_literals_reach_sensitive_names(text, literals):
     assert sorted({text[a:z] for a, z, k in spans if k == "literal"}) == sorted(literals)
 
 
+X = "Xk39fQz71wT!"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f'password = DEFAULT\nDEFAULT = "{X}"',
+        f'{{"signing_key":\n  "{X}"}}',
+        f"signing_key: |\n  {X}\nother: 1",
+        f"signing_key:\n  {X}\n",
+        f'signing_key = """{X}"""',
+        f'signing_key: str = "{X}"',
+        f'signing_key: Optional[str] = "{X}"',
+        f'signing_key: str | None = "{X}"',
+        f'signing_key = ("{X}")',
+        f'signing_key = ["{X}", "short"]',
+        f'signing_key = ["short", "{X}"]',
+        f'{{"signing_key": {{"value": "{X}"}}}}',
+        f'tokens = "{X}"',
+        f'db_passwords = ["{X}"]',
+        f'signing_key, n = "{X}", 3',
+        f'n, signing_key = 3, "{X}"',
+        f'x = os.getenv("SIGNING_KEY", "{X}")',
+        f'signing_key = os.getenv("SIGNING_KEY", "{X}")',
+        f'signing_key = None or "{X}"',
+        f'signing_key = given || "{X}"',
+        f'signing_key = given ?? "{X}"',
+        f'client.set_signing_key("{X}")',
+        f'#define SIGNING_KEY "{X}"',
+        f'if signing_key == "{X}":',
+        f'<add key="signing_key" value="{X}"/>',
+        'dsn = "postgres://bob:Xk39fQz71wT@host/db"',
+        f'def one():\n    hidden = "nothing-Zz81"\n\ndef two():\n    hidden = "{X}"\n    signing_key = hidden\n',
+        f'KEY_PART = "{X}"\ndef two():\n    signing_key = KEY_PART\n',
+        f'function f() {{\n  const signingKey = "{X}";\n}}',
+        f"- name: x\n  signing_key: '{X}'\n",
+        f'a = signing_key = "{X}"',
+    ],
+)
+def test_forms_of_assignments(text):
+    value = X if X in text else "Xk39fQz71wT"
+    assert {text[a:z] for a, z, k in secrets.scan(text)[1] if k == "literal"} == {value}
+    assert value not in secrets.masked(text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'def one():\n    hidden = "Xk39fQz71wT"\n\ndef two(hidden):\n    signing_key = hidden\n',  # of another function
+        'signing_key = os.getenv("SIGNING_KEY")',
+        'config["signing_key"]["other"]',
+        'public_key = ("Xk39fQz71wT")',
+        "signing_key =\nport = 8080\n",
+        "http://host:8080/path and https://x.org/a:b@c",
+        'print("the signing_key is missing")',
+        'signing_key = get("auth_token")',
+    ],
+)
+def test_no_literal_without_a_secret(text):
+    assert [text[a:z] for a, z, k in secrets.scan(text)[1] if k == "literal"] == []
+
+
+def test_generated_sources_have_the_spans_they_were_made_with():
+    """Statements with and without secrets, in any order: what was put in is found, and nothing else."""
+    rng = random.Random(11)
+    for _ in range(300):
+        text, want = "", set()
+        for i in range(rng.randint(1, 9)):
+            value = "".join(rng.choice("abcdefghkmnpqrstuvwxyzABCDEFGHKLMNP23456789") for _ in range(14)) + "7kQ"
+            form, hit = rng.choice(
+                [
+                    ('db_password = "@"', True), ("auth_token: '@'", True), ('signing_key: str = ("@")', True),
+                    ('secret_%d = ["x", "@"]' % i, True), ('#define API_KEY "@"', True), ('set_password("@")', True),
+                    ('x%d = env("PASSWD", "@")' % i, True), ('title = "@"', False), ('file_path = "@"', False),
+                    ('count(%d, "@")' % i, False), ("--name @", False), ('k%d = "@"\nclient_secret = k%d' % (i, i), True),
+                    ('client_secret = z%d\nz%d = "@"' % (i, i), True), ("plain words of a text, with @ in it", False),
+                ]
+            )
+            at = len(text) + form.index("@")
+            text += form.replace("@", value) + "\n"
+            if hit:
+                want.add((at, at + len(value)))
+        assert set(literals(text)) == want, text
+
+
+def test_long_and_unclosed_sources_end():
+    for text in ("token = {" * 300, 'token = ("' * 300, "token: [" + '"a", ' * 20_000, "def f():\n  token = x\n" * 2000):
+        secrets.scan(text)
+
+
 SENSITIVE = ["db_pass", "dbPass", "DB_PWD", "signing_key", "signingKey", "encryption_key", "auth_key", "auth", "private-key",
              "access-key", "bearer", "client_api", "passphrase", "credentials", "API_KEY", "api.key", "key",
              *[w for w, score in secrets.NAME_WORDS.items() if score >= secrets.REPORTED]]

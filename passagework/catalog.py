@@ -15,6 +15,7 @@ from passagework.functions.encoders import AsciiHashingEncoder, HashingEncoder
 from passagework.operators import cells as ce
 from passagework.operators import chunks as ch
 from passagework.operators import pages as pg
+from passagework.operators import postings as po
 from passagework.operators import prompt as pr
 from passagework.operators import search as se
 from passagework.plans import ingest as ing
@@ -326,6 +327,13 @@ def clustered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ce.search_cells(index, asked, digits=DIGITS)[0]
 
 
+@registered
+def postings_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions of ``semantic_search_n`` to inverted lists, rows without a word in common included."""
+    index = po.build(stored_corpus(spark, sf_dir), scratch_path(spark, "postings"), [*cp.KEYS, "document_name"])
+    return po.search_postings(index, with_query_vectors(questions(spark)), digits=DIGITS)[0]
+
+
 @registered
 def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows of the corpus a search scored."""

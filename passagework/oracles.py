@@ -230,6 +230,7 @@ def oracle_sql() -> dict[str, str]:
         "clustered_search": f"{_search('benchmark')} SELECT {HIT_COLUMNS}, score FROM hits",
         "semantic_search_n": f"{_search('literal')} SELECT {HIT_COLUMNS}, score FROM hits",
         "semantic_search_batch": f"{_search('turns')} SELECT {HIT_COLUMNS}, score FROM hits",
+        "postings_search": f"{_search('literal')} SELECT {HIT_COLUMNS}, score FROM hits",
         "search_payload": f"{_search('benchmark')} SELECT {HIT_COLUMNS}, sentence_chunk, chunk_char_count, "
         "chunk_word_count, chunk_token_count, score FROM hits",
         "context_block": f"{_search('literal')}{CONTEXTS} SELECT qid, context FROM contexts",

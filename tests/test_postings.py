@@ -1,0 +1,120 @@
+"""Inverted lists give the same results as the whole corpus, and are read in part."""
+
+import numpy as np
+import pytest
+
+from passagework.operators import postings as po
+from passagework.operators import search as se
+
+DIM = 40
+SCHEMA = "doc_id bigint, chunk bigint, embedding array<float>"
+KEYS = ["doc_id", "chunk"]
+
+
+def sparse(seed, rows, few=5, common=0.9):
+    """Some weights in rare buckets, and one bucket that nearly all rows have."""
+    dice = np.random.default_rng(seed)
+    made = []
+    for i in dice.permutation(rows):
+        vector = np.zeros(DIM)
+        at = np.minimum(dice.geometric(0.08, few), DIM - 1)
+        vector[at] = dice.random(few)
+        vector[0] = 0.05 * (dice.random() < common)
+        made.append((int(i), int(i) % 3, (vector / max(np.linalg.norm(vector), 1e-9)).astype(np.float32).tolist()))
+    return made
+
+
+def both(spark, tmp_path, rows, asked, **options):
+    corpus = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    queries = spark.createDataFrame(asked, "qid bigint, query_vector array<float>, n_results int")
+    index = po.build(corpus, str(tmp_path / "index"), KEYS, dim=DIM)
+    hits, opened = po.search_postings(index, queries, dim=DIM, digits=6, **options)
+    whole = se.search(corpus, queries, KEYS, dim=DIM, digits=6, **options)
+    assert hits.columns == whole.columns
+    got, want = (sorted(map(tuple, r.collect())) for r in (hits, whole))
+    assert got == want
+    return got, opened, index
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(po, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(po, "SHARD_BLOCKS", 2)
+
+
+def test_equal_to_search(spark, tmp_path):
+    rows = sparse(1, 900)
+    got, opened, index = both(spark, tmp_path, rows, [(q, rows[q * 7][2], 1 + q % 11) for q in range(40)])
+    assert len(got) == sum(1 + q % 11 for q in range(40))
+    assert 0 < opened.entries <= opened.possible <= index.entries and index.count == 900
+
+
+def test_lists_are_not_opened_without_need(spark, tmp_path):
+    rows = sparse(2, 20_000, few=3)
+    question = np.zeros(DIM)
+    question[[0, 30, 35]] = [0.1, 1.0, 1.0]
+    _, opened, _ = both(spark, tmp_path, rows, [(1, question.tolist(), 1)])
+    assert opened.entries < opened.possible / 2  # not the list that nearly all rows are in
+
+
+def test_zero_scores_rank_by_keys(spark, tmp_path):
+    rows = sparse(3, 60) + [(1000 - i, 0, [0.0] * DIM) for i in range(20)] + [(-5, 0, None), (-4, 0, [])]
+    alone = np.zeros(DIM)
+    alone[DIM - 1] = 1.0
+    asked = [(1, [0.0] * DIM, 30), (2, alone.tolist(), 12), (3, rows[3][2], 1000), (4, [], 3), (5, rows[0][2], 0)]
+    got, _, _ = both(spark, tmp_path, rows, asked)
+    assert [r[2] for r in got if r[0] == 1][:2] == [-5, -4] and sum(r[0] == 3 for r in got) == 82
+
+
+def test_copies_tie_by_keys(spark, tmp_path):
+    rows = sparse(4, 50)
+    rows += [(500 - i, i % 2, rows[0][2]) for i in range(200)]
+    got, _, _ = both(spark, tmp_path, rows, [(1, rows[0][2], 9), (2, rows[1][2], 3)])
+    assert [r[2] for r in got if r[0] == 1 and r[2] >= 300][:3] == [301, 302, 303]
+
+
+def test_many_shards_and_blocks_of_questions(spark, tmp_path):
+    rows = sparse(5, 3000)
+    number = {r[0]: r for r in rows}
+    corpus = spark.createDataFrame(rows, SCHEMA)
+    index = po.build(corpus, str(tmp_path / "index"), KEYS, dim=DIM)
+    assert [r["doc_id"] for r in index.rows.orderBy("number").collect()] == sorted(number)
+    asked = [(q, rows[q][2], 4) for q in range(50)]
+    both(spark, tmp_path / "again", rows, asked, max_query_bytes=4 * DIM * 60)
+
+
+def test_shards_equal_plain_scores():
+    dice = np.random.default_rng(6)
+    vectors = np.array([r[2] for r in sparse(7, 300)], np.float32)
+    import pyarrow as pa
+
+    tables = []
+    for block in range(3):
+        part = slice(block * 100, block * 100 + 100)
+        numbers = np.arange(part.start, part.stop) - part.start + block * po.BLOCK_ROWS
+        tables.append(po.blocks_of(pa.table({"number": numbers, "vector": pa.array(vectors[part].tolist(), pa.list_(pa.float32()))}), DIM))
+    place = np.concatenate([np.arange(100) + b * po.BLOCK_ROWS for b in range(3)])
+    for _ in range(60):
+        question = np.where(dice.random(DIM) < 0.2, dice.random(DIM), 0.0)
+        scores = vectors.astype(np.float64) @ question
+        count = int(dice.integers(1, 20))
+        kth = np.sort(scores)[-count]
+        for bar in (0.0, kth, kth * 0.5):
+            shard = po.Shard(pa.concat_tables(tables))
+            buckets = np.flatnonzero(question)
+            rows, found = shard.best(buckets, question[buckets], count, bar, 1e-9)
+            wanted = {int(p) for p, s in zip(place, scores) if s >= max(kth, 1e-12)}
+            assert wanted <= set(rows.tolist())
+            assert np.allclose(found, scores[np.searchsorted(place, rows)])
+
+
+def test_negative_numbers_are_refused(spark, tmp_path):
+    index = po.build(spark.createDataFrame(sparse(8, 20), SCHEMA), str(tmp_path / "index"), KEYS, dim=DIM)
+    asked = spark.createDataFrame([(1, [-1.0] * DIM)], "qid bigint, query_vector array<float>")
+    with pytest.raises(ValueError):
+        po.search_postings(index, asked, dim=DIM)
+
+
+def test_empty_corpus(spark, tmp_path):
+    got, _, _ = both(spark, tmp_path, [], [(1, [1.0] * DIM, 3)])
+    assert got == []

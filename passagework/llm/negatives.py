@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +72,11 @@ def exact_type(largest_norm: float) -> type:
     raise ValueError("components are too large for exact inner products")
 
 
+def shipped(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast that a worker reads with ``pickle.loads``, without this package installed."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
 # the tree
 
 
@@ -165,11 +171,11 @@ RANGE = "node int, child int, point int, least double, most double, norm_least d
 
 def ranges(stored: DataFrame, tree: Tree) -> Ranges:
     """Of all rows, added up in the tasks; as many numbers as the tree has pairs of siblings."""
-    dim, packed = tree.dim, stored.sparkSession.sparkContext.broadcast(tree)
+    dim, packed = tree.dim, shipped(stored.sparkSession, tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        mine, found = packed.value, {}
+        mine, found = pickle.loads(packed.value), {}
 
         def seen(node: int, child: int, away: np.ndarray, members: np.ndarray) -> None:
             size = own_norms[members]
@@ -247,13 +253,14 @@ def index(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Index:
     sample = vectors(least.column("vector").combine_chunks(), dim)
     labels = np.asarray(least.column("label"), np.int64)
     tree = fit(sample)
-    shared = spark.sparkContext.broadcast(tree)
+    shared = shipped(spark, tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
+        mine = pickle.loads(shared.value)
         for batch in batches:
             made = vectors(batch.column("vector"), dim)
-            leaf = pa.array(shared.value.visit(made), pa.int32())
+            leaf = pa.array(mine.visit(made), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [leaf, batch.column("number"), batch.column("id"), batch.column("label"), packed_rows(made)], schema=arrow
             )
@@ -404,11 +411,11 @@ class Best:
 def answers(held: Index, asked: Questions) -> DataFrame:
     """``question, score, id, own``: the best of each task."""
     spark = held.rows.sparkSession
-    shared = spark.sparkContext.broadcast((held.tree, held.ranges, asked, held.kind))
+    shared = shipped(spark, (held.tree, held.ranges, asked, held.kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        tree, ranges, asked, kind = pickle.loads(pickle.dumps(shared.value))  # bounds are raised in a copy
+        tree, ranges, asked, kind = pickle.loads(shared.value)
         walk, best = Walk(tree, ranges, asked), Best(asked, kind)
         leaf, waiting, rows_held = -1, [], 0
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import time
 from collections.abc import Callable
 from functools import partial
 
@@ -18,6 +20,7 @@ from passagework.operators import pages as pg
 from passagework.operators import postings as po
 from passagework.operators import prompt as pr
 from passagework.operators import search as se
+from passagework.operators.isolation import Limits
 from passagework.plans import ingest as ing
 from passagework.plans.retrieve import answer, retrieve, with_query_vectors
 from passagework.session import scratch_path
@@ -69,6 +72,23 @@ def utf8_document(content: bytes) -> list[Callable[[], str]]:
     return [lambda: content.decode().removesuffix("\f")]
 
 
+def fragile_document(content: bytes) -> list[Callable[[], str]]:
+    """A codec that some documents are too much for: the first line is their number, and one page kills, hangs or bursts it."""
+    number, *lines = content.split(b"\n")
+    doc_id = int(number)
+
+    def read(page: int, line: bytes) -> str:
+        if page == 1 and doc_id % 250 == 7:
+            os.abort()
+        while page == 2 and doc_id % 500 == 11:
+            time.sleep(1)
+        if page == 1 and doc_id % 500 == 13:
+            return "x" * (1 << 40)
+        return line.decode()
+
+    return [partial(read, page, line) for page, line in enumerate(lines, start=1)]
+
+
 def line_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pg.split_pages(documents(spark, sf_dir).select("doc_id", "text"), page_sep=LINE)
 
@@ -146,6 +166,15 @@ def document_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted.select("doc_id", page, "text", F.split("error", ":")[0].alias("error"))
 
 
+@registered
+def extract_crash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document through a codec that aborts, hangs and runs out of memory on some pages."""
+    content = F.encode(F.concat(F.col("doc_id").cast("string"), F.lit(LINE), F.col("text")), "UTF-8")
+    raw = documents(spark, sf_dir).select("doc_id", content.alias("content"))
+    extracted = pg.extract_pages(raw, fragile_document, limits=Limits(seconds=3, memory_bytes=1 << 30))
+    return extracted.select("doc_id", "page_number", "text", F.split("error", ":")[0].alias("error"))
+
+
 # pages to sentences to chunks
 
 

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.functions import text as tx
+from passagework.operators.isolation import IsolatedExtractor, Limits, Page, packed
+from passagework.operators.page_child import reason_of
 
 FORM_FEED = "\f"
-REASON_CHARS = 200
 REGEX_SPECIAL = r".$|()[]{}^?*+\\"
 
 PageReader = Callable[[], str]
@@ -62,15 +64,12 @@ def ascii_pages(content: bytes) -> Iterator[PageReader]:
         yield lambda page=page: page.decode("ascii")
 
 
-def reason_of(failure: Exception) -> str:
-    return f"{type(failure).__name__}: {failure}"[:REASON_CHARS]
-
-
 def extract_pages(
     docs: DataFrame,
     extractor: Extractor,
     content_col: str = "content",
     on_document_error: str = "raise",
+    limits: Limits | None = None,
 ) -> DataFrame:
     """Run a byte-level page extractor; a page that fails becomes an error row.
 
@@ -78,6 +77,11 @@ def extract_pages(
     page only. A document that cannot be opened fails the job, or becomes one
     error row without a page number if ``on_document_error="quarantine"``.
     Adds ``page_number, text, error`` and drops ``content_col``.
+
+    With ``limits`` the extractor runs in a child process of each task, and a
+    page that crashes it, takes too long or too much memory is an error row like
+    any other; what cannot be read of a document behind a crash between pages
+    is an error of the document.
     """
     if on_document_error not in ("raise", "quarantine"):
         raise ValueError("on_document_error is 'raise' or 'quarantine'")
@@ -86,8 +90,15 @@ def extract_pages(
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     schema = f"{columns}, page_number int, text string, error string"
     rows_per_batch = 1024
+    shipped = packed(extractor) if limits else b""
 
-    def read_document(content: bytes) -> Iterator[tuple[int | None, str | None, str | None]]:
+    def read_isolated(isolated: IsolatedExtractor, content: bytes) -> Iterator[Page]:
+        for page in isolated.pages(content):
+            if page[0] is None and on_document_error == "raise":
+                raise RuntimeError(page[2])
+            yield page
+
+    def read_document(content: bytes) -> Iterator[Page]:
         try:
             for number, reader in enumerate(extractor(content), start=1):
                 try:
@@ -107,11 +118,18 @@ def extract_pages(
         return pa.RecordBatch.from_arrays(carried + made, names=[*names, "page_number", "text", "error"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if limits is None:
+            yield from pages_of(batches, read_document)
+            return
+        with IsolatedExtractor(shipped, limits) as isolated:
+            yield from pages_of(batches, partial(read_isolated, isolated))
+
+    def pages_of(batches: Iterator[pa.RecordBatch], read: Callable[[bytes], Iterator[Page]]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             contents = batch.column(content_col)
             for i in range(batch.num_rows):
-                for page in read_document(contents[i].as_py()):
+                for page in read(contents[i].as_py()):
                     rows.append((i, *page))
                     if len(rows) == rows_per_batch:
                         yield as_batch(batch, rows)

@@ -176,6 +176,11 @@ def oracle_sql() -> dict[str, str]:
             refused AS (SELECT doc_id FROM documents WHERE regexp_matches(text, '[^\\x00-\\x7F]'))
             SELECT doc_id, page_number, text, CAST(NULL AS VARCHAR) AS error FROM pages ANTI JOIN refused USING (doc_id)
             UNION ALL SELECT doc_id, CAST(0 AS INTEGER), NULL, 'UnicodeDecodeError' FROM refused""",
+        "extract_crash": f"""{lines}, e AS (SELECT doc_id, page_number, text, CASE
+                WHEN page_number = 1 AND doc_id % 250 = 7 THEN 'crashed'
+                WHEN page_number = 2 AND doc_id % 500 = 11 THEN 'no answer in time'
+                WHEN page_number = 1 AND doc_id % 500 = 13 THEN 'MemoryError' END AS error FROM pages)
+            SELECT doc_id, page_number, CASE WHEN error IS NULL THEN text END AS text, error FROM e""",
         "sentences": f"""{with_sentences} SELECT doc_id, page_number, unnest(sentences) AS sentence,
             CAST(generate_subscripts(sentences, 1) - 1 AS INTEGER) AS pos FROM s""",
         "sentence_model": f"{lines}, {SENTENCE_MODEL} SELECT kind, type, seen, total, round(score, 5) AS score FROM model",

@@ -11,6 +11,7 @@ from passagework.functions import text as tx
 from passagework.functions.encoders import DEFAULT_BATCH_SIZE, EncoderFactory, HashingEncoder, encode, encode_outcome
 from passagework.operators import chunks as ch
 from passagework.operators import pages as pg
+from passagework.operators.isolation import Limits
 from passagework.session import scratch_path
 from passagework.sources import corpus
 from passagework.sources.documents import missing_reason, quarantine_missing
@@ -66,6 +67,7 @@ class IngestOptions:
     min_tokens: float = ch.MIN_TOKENS
     batch_size: int = DEFAULT_BATCH_SIZE
     extractor: pg.Extractor | None = None
+    limits: Limits | None = None  # of the extractor, which runs in a child process then
 
 
 def document_chunks(
@@ -90,10 +92,10 @@ def embed_chunks(
     return kept.withColumn("embedding", encode(F.col("sentence_chunk"), factory, batch_size))
 
 
-def _extracted(docs: DataFrame, extractor: pg.Extractor) -> tuple[DataFrame, DataFrame, int]:
+def _extracted(docs: DataFrame, extractor: pg.Extractor, limits: Limits | None) -> tuple[DataFrame, DataFrame, int]:
     """Readable pages and failed ones, with the number of these. Written once, as both are read from it."""
     path, failed = scratch_path(docs.sparkSession, "extracted"), Observation()
-    pages = pg.extract_pages(docs, extractor, on_document_error="quarantine")
+    pages = pg.extract_pages(docs, extractor, on_document_error="quarantine", limits=limits)
     pages.observe(failed, F.count("error").alias("rows")).write.parquet(path)
     stored = docs.sparkSession.read.schema(pages.schema).parquet(path)
     return pg.readable(stored), pg.quarantined(stored).withColumnRenamed("error", "reason"), failed.get["rows"]
@@ -113,7 +115,7 @@ def store_documents(docs: DataFrame, root: str, aside: str, options: IngestOptio
     good = asked.observe(lacking, F.count(reason).alias("rows")).where(reason.isNull())
     failed, failures = None, 0
     if options.extractor:
-        pages, failed, failures = _extracted(good, options.extractor)
+        pages, failed, failures = _extracted(good, options.extractor, options.limits)
     else:
         pages = pg.split_pages(good, page_sep=options.page_sep)
 

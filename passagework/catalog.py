@@ -19,6 +19,7 @@ from passagework.operators import chunks as ch
 from passagework.operators import pages as pg
 from passagework.operators import postings as po
 from passagework.operators import prompt as pr
+from passagework.operators import quantised as qu
 from passagework.operators import search as se
 from passagework.operators.isolation import Limits
 from passagework.plans import ingest as ing
@@ -363,6 +364,14 @@ def postings_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return po.search_postings(index, with_query_vectors(questions(spark)), digits=DIGITS)[0]
 
 
+@registered
+def quantised_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions of ``vector_search`` to codes of one byte for each dimension."""
+    index = qu.build(embeddings(spark, sf_dir), scratch_path(spark, "codes"), ["vec_id"], dim=64)
+    asked = with_query_vectors(benchmark_questions(spark, sf_dir), partial(HashingEncoder, 64))
+    return qu.search_codes(index, asked, digits=DIGITS)[0]
+
+
 @registered
 def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows of the corpus a search scored."""

@@ -229,6 +229,11 @@ def oracle_sql() -> dict[str, str]:
                 FROM cells e JOIN qw USING (b) GROUP BY qid, vec_id)
             SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
                 vec_id, score FROM scored QUALIFY rank <= 5""",
+        "quantised_search": f"""WITH {ASKED["benchmark"]}, {question}, {cells},
+            scored AS (SELECT qid, vec_id, round({dot64}, 5) AS score
+                FROM cells e JOIN qw USING (b) GROUP BY qid, vec_id)
+            SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+                vec_id, score FROM scored QUALIFY rank <= 5""",
         "semantic_search": f"{_search('one')} SELECT {HIT_COLUMNS}, sentence_chunk, chunk_char_count, "
         "chunk_word_count, chunk_token_count, score FROM hits",
         "semantic_search_multi": f"{_search('benchmark')} SELECT {HIT_COLUMNS}, score FROM hits",

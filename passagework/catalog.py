@@ -29,6 +29,7 @@ from passagework.sources import corpus as cp
 from passagework.sources import csv_corpus
 from passagework.sources.documents import DOCUMENT_SCHEMA, files, spread, text_table
 from passagework.streaming.ingest import corpus_stream, document_stream
+from passagework.streaming.uploads import new_uploads
 
 QUESTION = "the worthless hand of that"
 QUESTIONS = [(1, QUESTION, 3), (2, "le la des", 7), (3, "zzz", None), (4, "", 2)]
@@ -268,6 +269,16 @@ def embed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.where("weight <> 0").withColumn("weight", weight)
 
 
+@registered
+def embed_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of ``embed_chunks`` from batches of chunks of like length."""
+    chunks_made = ing.document_chunks(documents(spark, sf_dir))
+    embedded = ing.embed_chunks(chunks_made, pad_waste=0.1, batch_chars=1 << 16)
+    cells = embedded.select(*cp.KEYS, F.posexplode("embedding").alias("bucket", "weight"))
+    weight = F.round(F.col("weight").cast("double"), DIGITS)
+    return cells.where("weight <> 0").withColumn("weight", weight)
+
+
 @registered
 def embed_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     embedded = ing.embed_chunks(ing.document_chunks(documents(spark, sf_dir)), AsciiHashingEncoder)
@@ -524,3 +535,20 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         corpus_stream(arriving, root, checkpoint, page_sep=LINE).awaitTermination()
     return cp.read(spark, root).drop("embedding", "filename", "document_name", *cp.POSITION)
+
+
+@registered
+def stream_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents arrive, then a third of them again, half of these with another text: what is new, and what changed."""
+    inbox, out, checkpoint = (scratch_path(spark, x) for x in ("uploads", "uploads-seen", "uploads-checkpoint"))
+    docs = documents(spark, sf_dir)
+    again = docs.where("doc_id % 3 = 0")
+    again = again.withColumn("text", F.when(F.col("doc_id") % 6 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    for hours, upload in enumerate((docs, again)):
+        timed = upload.withColumn("arrived", F.timestamp_seconds(F.lit(1_700_000_000 + 3600 * hours)))
+        timed.write.mode("append").parquet(inbox)
+        arriving = spark.readStream.schema(timed.schema).parquet(inbox)
+        found = new_uploads(arriving).select("doc_id", "document_name", "change", F.length("text").alias("n_chars"))
+        writer = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("doc_id bigint, document_name string, change string, n_chars int").parquet(out)

@@ -114,10 +114,37 @@ def _to_arrow(vectors: list[np.ndarray | None], dim: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), values, mask=mask)
 
 
-def encode_outcome(text: Column, factory: EncoderFactory = HashingEncoder, batch_size: int = DEFAULT_BATCH_SIZE) -> Column:
+def length_batches(lengths: np.ndarray, most_rows: int, waste: float, most_chars: int | None = None) -> list[np.ndarray]:
+    """Rows in batches of like length, for a model that pads each text to the longest of its batch.
+
+    The padded length of a batch is at most ``1 + waste`` times that of its
+    texts, and ``most_chars``, unless one text alone is longer.
+    """
+    order = np.argsort(lengths, kind="stable")
+    batches, start, held = [], 0, 0
+    for end, length in enumerate(lengths[order].tolist()):
+        rows = end - start + 1
+        padded = rows * length
+        if rows > 1 and (rows > most_rows or padded > (1 + waste) * (held + length) or (most_chars and padded > most_chars)):
+            batches.append(order[start:end])
+            start, held = end, 0
+        held += length
+    return [*batches, order[start:]] if len(order) else []
+
+
+def encode_outcome(
+    text: Column,
+    factory: EncoderFactory = HashingEncoder,
+    batch_size: int = DEFAULT_BATCH_SIZE,
+    pad_waste: float | None = None,
+    batch_chars: int | None = None,
+) -> Column:
     """``embedding`` and ``error`` in a struct; the vector is NULL where the encoder failed, and the error says why.
 
-    A NULL text has neither.
+    A NULL text has neither. With ``pad_waste`` the texts that a task holds are
+    cut into batches of like length (``length_batches``) and not in their order;
+    vectors come back in the order of the rows. ``batch_chars`` bounds the padded
+    characters of such a batch.
     """
     key = hashlib.md5(cloudpickle.dumps(factory)).hexdigest()
 
@@ -128,8 +155,12 @@ def encode_outcome(text: Column, factory: EncoderFactory = HashingEncoder, batch
             texts = batch.to_pylist()
             outcomes: list[tuple[np.ndarray | None, str | None]] = [(None, None)] * len(texts)
             rows = [i for i, t in enumerate(texts) if t is not None]
-            for start in range(0, len(rows), batch_size):
-                part = rows[start : start + batch_size]
+            if pad_waste is None:
+                parts = [rows[start : start + batch_size] for start in range(0, len(rows), batch_size)]
+            else:
+                lengths = np.array([len(texts[i]) for i in rows], np.int64)
+                parts = [[rows[k] for k in part] for part in length_batches(lengths, batch_size, pad_waste, batch_chars)]
+            for part in parts:
                 for i, outcome in zip(part, _encode_rows(encoder, [texts[i] for i in part])):
                     outcomes[i] = outcome
             vectors = _to_arrow([vector for vector, _ in outcomes], encoder.dim)
@@ -139,6 +170,6 @@ def encode_outcome(text: Column, factory: EncoderFactory = HashingEncoder, batch
     return embed(text)
 
 
-def encode(text: Column, factory: EncoderFactory = HashingEncoder, batch_size: int = DEFAULT_BATCH_SIZE) -> Column:
+def encode(text: Column, factory: EncoderFactory = HashingEncoder, batch_size: int = DEFAULT_BATCH_SIZE, **batches: float) -> Column:
     """``array<float>`` column of embeddings; NULL where the encoder failed."""
-    return encode_outcome(text, factory, batch_size)["embedding"]
+    return encode_outcome(text, factory, batch_size, **batches)["embedding"]

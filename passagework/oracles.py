@@ -209,6 +209,8 @@ def oracle_sql() -> dict[str, str]:
         "ingest_multi": f"{chunks} SELECT * FROM chunks",
         "embed_chunks": f"""{whole}, {CHUNK_WEIGHTS}
             SELECT {KEYS}, CAST(b AS INTEGER) AS bucket, round(x, 5) AS weight FROM cw""",
+        "embed_by_length": f"""{whole}, {CHUNK_WEIGHTS}
+            SELECT {KEYS}, CAST(b AS INTEGER) AS bucket, round(x, 5) AS weight FROM cw""",
         "embed_failures": f"""{whole}
             SELECT {KEYS} FROM kept WHERE regexp_matches(sentence_chunk, '[^\\x00-\\x7F]')""",
         "vector_parse": f"""SELECT vec_id, CAST(i AS INTEGER) AS pos, {value} AS value
@@ -274,5 +276,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT (SELECT count(*) FROM pages) AS pages, (SELECT count(*) FROM chunks) AS chunks, kept,
                 failed AS failed_embeddings, kept - failed AS saved, failed > 0 AS has_reason FROM f""",
         "scored_rows": f"{whole} SELECT count(*) AS rows_scored FROM kept",
+        "stream_uploads": """SELECT doc_id, source AS document_name, 'new' AS change, CAST(length(text) AS INTEGER) AS n_chars FROM documents
+            UNION ALL SELECT doc_id, source, 'changed', CAST(length(text) + 1 AS INTEGER) FROM documents WHERE doc_id % 6 = 0""",
         "stream_ingest": f"{chunks} SELECT * FROM chunks WHERE chunk_token_count > 30",
     }

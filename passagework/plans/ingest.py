@@ -66,6 +66,8 @@ class IngestOptions:
     factory: EncoderFactory = HashingEncoder
     min_tokens: float = ch.MIN_TOKENS
     batch_size: int = DEFAULT_BATCH_SIZE
+    pad_waste: float | None = None  # for a model that pads: batches of like length, see functions.encoders
+    batch_chars: int | None = None
     extractor: pg.Extractor | None = None
     limits: Limits | None = None  # of the extractor, which runs in a child process then
 
@@ -86,10 +88,11 @@ def embed_chunks(
     factory: EncoderFactory = HashingEncoder,
     min_tokens: float = ch.MIN_TOKENS,
     batch_size: int = DEFAULT_BATCH_SIZE,
+    **batches: float,
 ) -> DataFrame:
     """Drop short chunks, then add one vector per chunk."""
     kept = chunks.where(ch.long_enough(min_tokens))
-    return kept.withColumn("embedding", encode(F.col("sentence_chunk"), factory, batch_size))
+    return kept.withColumn("embedding", encode(F.col("sentence_chunk"), factory, batch_size, **batches))
 
 
 def _extracted(docs: DataFrame, extractor: pg.Extractor, limits: Limits | None) -> tuple[DataFrame, DataFrame, int]:
@@ -122,7 +125,9 @@ def store_documents(docs: DataFrame, root: str, aside: str, options: IngestOptio
     seen, made, kept, ended = Observation(), Observation(), Observation(), Observation()
     chunks = ch.create_chunks(pages.observe(seen, count), options.size, options.splitter, options.joiner).observe(made, count)
     gathered = corpus.gather_by_name(chunks.where(ch.long_enough(options.min_tokens)).observe(kept, count))
-    outcome = encode_outcome(F.col("sentence_chunk"), options.factory, options.batch_size)
+    outcome = encode_outcome(
+        F.col("sentence_chunk"), options.factory, options.batch_size, options.pad_waste, options.batch_chars
+    )
     error = F.col("outcome.error")
     encoded = gathered.withColumn("outcome", outcome).observe(ended, F.count(error).alias("failed"), F.min(error).alias("reason"))
     corpus.write(encoded.withColumn("embedding", F.col("outcome.embedding")), root, mode)

@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from passagework.plans.ingest import IngestOptions, store_documents
+from passagework.plans.ingest import EmbeddingsFailed, IngestOptions, IngestReport, store_documents
 from passagework.sources.corpus import files_of
 from passagework.sources.documents import DOCUMENT_SCHEMA
 
+REPORT_SCHEMA = "batch bigint, pages bigint, chunks bigint, kept bigint, set_aside bigint, failed_embeddings bigint, reason string"
+
 
 def document_stream(
     spark: SparkSession,
@@ -86,24 +89,40 @@ def store_batch(batch: DataFrame, number: int, root: str, checkpoint: str, optio
     if files.exists(done):
         return
     if not files.exists(written):
-        store_documents(batch, f"{folder}/rows", f"{folder}/aside", options, mode="overwrite")
+        report = store_documents(batch, f"{folder}/rows", f"{folder}/aside", options, mode="overwrite")
+        told = (number, report.pages, report.chunks, report.kept, report.set_aside, report.failed_embeddings, report.reason)
+        spark.createDataFrame([told], REPORT_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{folder}/report")
         files.mkdirs(written)
     publish(spark, f"{folder}/aside", f"{root}/_quarantine")
     publish(spark, f"{folder}/rows", root)
     files.mkdirs(done)
 
 
-def corpus_stream(documents: DataFrame, root: str, checkpoint: str, **options) -> StreamingQuery:
+def stream_reports(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What every micro-batch of a corpus stream did, one row each."""
+    folder, files = files_of(spark, f"{checkpoint}/corpus-batches")
+    if not files.exists(folder):
+        return spark.createDataFrame([], REPORT_SCHEMA)
+    return spark.read.schema(REPORT_SCHEMA).parquet(f"{checkpoint}/corpus-batches/*/report")
+
+
+def corpus_stream(documents: DataFrame, root: str, checkpoint: str, tolerated: float = 1.0, **options) -> StreamingQuery:
     """Embed arriving ``doc_id, document_name[, filename], text`` documents into a corpus table, then stop.
 
     The corpus may be one that batches made, and batches may append to it
     afterwards; every document is added once. Options are those of
-    ``IngestOptions``.
+    ``IngestOptions``. ``stream_reports`` tells what each batch did; one with a
+    larger share of failed embeddings than ``tolerated`` is stored, and ends the
+    stream with ``EmbeddingsFailed``.
     """
     chosen = IngestOptions(**options)
 
     def add(batch: DataFrame, number: int) -> None:
         store_batch(batch, number, root, checkpoint, chosen)
+        own = stream_reports(batch.sparkSession, checkpoint).where(F.col("batch") == number).drop("batch").first()
+        report = IngestReport(**own.asDict())
+        if report.failed_embeddings > tolerated * report.kept:
+            raise EmbeddingsFailed(report)
 
     writer = documents.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,9 @@ from passagework.plans.retrieve import retrieve
 from passagework.session import scratch_path
 from passagework.sources import corpus as cp
 from passagework.streaming import ingest as streaming
-from passagework.streaming.ingest import corpus_stream, document_stream, ingest_stream
+from passagework.functions.encoders import AsciiHashingEncoder
+from passagework.streaming.ingest import corpus_stream, document_stream, ingest_stream, stream_reports
+from passagework.streaming.uploads import new_uploads
 
 LONG = "The quick brown fox jumps over the lazy dog near the river bank. " * 3
 SCHEMA = "doc_id bigint, document_name string, text string"
@@ -99,3 +103,48 @@ def test_a_batch_that_is_tried_again_adds_nothing(spark, documents, monkeypatch,
     assert cp.quarantine(spark, root).count() == 1
     streaming.store_batch(docs, 8, root, checkpoint, IngestOptions())
     assert cp.read(spark, root).count() == 4
+
+
+def test_a_stream_reports_its_batches(spark, documents):
+    inbox, root, checkpoint = (scratch_path(spark, x) for x in ("inbox", "corpus", "state"))
+    assert stream_reports(spark, checkpoint).count() == 0
+    for texts in ([("a", LONG), ("b", LONG), ("c", None)], [("a", LONG.replace("fox", "f\u00f6x"))]):
+        documents(texts).coalesce(1).write.mode("append").parquet(inbox)
+        corpus_stream(document_stream(spark, inbox, schema=SCHEMA), root, checkpoint, factory=AsciiHashingEncoder).awaitTermination()
+    told = [tuple(r)[:6] for r in stream_reports(spark, checkpoint).orderBy("batch").collect()]
+    assert told == [(0, 2, 2, 2, 1, 0), (1, 1, 1, 1, 0, 1)]
+    documents([("d", LONG + "\u00e9")]).coalesce(1).write.mode("append").parquet(inbox)
+    query = corpus_stream(document_stream(spark, inbox, schema=SCHEMA), root, checkpoint, tolerated=0.5, factory=AsciiHashingEncoder)
+    with pytest.raises(Exception, match="embeddings failed"):
+        query.awaitTermination()
+
+
+UPLOADS = "doc_id bigint, document_name string, text string, arrived timestamp"
+
+
+def test_uploads_that_come_again(spark):
+    """Over restarts: a repeat is dropped, a change is marked, and what was not seen for long is new."""
+    inbox, out, checkpoint = (scratch_path(spark, x) for x in ("inbox", "out", "state"))
+
+    def at(day):
+        return datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC) + datetime.timedelta(days=day)
+
+    def arrive(*rows):
+        spark.createDataFrame([(i, n, t, at(d)) for i, n, t, d in rows], UPLOADS).coalesce(1).write.mode("append").parquet(inbox)
+        before = {tuple(r) for r in spark.read.schema(seen).parquet(out).collect()} if done else set()
+        found = new_uploads(spark.readStream.schema(UPLOADS).parquet(inbox), delay="1 day", remember_days=10)
+        found = found.select("doc_id", "document_name", "text", F.dayofyear("arrived").alias("day"), "change")
+        writer = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+        writer.trigger(availableNow=True).start().awaitTermination()
+        done.append(1)
+        return {tuple(r) for r in spark.read.schema(seen).parquet(out).collect()} - before
+
+    seen, done = "doc_id bigint, document_name string, text string, day int, change string", []
+    first = arrive((1, "a", "x", 0), (1, "b", "x", 0), (2, "a", None, 0), (3, "a", "", 0), (3, "a", "", 0))
+    assert {(r[0], r[1], r[4]) for r in first} == {(1, "a", "new"), (1, "b", "new"), (2, "a", "new"), (3, "a", "new")}
+    again = arrive((1, "a", "x", 1), (1, "b", "y", 1), (2, "a", "", 1), (3, "a", "", 2))
+    assert {(r[0], r[1], r[2], r[4]) for r in again} == {(1, "b", "y", "changed"), (2, "a", "", "changed")}
+    assert arrive((1, "a", "x", 9), (9, "a", "later", 9)) == {(9, "a", "later", 10, "new")}  # seen again in time
+    assert arrive((3, "a", "", 2), (9, "a", "later", 9)) == set()  # too late to be looked at, and a repeat
+    assert {(r[0], r[1], r[4]) for r in arrive((1, "b", "y", 30), (1, "a", "z", 31))} == {(1, "b", "new"), (1, "a", "new")}
+    assert {(r[0], r[4]) for r in arrive((3, "a", "", 32), (3, "a", "w", 33))} == {(3, "new"), (3, "changed")}

@@ -6,6 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from passagework.functions import encoders as enc
 from passagework.functions import vectors as vx
 from passagework.functions.encoders import AsciiHashingEncoder, HashingEncoder, encode
 
@@ -118,3 +119,44 @@ class CountingEncoder:
 def test_texts_reach_the_encoder_in_batches(spark):
     got = embedded(spark, [str(i) for i in range(10)], CountingEncoder, batch_size=4)
     assert [v[1] for v in got] == [4, 4, 4, 4, 4, 4, 4, 4, 2, 2]
+
+
+# batches by length
+
+
+class PaddingEncoder:
+    """Counts what it pads; a text's vector does not depend on its batch."""
+
+    dim = 2
+    seen: list = []
+
+    def encode(self, texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("bad text")
+        return np.array([[len(t), t.count("a")] for t in texts], np.float32)
+
+
+def test_batches_have_like_lengths():
+    dice = np.random.default_rng(1)
+    lengths = np.minimum(dice.pareto(0.8, 5000) * 40, 200_000).astype(np.int64)
+    lengths[17] = 3_000_000
+    batches = enc.length_batches(lengths, 32, 0.1, 1 << 16)
+    assert sorted(np.concatenate(batches).tolist()) == list(range(5000))
+    padded = [len(b) * int(lengths[b].max()) for b in batches]
+    assert sum(padded) <= 1.1 * lengths.sum()
+    assert all(len(b) <= 32 and (len(b) == 1 or p <= 1 << 16) for b, p in zip(batches, padded))
+    in_order = sum(32 * int(lengths[i : i + 32].max()) for i in range(0, 5000, 32))
+    assert sum(padded) < in_order / 3
+    assert enc.length_batches(np.zeros(0, np.int64), 32, 0.1) == []
+
+
+def test_vectors_do_not_depend_on_batches(spark):
+    dice = np.random.default_rng(2)
+    rows = [(i, "a" * int(dice.integers(0, 400)) + "b" * int(dice.integers(0, 9))) for i in range(500)]
+    rows += [(500, None), (501, ""), (502, "bad one"), (503, "a" * 300_000)]
+    table = spark.createDataFrame(rows, "id int, text string").repartition(3)
+    plain = table.select("id", enc.encode_outcome(F.col("text"), PaddingEncoder, 16).alias("o"))
+    sorted_ones = table.select("id", enc.encode_outcome(F.col("text"), PaddingEncoder, 16, 0.1, 1 << 12).alias("o"))
+    got = {r["id"]: tuple(r["o"]) for r in sorted_ones.collect()}
+    assert got == {r["id"]: tuple(r["o"]) for r in plain.collect()}
+    assert got[502][1].startswith("ValueError") and got[500] == (None, None) and got[503][0] == [300_000, 300_000]

@@ -43,9 +43,47 @@ SENTENCES = {
     "licensed under cc by sa 4 0": "ccbysa4-ref",
     "licensed under cc by nc 4 0": "ccbync4-ref",
     "this work is licensed under a creative commons attribution 4 0 international license": "ccby4-ref",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-warranty",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl21-later",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-later",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl2-ref",
+    "this is free and unencumbered software released into the public domain": "unlicense-ref",
     "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "cc0-ref",
 }
 
+# What a sentence like "this software is licensed under the ..." ends with.
+TITLES = {
+    "mit license": "mit-ref",
+    "isc license": "isc-ref",
+    "apache license": "apache2-ref",
+    "apache license 2 0": "apache2-ref",
+    "apache license version 2 0": "apache2-ref",
+    "apache 2 0 license": "apache2-ref",
+    "bsd 2 clause license": "bsd2-ref",
+    "bsd 3 clause license": "bsd3-ref",
+    "gnu general public license version 2": "gpl2-ref",
+    "gnu general public license version 3": "gpl3-ref",
+    "gnu lesser general public license version 2 1": "lgpl21-ref",
+    "gnu lesser general public license version 3": "lgpl3-ref",
+    "gnu affero general public license version 3": "agpl3-ref",
+    "mozilla public license 2 0": "mpl2-ref",
+    "mozilla public license version 2 0": "mpl2-ref",
+    "eclipse public license 2 0": "epl2-ref",
+    "eclipse public license version 2 0": "epl2-ref",
+    "unlicense": "unlicense-ref",
+}
+SENTENCES |= {f"licensed under the {title}": identifier for title, identifier in TITLES.items()}
+
+# A sentence that is not known as it is may be known in this form: without its subject, with one verb and one spelling.
+FORMS = [
+    (r"\blicence\b", "license"),
+    (r"^(this|the) (software|project|program|work|file|code|library|package|source code|repository) is ", ""),
+    (r"^(also )?(released|distributed|made available|available|provided|licensed) under (the )?(terms of )?(the )?", "licensed under the "),
+]
+
 # The same sentences as the official notices have them: joined, or with another address.
 NOTICES = {
     "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": "apache2-ref,apache2-use",
@@ -60,7 +98,12 @@ RULES = [
     ("Apache-2.0", ["apache2-ref", "apache2-use", "apache2-copy", "apache2-asis", "apache2-see"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("MIT", ["mit-grant", "mit-notice", "mit-warranty"]),
     ("MIT", ["mit-grant", "mit-notice"]),
+    ("ISC", ["isc-grant"]),
+    ("AGPL-3.0-or-later", ["agpl3-later"]),
+    ("LGPL-3.0-or-later", ["lgpl3-later"]),
+    ("LGPL-2.1-or-later", ["lgpl21-later"]),
     ("GPL-3.0-or-later", ["gpl3-later"]),
     ("GPL-2.0-or-later", ["gpl2-later"]),
     ("GPL-3.0-only", ["gpl3-ref"]),
@@ -73,18 +116,33 @@ RULES = [
     ("CC-BY-NC-4.0", ["ccbync4-ref"]),
     ("CC0-1.0", ["cc0-ref"]),
     ("All-Rights-Reserved", ["reserved"]),
+    ("BSD-3-Clause", ["bsd3-ref"]),
+    ("BSD-2-Clause", ["bsd2-ref"]),
+    ("ISC", ["isc-ref"]),
+    ("LGPL-2.1-only", ["lgpl21-ref"]),
+    ("LGPL-3.0-only", ["lgpl3-ref"]),
+    ("AGPL-3.0-only", ["agpl3-ref"]),
+    ("EPL-2.0", ["epl2-ref"]),
+    ("Unlicense", ["unlicense-ref"]),
 ]
 
+# A tag names its licence itself.
+TAG = "spdx license identifier"
+TAGS = {name: f"spdx-{name.lower()}" for name, _ in RULES if name != "All-Rights-Reserved"}
+SENTENCES |= {f"{TAG} {name.lower().replace('-', ' ').replace('.', ' ')}": identifier for name, identifier in TAGS.items()}
+RULES += [(name, [identifier]) for name, identifier in TAGS.items()]
+
 # One of these is in every known sentence.
 KEYWORDS = [
-    "licen", "rights reserved", "redistribut", "permission", "warranties", "warranty", "waived", "permitted",
+    "licen", "rights reserved", "redistribut", "permission", "warranties", "warranty", "waived", "permitted", "unencumbered",
 ]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MARK = "\x01"  # stands between sentences
 BARRIER = ",|,"  # takes the place of what a rule used up, and keeps apart what stood on its sides
 # for the SQL: a sentence ends at a full stop and a blank, at an empty line, and where a new line starts with a capital
-ENDS = [(r"([.!?])[ \t\r\n]+", 1), (r"\n[ \t\r]*\n", 0), (r"\n([ \t/*#;-]*[A-Z])", 2)]
+TAG_LINE = r"((?i:SPDX-License-Identifier)[ \t]*:[^\n]*)\n"
+ENDS = [(TAG_LINE, 1), (r"([.!?])[ \t\r\n]+", 1), (r"\n[ \t\r]*\n", 0), (r"\n([ \t/*#;-]*[A-Z])", 2)]
 
 
 def _wrapped() -> str:
@@ -101,6 +159,7 @@ def _wrapped() -> str:
 # The ends as they are in real notices, in their order: "v. 2.0" goes on, an address belongs to what stands
 # above it, and a line that is wrapped within a known sentence goes on even before a capital.
 CUTS = [
+    (TAG_LINE, "$1" + MARK),
     (r"((?<!\b[vV])[.!?])[ \t\r\n]+", "$1" + MARK),
     (r"\n[ \t\r]*\n(?![ \t\r\n]*https?://)", MARK),
     (_wrapped(), " "),
@@ -138,7 +197,10 @@ def with_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def identify(sentence: Column) -> Column:
         plain = F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), "[^a-z0-9]+", " "))
-        return F.coalesce(F.try_element_at(known, plain), F.lit("unknown"))
+        form = plain
+        for pattern, to in FORMS:
+            form = F.regexp_replace(form, pattern, to)
+        return F.coalesce(F.try_element_at(known, plain), F.try_element_at(known, form), F.lit("unknown"))
 
     def apply(state: Column, rule: Column) -> Column:
         fits = F.contains(state["left"], rule["ids"])
@@ -177,6 +239,9 @@ def oracle() -> str:
 
     plain = f"trim(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
     cases = " ".join(f"WHEN '{s}' THEN '{i}'" for s, i in SENTENCES.items())
+    form = plain
+    for pattern, to in FORMS:
+        form = f"regexp_replace({form}, '{pattern}', '{to}')"
     steps, last = [], "start"
     for number, (name, ids) in enumerate(RULES):
         fits = f"contains(rest, '{_key(ids)}')"
@@ -191,7 +256,7 @@ WITH cut AS (
   SELECT doc_id, CASE WHEN {mentions("text")} THEN
     list_filter(string_split({text}, {mark}), lambda s: {mentions("s")}) ELSE [] END AS parts FROM documents),
 named AS (
-  SELECT doc_id, list_transform(parts, lambda s: CASE {plain} {cases} ELSE 'unknown' END) AS ids FROM cut),
+  SELECT doc_id, list_transform(parts, lambda s: coalesce(CASE {plain} {cases} END, CASE {form} {cases} END, 'unknown')) AS ids FROM cut),
 start AS (
   SELECT doc_id, ids, ',' || array_to_string(ids, ',') || ',' AS rest, []::VARCHAR[] AS found FROM named),
 {", ".join(steps)}

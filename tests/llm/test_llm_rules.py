@@ -103,6 +103,38 @@ def test_license_rules_are_ordered(texts_table):
         assert (row.sentence_ids, row.licenses) == (",".join(ids), name)
 
 
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        ("This software is released under the MIT license.", "MIT"),
+        ("Released under the MIT Licence", "MIT"),
+        ("This project is licensed under the terms of the Apache License, Version 2.0.", "Apache-2.0"),
+        ("// SPDX-License-Identifier: MIT\nint main() { return 0; }", "MIT"),
+        ("# SPDX-License-Identifier: LGPL-2.1-or-later\nimport os", "LGPL-2.1-or-later"),
+        ("The code is available under the BSD 3-Clause License. Enjoy.", "BSD-3-Clause"),
+        ("This library is distributed under the GNU Lesser General Public License version 2.1.", "LGPL-2.1-only"),
+        ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+        (
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+            "provided that the above copyright notice and this permission notice appear in all copies.",
+            "ISC",
+        ),
+    ],
+)
+def test_other_notices_and_tags(texts_table, text, found):
+    row = licenses.with_licenses(texts_table([text])).first()
+    assert (row.licenses, row.n_unknown) == (found, 0)
+
+
+def test_no_licence_from_both_sides_of_another(texts_table):
+    """Parts of a notice that stand around another notice do not make one."""
+    said = {i: s for s, i in licenses.SENTENCES.items()}
+    inner = ["gpl2-later", "gpl-warranty", "gpl-see"]
+    text = ". ".join(said[i] for i in ["mit-grant", *inner, "mit-notice"]) + "."
+    row = licenses.with_licenses(texts_table([text])).first()
+    assert (row.licenses, row.sentence_ids) == ("GPL-2.0-or-later", ",".join(["mit-grant", *inner, "mit-notice"]))
+
+
 def test_licenses_of_odd_rows(odd_docs, odd_rows, no_docs):
     made = licenses.with_licenses(odd_docs)
     assert made.columns == [*odd_docs.columns, "sentence_ids", "licenses", "n_unknown"]

@@ -63,15 +63,18 @@ b AS (SELECT type, seen, total,
       FROM f JOIN t USING (type), n, m WHERE seen >= 3 AND seen / ends > total / words AND score >= 30),
 model AS (SELECT 'abbreviation' AS kind, * FROM a UNION ALL SELECT 'starter', * FROM b)"""
 
+LAST_WORD = r"regexp_extract(part, '(\S+)\s*$', 1)"
+FIRST_WORD = r"regexp_extract(following, '^\S+')"
+
 # pieces up to every possible end, numbered anew at every end that is one
 TRAINED_SENTENCES = rf"""
 c AS (SELECT doc_id, page_number, list_filter(string_split(
              regexp_replace(text, '([.!?]\s+)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS parts FROM pages),
 e AS (SELECT doc_id, page_number, unnest(parts) AS part, generate_subscripts(parts, 1) AS i,
              unnest(parts[2:] || ['']) AS following FROM c),
-g AS (SELECT *, suffix(rtrim(part), '.') AND {_type("regexp_extract(part, '(\S+)\s*$', 1)")} IN (SELECT type FROM a)
+g AS (SELECT *, suffix(rtrim(part), '.') AND {_type(LAST_WORD)} IN (SELECT type FROM a)
              AND NOT (regexp_matches(following, '^\p{{Lu}}')
-                      AND {_type("regexp_extract(following, '^\S+')")} IN (SELECT type FROM b)) AS goes_on FROM e),
+                      AND {_type(FIRST_WORD)} IN (SELECT type FROM b)) AS goes_on FROM e),
 k AS (SELECT *, coalesce(sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (
              PARTITION BY doc_id, page_number ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM g)"""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = ["doc_id", "page_number", "chunk_idx"]
@@ -97,18 +97,65 @@ def quarantine(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(QUARANTINE_SCHEMA).parquet(path)
 
 
+# what streams have added: files of a batch count when the number of the batch, or a later one, is announced
+
+
+def batch_prefix(stream: str, number: int) -> str:
+    return f"stream-{stream}-{number}-"
+
+
+def announced(spark: SparkSession, root: str) -> dict[str, int]:
+    """The last batch of every stream that is whole. One folder per stream, whatever the number of batches."""
+    path, files = files_of(spark, f"{root}/_streams")
+    if not files.exists(path):
+        return {}
+    last = {}
+    for status in files.listStatus(path):
+        numbers = [int(f.getPath().getName()) for f in files.listStatus(status.getPath())]
+        last[status.getPath().getName()] = max(numbers, default=-1)
+    return last
+
+
+def announce(spark: SparkSession, root: str, stream: str, number: int) -> None:
+    """From now on batches up to ``number`` are read. -1 makes the stream known before its first file is there."""
+    path, files = files_of(spark, f"{root}/_streams/{stream}")
+    files.mkdirs(files_of(spark, f"{root}/_streams/{stream}/{number}")[0])
+    for status in files.listStatus(path):
+        if int(status.getPath().getName()) < number:
+            files.delete(status.getPath(), True)
+
+
+def _whole_batches(last: dict[str, int]) -> Column:
+    name = r"/stream-([0-9a-f]+)-(\d+)-[^/]*$"
+    stream, number = (F.regexp_extract("file_path", name, i) for i in (1, 2))
+    found = stream == ""
+    for known, upto in last.items():
+        found = found | ((stream == known) & (number.try_cast("bigint") <= upto))
+    return found
+
+
 def stored(spark: SparkSession, root: str, folder: str | None = None) -> DataFrame | None:
-    """The table of all corpora, or of one folder, with row positions; None if nothing was written yet."""
+    """The table of all corpora, or of one folder, with row positions; None if nothing was written yet.
+
+    Batches that a stream is about to add are left out until they are whole.
+    """
     path = root if folder is None else f"{root}/{folder}"
     if not _path_exists(spark, path):
         return None
     # a folder's name stands for its characters; a path pattern would read some of them otherwise
     reader = spark.read.schema(CORPUS_SCHEMA).option("basePath", root)
-    return reader.parquet(path).select(
-        "*",
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.row_index").alias("row_index"),
-    )
+    last = announced(spark, root)
+    while True:
+        table = reader.parquet(path).select(
+            "*",
+            F.col("_metadata.file_path").alias("file_path"),
+            F.col("_metadata.row_index").alias("row_index"),
+        )
+        # files are listed by now: of a stream that was not known before, some may be among them
+        now = announced(spark, root)
+        if now.keys() == last.keys():
+            return table.where(_whole_batches(last)) if last else table
+        last = now
 
 
 def only_absent(rows: DataFrame, root: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from passagework.plans.ingest import EmbeddingsFailed, IngestOptions, IngestReport, store_documents
-from passagework.sources.corpus import files_of
+from passagework.sources.corpus import announce, batch_prefix, files_of
 from passagework.sources.documents import DOCUMENT_SCHEMA
 
 REPORT_SCHEMA = "batch bigint, pages bigint, chunks bigint, kept bigint, set_aside bigint, failed_embeddings bigint, reason string"
@@ -53,8 +54,8 @@ def ingest_stream(
     return writer.start()
 
 
-def publish(spark: SparkSession, staged: str, target: str) -> None:
-    """Move the files below ``staged`` to the same places below ``target``.
+def publish(spark: SparkSession, staged: str, target: str, prefix: str = "") -> None:
+    """Move the files below ``staged`` to the same places below ``target``, with ``prefix`` before their names.
 
     Every move is atomic, and what is moved is gone here, so a publish that
     was cut short is simply run again.
@@ -70,7 +71,8 @@ def publish(spark: SparkSession, staged: str, target: str) -> None:
             continue
         place = path.toUri().getPath()
         relative = place[len(base) + 1 :]
-        goal, _ = files_of(spark, f"{target}/{relative}")
+        folder, _, name = relative.rpartition("/")
+        goal, _ = files_of(spark, f"{target}/{folder}/{prefix}{name}" if folder else f"{target}/{prefix}{name}")
         files.mkdirs(goal.getParent())
         if not files.rename(path, goal):
             raise OSError(f"cannot move {path} to {goal}")
@@ -80,10 +82,12 @@ def store_batch(batch: DataFrame, number: int, root: str, checkpoint: str, optio
     """Add one micro-batch to a corpus, once, however often it is tried.
 
     The rows are written beside the checkpoint first. When they are complete
-    they are moved into the corpus file by file, and then the batch is marked.
-    A batch that is tried again goes on where it was.
+    they are moved into the corpus file by file, under names that readers leave
+    out until the number of the batch is announced there; so a reader sees all
+    of a batch or nothing. A batch that is tried again goes on where it was.
     """
     spark = batch.sparkSession
+    stream = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:16]
     folder = f"{checkpoint}/corpus-batches/{number}"
     (written, files), (done, _) = files_of(spark, f"{folder}/written"), files_of(spark, f"{folder}/done")
     if files.exists(done):
@@ -94,7 +98,9 @@ def store_batch(batch: DataFrame, number: int, root: str, checkpoint: str, optio
         spark.createDataFrame([told], REPORT_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{folder}/report")
         files.mkdirs(written)
     publish(spark, f"{folder}/aside", f"{root}/_quarantine")
-    publish(spark, f"{folder}/rows", root)
+    announce(spark, root, stream, -1)
+    publish(spark, f"{folder}/rows", root, batch_prefix(stream, number))
+    announce(spark, root, stream, number)
     files.mkdirs(done)
 
 

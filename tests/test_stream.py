@@ -105,6 +105,38 @@ def test_a_batch_that_is_tried_again_adds_nothing(spark, documents, monkeypatch,
     assert cp.read(spark, root).count() == 4
 
 
+def test_readers_see_whole_batches_only(spark, documents, monkeypatch):
+    """A publish that stops half-way shows nothing; tried again, it shows all."""
+    root, checkpoint = (scratch_path(spark, x) for x in ("corpus", "state"))
+    names = [(f"n{i}", LONG) for i in range(6)]
+    ingest(documents([("old", LONG)]), root)
+    streaming.store_batch(documents(names[:2]), 0, root, checkpoint, IngestOptions())
+    before = cp.read(spark, root)
+    assert {r.document_name for r in before.collect()} == {"old", "n0", "n1"}
+    moved, real = [], streaming.files_of
+
+    def stopping(session, name):
+        if "/rows" not in name and "document_name=" in name:
+            moved.append(name)
+            if len(moved) == 3:
+                raise OSError("lost")
+        return real(session, name)
+
+    with monkeypatch.context() as patched:
+        patched.setattr(streaming, "files_of", stopping)
+        with pytest.raises(OSError, match="lost"):
+            streaming.store_batch(documents(names), 1, root, checkpoint, IngestOptions())
+    assert cp.read(spark, root).count() == 3 and cp.open_corpus(spark, root, "old").count() == 1
+    streaming.store_batch(documents(names), 1, root, checkpoint, IngestOptions())
+    assert cp.read(spark, root).count() == 9
+    other = scratch_path(spark, "other-state")
+    streaming.store_batch(documents(names[:1]), 0, root, other, IngestOptions())
+    assert cp.read(spark, root).count() == 10 and len(cp.announced(spark, root)) == 2
+    files = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_streams")
+    listed = files.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(files)
+    assert len(listed) == 2
+
+
 def test_a_stream_reports_its_batches(spark, documents):
     inbox, root, checkpoint = (scratch_path(spark, x) for x in ("inbox", "corpus", "state"))
     assert stream_reports(spark, checkpoint).count() == 0

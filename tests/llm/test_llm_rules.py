@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import textwrap
@@ -406,6 +407,46 @@ def test_measures_equal_the_library():
     assert found["chars_per_token"][0] == pytest.approx(len("".join(text.split())) / len(ids))
 
 
+def plain_fertility(table, text, lang):
+    """All measures and the verdict of one text, with the libraries and loops."""
+    words = text.encode().split()
+    plain = [w.decode(errors="replace") for w in words]
+    ids = [i for w in plain for i in table.pieces.encode(w)]
+    chars, n = sum(map(len, plain)), max(len(ids), 1)
+    entropy = -sum(c / n * math.log2(c / n) for c in collections.Counter(ids).values())
+    byte_tokens = sum(len(table.bytes.encode_ordinary(" " + w)) for w in plain)
+    fallback = sum(map(table.pieces.is_byte, ids)) / n
+    found = (len(ids), chars / n, chars / max(byte_tokens, 1), fallback, max(entropy, 0.0))
+    repeats = plain_counts(text)[-1]
+    if len(words) < 20 or 100 * repeats > 30 * len(words):
+        return (*found, False)
+    least, most, most_fallback, least_entropy = fertility.BANDS[fertility.LANGUAGES.get(lang) or fertility.script(text)]
+    room = fertility.SLACK_TOKENS / max(len(ids), fertility.SLACK_TOKENS)
+    possible = math.log2(min(max(len(ids), 2), table.pieces.get_piece_size()))
+    fits = fallback <= most_fallback * (1 + room) and entropy >= least_entropy * (1 - room) * possible
+    return (*found, fits and all(least * (1 - room) <= f <= most * (1 + room) for f in found[1:3]))
+
+
+def test_fertility_equals_plain_version(spark, sf_dir):
+    """Every measure and verdict of the whole table, and of texts at the bands."""
+    table = fertility.WordTable(*map(fertility.public_tokenizers.path, (fertility.PIECES, fertility.BYTES)))
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rng = random.Random(8)
+    some = ["ab", "cd", "xq", "river", "日本語", "Привет", "Ελλάδα", "𓀀𓀁", "x9#", "mmmmmmmmmmmmmmmmmmmmmmmmmmmmmm"]
+    for i in range(300):
+        of = rng.sample(some, rng.randint(1, 6))
+        rows.append((10_000 + i, " ".join(rng.choice(of) for _ in range(rng.choice([5, 19, 20, 24, 40, 120, 400]))), rng.choice([None, "en", "ru", "xx"])))
+    made = fertility.with_quality(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    names = ("n_tokens", "chars_per_token", "chars_per_byte_token", "fallback_share", "token_entropy")
+    verdicts = set()
+    for row in made:
+        want = plain_fertility(table, row.text, row.lang)
+        assert [row[n] for n in names] == pytest.approx(list(want[:-1]), abs=1e-9), row.doc_id
+        assert row.kept == want[-1], (row.doc_id, want)
+        verdicts.add((row.base_failed, row.kept))
+    assert verdicts == {(True, False), (False, True), (False, False)}
+
+
 def test_fertility_rejects_other_bands(texts_table):
     words = "the river runs under an old bridge while people of many towns walk across it every single morning in spring".split()
     rng = random.Random(3)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from passagework.functions.encoders import EncoderFactory, HashingEncoder
 from passagework.functions.vectors import DEFAULT_DIM
@@ -51,11 +50,10 @@ class DocumentStore:
 
         A missing name, or one without a corpus, is an error.
         """
-        names = requests.select(F.coalesce("document_name", F.lit("")).alias("document_name"))
-        unknown = corpus.only_absent(names, self.root).sort("document_name").first()
+        unknown = corpus.first_unknown(requests, self.root)
         if unknown is not None:
-            if not unknown.document_name:
+            if not unknown:
                 raise ValueError("a document name is required")
-            raise corpus.CorpusNotFound(f"no corpus named {unknown.document_name!r} at {self.root}")
+            raise corpus.CorpusNotFound(f"no corpus named {unknown!r} at {self.root}")
         table = corpus.read(self.spark, self.root)
         return ret.answer(table, requests, template, factory=self.factory, dim=self.dim)

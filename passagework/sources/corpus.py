@@ -26,6 +26,8 @@ QUARANTINE_SCHEMA = "doc_id bigint, document_name string, filename string, page_
 ESCAPED = {*map(chr, range(1, 32)), *"\"#%'*/:=?\\\x7f{[]^"}
 UNNAMED_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 
+LOOKED_UP = 1000  # names whose folders are looked up one by one
+
 
 class CorpusNotFound(LookupError):
     pass
@@ -169,6 +171,20 @@ def only_absent(rows: DataFrame, root: str) -> DataFrame:
     return rows.join(existing, "document_name", "left_anti")
 
 
+def first_unknown(asked: DataFrame, root: str) -> str | None:
+    """The first of the names asked for, in order, that has no corpus; None if all have one.
+
+    Only the folders of these names are looked at, up to ``LOOKED_UP`` names; beyond that all folders are listed.
+    """
+    spark = asked.sparkSession
+    wanted = asked.select(F.coalesce("document_name", F.lit("")).alias("document_name")).distinct()
+    few = [r["document_name"] for r in wanted.limit(LOOKED_UP + 1).collect()]
+    if len(few) <= LOOKED_UP:
+        return min((name for name in few if not name or not exists(spark, root, name)), default=None)
+    unknown = only_absent(wanted, root).sort("document_name").first()
+    return unknown["document_name"] if unknown else None
+
+
 def create_if_absent(chunks: DataFrame, root: str) -> None:
     """Write only the corpora that do not exist yet; leave the others as they are."""
     write(only_absent(chunks, root), root)

@@ -308,6 +308,19 @@ def test_ingest_reads_documents_once(spark, root, bad):
     assert cp.quarantine(spark, root).count() == bad
 
 
+@pytest.mark.parametrize("most", [1000, 2])
+def test_unknown_names_are_found(spark, documents, root, monkeypatch, most):
+    monkeypatch.setattr(cp, "LOOKED_UP", most)
+    ingest(documents([(n, LONG) for n in ("a", "b", "c/d %", "e")]), root)
+
+    def asked(*names):
+        return spark.createDataFrame([(n,) for n in names], "document_name string")
+
+    assert cp.first_unknown(asked("a", "b", "c/d %", "a", "e"), root) is None
+    assert cp.first_unknown(asked("a", "z", "b", "x", "e"), root) == "x"
+    assert cp.first_unknown(asked("a", None, "x", "e"), root) == ""
+
+
 def test_preview_is_in_key_order(spark, documents):
     made = document_chunks(documents(["b. c", "a", "d"]), size=1)
     got = cp.preview(made, 3).collect()

@@ -36,7 +36,7 @@ WINDOW = 2048
 UNIT = 8  # pieces may be cut at multiples of this many ids, where a running checksum is kept
 SHORTEST = 128  # shorter pieces fill the rest, where rounding up costs nothing
 DEPTH = 3
-RUN_BYTES = 1 << 23  # of text that is encoded at once
+RUN_BYTES = 1 << 22  # of text that is encoded at once
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 

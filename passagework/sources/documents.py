@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +39,44 @@ def text_table(spark: SparkSession, path: str, name_col: str = "source") -> Data
     return spread(table.select("doc_id", F.col(name_col).alias("document_name"), "text"), path)
 
 
+# many small files are read by at most so many tasks for each core, and not by one task for every few
+FILE_TASKS = 16
+
+UNNAMED_FILE = "__HIVE_DEFAULT_PARTITION__"  # as partition folders call a value that is missing
+
+
+def write_files(docs: DataFrame, path: str, line_end: str = "\f") -> None:
+    """``file, text`` rows as files ``file=<name>``, in a folder for each task.
+
+    Rows of a task with the same name share a file, each with its ``line_end``.
+    The tasks write by Arrow's file systems; a store that Arrow does not know
+    is written by Spark, in a folder for each name.
+    """
+    spark = docs.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    try:
+        FileSystem.from_uri(uri)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        docs.select("text", "file").write.partitionBy("file").text(path, lineSep=line_end)
+        return
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = FileSystem.from_uri(uri)
+        folder, made = f"{base}/part-{TaskContext.get().partitionId():05d}", 0
+        store.create_dir(folder, recursive=True)
+        rows = ((n, t) for batch in batches for n, t in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist()))
+        for name, same in groupby(rows, key=lambda row: row[0]):
+            with store.open_output_stream(f"{folder}/file={UNNAMED_FILE if name is None else name}") as out:
+                for _, text in same:
+                    out.write(((text or "") + line_end).encode())
+            made += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([made], pa.int64())})
+
+    named = docs.select("file", "text").sortWithinPartitions("file")
+    named.mapInArrow(run, "files bigint").agg(F.sum("files")).collect()
+
+
 def files(spark: SparkSession, path: str, document_name: str, glob: str | None = None) -> DataFrame:
     """One row per file: ``doc_id, document_name, filename, path, content``.
 
@@ -41,7 +85,8 @@ def files(spark: SparkSession, path: str, document_name: str, glob: str | None =
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).select(
+    found = reader.load(path).coalesce(spark.sparkContext.defaultParallelism * FILE_TASKS)
+    return found.select(
         F.xxhash64("path").alias("doc_id"),
         F.lit(document_name).alias("document_name"),
         F.element_at(F.split("path", "/"), -1).alias("filename"),

@@ -27,6 +27,9 @@ DEFAULT_BATCH_SIZE = 32
 
 REASON_CHARS = 200
 
+# Memory only, no effect on results: rows whose vectors a worker holds and hands over at a time.
+OUTCOME_ROWS = 1024
+
 
 class Encoder(Protocol):
     dim: int
@@ -38,18 +41,21 @@ EncoderFactory = Callable[[], Encoder]
 
 
 class _Buckets(dict):
-    """Bucket of every word seen so far; forgets all when it grows too large."""
+    """Bucket of every short word seen lately; forgets all when it grows too large, so a worker stays small."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 16
+    LONGEST = 64
 
     def __init__(self, dim: int):
         super().__init__()
         self.dim = dim
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = bucket = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim
+        bucket = int.from_bytes(hashlib.md5(word.encode()).digest()[:4]) % self.dim
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[word] = bucket
         return bucket
 
 
@@ -93,23 +99,25 @@ def _worker_encoder(key: str, factory: EncoderFactory) -> Encoder:
     return loaded[key]
 
 
-def _encode_rows(encoder: Encoder, texts: list[str]) -> list[tuple[np.ndarray | None, str | None]]:
-    """Encode a batch; if it fails, row by row, so only the bad rows are lost. A lost row keeps its reason."""
+def _encode_rows(encoder: Encoder, texts: list[str], out: np.ndarray, rows: list[int], errors: list[str | None]) -> None:
+    """Encode a batch into ``out``; if it fails, row by row, so only the bad rows are lost. A lost row keeps its reason."""
     try:
-        return [(vector, None) for vector in encoder.encode(texts)]
+        made = np.asarray(encoder.encode([texts[i] for i in rows]), dtype=np.float32)
     except Exception as failure:
-        if len(texts) == 1:
-            return [(None, f"{type(failure).__name__}: {failure}"[:REASON_CHARS])]
-        return [outcome for text in texts for outcome in _encode_rows(encoder, [text])]
-
-
-def _to_arrow(vectors: list[np.ndarray | None], dim: int) -> pa.ListArray:
-    missing = np.array([v is None for v in vectors], dtype=bool)
-    present = [np.asarray(v, dtype=np.float32) for v in vectors if v is not None]
-    if any(v.shape != (dim,) for v in present):
-        raise ValueError(f"the encoder must return vectors of {dim} numbers")
-    values = pa.array(np.concatenate(present) if present else np.zeros(0, np.float32))
-    offsets = np.concatenate([[0], np.cumsum(np.where(missing, 0, dim))]).astype(np.int32)
+        if len(rows) == 1:
+            errors[rows[0]] = f"{type(failure).__name__}: {failure}"[:REASON_CHARS]
+            return
+        for i in rows:
+            _encode_rows(encoder, texts, out, [i], errors)
+        return
+    if made.shape != (len(rows), encoder.dim):
+        raise ValueError(f"the encoder must return vectors of {encoder.dim} numbers")
+    out[rows] = made
+
+
+def _to_arrow(vectors: np.ndarray, missing: np.ndarray) -> pa.ListArray:
+    values = pa.array((vectors[~missing] if missing.any() else vectors).ravel())
+    offsets = np.concatenate([[0], np.cumsum(np.where(missing, 0, vectors.shape[1]))]).astype(np.int32)
     mask = pa.array(missing) if missing.any() else None
     return pa.ListArray.from_arrays(pa.array(offsets), values, mask=mask)
 
@@ -147,26 +155,38 @@ def encode_outcome(
     characters of such a batch.
     """
     key = hashlib.md5(cloudpickle.dumps(factory)).hexdigest()
+    step = max(1, OUTCOME_ROWS // batch_size) * batch_size
 
     @F.arrow_udf("struct<embedding: array<float>, error: string>")
     def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _worker_encoder(key, factory)
         for batch in batches:
-            texts = batch.to_pylist()
-            outcomes: list[tuple[np.ndarray | None, str | None]] = [(None, None)] * len(texts)
-            rows = [i for i, t in enumerate(texts) if t is not None]
-            if pad_waste is None:
-                parts = [rows[start : start + batch_size] for start in range(0, len(rows), batch_size)]
-            else:
-                lengths = np.array([len(texts[i]) for i in rows], np.int64)
-                parts = [[rows[k] for k in part] for part in length_batches(lengths, batch_size, pad_waste, batch_chars)]
-            for part in parts:
-                for i, outcome in zip(part, _encode_rows(encoder, [texts[i] for i in part])):
-                    outcomes[i] = outcome
-            vectors = _to_arrow([vector for vector, _ in outcomes], encoder.dim)
-            errors = pa.array([error for _, error in outcomes], pa.string())
-            yield pa.StructArray.from_arrays([vectors, errors], names=["embedding", "error"])
-
+            size = step if pad_waste is None else max(1, len(batch))
+            for start in range(0, len(batch), size):
+                yield from outcomes(encoder, batch.slice(start, size))
+            if not len(batch):
+                yield from outcomes(encoder, batch)
+
+    def outcomes(encoder: Encoder, batch: pa.Array) -> Iterator[pa.Array]:
+        texts = batch.to_pylist()
+        vectors = np.zeros((len(texts), encoder.dim), np.float32)
+        errors: list[str | None] = [None] * len(texts)
+        rows = [i for i, t in enumerate(texts) if t is not None]
+        if pad_waste is None:
+            parts = [rows[start : start + batch_size] for start in range(0, len(rows), batch_size)]
+        else:
+            lengths = np.array([len(texts[i]) for i in rows], np.int64)
+            parts = [[rows[k] for k in part] for part in length_batches(lengths, batch_size, pad_waste, batch_chars)]
+        for part in parts:
+            _encode_rows(encoder, texts, vectors, part, errors)
+        missing = np.array([t is None or e is not None for t, e in zip(texts, errors)], dtype=bool)
+        for start in range(0, max(1, len(texts)), OUTCOME_ROWS):
+            own = slice(start, start + OUTCOME_ROWS)
+            made = [_to_arrow(vectors[own], missing[own]), pa.array(errors[own], pa.string())]
+            yield pa.StructArray.from_arrays(made, names=["embedding", "error"])
+
+    # not to be run again for a filter on its result, as Spark would when it pushes one below
+    embed = embed.asNondeterministic()
     return embed(text)
 
 

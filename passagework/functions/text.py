@@ -21,7 +21,8 @@ CHARS_PER_TOKEN = 4
 RAW_SENTENCE_SEPARATOR = ". "
 GLUED_SEAM = r"\.(?=[A-Z])"
 
-SENTENCE_GAP = r"(?<=[.!?])\s+"
+# blanks behind a sentence end; what stands before is looked at where there is a blank only
+SENTENCE_GAP = r"\s(?<=[.!?]\s)\s*"
 
 Splitter = Callable[[Column], Column]
 

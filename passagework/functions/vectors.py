@@ -46,3 +46,15 @@ def dot_product(left: Column, right: Column) -> Column:
     """
     products = F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def round_float32(number: Column, digits: int) -> Column:
+    """A float32 number as a double rounded half up, as ``round`` does, without decimals for every number.
+
+    24 bits times a power of ten up to ``10**5`` are exact in double precision, so halves are seen as such.
+    """
+    if not 0 <= digits <= 5:
+        raise ValueError("0 to 5 digits")
+    wide, unit = number.cast("double"), 10.0**digits
+    exact = F.signum(wide) * (F.floor(F.abs(wide) * unit + 0.5).cast("double") / unit) + F.lit(0.0)
+    return F.when((F.abs(wide) >= 2.0**-16) & (F.abs(wide) < 2.0**24), exact).otherwise(F.round(wide, digits))

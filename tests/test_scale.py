@@ -2,6 +2,12 @@
 
 import os
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from passagework.functions import text as tx
+from passagework.functions import vectors as vx
+from passagework.functions.encoders import HashingEncoder, encode
 from passagework.session import scratch_path
 from passagework.sources import documents as sd
 
@@ -23,3 +29,40 @@ def test_many_files_are_written_by_tasks_and_read_by_few(spark, monkeypatch):
     assert len(held) == 64 * cores + 2
     assert held["7.txt"] == b"text 7\f" and sorted(held["twice.txt"].split(b"\f")) == [b"", b"", b"a"]
     assert held[sd.UNNAMED_FILE] == b"unnamed\f"
+
+
+def test_a_filter_on_vectors_does_not_encode_twice(spark):
+    texts = spark.createDataFrame([(i, f"word {i}") for i in range(5)], "doc_id bigint, text string")
+    found = texts.withColumn("embedding", encode(F.col("text"))).select("doc_id", F.posexplode("embedding").alias("pos", "x"))
+    plan = found.where("x <> 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_vectors_come_in_parts_and_in_order(spark):
+    texts = spark.range(5000).coalesce(1).select("id", F.when(F.col("id") % 11 != 0, F.concat(F.lit("w"), "id")).alias("text"))
+    for options in ({}, {"pad_waste": 0.1, "batch_chars": 4096}):
+        rows = texts.withColumn("v", encode(F.col("text"), lambda: HashingEncoder(8), **options)).collect()
+        expected = HashingEncoder(8).encode([r["text"] or "" for r in rows])
+        assert all((r["v"] is None) == (r["id"] % 11 == 0) for r in rows)
+        assert all(r["v"] is None or np.array_equal(np.float32(r["v"]), e) for r, e in zip(rows, expected))
+
+
+def test_a_worker_keeps_few_and_short_words():
+    encoder = HashingEncoder(16)
+    encoder.encode([" ".join(f"w{i}" for i in range(100_000)), "x" * 100_000])
+    assert len(encoder.buckets) <= 1 << 16 and max(map(len, encoder.buckets)) <= 64
+
+
+def test_float32_rounding_is_that_of_round(spark):
+    rng = np.random.default_rng(5)
+    numbers = np.concatenate([rng.uniform(-2, 2, 2000), 1 / np.sqrt(np.arange(1, 2000)), np.arange(-300, 300) / 64, [0, 1e-9, 3e8, -1e-7]])
+    rows = spark.createDataFrame([(float(np.float32(x)),) for x in numbers] + [(None,)], "x double").select(F.col("x").cast("float"))
+    other = rows.where(~vx.round_float32(F.col("x"), 5).eqNullSafe(F.round(F.col("x").cast("double"), 5)))
+    assert other.count() == 0
+
+
+def test_sentence_gaps_are_those_of_the_plain_rule(spark):
+    texts = ["A b.  C d!\tE? f", ".  . a", "a.b c .", " x. ", "", "no end", "a.\u00a0b. \x0b c", "!? \n\n?! z"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = F.array_remove(F.split("text", r"(?<=[.!?])\s+", -1), "")
+    assert all(a == b for a, b in rows.select(tx.sentences(F.col("text")), plain).collect())

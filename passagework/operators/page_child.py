@@ -1,10 +1,14 @@
-"""The child process of ``isolation``: runs an extractor, one document after the other, and answers page by page."""
+"""The child processes of ``isolation``: one loads an extractor, and its forks run it, page by page.
+
+What takes long, the start of Python and the load of the codec, is done once; a fork that is lost costs a fork.
+"""
 
 from __future__ import annotations
 
 import os
 import pickle
 import resource
+import socket
 import struct
 import sys
 
@@ -15,10 +19,10 @@ def reason_of(failure: BaseException) -> str:
     return f"{type(failure).__name__}: {failure}"[:REASON_CHARS]
 
 
-def main() -> None:
+def serve(extractor: object, requests: int, replies: int) -> None:
+    """One document after the other, until there are no more."""
     # what a codec prints must not get between the answers
-    answers, source = os.fdopen(os.dup(1), "wb"), sys.stdin.buffer
-    os.dup2(os.open(os.devnull, os.O_WRONLY), 1)
+    answers, source = os.fdopen(replies, "wb"), os.fdopen(requests, "rb")
 
     def asked() -> object:
         size = source.read(8)
@@ -29,12 +33,6 @@ def main() -> None:
         answers.write(struct.pack("<q", len(raw)) + raw)
         answers.flush()
 
-    memory_bytes, packed = asked()
-    extractor = pickle.loads(packed)
-    if memory_bytes:
-        resource.setrlimit(resource.RLIMIT_AS, (memory_bytes, memory_bytes))
-    resource.setrlimit(resource.RLIMIT_CORE, (0, 0))
-    answer("ready")
     while request := asked():
         content, skip = request
         try:
@@ -54,5 +52,35 @@ def main() -> None:
             answer("end")
 
 
+def main() -> None:
+    control = socket.socket(fileno=os.dup(0))
+    os.dup2(os.open(os.devnull, os.O_RDWR), 0)
+    with os.fdopen(os.dup(control.fileno()), "rb") as source:
+        memory_bytes, packed = pickle.loads(source.read(struct.unpack("<q", source.read(8))[0]))
+    extractor = pickle.loads(packed)
+    if memory_bytes:
+        resource.setrlimit(resource.RLIMIT_AS, (memory_bytes, memory_bytes))
+    resource.setrlimit(resource.RLIMIT_CORE, (0, 0))
+    control.sendall(struct.pack("<q", os.getpid()))
+    while True:
+        asked, pipes, *_ = socket.recv_fds(control, 8, 2)
+        if len(asked) < 8:
+            return
+        pid = struct.unpack("<q", asked)[0]
+        if pid:  # how did this one end?
+            control.sendall(struct.pack("<q", os.waitstatus_to_exitcode(os.waitpid(pid, 0)[1])))
+            continue
+        pid = os.fork()
+        if not pid:
+            control.close()
+            try:
+                serve(extractor, *pipes)
+            finally:
+                os._exit(0)
+        for pipe in pipes:
+            os.close(pipe)
+        control.sendall(struct.pack("<q", pid))
+
+
 if __name__ == "__main__":
     main()

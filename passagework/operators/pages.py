@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
-from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.functions import text as tx
-from passagework.operators.isolation import IsolatedExtractor, Limits, Page, packed
+from passagework.operators.isolation import IsolatedExtractors, Limits, Page, packed
 from passagework.operators.page_child import reason_of
 
 FORM_FEED = "\f"
@@ -92,12 +91,6 @@ def extract_pages(
     rows_per_batch = 1024
     shipped = packed(extractor) if limits else b""
 
-    def read_isolated(isolated: IsolatedExtractor, content: bytes) -> Iterator[Page]:
-        for page in isolated.pages(content):
-            if page[0] is None and on_document_error == "raise":
-                raise RuntimeError(page[2])
-            yield page
-
     def read_document(content: bytes) -> Iterator[Page]:
         try:
             for number, reader in enumerate(extractor(content), start=1):
@@ -119,23 +112,38 @@ def extract_pages(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if limits is None:
-            yield from pages_of(batches, read_document)
+            yield from in_batches((batch, i, read_document(content)) for batch, i, content in documents_of(batches))
             return
-        with IsolatedExtractor(shipped, limits) as isolated:
-            yield from pages_of(batches, partial(read_isolated, isolated))
+        with IsolatedExtractors(shipped, limits) as isolated:
+            read = isolated.documents(((batch, i), content) for batch, i, content in documents_of(batches))
+            yield from in_batches((batch, i, checked(pages)) for (batch, i), pages in read)
 
-    def pages_of(batches: Iterator[pa.RecordBatch], read: Callable[[bytes], Iterator[Page]]) -> Iterator[pa.RecordBatch]:
+    def documents_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, bytes]]:
         for batch in batches:
-            rows: list[tuple] = []
             contents = batch.column(content_col)
             for i in range(batch.num_rows):
-                for page in read(contents[i].as_py()):
-                    rows.append((i, *page))
-                    if len(rows) == rows_per_batch:
-                        yield as_batch(batch, rows)
-                        rows = []
-            if rows:
-                yield as_batch(batch, rows)
+                yield batch, i, contents[i].as_py()
+
+    def checked(pages: list[Page]) -> Iterator[Page]:
+        for page in pages:
+            if page[0] is None and on_document_error == "raise":
+                raise RuntimeError(page[2])
+            yield page
+
+    def in_batches(read: Iterator[tuple[pa.RecordBatch, int, Iterator[Page]]]) -> Iterator[pa.RecordBatch]:
+        source, rows = None, []
+        for batch, i, pages in read:
+            if batch is not source and rows:
+                yield as_batch(source, rows)
+                rows = []
+            source = batch
+            for page in pages:
+                rows.append((i, *page))
+                if len(rows) == rows_per_batch:
+                    yield as_batch(source, rows)
+                    rows = []
+        if rows:
+            yield as_batch(source, rows)
 
     extracted = docs.select(*names, content_col).mapInArrow(run, schema)
     return extracted.withColumn("text", tx.normalize(F.col("text")))

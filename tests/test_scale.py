@@ -1,6 +1,7 @@
 """Steps whose cost for a row, a file or a task must not grow with the input."""
 
 import os
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -8,7 +9,10 @@ from pyspark.sql import functions as F
 from passagework.functions import text as tx
 from passagework.functions import vectors as vx
 from passagework.functions.encoders import HashingEncoder, encode
+from passagework.operators import pages as pg
+from passagework.operators.isolation import IsolatedExtractors, Limits, packed
 from passagework.session import scratch_path
+from passagework.sources import corpus as cp
 from passagework.sources import documents as sd
 
 
@@ -66,3 +70,45 @@ def test_sentence_gaps_are_those_of_the_plain_rule(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "text string")
     plain = F.array_remove(F.split("text", r"(?<=[.!?])\s+", -1), "")
     assert all(a == b for a, b in rows.select(tx.sentences(F.col("text")), plain).collect())
+
+
+def slow_codec(content):
+    def read():
+        while content == b"loop":
+            time.sleep(0.1)
+        if content == b"abort":
+            os.abort()
+        return f"{os.getppid()} {content.decode()}"
+
+    return [read]
+
+
+def test_documents_go_on_while_others_hang():
+    contents = [b"loop" if i % 3 == 0 else b"abort" if i % 3 == 1 else b"fine" for i in range(12)]
+    began = time.monotonic()
+    with IsolatedExtractors(packed(slow_codec), Limits(seconds=2, memory_bytes=1 << 30)) as isolated:
+        found = dict(isolated.documents(enumerate(contents)))
+    assert time.monotonic() - began < 6  # and not 2 seconds for each of four
+    errors = {i: pages[0][2] for i, pages in found.items()}
+    assert all(errors[i].startswith("no answer in time") for i in range(0, 12, 3))
+    assert all(errors[i] == "crashed: SIGABRT" for i in range(1, 12, 3))
+    # the codec was loaded once, by the parent of all children
+    assert len({found[i][0][1].split()[0] for i in range(2, 12, 3)}) == 1
+
+
+def test_pages_stay_with_their_documents_when_some_hang(spark):
+    rows = [(i, b"loop" if i in (3, 8) else f"text {i}".encode()) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, content binary").coalesce(1)
+    made = pg.extract_pages(docs, slow_codec, limits=Limits(seconds=2, memory_bytes=1 << 30)).collect()
+    assert sorted(r.doc_id for r in made) == list(range(20))
+    assert {r.doc_id for r in made if r.error} == {3, 8}
+    assert all(r.text.endswith(f"text {r.doc_id}") for r in made if r.error is None)
+
+
+def test_rows_are_not_shuffled_by_name_to_find_new_names(spark):
+    root = scratch_path(spark, "names")
+    spark.createDataFrame([("a", 1)], "document_name string, x int").write.partitionBy("document_name").parquet(root)
+    rows = spark.createDataFrame([("a", "x"), ("b", "y"), (None, "z")], "document_name string, text string")
+    new = cp.only_absent(rows, root)
+    assert "Exchange hashpartitioning" not in new._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["text"] for r in new.collect()) == ["y", "z"]

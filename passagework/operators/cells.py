@@ -30,6 +30,7 @@ from passagework.operators.ranking import dense_rows, ranges
 CELLS = 256
 SAMPLE_ROWS = 8192  # the bound on what the centres are fitted on
 STEPS = 6  # of moving the centres
+PLACED_ROWS = 1024  # whose distances a task holds at a time
 FIRST_CELLS, MORE_CELLS = 2, 4  # a query visits so many cells first, and so many times as many in every further round
 
 
@@ -98,9 +99,11 @@ def build(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell, away = nearest(dense_rows(batch.column("vector"), dim), shared.value)
-            columns = [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(away)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "cell", "away"])
+            for start in range(0, batch.num_rows, PLACED_ROWS):
+                part = batch.slice(start, PLACED_ROWS)
+                cell, away = nearest(dense_rows(part.column("vector"), dim), shared.value)
+                columns = [*part.columns, pa.array(cell.astype(np.int32)), pa.array(away)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "cell", "away"])
 
     # a rebalance cuts a cell that holds much over tasks
     source.mapInArrow(run, made).hint("rebalance", F.col("cell")).write.partitionBy("cell").parquet(f"{root}/rows")

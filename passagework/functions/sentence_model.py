@@ -34,6 +34,9 @@ PLAN_TYPES = 1 << 15  # a model of at most so many types becomes part of the pla
 EDGE = "\"'()[]{}<>,;:!?.*_“”„‘’«»"
 BLANKS = " \t\n\x0b\x0c\r"
 
+# words in a row that end sentences, and the one behind them
+SENTENCE_SEAM = r"(?<!\S)\S++(?<=[.!?])(?:\s++\S++(?<=[.!?]))*+(?:\s++\S++)?"
+
 MODEL_SCHEMA = "kind string, type string, seen bigint, total bigint, score double"
 ABBREVIATION, STARTER = "abbreviation", "starter"
 
@@ -56,9 +59,14 @@ def is_counted(kind: Column) -> Column:
 
 def type_counts(pages: DataFrame, text_col: str = "text") -> DataFrame:
     """``type, stopped, total`` of every word type with a letter: how often, and how often with a full stop behind it."""
-    found = pages.select(F.explode(words(F.col(text_col))).alias("word"))
+    found = pages.select(F.explode(F.split(F.col(text_col), r"\s+", -1)).alias("word")).where("word <> ''")
     typed = found.select(word_type(F.col("word")).alias("type"), F.endswith("word", F.lit(".")).alias("stop"))
-    return typed.where(is_counted(F.col("type"))).groupBy("type").agg(F.count_if("stop").alias("stopped"), F.count("*").alias("total"))
+    return counted_only(typed.groupBy("type").agg(F.count_if("stop").alias("stopped"), F.count("*").alias("total")), "total")
+
+
+def counted_only(groups: DataFrame, count: str) -> DataFrame:
+    """Groups whose type has a letter: looked for once for each type, and not below the aggregate for each word."""
+    return groups.where(F.when(F.col(count) > 0, is_counted(F.col("type"))))
 
 
 def abbreviations(counts: DataFrame, least_count: int = LEAST_COUNT) -> DataFrame:
@@ -78,18 +86,15 @@ def abbreviations(counts: DataFrame, least_count: int = LEAST_COUNT) -> DataFram
 def followers(pages: DataFrame, known: DataFrame, text_col: str = "text") -> DataFrame:
     """``type, seen``: how often each type stands behind a sentence end of the same page, abbreviations not counted as ends."""
 
-    def pair(list_: Column, i: Column) -> Column:
-        return F.struct(F.get(list_, i - 1).alias("before"), F.get(list_, i).alias("word"))
-
-    listed = pages.select(words(F.col(text_col)).alias("words"))
-    places = F.sequence(F.lit(1), F.greatest(F.size("words") - 1, F.lit(1)))
-    pairs = F.filter(F.transform(places, lambda i: pair(F.col("words"), i)), lambda p: p["before"].rlike(r"[.!?]\z") & p["word"].isNotNull())
-    found = listed.select(F.explode(pairs).alias("p")).select("p.*")
+    seams = pages.select(F.explode(F.regexp_extract_all(text_col, F.lit(SENTENCE_SEAM), F.lit(0))).alias("seam"))
+    listed = seams.select(F.split("seam", r"\s+", -1).alias("words")).where(F.size("words") > 1)
+    pairs = F.arrays_zip(F.slice("words", 1, F.size("words") - 1).alias("before"), F.slice("words", 2, F.size("words") - 1).alias("word"))
+    found = listed.select(F.inline(pairs).alias("before", "word"))
     stopped = F.endswith("before", F.lit("."))
     typed = found.select(F.when(stopped, word_type(F.col("before"))).alias("before"), word_type(F.col("word")).alias("type"))
     counted = typed.groupBy("before", "type").agg(F.count("*").alias("seen"))
     ends = counted.join(known.select(F.col("type").alias("before")), "before", "left_anti")
-    return ends.where(is_counted(F.col("type"))).groupBy("type").agg(F.sum("seen").alias("seen"))
+    return counted_only(ends.groupBy("type").agg(F.sum("seen").alias("seen")), "seen")
 
 
 def _chance(hits: Column, tries: Column, share: Column) -> Column:
@@ -162,7 +167,7 @@ def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def fragments(text: Column) -> Column:
     """The text cut behind every ``.``, ``!`` or ``?`` with its blanks; joined they are the text again."""
-    return F.filter(F.regexp_extract_all(text, F.lit(r"(?s).*?(?:[.!?]\s+|\z)"), F.lit(0)), lambda part: part != "")
+    return F.filter(F.regexp_extract_all(text, F.lit(r"[^.!?]*+(?:[.!?](?!\s)[^.!?]*+)*+(?:[.!?]\s++)?"), F.lit(0)), lambda part: part != "")
 
 
 def last_word(part: Column) -> Column:

@@ -1,18 +1,22 @@
 """Steps whose cost for a row, a file or a task must not grow with the input."""
 
+import glob
 import os
 import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from passagework.functions import sentence_model as sm
 from passagework.functions import text as tx
 from passagework.functions import vectors as vx
 from passagework.functions.encoders import HashingEncoder, encode
+from passagework.operators import cells as ce
 from passagework.operators import pages as pg
 from passagework.operators.isolation import IsolatedExtractors, Limits, packed
 from passagework.session import scratch_path
 from passagework.sources import corpus as cp
+from passagework.sources import csv_corpus
 from passagework.sources import documents as sd
 
 
@@ -112,3 +116,52 @@ def test_rows_are_not_shuffled_by_name_to_find_new_names(spark):
     new = cp.only_absent(rows, root)
     assert "Exchange hashpartitioning" not in new._jdf.queryExecution().executedPlan().toString()
     assert sorted(r["text"] for r in new.collect()) == ["y", "z"]
+
+
+def test_a_cell_index_places_few_rows_at_a_time(spark, monkeypatch):
+    seen, nearest = spark.sparkContext.accumulator(0), ce.nearest
+
+    def watched(rows, centres):
+        seen.add(len(rows) > 1024)
+        return nearest(rows, centres)
+
+    monkeypatch.setattr(ce, "nearest", watched)
+    rows = spark.range(5000).coalesce(1).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id")).cast("array<float>").alias("embedding"))
+    index = ce.build(rows, scratch_path(spark, "cells"), ["vec_id"], dim=2, cells=4, sample_rows=100)
+    assert index.counts.sum() == 5000 and seen.value == 0
+
+
+def test_a_packed_csv_is_the_same_corpus_in_small_files(spark, monkeypatch):
+    monkeypatch.setattr(csv_corpus, "PACKED_ROWS", 10)
+    text = F.concat(F.lit('a "quoted"\nline '), F.col("id").cast("string"))
+    vector = F.when(F.col("id") % 5 != 0, F.array_repeat(F.lit(0.25), 8).cast("array<float>"))
+    columns = {"doc_id": F.col("id"), "page_number": F.lit(1), "chunk_idx": F.lit(0), "sentence_chunk": text, "embedding": vector}
+    columns |= {"document_name": F.lit("n"), "filename": F.lit(None).cast("string")}
+    columns |= {"chunk_char_count": F.lit(1), "chunk_word_count": F.lit(1), "chunk_token_count": F.lit(1.0)}
+    rows = spark.range(45).coalesce(1).select(*(c.alias(n) for n, c in columns.items()))
+    plain, packed_path = scratch_path(spark, "plain"), scratch_path(spark, "packed")
+    csv_corpus.write(rows, plain)
+    csv_corpus.write(rows, packed_path, compression="gzip")
+    assert len(glob.glob(f"{local(packed_path)}/*.csv.gz")) == 5
+    read = [sorted(map(tuple, csv_corpus.read(spark, p, dim=8).collect()), key=str) for p in (plain, packed_path)]
+    assert read[0] == read[1] and len(read[0]) == 45
+
+
+def test_types_are_judged_behind_the_count(spark):
+    pages = spark.createDataFrame([("Mr. Fox met Dr. Owl.  They ran! 12. 7 -- a. b. c",), ("",), (None,)], "text string")
+    plan = sm.type_counts(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RLIKE") < plan.index("Aggregate")
+    assert {r["type"]: (r["stopped"], r["total"]) for r in sm.type_counts(pages).collect()}["mr"] == (1, 1)
+    none = spark.createDataFrame([], "type string")
+    seen = {r["type"]: r["seen"] for r in sm.followers(pages, none).collect()}
+    assert seen == {"fox": 1, "owl": 1, "they": 1, "b": 1, "c": 1}
+    known = spark.createDataFrame([("mr",), ("a",)], "type string")
+    seen = {r["type"]: r["seen"] for r in sm.followers(pages.union(pages), known).collect()}
+    assert seen == {"owl": 2, "they": 2, "c": 2}
+
+
+def test_fragments_are_those_of_the_plain_rule(spark):
+    texts = ["A b.  C d!\tE? f", ".  . a", "a.b c .", " x. ", "", "no end", "!? \n\n?! z...  y.z", "a" * 50_000 + ". b" + ".x" * 50_000]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = F.filter(F.regexp_extract_all("text", F.lit(r"(?s).*?(?:[.!?]\s+|\z)"), F.lit(0)), lambda part: part != "")
+    assert all(a == b for a, b in rows.select(sm.fragments(F.col("text")), plain).collect())

@@ -46,7 +46,11 @@ def new_uploads(
             state.remove()
             return
         last, seen = state.get if state.exists else (None, None)
-        rows = pd.concat(list(batches)).sort_values(arrived, kind="stable")
+        # nearly every document comes alone: no more pandas than one row needs
+        parts = list(batches)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+        if len(rows) > 1:
+            rows = rows.sort_values(arrived, kind="stable")
         changes = []
         for when, body in zip(rows[arrived], rows[text]):
             # a clock behind the watermark does not run out on its own
@@ -59,8 +63,9 @@ def new_uploads(
         end = pd.Timestamp(seen) + kept_for
         end = end.tz_localize("UTC") if end.tzinfo is None else end
         state.setTimeoutTimestamp(max(int(end.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-        made = rows.assign(change=changes)
-        yield made[made["change"].notna()][[*names, "change"]]
+        if any(changes):
+            made = (rows if list(rows.columns) == names else rows[names]).assign(change=changes)
+            yield made if all(changes) else made[made["change"].notna()]
 
     waiting = documents.withWatermark(arrived, delay)
     return waiting.groupBy(*KEYS).applyInPandasWithState(judge, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)

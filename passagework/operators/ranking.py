@@ -7,7 +7,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Memory and speed only, no effect on results.
-RESCORE_PAIRS = 1 << 12
+TILE_SCORES = 1 << 21
+SEGMENT_ROWS = 1 << 8
+RESCORE_PAIRS = 1 << 8
 CROWDED = 1 << 14
 WAITING_ROWS = 1 << 14
 
@@ -58,6 +60,12 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(lengths.sum()) + np.repeat(starts - before, lengths)
 
 
+def _kth(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of every row; NaN is the lowest."""
+    known = np.where(np.isnan(scores), np.float32(-np.inf), scores)
+    return np.partition(known, known.shape[1] - k, axis=1)[:, known.shape[1] - k]
+
+
 class BestRows:
     """The best rows so far of every query: highest score, then lowest keys.
 
@@ -66,6 +74,10 @@ class BestRows:
     ``dim`` terms is off by at most ``dim * 2**-23 * |row| * |query|``, and the
     bar is lowered by that much, so no row is missed.
 
+    The product is made in tiles of ``tile`` scores. Of a tile only the largest
+    score of every segment of rows is looked at; scores of a segment are
+    compared one by one if that one reaches the bar.
+
     Many rows can reach the bar together, as copies of one text do. They are
     then scored once per distinct vector, and of equal scores only the lowest
     keys are kept before anything is sorted. What was found waits until there
@@ -74,8 +86,15 @@ class BestRows:
     """
 
     def __init__(
-        self, vectors: np.ndarray, limits: np.ndarray, keys: list[str], digits: int | None, floor: np.ndarray | None = None
+        self,
+        vectors: np.ndarray,
+        limits: np.ndarray,
+        keys: list[str],
+        digits: int | None,
+        floor: np.ndarray | None = None,
+        tile: int = TILE_SCORES,
     ):
+        self.tile = tile
         self.vectors = vectors
         self.limits = limits
         self.keys = keys
@@ -91,7 +110,13 @@ class BestRows:
         """Offer ``rows`` with their ``vectors`` to the queries of the given numbers."""
         if not len(vectors):
             return
-        at, column = np.nonzero(self._candidates(vectors, queries))
+        longest = np.sqrt(np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64).max())
+        step = max(1, self.tile // len(vectors))
+        for start in range(0, len(queries), step):
+            self._offer(vectors, longest, rows, queries[start : start + step])
+
+    def _offer(self, vectors: np.ndarray, longest: float, rows: pa.Table, queries: np.ndarray) -> None:
+        at, column = self._candidates(vectors, longest, queries)
         if not len(at):
             return
         number = queries[column]
@@ -114,18 +139,32 @@ class BestRows:
             self.table = self._best(pa.concat_tables([*([] if self.table is None else [self.table]), *self.waiting]))
             self.waiting = []
 
-    def _candidates(self, vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
-        rough = vectors @ self.vectors[queries].T
-        unsure = np.isnan(rough)
-        rough[unsure] = -np.inf
-        floor = self.floor[queries]
-        if np.isneginf(floor).any():
-            keep = min(int(self.limits[queries].max()), len(rough))
-            floor = np.maximum(floor, np.partition(rough, len(rough) - keep, axis=0)[len(rough) - keep])
-        longest = np.sqrt(np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64).max())
+    def _candidates(self, vectors: np.ndarray, longest: float, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows that can be among the best, each with the place of its query."""
+        rough = self.vectors[queries] @ vectors.T
+        starts = np.arange(0, len(vectors), SEGMENT_ROWS)
+        most = np.maximum.reduceat(rough, starts, axis=1)  # NaN, which is unsure, if there is one
+        floor = np.maximum(self.floor[queries], self._kth_of_tile(rough, most, queries))
         slack = self.rounding + 2 * np.nan_to_num(longest, nan=np.inf) * self.noise[queries]
         bar = np.where(np.isfinite(slack), floor - slack, -np.inf)
-        return unsure | (rough >= bar)
+        with np.errstate(over="ignore"):
+            bar = np.nextafter(bar.astype(np.float32), np.float32(-np.inf))[:, None]
+        query, segment = np.nonzero(~(most < bar))
+        at = starts[segment][:, None] + np.arange(min(SEGMENT_ROWS, len(vectors)))
+        inside = at < len(vectors)
+        reached = ~(rough[query[:, None], np.where(inside, at, 0)] < bar[query]) & inside
+        return at[reached], np.repeat(query, reached.sum(axis=1))
+
+    def _kth_of_tile(self, rough: np.ndarray, most: np.ndarray, queries: np.ndarray) -> np.ndarray:
+        """A score that as many rows of the tile reach as a query has results: in as many segments, if there are enough."""
+        keep = min(int(self.limits[queries].max()), rough.shape[1])
+        if keep <= most.shape[1]:
+            return _kth(most, keep)
+        kth = np.full(len(queries), -np.inf)
+        unknown = np.isneginf(self.floor[queries])
+        if unknown.any():
+            kth[unknown] = _kth(rough[unknown], keep)
+        return kth
 
     def _rounded(self, values: np.ndarray) -> np.ndarray:
         return values if self.digits is None else np.round(values, self.digits) + 0.0

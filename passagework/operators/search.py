@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +26,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from passagework.functions.vectors import DEFAULT_DIM
-from passagework.operators.ranking import BestRows, dense_rows, distinct, ranges, row_bytes
+from passagework.operators.ranking import TILE_SCORES, BestRows, dense_rows, distinct, ranges, row_bytes
 from passagework.session import scratch_path
 
 # Fixed value: results per query when a request does not say.
 DEFAULT_RESULTS = 5
 
 # Memory only, no effect on results: bytes of a block of queries with room for
-# their results, and scores of a tile.
+# their results, and rows that are scored together, more for few queries.
 MAX_QUERY_BYTES = 64 << 20
 RESULT_BYTES = 128
-TILE_SCORES = 1 << 21
+TILE_ROWS = 1 << 12
+
+# Speed only: of so many queries each row is scored for long, so the files of a
+# corpus are read in more tasks than Spark would make of them.
+MANY_QUERIES = 1 << 12
+SHARES = 4
 
 # files that a lookup of winners is narrowed to in the plan; with more, the join alone finds them
 LISTED_FILES = 1024
@@ -106,8 +112,8 @@ def partial_top_k(
         count, dim = queries.slot_vectors.shape
         if not count:
             return
-        best = BestRows(queries.slot_vectors, queries.slot_limits, keys, digits, floor)
-        step = max(1, TILE_SCORES // count)
+        best = BestRows(queries.slot_vectors, queries.slot_limits, keys, digits, floor, TILE_SCORES)
+        step = max(TILE_ROWS, TILE_SCORES // count)
         for batch in batches:
             whole = pa.Table.from_batches([batch])
             for start in range(0, len(whole), step):
@@ -158,6 +164,18 @@ def query_blocks(queries: DataFrame, dim: int, max_bytes: int) -> Iterator[Query
             yield QueryBlock.of(part, dim)
 
 
+def in_shares(table: DataFrame, count: int) -> DataFrame:
+    """The same rows in up to ``count`` times the tasks.
+
+    Spark packs files into about as many tasks as there are cores, the largest
+    files together. Here each share of the files, by a hash of their paths, is
+    packed by itself. The path is a constant metadata column, so a share opens
+    its own files only.
+    """
+    share = F.pmod(F.xxhash64("file_path"), F.lit(count))
+    return reduce(DataFrame.unionAll, [table.where(share == number) for number in range(count)])
+
+
 def with_request_defaults(requests: DataFrame, n_results: int = DEFAULT_RESULTS) -> DataFrame:
     """Fill in ``n_results``: the request's own value, else the default."""
     given = F.col("n_results") if "n_results" in requests.columns else F.lit(None)
@@ -198,6 +216,8 @@ def search(
         if slots is not None:
             by = "document_name"
             scan = corpus.where(F.col(by).isin(sorted(set(slots) - {None})))  # a block bounds them
+        if "file_path" in corpus.columns and len(block.slot_limits) >= MANY_QUERIES:
+            scan = in_shares(scan, SHARES)
         if scored is not None:
             scan = scan.observe(scored, F.count(F.lit(1)).alias("rows_scored"))
             scored = None

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 
 from passagework.operators import ranking
 from passagework.operators import search as se
+from passagework.session import scratch_path
 
 SCHEMA = "id bigint, document_name string, embedding array<float>"
 
@@ -247,3 +250,69 @@ def test_single_query_top_k(spark, numbers):
     got = [r.id for r in se.top_k(scored, ["id"]).collect()]
     assert got == [key for _, _, key in brute(rows, asked[:1])]
     assert se.top_k(scored, ["id"], 9999).count() == 700
+
+
+def test_scores_are_held_by_the_tile():
+    """A task holds the scores of some queries at a time, not of all of a block."""
+    rng = np.random.default_rng(3)
+    rows, asked = (rng.standard_normal((n, 8)).astype(np.float32) for n in (4096, 4000))
+    best = ranking.BestRows(asked, np.full(len(asked), 5), ["id"], 5)
+    tracemalloc.start()
+    best.add(rows, pa.table({"id": np.arange(len(rows))}), np.arange(len(asked)))
+    best.settle()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4 * rows.shape[0] * asked.shape[0]
+    scores = np.round(rows.astype(np.float64) @ asked.astype(np.float64).T, 5)
+    want = np.lexsort((np.broadcast_to(np.arange(len(rows))[:, None], scores.shape), -scores), axis=0)[:5].T
+    assert np.array_equal(np.asarray(best.table["id"]).reshape(-1, 5), want)
+
+
+@pytest.mark.parametrize("limit", [1, 3, 40, 400])
+def test_segments_of_any_length(numbers, monkeypatch, limit):
+    """Few or many segments for the results asked for, a last one that is short, scores that are no numbers, all equal or infinite."""
+    monkeypatch.setattr(ranking, "SEGMENT_ROWS", 16)
+    rows, asked = numbers
+    odd = {3: [np.nan] * 12, 17: [np.inf] + [0.0] * 11, 205: [-np.inf] + [1.0] * 11, 206: [3e38] * 12, 300: [0.0] * 12}
+    vectors = np.array([odd.get(i, rows[i // 2][2] if 100 < i < 200 else rows[i][2]) for i in range(333)], np.float32)
+    queries = np.array([v for _, v in asked] + [[0.0] * 12], np.float32)
+    with np.errstate(all="ignore"):
+        scores = np.einsum("id,jd->ji", vectors.astype(np.float64), queries.astype(np.float64))
+        best = ranking.BestRows(queries, np.full(len(queries), limit), ["id"], 3, tile=1000)
+        for start, stop in [(0, 5), (5, 150), (150, 333)]:
+            best.add(vectors[start:stop], pa.table({"id": np.arange(start, stop)}), np.arange(len(queries)))
+        best.settle()
+    scores = np.round(np.where(np.isnan(scores), -np.inf, scores), 3)
+    want = [sorted(range(333), key=lambda i: (-own[i], i))[:limit] for own in scores]
+    assert np.asarray(best.table["id"]).reshape(len(queries), -1).tolist() == want
+
+
+def stored_rows(spark, rows):
+    path = scratch_path(spark, "stored")
+    spark.createDataFrame(rows, SCHEMA).repartition(24).write.parquet(path)
+    return spark.read.schema(SCHEMA).parquet(path).select("*", F.col("_metadata.file_path").alias("file_path"))
+
+
+def test_shares_open_every_file_once(spark, numbers):
+    stored = stored_rows(spark, numbers[0])
+    shares = se.in_shares(stored, 3)
+    assert sorted(r.id for r in shares.collect()) == [key for key, _, _ in numbers[0]]
+    assert shares.rdd.getNumPartitions() > stored.rdd.getNumPartitions()
+    plan = shares.select("id", "file_path")._jdf.queryExecution()
+    plan.toRdd().count()
+    leaves = plan.executedPlan().collectLeaves()
+    opened = [leaves.apply(i).metrics().apply("numFiles").value() for i in range(leaves.size())]
+    assert len(opened) == 3 and sum(opened) == len(stored.inputFiles())
+
+
+def test_many_queries_read_the_corpus_in_shares(spark, numbers, monkeypatch):
+    rows, asked = numbers
+    monkeypatch.setattr(se, "MANY_QUERIES", 40)
+    shares, made = se.in_shares, []
+    monkeypatch.setattr(se, "in_shares", lambda *args: made.append(args) or shares(*args))
+    scored = Observation()
+    queries = spark.createDataFrame(asked, "qid bigint, query_vector array<float>")
+    result = se.search(stored_rows(spark, rows), queries, ["id"], dim=12, digits=5, scored=scored)
+    assert ranked(result) == brute(rows, asked, digits=5) and scored.get["rows_scored"] == 700 and len(made) == 1
+    few = se.search(stored_rows(spark, rows), queries.limit(39), ["id"], dim=12, digits=5)
+    assert few.count() == 39 * 5 and len(made) == 1

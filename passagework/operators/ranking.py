@@ -13,6 +13,16 @@ RESCORE_PAIRS = 1 << 8
 CROWDED = 1 << 14
 WAITING_ROWS = 1 << 14
 
+# Speed only: with so many queries of so many dimensions, an outline of the rows is made; an eighth of the
+# dimensions is kept there, others share a place by threes. A tile where it leaves more than this share open is
+# multiplied in full.
+OUTLINED_QUERIES = 1 << 10
+OUTLINED_DIM = 1 << 8
+KEPT_SHARE = 8
+SHARED_DIMS = 3
+OPEN_SHARE = 1 / 32
+CHECKED_PAIRS = 1 << 7
+
 
 def dense_rows(vectors: pa.Array, dim: int) -> np.ndarray:
     """``[n, dim]`` float32 of an Arrow list column: cut or zero-padded, NULL is zero."""
@@ -66,6 +76,32 @@ def _kth(scores: np.ndarray, k: int) -> np.ndarray:
     return np.partition(known, known.shape[1] - k, axis=1)[:, known.shape[1] - k]
 
 
+class Outline:
+    """A shorter form of vectors, whose dot products are at least those of the vectors.
+
+    The dimensions where the queries weigh most stay as they are. The others are
+    dealt out to places, and a place has the length of its numbers, rounded up:
+    by Cauchy and Schwarz the product of two lengths is at least that of the
+    numbers, whatever their signs. Next to exact where most numbers are zero.
+    """
+
+    def __init__(self, queries: np.ndarray):
+        weight = np.einsum("ij,ij->j", queries, queries, dtype=np.float64)
+        order = np.argsort(-weight, kind="stable")
+        self.kept, rest = np.split(order, [len(order) // KEPT_SHARE])
+        places = -(-len(rest) // SHARED_DIMS)
+        self.shared = [rest[start : start + places] for start in range(0, len(rest), places)]
+
+    def of(self, vectors: np.ndarray) -> np.ndarray:
+        squares = np.zeros((len(vectors), len(self.shared[0])))
+        for dims in self.shared:
+            squares[:, : len(dims)] += np.square(vectors[:, dims], dtype=np.float64)
+        with np.errstate(over="ignore"):
+            lengths = np.sqrt(squares).astype(np.float32)
+        lengths[lengths > 0] = np.nextafter(lengths[lengths > 0], np.float32(np.inf))
+        return np.concatenate([vectors[:, self.kept], lengths], axis=1)
+
+
 class BestRows:
     """The best rows so far of every query: highest score, then lowest keys.
 
@@ -78,6 +114,12 @@ class BestRows:
     score of every segment of rows is looked at; scores of a segment are
     compared one by one if that one reaches the bar.
 
+    Where the bars are known, the product of outlines (``Outline``) comes first
+    and tells most rows apart with less than half the work; only pairs that it
+    leaves open are multiplied in full. Vectors that an outline says little of,
+    as those with few zeros, are multiplied in full as before: after a tile in
+    vain it is tried again more and more seldom.
+
     Many rows can reach the bar together, as copies of one text do. They are
     then scored once per distinct vector, and of equal scores only the lowest
     keys are kept before anything is sorted. What was found waits until there
@@ -105,6 +147,11 @@ class BestRows:
         self.floor = np.full(len(limits), -np.inf) if floor is None else np.array(floor, np.float64)
         self.table: pa.Table | None = None
         self.waiting: list[pa.Table] = []
+        self.outline: Outline | None = None
+        if len(vectors) >= OUTLINED_QUERIES and vectors.shape[1] >= OUTLINED_DIM:
+            self.outline = Outline(vectors)
+            self.outlines = self.outline.of(vectors)
+        self.in_vain, self.resting = 0, 0
 
     def add(self, vectors: np.ndarray, rows: pa.Table, queries: np.ndarray) -> None:
         """Offer ``rows`` with their ``vectors`` to the queries of the given numbers."""
@@ -112,11 +159,15 @@ class BestRows:
             return
         longest = np.sqrt(np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64).max())
         step = max(1, self.tile // len(vectors))
+        outlines = self.outline.of(vectors) if self.outline and len(queries) >= OUTLINED_QUERIES else None
         for start in range(0, len(queries), step):
-            self._offer(vectors, longest, rows, queries[start : start + step])
+            self._offer(vectors, outlines, longest, rows, queries[start : start + step])
 
-    def _offer(self, vectors: np.ndarray, longest: float, rows: pa.Table, queries: np.ndarray) -> None:
-        at, column = self._candidates(vectors, longest, queries)
+    def _offer(
+        self, vectors: np.ndarray, outlines: np.ndarray | None, longest: float, rows: pa.Table, queries: np.ndarray
+    ) -> None:
+        found = None if outlines is None else self._left_open(vectors, outlines, longest, queries)
+        at, column = self._candidates(vectors, longest, queries) if found is None else found
         if not len(at):
             return
         number = queries[column]
@@ -144,17 +195,45 @@ class BestRows:
         rough = self.vectors[queries] @ vectors.T
         starts = np.arange(0, len(vectors), SEGMENT_ROWS)
         most = np.maximum.reduceat(rough, starts, axis=1)  # NaN, which is unsure, if there is one
-        floor = np.maximum(self.floor[queries], self._kth_of_tile(rough, most, queries))
-        slack = self.rounding + 2 * np.nan_to_num(longest, nan=np.inf) * self.noise[queries]
-        bar = np.where(np.isfinite(slack), floor - slack, -np.inf)
-        with np.errstate(over="ignore"):
-            bar = np.nextafter(bar.astype(np.float32), np.float32(-np.inf))[:, None]
+        bar = self._bar(np.maximum(self.floor[queries], self._kth_of_tile(rough, most, queries)), longest, queries)
         query, segment = np.nonzero(~(most < bar))
         at = starts[segment][:, None] + np.arange(min(SEGMENT_ROWS, len(vectors)))
         inside = at < len(vectors)
         reached = ~(rough[query[:, None], np.where(inside, at, 0)] < bar[query]) & inside
         return at[reached], np.repeat(query, reached.sum(axis=1))
 
+    def _left_open(
+        self, vectors: np.ndarray, outlines: np.ndarray, longest: float, queries: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same by outlines first; None if these leave too much open, or are not to be tried now."""
+        bar = self._bar(self.floor[queries], longest, queries)
+        allowed = OPEN_SHARE * len(queries) * len(vectors)
+        if np.isneginf(bar).sum() * len(vectors) > allowed:
+            return None
+        if self.resting:
+            self.resting -= 1
+            return None
+        left = np.flatnonzero(~(outlines @ self.outlines[queries].T < bar[:, 0]))
+        if len(left) > allowed:
+            self.in_vain += 1
+            self.resting = 1 << min(self.in_vain, 10)
+            return None
+        self.in_vain = 0
+        at, query = np.divmod(left, len(queries))
+        asked, reached = self.vectors[queries], np.empty(len(at), bool)
+        for start in range(0, len(at), CHECKED_PAIRS):
+            part = slice(start, start + CHECKED_PAIRS)
+            rough = np.einsum("ij,ij->i", vectors[at[part]], asked[query[part]])
+            reached[part] = ~(rough < bar[query[part], 0])
+        return at[reached], query[reached]
+
+    def _bar(self, floor: np.ndarray, longest: float, queries: np.ndarray) -> np.ndarray:
+        """What a float32 score must reach, a column."""
+        slack = self.rounding + 2 * np.nan_to_num(longest, nan=np.inf) * self.noise[queries]
+        bar = np.where(np.isfinite(slack), floor - slack, -np.inf)
+        with np.errstate(over="ignore"):
+            return np.nextafter(bar.astype(np.float32), np.float32(-np.inf))[:, None]
+
     def _kth_of_tile(self, rough: np.ndarray, most: np.ndarray, queries: np.ndarray) -> np.ndarray:
         """A score that as many rows of the tile reach as a query has results: in as many segments, if there are enough."""
         keep = min(int(self.limits[queries].max()), rough.shape[1])

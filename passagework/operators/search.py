@@ -43,6 +43,10 @@ TILE_ROWS = 1 << 12
 MANY_QUERIES = 1 << 12
 SHARES = 4
 
+# Speed only: one row in so many is scored first for as many queries, so that
+# each task knows from its first row on which scores are of no use.
+EARLY_ROWS = 32
+
 # files that a lookup of winners is narrowed to in the plan; with more, the join alone finds them
 LISTED_FILES = 1024
 
@@ -164,6 +168,17 @@ def query_blocks(queries: DataFrame, dim: int, max_bytes: int) -> Iterator[Query
             yield QueryBlock.of(part, dim)
 
 
+def last_scores(found: DataFrame, block: QueryBlock) -> np.ndarray:
+    """For every slot the score of the last of its results in ``found``; it has none if there are fewer."""
+    last = found.groupBy("qid").agg(F.count("*").alias("results"), F.min("score").alias("score")).toArrow()
+    order = np.argsort(block.ids)
+    slot = block.slots[order[np.searchsorted(block.ids, np.asarray(last["qid"], np.int64), sorter=order)]]
+    full = np.asarray(last["results"], np.int64) == block.slot_limits[slot]
+    floor = np.full(len(block.slot_limits), -np.inf)
+    floor[slot[full]] = np.asarray(last["score"], np.float64)[full]
+    return floor
+
+
 def in_shares(table: DataFrame, count: int) -> DataFrame:
     """The same rows in up to ``count`` times the tasks.
 
@@ -198,7 +213,9 @@ def search(
     ``queries`` has ``qid``, ``query_vector``, and optionally ``n_results`` and
     ``document_name``; with the latter a query sees its own corpus only. A
     ``qid`` that is missing or repeated is an error. Ties go to the lowest
-    keys. ``digits`` rounds scores before ranking. ``scored`` observes how many
+    keys. A large block of queries is scored against one row in ``EARLY_ROWS``
+    first, and the others are held against the last result found there; hits
+    are taken from all. ``digits`` rounds scores before ranking. ``scored`` observes how many
     rows the first block was scored against.
     """
     spark = corpus.sparkSession
@@ -216,15 +233,26 @@ def search(
         if slots is not None:
             by = "document_name"
             scan = corpus.where(F.col(by).isin(sorted(set(slots) - {None})))  # a block bounds them
-        if "file_path" in corpus.columns and len(block.slot_limits) >= MANY_QUERIES:
+        many = len(block.slot_limits) >= MANY_QUERIES
+        deepest, floor, early = int(block.limits.max()), None, []
+        if many and scored is None and "row_index" in corpus.columns:
+            first = F.col("row_index") % EARLY_ROWS == 0
+            # plain arrays, as broadcast values are unpickled without this package's code
+            shared = spark.sparkContext.broadcast((vars(block), slots, None))
+            partial = partial_top_k(scan.where(first), shared, keys, vector_col, digits, by)
+            found, path = _ranked(partial, keys, deepest).drop("rank"), scratch_path(spark, "early")
+            found.write.parquet(path)
+            shared.destroy()
+            early = [spark.read.schema(found.schema).parquet(path)]
+            floor, scan = last_scores(early[0], block), scan.where(~first)
+        if many and "file_path" in corpus.columns:
             scan = in_shares(scan, SHARES)
         if scored is not None:
             scan = scan.observe(scored, F.count(F.lit(1)).alias("rows_scored"))
             scored = None
-        # plain arrays, as broadcast values are unpickled without this package's code
-        shared = spark.sparkContext.broadcast((vars(block), slots, None))
+        shared = spark.sparkContext.broadcast((vars(block), slots, floor))
         partial = partial_top_k(scan, shared, keys, vector_col, digits, by)
-        hits.add(best_per_query(partial, keys, int(block.limits.max())))
+        hits.add(best_per_query(reduce(DataFrame.unionByName, [partial, *early]), keys, deepest))
         shared.destroy()
     return hits.read()
 
@@ -251,10 +279,13 @@ def best_per_query(candidates: DataFrame, keys: list[str], deepest: int) -> Data
     The constant limit lets Spark drop rows before the shuffle already, so a
     query has no more rows there than it has results from every task.
     """
+    return _ranked(candidates, keys, deepest).select("qid", "rank", *keys, "score")
+
+
+def _ranked(candidates: DataFrame, keys: list[str], deepest: int) -> DataFrame:
     order = Window.partitionBy("qid").orderBy(F.desc("score"), *keys)
     ranked = candidates.withColumn("rank", F.row_number().over(order))
-    kept = ranked.where((F.col("rank") <= deepest) & (F.col("rank") <= F.col("n_results")))
-    return kept.select("qid", "rank", *keys, "score")
+    return ranked.where((F.col("rank") <= deepest) & (F.col("rank") <= F.col("n_results")))
 
 
 def attach_payload(hits: DataFrame, corpus: DataFrame, on: list[str], columns: list[str]) -> DataFrame:

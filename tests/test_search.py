@@ -316,3 +316,77 @@ def test_many_queries_read_the_corpus_in_shares(spark, numbers, monkeypatch):
     assert ranked(result) == brute(rows, asked, digits=5) and scored.get["rows_scored"] == 700 and len(made) == 1
     few = se.search(stored_rows(spark, rows), queries.limit(39), ["id"], dim=12, digits=5)
     assert few.count() == 39 * 5 and len(made) == 1
+
+
+def mostly_zeros(rng, count, dim, share=0.08):
+    made = rng.standard_normal((count, dim)) * (rng.random((count, dim)) < share)
+    return made.astype(np.float32)
+
+
+def test_outlines_are_never_below_the_product():
+    rng = np.random.default_rng(5)
+    queries, rows = mostly_zeros(rng, 60, 100), mostly_zeros(rng, 80, 100, 0.3)
+    rows[0], rows[1], rows[2, 5] = 1e-30, 3e38, np.nan
+    outline = ranking.Outline(queries)
+    with np.errstate(all="ignore"):
+        short = outline.of(queries).astype(np.float64) @ outline.of(rows).astype(np.float64).T
+        full = queries.astype(np.float64) @ rows.astype(np.float64).T
+    assert outline.of(rows).shape[1] < 50
+    assert (~(short < full - 1e-9 * np.abs(full))).all()
+
+
+@pytest.mark.parametrize("zeros", [True, False])
+def test_rows_are_told_apart_by_outlines(monkeypatch, zeros):
+    """Few full products where vectors are mostly zeros; where they are not, no more tries than a few. The same rows."""
+    monkeypatch.setattr(ranking, "OUTLINED_QUERIES", 64)
+    monkeypatch.setattr(ranking, "OPEN_SHARE", 0.15)
+    full, left_open = [], []
+    for name, calls in (("_candidates", full), ("_left_open", left_open)):
+        old = getattr(ranking.BestRows, name)
+        monkeypatch.setattr(ranking.BestRows, name, lambda *a, old=old, calls=calls: (calls.append(1), old(*a))[1])
+    rng = np.random.default_rng(6)
+    rows = mostly_zeros(rng, 6000, 256, 0.03) if zeros else rng.standard_normal((6000, 256)).astype(np.float32)
+    queries = np.concatenate([rows[::100][:60], np.zeros((1, 256), np.float32), rows[40:44]])
+    rows[3000:3050], rows[5000, 7], rows[5001, 9] = rows[2999], np.nan, np.inf
+    best = ranking.BestRows(queries, np.full(len(queries), 5), ["id"], 5)
+    with np.errstate(all="ignore"):
+        for start in range(0, len(rows), 500):
+            best.add(rows[start : start + 500], pa.table({"id": np.arange(start, start + 500)}), np.arange(len(queries)))
+            best.settle()
+        scores = rows.astype(np.float64) @ queries.astype(np.float64).T
+    scores = np.round(np.where(np.isnan(scores), -np.inf, scores), 5)
+    want = np.lexsort((np.broadcast_to(np.arange(len(rows))[:, None], scores.shape), -scores), axis=0)[:5].T
+    assert np.array_equal(np.asarray(best.table["id"]).reshape(-1, 5), want)
+    assert len(left_open) == 12
+    assert len(full) <= 4 if zeros else len(full) >= 11
+
+
+@pytest.mark.parametrize("routed", [True, False])
+def test_a_large_block_knows_its_bars_before_most_rows(spark, monkeypatch, routed):
+    """Some rows are scored first; what they reach bounds the others, and hits are taken from all."""
+    monkeypatch.setattr(se, "MANY_QUERIES", 40)
+    monkeypatch.setattr(ranking, "OUTLINED_QUERIES", 40)
+    rng = np.random.default_rng(7)
+    vectors = mostly_zeros(rng, 1500, 256)
+    vectors[700:720] = vectors[3]
+    rows = [(i, f"c{i % 3}", [float(x) for x in v]) for i, v in enumerate(vectors)]
+    path, schema = scratch_path(spark, "placed"), "id bigint, document_name string, embedding array<float>"
+    spark.createDataFrame(rows, schema).repartition(4).write.parquet(path)
+    place = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "row_index")]
+    stored = spark.read.schema(schema).parquet(path).select("*", *place)
+    limits = [int(rng.choice([1, 4, 30, 400])) for _ in range(60)]
+    asked = [(i, f"c{i % 3}", rows[(i * 11) % 1500 if i else 3][2], limits[i]) for i in range(60)]
+    asked += [(60, "c1", [0.0] * 256, 7), (61, "c1", asked[1][2], 2), (62, "c9", asked[1][2], 2)]
+    queries = spark.createDataFrame(asked, "qid bigint, document_name string, query_vector array<float>, n_results int")
+    known, old = [], se.last_scores
+    monkeypatch.setattr(se, "last_scores", lambda *a: (known.append(old(*a)), known[-1])[1])
+    queries = queries if routed else queries.drop("document_name")
+    result = se.search(stored, queries, ["id"], dim=256, digits=5)
+    found = {}
+    for r in result.orderBy("qid", "rank").collect():
+        found.setdefault(r.qid, []).append(r.id)
+    for qid, name, vector, limit in asked:
+        scores = np.round(vectors.astype(np.float64) @ np.asarray(vector, np.float64), 5)
+        own = [i for i in range(1500) if not routed or f"c{i % 3}" == name]
+        assert found.get(qid, []) == sorted(own, key=lambda i: (-scores[i], i))[:limit]
+    assert len(known) == 1 and np.isfinite(known[0]).any() and np.isneginf(known[0]).any()

@@ -7,6 +7,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
+from passagework import catalog
 from passagework.functions import sentence_model as sm
 from passagework.functions import text as tx
 from passagework.functions import vectors as vx
@@ -147,6 +148,27 @@ def test_a_packed_csv_is_the_same_corpus_in_small_files(spark, monkeypatch):
     assert read[0] == read[1] and len(read[0]) == 45
 
 
+def test_a_text_in_many_rows_is_written_once(spark):
+    """The cells of a CSV corpus come in tasks with few texts each, which Parquet keeps in a dictionary."""
+    folder = scratch_path(spark, "texts")
+    words = F.transform(F.sequence(F.lit(1), F.lit(400)), lambda i: F.md5(F.concat(F.col("id").cast("string"), i.cast("string"))))
+    text = F.concat(F.array_join(words, " "), F.lit("."))
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"))
+    docs = docs.withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("bigint"))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    out, before = scratch_path(spark, "cells"), spark.conf.get("spark.sql.files.minPartitionNum", None)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")  # all files in one task, as Spark packs them where they are small
+    try:
+        catalog.csv_roundtrip(spark, folder).write.parquet(out)
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum") if before is None else spark.conf.set("spark.sql.files.minPartitionNum", before)
+    place = spark.read.parquet(out).select("doc_id", F.length("sentence_chunk").alias("n"), F.col("_metadata.file_path").alias("file"))
+    held = place.distinct().groupBy("file").agg(F.sum("n").alias("n")).collect()
+    assert place.select("doc_id").distinct().count() == 300 and len(held) > 3
+    assert max(r["n"] for r in held) < 1 << 20
+    assert sum(os.path.getsize(f) for f in glob.glob(f"{local(out)}/*.parquet")) < 2 * sum(r["n"] for r in held)
+
+
 def test_types_are_judged_behind_the_count(spark):
     pages = spark.createDataFrame([("Mr. Fox met Dr. Owl.  They ran! 12. 7 -- a. b. c",), ("",), (None,)], "text string")
     plan = sm.type_counts(pages)._jdf.queryExecution().optimizedPlan().toString()

@@ -1,3 +1,4 @@
+import gzip
 import re
 
 import pandas as pd
@@ -133,3 +134,40 @@ def test_missing_text_is_set_aside(spark):
     good, bad = src.quarantine_missing(docs)
     assert [r.doc_id for r in good.collect()] == [1]
     assert [(r.doc_id, r.reason) for r in bad.collect()] == [(2, "text is missing")]
+
+
+@pytest.mark.parametrize("glob", [None, "*.{txt,gz}", "[!a]*"])
+def test_files_are_those_that_spark_reads(spark, tmp_path, glob):
+    """Listed by tasks and not by the driver: the same files, paths and bytes, hidden and empty ones left out alike."""
+    names = ["a.txt", "b c%41.txt", "deep/er/é=1.txt", "_x.txt", "_y=1.txt", ".z.txt", "_temporary/t.txt", "empty.txt"]
+    names += ["deep/w._COPYING_", ".hidden/h.txt", "zip.txt.gz", "deep/_metadata.txt", "_metadata/n.txt", "k=1/l=2/m.txt"]
+    inbox = tmp_path / "in box%20"
+    for name in names:
+        path = inbox / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(gzip.compress(b"packed") if name.endswith("gz") else b"" if name == "empty.txt" else name.encode() + b"\xff\r\n")
+    (inbox / "no files").mkdir()
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    reader = reader.option("pathGlobFilter", glob) if glob else reader
+    want = sorted((r["path"], bytes(r["content"])) for r in reader.load(str(inbox)).collect())
+    found = src.files(spark, str(inbox), "n", glob)
+    rows = found.collect()
+    assert sorted((r["path"], bytes(r["content"])) for r in rows) == want and len(want) > 4
+    assert len({r["doc_id"] for r in rows}) == len(rows) and all(r["filename"] == r["path"].split("/")[-1] for r in rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "binaryFile" not in plan and "below" in plan
+    assert src.files(spark, str(inbox / "no files"), "n").count() == 0
+    # a pattern and a single file are read by Spark
+    assert src.files(spark, f"{tmp_path}/in box*/*.txt", "n").count() > 0
+    assert src.files(spark, str(inbox / "a.txt"), "n").first()["content"] == b"a.txt\xff\r\n"
+
+
+def test_more_files_than_a_task_reads_at_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(src, "READ_FILES", 7)
+    monkeypatch.setattr(src, "READ_BYTES", 40)
+    for i in range(200):
+        (tmp_path / f"d{i % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"d{i % 3}" / f"{i}.txt").write_text("x" * (1 + i % 50))
+    found = src.files(spark, str(tmp_path), "n")
+    assert found.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert {r["filename"]: len(r["content"]) for r in found.collect()} == {f"{i}.txt": 1 + i % 50 for i in range(200)}
